@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from kgspark.llm import mixing
+from kgspark.llm import mixing, packing, quality, tokens
 
 QUERIES = {
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_token_ids": tokens.op9_token_ids,
     "op10_mixing_sources": mixing.op10_mixing_sources,
 }
 
