@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings with a softmax, trained by numpy gradient descent.
 
-A word's features are the hashed word and its hashed character n-grams; a document is the mean of the
-learned vectors of all its features, and a softmax over that mean gives its classes. Training reads at
+A word's features are the hashed word and its hashed character n-grams; a word that repeats the one
+before it adds a feature of its own, ``AGAIN_TIMES`` over. A document is the mean of the learned vectors
+of all its features, and a softmax over that mean gives its classes. Training reads at
 most ``sample_rows`` labelled documents (whole texts), taken in hash order of their ids. Scoring reads
 every document; a word's vector enters a score only through one product, which is kept for each word.
 
@@ -28,6 +29,8 @@ BUCKETS, DIM, GRAMS = 1 << 17, 16, (3, 4)
 SAMPLE_ROWS = 3000
 THRESHOLD = 0.7
 REMEMBERED = 200_000
+#: The feature of a repeated word lies behind the hashed ones and counts about as much as a word's n-grams.
+AGAIN, AGAIN_TIMES = BUCKETS, 8
 
 
 def features(word: str) -> list[int]:
@@ -56,7 +59,7 @@ class Model:
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 1.0, seed: int = 7) -> Model:
     """Gradient descent over (features, their shares, label) rows; the rate falls linearly to 0."""
     random = np.random.default_rng(seed)
-    vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    vectors = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM))
     output, bias = random.normal(0, 0.3, (2, DIM)), np.zeros(2)
     if not rows:
         return Model(vectors, np.zeros((2, DIM)), bias)
@@ -98,7 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         for batch in batches:
             out = []
             for key, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [f for w in (text or "").split() for f in features(w)]
+                words = (text or "").split()
+                found = [f for w in words for f in features(w)]
+                found += [AGAIN] * (AGAIN_TIMES * sum(map(str.__eq__, words, words[1:])))
                 ids, n = np.unique(np.array(found, np.int32), return_counts=True)
                 out.append({"id": key, "label": label, "ids": ids.tobytes(), "n": n.astype(np.int32).tobytes()})
             if out:
@@ -132,6 +137,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", threshold: floa
             for text in batch.column("_text").to_pylist():
                 words = (text or "").split()
                 total = size = 0.0
+                last = None
                 for at in range(0, len(words), REMEMBERED // 4):
                     some = words[at : at + REMEMBERED // 4]
                     new = dict.fromkeys(w for w in some if w not in known)
@@ -143,7 +149,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", threshold: floa
                         k = known[w] = len(known)
                         sums[k], sizes[k] = weights[ids].sum(), len(ids)
                     index = np.fromiter(map(known.__getitem__, some), np.int64, len(some))
-                    total, size = total + sums[index].sum(), size + sizes[index].sum()
+                    again = AGAIN_TIMES * (int((index[1:] == index[:-1]).sum()) + (some[0] == last))
+                    total, size = total + sums[index].sum() + again * weights[AGAIN], size + sizes[index].sum() + again
+                    last = some[-1]
                 scores.append(1 / (1 + np.exp(-np.clip(total / max(size, 1) + bias, -60, 60))))
             values = np.array(scores, np.float64)
             added = [pa.array(values), pa.array((values >= threshold).astype(np.int32))]
