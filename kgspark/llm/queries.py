@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kgspark.llm import mixing, packing, quality, tokens
+from kgspark.llm import mixing, packing, quality, secrets, tokens
 
 QUERIES = {
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_ids": tokens.op9_token_ids,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_secret_scans": secrets.SQL,
     "op10_mixing_sources": mixing.SQL,
 }
