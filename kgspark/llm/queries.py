@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kgspark.llm import mixing, packing, quality, secrets, tokens
+from kgspark.llm import fingerprints, mixing, packing, quality, secrets, tokens
 
 QUERIES = {
+    "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_document_fingerprints": fingerprints.SQL,
     "op4_secret_scans": secrets.SQL,
     "op10_mixing_sources": mixing.SQL,
 }
