@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kgspark.llm import fingerprints, mixing, packing, quality, secrets, tokens
+from kgspark.llm import embedding_dedup, fingerprints, mixing, packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_ids": tokens.op9_token_ids,
