@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kgspark.llm import embedding_dedup, fingerprints, mixing, ngram_join, packing, quality, secrets, tokens
+from kgspark.llm import embedding_dedup, fingerprints, html_extraction, mixing, ngram_join, packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,
