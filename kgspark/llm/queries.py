@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kgspark.llm import embedding_dedup, fingerprints, html_extraction, mixing, ngram_join, packing, quality, secrets, tokens
+from kgspark.llm import embedding_dedup, fingerprints, html_extraction, licenses, mixing, ngram_join, packing, quality, secrets, tokens
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_license_scans": licenses.op5_license_scans,
     "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_quality_classifier": quality.op8_quality_classifier,
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_document_fingerprints": fingerprints.SQL,
     "op4_secret_scans": secrets.SQL,
+    "op5_license_scans": licenses.SQL,
     "op10_mixing_sources": mixing.SQL,
 }
