@@ -24,8 +24,17 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_ORACLES)
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from kgspark.plans import all_modules
+
+    all_modules()
