@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import bounded_batches, materialize, table
-from kgspark.llm.tokens import END_ID, WordEncoder, crc, default_tokenizer
+from kgspark.llm.tokens import END_ID, crc, default_tokenizer, encoder
 
 CAPACITY = 4096
 #: Pieces of one length that are ranked in one sorted group, about.
@@ -38,11 +38,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in (id_col, "piece", "start", "length", "ids_crc32", "ids")}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text, end_id)
+                ids = words.encode(text, end_id)
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for name, value in zip(out, (key, k, start, len(part), crc(part), part.astype("<u4").tobytes() if with_ids else None), strict=True):

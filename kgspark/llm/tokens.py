@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import bounded_batches, new_folder, posix, single_thread_tokenizers, table
 
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 150_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
 NULL_ID = -(1 << 63)
 
 
@@ -40,11 +42,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent(dict):
+    """word -> bytes, filled by ``make``; keeps the words of the last one to two times ``REMEMBERED`` misses."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose pieces never reach across white space.
 
     The tokenizer's normaliser and splitter treat blank-separated words alone, so each distinct word is
-    encoded once by the library and a text's ids are those of its words, end to end.
+    encoded once by the library and a text's ids are those of its words, end to end. Nor do pieces reach
+    from a letter into the ASCII punctuation after it, and case does not matter; so the words of plain
+    letters are looked up in lower case, apart from the punctuation that follows them.
     """
 
     def __init__(self, path: str):
@@ -53,26 +75,39 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cores = Recent(self._encode)
+        self.known = Recent(self._word)
         self.words = re.compile(r"[^ \t\n\r]+").findall
 
+    def _encode(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(string.punctuation)
+        if not core or not core.isalpha():
+            return self._encode(word)
+        tail = word[len(core) :]
+        ids = self.cores[core.lower() if core.isascii() else core]
+        return ids + self.cores[tail] if tail else ids
+
     def encode(self, text: str | None, end_id: int | None = END_ID) -> np.ndarray:
-        words = self.words(text or "")
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > REMEMBERED and known:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, self.dtype).tobytes()
-        parts = [known[w] for w in words]
+        parts = list(map(self.known.__getitem__, self.words(text or "")))
         if end_id is not None:
-            parts.append(np.array([end_id], self.dtype).tobytes())
+            parts.append(array(self.code, [end_id]).tobytes())
         return np.frombuffer(b"".join(parts), self.dtype)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder: tasks that run in one Python worker share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -88,7 +123,7 @@ def write_token_files(
     bounded_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = WordEncoder(tokenizer), TaskContext.get()
+        words, context = encoder(tokenizer), TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
         names = [f"{path}/{kind}-{shard:06d}" for kind in ("ids", "tokens", "lengths")]
         n_docs = n_tokens = 0
@@ -98,7 +133,7 @@ def write_token_files(
                 os.makedirs(path, exist_ok=True)
                 files = [open(f"{name}.{attempt}", "wb") for name in names]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text, end_id)
+                ids = words.encode(text, end_id)
                 for file, values in zip(files, (np.int64(NULL_ID if key is None else key), ids, np.uint64(len(ids))), strict=True):
                     file.write(values.tobytes())
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
@@ -106,7 +141,7 @@ def write_token_files(
             for file, name in zip(files, names, strict=True):
                 file.close()
                 os.replace(file.name, name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": [encoder.dtype.itemsize]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [n_docs], "n_tokens": [n_tokens], "width": [words.dtype.itemsize]})
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = ordered.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")

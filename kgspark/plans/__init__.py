@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("summaries",)
+MODULES = ("summaries", "views")
 
 
 def all_modules() -> None:

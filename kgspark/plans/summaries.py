@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from kgspark.operators import aggregates as A
@@ -10,7 +12,8 @@ from kgspark.sources.graph import ORDER_SQL, order_graph
 
 
 def _graph_query(name: str, operator, sql: str | None = None):
-    register(name, ORDER_SQL + sql if sql else None)(lambda spark, sf_dir: operator(order_graph(spark, sf_dir)))
+    where = sys._getframe(1).f_globals["__name__"]
+    register(name, ORDER_SQL + sql if sql else None, where)(lambda spark, sf_dir: operator(order_graph(spark, sf_dir)))
 
 
 TIER = "CASE WHEN {0} >= 3 THEN 'gold' WHEN {0} = 2 THEN 'silver' ELSE 'none' END"

@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
+#: The module that registered each query.
+_WHERE: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, oracle: str | None = None, where: str = "") -> Callable[[Query], Query]:
     """Decorator that registers a query and, where SQL can express it, its SQL."""
 
     def add(query: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = query
+        _WHERE[name] = where
         if oracle is not None:
             _ORACLES[name] = oracle
         return query
