@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("summaries", "views")
+MODULES = ("summaries", "views", "connections")
 
 
 def all_modules() -> None:
