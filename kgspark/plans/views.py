@@ -54,7 +54,7 @@ _graph_query(
     lambda g: g.relations.select("project_id", "rel_id", "magnitude", F.row_number().over(W.Window.partitionBy("project_id").orderBy(W.magnitude_rank(F.col("magnitude")), "rel_id")).alias("position")),
     """SELECT project_id, rel_id, magnitude, row_number() OVER (PARTITION BY project_id ORDER BY CASE magnitude WHEN 'foundational' THEN 0 WHEN 'significant' THEN 1 WHEN 'marginal' THEN 2 ELSE 3 END, rel_id) AS position FROM relations""",
 )
-_graph_query("search_rows", lambda g: V.search_rows(g.entities, ["name", "definition", "aliases"], "Brass").select("entity_id", "name"), "SELECT entity_id, name FROM entities WHERE lower(name) LIKE '%brass%' OR lower(definition) LIKE '%brass%'")
+_graph_query("search_rows", lambda g: V.search_rows(g.entities, ["name", "definition", "aliases"], "widget").select("entity_id", "name"), "SELECT entity_id, name FROM entities WHERE lower(name) LIKE '%widget%' OR lower(definition) LIKE '%widget%'")
 _graph_query(
     "sort_rows",
     lambda g: V.sort_rows(A.entity_metrics(g), "name", ties=("entity_id",)).limit(100).select("entity_id", "name"),
@@ -122,7 +122,7 @@ _graph_query(
     UNION ALL SELECT 'phase', project_id || '/' || phase_index FROM phases WHERE project_id NOT IN (SELECT project_id FROM projects)""",
 )
 _graph_query("stub_entities", lambda g: V.stub_entities(g.entities, "economy").select("entity_id", "definition"), "SELECT entity_id, definition FROM entities WHERE lower(definition) LIKE '%economy%'")
-_graph_query("find_by_words", lambda g: V.find_by_words(g.entities, ["name", "definition"], ["steel", "copper"]).select("entity_id"), r"SELECT entity_id FROM entities WHERE regexp_matches(lower(name), '\b(steel|copper)\b') OR regexp_matches(lower(definition), '\b(steel|copper)\b')")
+_graph_query("find_by_words", lambda g: V.find_by_words(g.entities, ["name", "definition"], ["ring", "bolt"]).select("entity_id"), r"SELECT entity_id FROM entities WHERE regexp_matches(lower(name), '\b(ring|bolt)\b') OR regexp_matches(lower(definition), '\b(ring|bolt)\b')")
 _graph_query(
     "dead_ends",
     lambda g: g.relations.select(F.col("dst").alias("entity_id")).join(g.relations.select(F.col("src").alias("entity_id")), "entity_id", "left_anti").withColumn("kind", F.lit("sink"))
