@@ -114,31 +114,46 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sum_vectors(exploded, id_col)
 
 
+def one_text_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): null texts empty, and the smallest text of an id where ids repeat; texts are shuffled only then."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("c"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if ids.filter("c > 1").limit(1).count():
+        rows = docs.groupBy(F.col(id_col).alias("id")).agg(F.coalesce(F.min(text_col), F.lit("")).alias("text"))
+    return rows
+
+
 def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = docs.groupBy(F.col("doc_id").alias("id")).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    following = next_ids(docs)
-    slim = own.select("id", F.length("text").alias("n"))
-    wanted = slim.join(following, slim["id"].eqNullSafe(following["id"])).select(slim["id"], "next_id", F.floor(F.col("n") / 4).cast("int").alias("k"))
-    heads = wanted.join(own.alias("o"), F.col("next_id").eqNullSafe(F.col("o.id"))).select(wanted["id"].alias("head_id"), "next_id", "k", F.expr("substring(text, 1, k)").alias("head"))
-    edited = own.join(heads, F.col("id").eqNullSafe(F.col("head_id"))).select("id", "next_id", "text", F.length("text").alias("n"), F.expr("concat(substring(text, 1, length(text) - k), head)").alias("edited"))
-    both = edited.select("id", "next_id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
-    exploded = both.select("id", "next_id", "n", "sha", F.col("t.which").alias("which"), F.explode(parts(F.col("t.text"))).alias("part")).select("id", "next_id", "n", "sha", "which", "part.*")
-    prints = materialize(sum_vectors(exploded, "id", "next_id", "n", "sha", "which"), "prints")
-    mine, changed = prints.filter("which = 0"), prints.filter("which = 1").select("id", F.col("paragraphs").alias("ep"), F.col("clauses").alias("ec"))
-    after = mine.select(F.col("id").alias("after_id"), F.col("paragraphs").alias("np"), F.col("clauses").alias("nc"))
-    all_three = (
-        mine.alias("m").join(changed.alias("c"), F.col("m.id").eqNullSafe(F.col("c.id"))).join(after, F.col("next_id").eqNullSafe(F.col("after_id")))
+    docs = one_text_each(table(spark, sf_dir, "documents"))
+    # each document is the next one of exactly one other
+    lengths = docs.select(F.col("id").alias("prev_id"), F.length("text").alias("n"))
+    following = next_ids(docs, "id").select(F.col("id").alias("of"), "next_id")
+    asked = lengths.join(following, F.col("prev_id").eqNullSafe(F.col("of"))).select("next_id", "prev_id", F.floor(F.col("n") / 4).cast("int").alias("k"))
+    asked = materialize(asked, "asked")
+    heads = docs.join(asked, F.col("id").eqNullSafe(F.col("next_id"))).select(F.col("prev_id").alias("head_of"), "k", F.expr("substring(text, 1, k)").alias("head"))
+    before = asked.select(F.col("next_id").alias("me"), "prev_id")
+    edited = docs.join(heads, F.col("id").eqNullSafe(F.col("head_of"))).join(before, F.col("id").eqNullSafe(F.col("me")))
+    edited = edited.select("id", "prev_id", F.length("text").alias("n"), "text", F.expr("concat(substring(text, 1, length(text) - k), head)").alias("edited"))
+    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))
+    texts = edited.select("id", "prev_id", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.explode(both).alias("t"))
+    exploded = texts.select("id", "prev_id", "n", "sha", F.col("t.which").alias("which"), F.explode(parts(F.col("t.text"))).alias("part"))
+    prints = sum_vectors(exploded.select("id", "prev_id", "n", "sha", "which", "part.*"), "id", "prev_id", "n", "sha", "which")
+    # a print goes to its own document and, unless edited, to the document before it
+    roles = F.when(F.col("which") == 1, F.array(F.struct(F.col("id").alias("to"), F.lit(1).alias("role")))).otherwise(
+        F.array(F.struct(F.col("id").alias("to"), F.lit(0).alias("role")), F.struct(F.col("prev_id").alias("to"), F.lit(2).alias("role")))
     )
-    return all_three.select(
-        F.col("m.id").alias("doc_id"),
-        F.col("n").cast("long").alias("n_chars"),
-        F.col("sha").alias("edited_sha256"),
-        written(F.col("paragraphs"), F.col("clauses")).alias("fingerprint"),
-        written(F.col("ep"), F.col("ec")).alias("edited_fingerprint"),
-        likeness(F.col("paragraphs"), F.col("clauses"), F.col("ep"), F.col("ec")).alias("near_edited"),
-        likeness(F.col("paragraphs"), F.col("clauses"), F.col("np"), F.col("nc")).alias("near_next"),
+    sent = prints.select("n", "sha", "paragraphs", "clauses", F.explode(roles).alias("r")).select(F.col("r.to").alias("doc_id"), F.col("r.role").alias("role"), F.struct("n", "sha", "paragraphs", "clauses").alias("v"))
+    met = sent.groupBy("doc_id").agg(*[F.first(F.when(F.col("role") == k, F.col("v")), ignorenulls=True).alias(name) for k, name in enumerate(("own", "changed", "after"))])
+    p, c = F.col("own.paragraphs"), F.col("own.clauses")
+    return met.select(
+        "doc_id",
+        F.col("own.n").cast("long").alias("n_chars"),
+        F.col("own.sha").alias("edited_sha256"),
+        written(p, c).alias("fingerprint"),
+        written(F.col("changed.paragraphs"), F.col("changed.clauses")).alias("edited_fingerprint"),
+        likeness(p, c, F.col("changed.paragraphs"), F.col("changed.clauses")).alias("near_edited"),
+        likeness(p, c, F.col("after.paragraphs"), F.col("after.clauses")).alias("near_next"),
     )
 
 

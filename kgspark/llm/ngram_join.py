@@ -11,8 +11,13 @@ a candidate. The number of classes grows with the size of the set, in steps of a
 class has a few tokens of a prefix; a set is indexed for its own step and the next one, hence two linked
 sets for one in common.
 
-A token's class comes from a sketch of fixed size: counts of all tokens of all classes of documents, in
-2^22 cells. The sketch only steers how selective the index is; any classes give the same links.
+Where rare tokens suffice, the prefix is extended by ``EXTRA`` percent of the set. The linked set whose
+extended prefix ends first then shares more than that many tokens of it, and the other one holds them
+in its own; sets with fewer repeated tokens in their extended prefix cannot link and leave before any
+candidate is formed. Candidates of too different sizes part in the index as well.
+
+A token's class comes from a sketch of fixed size: counts of all tokens of all documents, in 2^20
+cells. The sketch only steers how selective the index is; any classes give the same links.
 
 Candidates that share a combination form a group. Pairs of a group are not listed: the group's first
 member (its hub) is verified against the rest, components are merged, the hub leaves the group, and only
@@ -38,12 +43,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from kgspark.llm.common import bounded_batches, materialize, table
 from kgspark.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
-SKETCH_BITS, SLICES = 22, 64
+SKETCH_BITS, SLICES = 20, 16
 #: Tasks whose sketches are summed in one group before the last sum.
 MERGED = 256
 #: A cell is frequent when it holds this many tokens more than the mean cell could by chance.
@@ -54,12 +60,17 @@ REMEMBERED = 300_000
 CLASS_TOKENS = 20
 #: Sets under this size link with equal sets only.
 LEAST_SIZE = 4
+#: Percent of a set by which a prefix of rare tokens is extended.
+EXTRA = 5
+#: Ids up to which the documents to verify are found by a broadcast of their ids (8 bytes each), beyond by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Pairs left over hub rounds, for each group member, that are verified directly.
 DIRECT = 4
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+HEAD = np.dtype([("cls", "<i8"), ("n", "<i4"), ("free", "i1"), ("count", "<i4")])
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -84,7 +95,7 @@ class Shingler:
             known.clear()
             new = set(words)
         for w in new:
-            known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - self.size + 1) if words else 0
         whole = min(self.size, len(words))
@@ -120,15 +131,22 @@ def is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return (frequent[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Rare tokens and combinations of two frequent ones in the prefix of a sorted set."""
+def extra(size: int) -> int:
+    """Tokens by which a prefix is extended."""
+    return size * EXTRA // 100
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Signatures of a sorted set: those of its prefix, the tokens of the extension, and whether the prefix has frequent ones."""
     if len(tokens) < LEAST_SIZE:
-        return tokens[:0]
+        return tokens[:0], tokens[:0], True
     need = lost(len(tokens)) + 1
     hot = is_frequent(tokens, frequent)
     rare = tokens[~hot]
+    if len(rare) >= need + extra(len(tokens)):
+        return rare[:need], rare[need : need + extra(len(tokens))], False
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], rare[need:], True
     found, hot = [rare], tokens[hot]
     for at in (step(len(tokens)), step(len(tokens)) + 1):
         kind = (_scramble(hot ^ _MIX) % np.uint64(class_count(at))).astype(np.int64)
@@ -143,7 +161,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             x, y = some[:-apart][same], some[apart:][same]
             found.append(_scramble(_scramble(x * _MIX + y) + np.uint64(at)))
             apart += 1
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate(found)), tokens[:0], True
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,38 +216,48 @@ def frequent_cells(described: DataFrame, total: int) -> np.ndarray:
 
     sketches = described.filter("slice IS NOT NULL").select("slice", "part", "counts")
     merged = sketches.groupBy("slice", "part").applyInArrow(merge, "slice int, counts binary")
-    marked = merged.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect()  # 2^22 bits
+    marked = merged.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect()  # 2^20 bits
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES // 8), np.uint8)
     for r in marked:
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def candidate_groups(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gid, cls): classes that share a signature; groups of equal members once."""
+def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> DataFrame:
+    """What the classes of documents meet with, in rows of two kinds.
+
+    gid null: (cls, n, met, free), how many of a class's signatures another class has too, in one bucket of
+    signatures; free classes need no least number. Else (gid, cls): classes that share a signature of
+    their prefixes and may link by their sizes.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # 2^22 bits
+    shared = spark.sparkContext.broadcast(frequent)  # 2^20 bits
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(), set()
-        sigs, classes, held = [], [], 0
+        held, classes, sizes, frees, sigs = 0, [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            sig, cls = np.concatenate(sigs), np.concatenate(classes)
-            bucket = (_scramble(sig) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            sig, cls = sig[order], cls[order]
+            """A row per bucket: signatures of 6 bytes, the lowest bit marking the prefix; classes with how many of them are theirs."""
+            counts = [len(s) for s in sigs]
+            sig = np.concatenate(sigs)
+            owner = np.repeat(np.arange(len(sigs)), counts)
+            bucket = (sig >> np.uint64(1)) % np.uint64(buckets)
+            order = np.lexsort((owner, bucket))
+            sig, owner, bucket = sig[order], owner[order], bucket[order].astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            head = np.rec.fromarrays([np.array(classes, np.int64), np.array(sizes, np.int32), np.array(frees, np.int8), np.zeros(len(classes), np.int32)], dtype=HEAD)
             full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full, pa.int32()),
-                    pa.array([sig[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-                    pa.array([cls[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()),
-                ],
-                names=["bucket", "sigs", "classes"],
-            )
+            packed, heads = [], []
+            for k in full:
+                part, own = sig[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]]
+                mine, n = np.unique(own, return_counts=True)
+                rows = head[mine]
+                rows["count"] = n
+                heads.append(rows.tobytes())
+                packed.append(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.array(heads, pa.binary())], names=["bucket", "sigs", "heads"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -238,36 +266,73 @@ def candidate_groups(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_i
                 if cls in seen:
                     continue
                 seen.add(cls)
-                found = signatures(tokens, shared.value)
-                sigs.append(found)
-                classes.append(np.full(len(found), cls, np.int64))
-                held += len(found)
+                base, more, free = signatures(tokens, shared.value)
+                if len(base):
+                    classes.append(cls)
+                    sizes.append(len(tokens))
+                    frees.append(free)
+                    one = np.uint64(1)
+                    sigs.append(np.concatenate([_scramble(base) | one, _scramble(more) & ~one]) & np.uint64((1 << 48) - 1))
+                    held += len(sigs[-1])
                 if held >= 500_000:
                     yield flush()
-                    sigs, classes, held = [], [], 0
+                    held, classes, sizes, frees, sigs = 0, [], [], [], []
         if held:
             yield flush()
 
     def meet(rows: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(rows.column("sigs").to_pylist()), np.uint64)
-        cls = np.frombuffer(b"".join(rows.column("classes").to_pylist()), np.int64)
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[new], cls[new]
-        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.diff(np.r_[start, len(sig)])
+        raw = np.frombuffer(b"".join(rows.column("sigs").to_pylist()), np.uint8).reshape(-1, 6)
+        head = np.frombuffer(b"".join(rows.column("heads").to_pylist()), HEAD)
+        sig = np.zeros((len(raw), 8), np.uint8)
+        sig[:, :6] = raw
+        sig = sig.view(np.uint64)[:, 0]
+        owner = np.repeat(np.arange(len(head)), head["count"])
+        cls, n, free = head["cls"][owner], head["n"][owner], head["free"][owner]
+        key, base = sig >> np.uint64(1), (sig & np.uint64(1)).astype(bool)
+        order = np.lexsort((cls, key))
+        key, cls, n, free, base = key[order], cls[order], n[order], free[order], base[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls, n, free, base = key[new], cls[new], n[new], free[new], base[new]
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        kept = again | (free == 1)
+        each, first, place = np.unique(cls[kept], return_index=True, return_inverse=True)
+        met = np.bincount(place, again[kept], len(each)).astype(np.int64)
+        counted = {"gid": pa.nulls(len(each), pa.int64()), "cls": pa.array(each), "n": pa.array(n[kept][first].astype(np.int64)), "met": pa.array(met), "free": pa.array(free[kept][first].astype(np.int32))}
+
+        some = again & base
+        key, cls, n = key[some], cls[some], n[some]
+        order = np.lexsort((cls, n, key))
+        key, cls, n = key[order], cls[order], n[order].astype(np.int64)
+        # a group ends where the signature does, or where the next size is too large for all before it
+        apart = (key[1:] != key[:-1]) | (n[:-1] * 100 < n[1:] * PERCENT)
+        start = np.flatnonzero(np.r_[True, apart]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
         # a group's id is made of its members, so that the many groups of equal members fall together
-        mixed = _scramble(cls.astype(np.uint64))
-        gid = _scramble(np.add.reduceat(mixed, start) + size.astype(np.uint64)) if len(start) else mixed
-        kept, at = np.unique(gid[size > 1], return_index=True)
+        mixed = np.add.reduceat(_scramble(cls.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        gid = _scramble(mixed + size.astype(np.uint64))
+        gids, at = np.unique(gid[size > 1], return_index=True)
         start, size = start[size > 1][at], size[size > 1][at]
         member = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-        return pa.table({"gid": pa.array(np.repeat(kept, size).astype(np.int64)), "cls": pa.array(cls[member])})
+        nothing = len(member)
+        groups = {"gid": pa.array(np.repeat(gids, size).astype(np.int64)), "cls": pa.array(cls[member]), "n": pa.nulls(nothing, pa.int64()), "met": pa.nulls(nothing, pa.int64()), "free": pa.nulls(nothing, pa.int32())}
+        return pa.concat_tables([pa.table(counted), pa.table(groups)])
+
+    emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, sigs binary, heads binary")
+    return emitted.groupBy("bucket").applyInArrow(meet, "gid long, cls long, n long, met long, free int")
+
 
-    emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, sigs binary, classes binary")
-    return emitted.groupBy("bucket").applyInArrow(meet, "gid long, cls long").distinct()
+def candidate_groups(met: DataFrame) -> DataFrame:
+    """(gid, cls): groups of at least two classes that meet others often enough to link."""
+    # a linked set may be smaller by a fifth, and so may its extension be
+    least = F.expr(f"((n * {PERCENT} + 99) div 100 * {EXTRA}) div 100 + 1")
+    counts = met.filter("gid IS NULL").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"), F.max("free").alias("free"))
+    able = counts.filter((F.col("free") == 1) | (F.col("met") >= least)).select("cls")
+    members = materialize(met.filter("gid IS NOT NULL").select("gid", "cls").distinct().join(able, "cls"), "members")
+    many = members.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 1").select("gid")
+    return members.join(many, "gid")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -352,12 +417,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     described = materialize(describe(docs, id_col, text_col), "described")
     rows = described.filter("slice IS NULL").select("id", "n", "cls")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    groups = materialize(candidate_groups(docs, frequent_cells(described, total), id_col, text_col), "groups")
+    met = materialize(index(docs, frequent_cells(described, total), text_col), "met")
+    groups = materialize(candidate_groups(met), "groups")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
     # one document for each class that shares a signature with another
-    wanted = groups.select("cls").distinct().join(classes, "cls").select("rep")
+    wanted = materialize(groups.select("cls").distinct().join(classes, "cls").select("rep"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    sets = materialize(token_sets(texts.join(wanted, "rep", "left_semi")).dropDuplicates(["cls"]), "sets")
+    sets = materialize(token_sets(texts.join(wanted, "rep", "left_semi")), "sets")
     parts = linked_classes(groups, sets)
     if parts is None:
         whole = classes.select("cls", F.col("rep").alias("component_id"))

@@ -41,8 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         words = encoder(tokenizer)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in (id_col, "piece", "start", "length", "ids_crc32", "ids")}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.encode(text, end_id)
+            for key, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist(), end_id), strict=True):
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for name, value in zip(out, (key, k, start, len(part), crc(part), part.astype("<u4").tobytes() if with_ids else None), strict=True):

@@ -16,10 +16,8 @@ null; repeated rows are written as often as they come; an empty table gives a ma
 from __future__ import annotations
 
 import os
-import re
 import string
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +31,8 @@ from kgspark.llm.common import bounded_batches, new_folder, posix, single_thread
 END_ID = 1
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 250_000
+#: Words of texts that are looked up together, about.
+GROUP_WORDS = 100_000
 NULL_ID = -(1 << 63)
 
 
@@ -42,22 +42,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Recent(dict):
-    """word -> bytes, filled by ``make``; keeps the words of the last one to two times ``REMEMBERED`` misses."""
+class Recent:
+    """word -> bytes of the last one to two times ``REMEMBERED`` words that were new."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.before = make, {}
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.before.get(word)
-        if found is None:
-            found = self.make(word)
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
-        self[word] = found
-        return found
+    def missing(self, words: set[str]) -> list[str]:
+        """Makes room, then moves known words to the front; returns the unknown ones."""
+        if len(self.now) > REMEMBERED:
+            self.now, self.before = {}, self.now
+        before, out = self.before, []
+        for word in words.difference(self.now):
+            found = before.get(word)
+            if found is None:
+                out.append(word)
+            else:
+                self.now[word] = found
+        return out
 
 
 class WordEncoder:
@@ -65,8 +68,10 @@ class WordEncoder:
 
     The tokenizer's normaliser and splitter treat blank-separated words alone, so each distinct word is
     encoded once by the library and a text's ids are those of its words, end to end. Nor do pieces reach
-    from a letter into the ASCII punctuation after it, and case does not matter; so the words of plain
-    letters are looked up in lower case, apart from the punctuation that follows them.
+    from a letter into the ASCII punctuation after it, and case does not matter; so words of plain letters
+    are looked up in lower case, apart from the punctuation that follows them. Such words are one
+    piece each, whose last id has the end-of-word suffix: new ones are encoded many at a time and told
+    apart by it. Where that count does not come out even, they are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -75,27 +80,66 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cores = Recent(self._encode)
-        self.known = Recent(self._word)
-        self.words = re.compile(r"[^ \t\n\r]+").findall
-
-    def _encode(self, word: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        core = word.rstrip(string.punctuation)
-        if not core or not core.isalpha():
-            return self._encode(word)
-        tail = word[len(core) :]
-        ids = self.cores[core.lower() if core.isascii() else core]
-        return ids + self.cores[tail] if tail else ids
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            for token, k in self.tokenizer.get_vocab().items():
+                self.last[k] = token.endswith(suffix)
+        self.cores, self.known = Recent(), Recent()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+
+    def _learn_cores(self, cores: set[str]) -> None:
+        new = self.cores.missing(cores)
+        plain = [w for w in new if w.isalpha()]
+        odd = [w for w in new if not w.isalpha()]
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or not len(ids) or ends[-1] != len(ids):
+                odd += some
+                continue
+            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for word, end in zip(some, (ends * width).tolist(), strict=True):
+                self.cores.now[word] = raw[start:end]
+                start = end
+        for at in range(0, len(odd), 1024):
+            some = odd[at : at + 1024]
+            self.cores.now.update(zip(some, self._encode(some), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        new = self.known.missing(words)
+        parts = []
+        for word in new:  # the empty word between two blanks is one of them
+            core = word.rstrip(string.punctuation)
+            if core.isalpha():
+                parts.append((word, core.lower() if core.isascii() else core, word[len(core) :]))
+            else:
+                parts.append((word, word, ""))
+        self._learn_cores({c for _, c, _ in parts} | {t for _, _, t in parts if t})
+        cores = self.cores.now
+        self.known.now.update((word, cores[core] + cores[tail] if tail else cores[core]) for word, core, tail in parts)
+
+    def encode_all(self, texts: list[str | None], end_id: int | None = END_ID) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; texts are taken in groups of a bounded number of words."""
+        end = [] if end_id is None else [np.array([end_id], self.dtype).tobytes()]
+        at = 0
+        while at < len(texts):
+            group, held = [], 0
+            while at < len(texts) and held < GROUP_WORDS:
+                group.append((texts[at] or "").replace("\n", " ").split(" "))
+                held += len(group[-1])
+                at += 1
+            self._learn(set().union(*group))
+            known = self.known.now
+            for words in group:
+                yield np.frombuffer(b"".join([*map(known.__getitem__, words), *end]), self.dtype)
 
     def encode(self, text: str | None, end_id: int | None = END_ID) -> np.ndarray:
-        parts = list(map(self.known.__getitem__, self.words(text or "")))
-        if end_id is not None:
-            parts.append(array(self.code, [end_id]).tobytes())
-        return np.frombuffer(b"".join(parts), self.dtype)
+        return next(self.encode_all([text], end_id))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -132,8 +176,7 @@ def write_token_files(
             if batch.num_rows and files is None:
                 os.makedirs(path, exist_ok=True)
                 files = [open(f"{name}.{attempt}", "wb") for name in names]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.encode(text, end_id)
+            for key, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1).to_pylist(), end_id), strict=True):
                 for file, values in zip(files, (np.int64(NULL_ID if key is None else key), ids, np.uint64(len(ids))), strict=True):
                     file.write(values.tobytes())
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
