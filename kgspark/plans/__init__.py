@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("summaries", "views", "connections", "networks", "texts", "research", "building")
+MODULES = ("summaries", "views", "connections", "networks", "texts", "research", "building", "validating")
 
 
 def all_modules() -> None:
