@@ -2,8 +2,9 @@
 
 Base rules find assignments, access keys and long hex runs. The method adds what two character Markov
 models tell apart: one of random strings, one of ordinary identifiers. Both are bigram counts over every
-long token of the corpus; a token's label is whether a base rule covers it. A token that no base
-span touches is reported when its log-likelihood ratio passes ``odds``.
+long token of the corpus; a token's label is whether a base rule covers it. A transition counts with its
+share among all transitions of its class, so that a first character that one class hardly uses speaks for
+the other; a token's own occurrences do not count for it. A token that no base span touches is reported when its log-likelihood ratio passes ``odds``.
 
 Positions come from one split by the rule's expression: the gaps before the matches and the matches'
 own lengths, summed along the document. Spans are in code points, end exclusive.
@@ -92,25 +93,27 @@ def _bigrams(tokens: DataFrame) -> DataFrame:
 
 
 def train_models(tokens: DataFrame) -> DataFrame:
-    """(token, secret, n) -> (g, llr): what a bigram adds to the log-likelihood ratio; at most ALPHABET squared rows."""
+    """(token, secret, n) -> (g, p_random, n_ordinary, all_ordinary) of each bigram; at most ALPHABET squared rows."""
     counts = (
         _bigrams(tokens)
         .groupBy("g")
         .agg(
-            F.sum(F.when(F.col("secret"), F.col("n")).otherwise(0)).alias("random"),
-            F.sum(F.when(F.col("secret"), 0).otherwise(F.col("n"))).alias("ordinary"),
+            F.sum(F.when(F.col("secret"), F.col("n")).otherwise(0)).alias("n_random"),
+            F.sum(F.when(F.col("secret"), 0).otherwise(F.col("n"))).alias("n_ordinary"),
         )
-        .withColumn("a", F.substring("g", 1, 1))
     )
-    first = Window.partitionBy("a")
+    everything = Window.partitionBy()
+    total = F.sum("n_random").over(everything)
+    seen = F.when(total > 0, F.col("n_random") / total).otherwise(F.lit(1.0 / ALPHABET**2))
+    return counts.select(
+        "g", (F.lit(1 - RANDOM_UNIFORM) * seen + F.lit(RANDOM_UNIFORM / ALPHABET**2)).alias("p_random"), "n_ordinary", F.sum("n_ordinary").over(everything).alias("all_ordinary")
+    )
 
-    def chance(column: str, uniform: float) -> Column:
-        """Seen share after the first character, mixed with a uniform draw."""
-        total = F.sum(column).over(first)
-        seen = F.when(total > 0, F.col(column) / total).otherwise(F.lit(1.0 / ALPHABET))
-        return F.lit(1 - uniform) * seen + F.lit(uniform / ALPHABET)
 
-    return counts.select("g", (F.log(chance("random", RANDOM_UNIFORM)) - F.log(chance("ordinary", ORDINARY_UNIFORM))).alias("llr"))
+def log_ratio() -> Column:
+    """What a bigram of an unlabelled token adds: its chance in random strings against that in the other ordinary tokens."""
+    others = F.greatest(F.col("n_ordinary") - F.col("n"), F.lit(0)) / F.col("all_ordinary")
+    return F.log("p_random") - F.log(F.lit(1 - ORDINARY_UNIFORM) * others + F.lit(ORDINARY_UNIFORM / ALPHABET**2))
 
 
 def scan(docs: DataFrame, odds: float = ODDS, id_col: str = "doc_id") -> DataFrame:
@@ -122,10 +125,10 @@ def scan(docs: DataFrame, odds: float = ODDS, id_col: str = "doc_id") -> DataFra
     )
     model = train_models(tokens)
     likely = (
-        _bigrams(tokens.filter("NOT secret").select("token"))
+        _bigrams(tokens.filter("NOT secret").select("token", "n"))
         .join(F.broadcast(model), "g")  # at most ALPHABET squared rows
         .groupBy("token")
-        .agg(F.sum(F.round("llr", 6).cast("decimal(18,6)")).alias("llr"))
+        .agg(F.sum(F.round(log_ratio(), 6).cast("decimal(18,6)")).alias("llr"))
         .filter(F.col("llr") >= odds)
         .select("token")
     )
@@ -183,12 +186,10 @@ b AS (SELECT * FROM s WHERE kind < 3),
 t AS (SELECT *, EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop) AS secret FROM s WHERE kind = 3),
 u AS (SELECT token, secret, count(*) AS n FROM t GROUP BY ALL),
 g AS (SELECT token, secret, n, substr(token, i::BIGINT, 2) AS g FROM (SELECT *, unnest(range(1, length(token))) AS i FROM u)),
-c AS (SELECT g, substr(g, 1, 1) AS a, sum(n * secret::INT)::DOUBLE AS r, sum(n * (NOT secret)::INT)::DOUBLE AS o FROM g GROUP BY g),
-m AS (SELECT g,
-  ln({1 - RANDOM_UNIFORM}::DOUBLE * CASE WHEN sum(r) OVER (PARTITION BY a) > 0 THEN r / sum(r) OVER (PARTITION BY a) ELSE {1 / ALPHABET}::DOUBLE END + {RANDOM_UNIFORM / ALPHABET}::DOUBLE)
-  - ln({1 - ORDINARY_UNIFORM}::DOUBLE * CASE WHEN sum(o) OVER (PARTITION BY a) > 0 THEN o / sum(o) OVER (PARTITION BY a) ELSE {1 / ALPHABET}::DOUBLE END + {ORDINARY_UNIFORM / ALPHABET}::DOUBLE) AS llr
-  FROM c),
-k AS (SELECT g.token FROM g JOIN m USING (g) WHERE NOT secret GROUP BY token HAVING sum(round(llr, 6)::DECIMAL(18, 6)) >= {ODDS}),
+c AS (SELECT g, sum(n * secret::INT)::DOUBLE AS r, sum(n * (NOT secret)::INT)::DOUBLE AS o FROM g GROUP BY g),
+m AS (SELECT g, {1 - RANDOM_UNIFORM}::DOUBLE * CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE {1 / ALPHABET**2}::DOUBLE END + {RANDOM_UNIFORM / ALPHABET**2}::DOUBLE AS p_random, o, sum(o) OVER () AS all_o FROM c),
+l AS (SELECT token, ln(p_random) - ln({1 - ORDINARY_UNIFORM}::DOUBLE * (greatest(o - n, 0) / all_o) + {ORDINARY_UNIFORM / ALPHABET**2}::DOUBLE) AS llr FROM g JOIN m USING (g) WHERE NOT secret),
+k AS (SELECT token FROM l GROUP BY token HAVING sum(round(llr, 6)::DECIMAL(18, 6)) >= {ODDS}),
 a AS (SELECT doc_id, kind, start, stop FROM b UNION ALL SELECT doc_id, kind, start, stop FROM t WHERE NOT secret AND token IN (SELECT token FROM k)),
 w AS (SELECT *, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop AS said FROM a)
 SELECT d.doc_id, coalesce(count(*) FILTER (kind = 0), 0) AS n_assign, coalesce(count(*) FILTER (kind = 1), 0) AS n_access,
