@@ -16,7 +16,6 @@ null; repeated rows are written as often as they come; an empty table gives a ma
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ from kgspark.llm.common import bounded_batches, new_folder, posix, single_thread
 
 END_ID = 1
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Words of texts that are looked up together, about.
 GROUP_WORDS = 100_000
 NULL_ID = -(1 << 63)
@@ -67,11 +66,8 @@ class WordEncoder:
     """Ids of whole texts from a tokenizer whose pieces never reach across white space.
 
     The tokenizer's normaliser and splitter treat blank-separated words alone, so each distinct word is
-    encoded once by the library and a text's ids are those of its words, end to end. Nor do pieces reach
-    from a letter into the ASCII punctuation after it, and case does not matter; so words of plain letters
-    are looked up in lower case, apart from the punctuation that follows them. Such words are one
-    piece each, whose last id has the end-of-word suffix: new ones are encoded many at a time and told
-    apart by it. Where that count does not come out even, they are encoded one by one.
+    encoded once by the library and a text's ids are those of its words, end to end. New words are encoded
+    many at a time, with one of the tokenizer's special tokens between them to tell them apart.
     """
 
     def __init__(self, path: str):
@@ -80,48 +76,35 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if suffix:
-            for token, k in self.tokenizer.get_vocab().items():
-                self.last[k] = token.endswith(suffix)
-        self.cores, self.known = Recent(), Recent()
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
-
-    def _learn_cores(self, cores: set[str]) -> None:
-        new = self.cores.missing(cores)
-        plain = [w for w in new if w.isalpha()]
-        odd = [w for w in new if not w.isalpha()]
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some) or not len(ids) or ends[-1] != len(ids):
-                odd += some
-                continue
-            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for word, end in zip(some, (ends * width).tolist(), strict=True):
-                self.cores.now[word] = raw[start:end]
-                start = end
-        for at in range(0, len(odd), 1024):
-            some = odd[at : at + 1024]
-            self.cores.now.update(zip(some, self._encode(some), strict=True))
+        special = {t.content: k for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip}
+        self.special = list(special)
+        self.between = special.popitem() if special else None
+        self.known = Recent()
+
+    def _each(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            got = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.now.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got, strict=True))
 
     def _learn(self, words: set[str]) -> None:
         new = self.known.missing(words)
-        parts = []
-        for word in new:  # the empty word between two blanks is one of them
-            core = word.rstrip(string.punctuation)
-            if core.isalpha():
-                parts.append((word, core.lower() if core.isascii() else core, word[len(core) :]))
-            else:
-                parts.append((word, word, ""))
-        self._learn_cores({c for _, c, _ in parts} | {t for _, _, t in parts if t})
-        cores = self.cores.now
-        self.known.now.update((word, cores[core] + cores[tail] if tail else cores[core]) for word, core, tail in parts)
+        odd = [] if self.between else new
+        if self.between:
+            text, mark = self.between
+            if any(t in w for t in self.special for w in new):
+                odd = [w for w in new if any(t in w for t in self.special)]
+                new = list(set(new).difference(odd))
+            for at in range(0, len(new), 1024):
+                some = new[at : at + 1024]
+                ids = np.array(self.tokenizer.encode_batch_fast([text.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                ends = [*(np.flatnonzero(ids == mark) * width).tolist(), len(raw)]
+                start = 0
+                for word, end in zip(some, ends, strict=True):
+                    self.known.now[word] = raw[start:end]
+                    start = end + width
+        self._each(odd)
 
     def encode_all(self, texts: list[str | None], end_id: int | None = END_ID) -> Iterator[np.ndarray]:
         """Ids of each text, in order; texts are taken in groups of a bounded number of words."""
