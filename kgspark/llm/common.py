@@ -48,6 +48,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table is broadcast; a larger one is joined by shuffle.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """Written out; marked for broadcast only where it was counted to be small."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Few rows in each Arrow batch, so that very long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,11 +17,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import materialize, table
+from kgspark.llm.common import materialize, small, table
 
 LEAST_COSINE = 0.5
-#: Rows up to which a table of directories is broadcast; a larger one is joined by shuffle.
-SMALL_ROWS = 200_000
 #: A text of at most this many lines that states a licence serves as its directory's licence file.
 FILE_LINES = 3
 
@@ -52,12 +50,6 @@ TEMPLATES = [
 STATES = r"[lL][iI][cC][eE][nN][cCsS][eE]|[cC]opyright|COPYRIGHT|CC[ -]BY|[pP]ermission is hereby|[rR]edistribution and use|[pP]ublic [dD]omain|PUBLIC DOMAIN|[aA]ll rights reserved|ALL RIGHTS RESERVED"
 
 
-def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
-    """Written out; marked for broadcast only where it was counted to be small."""
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(F.translate(line, string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z0-9]+"), F.lit(0))
 
