@@ -21,8 +21,10 @@ cells. The sketch only steers how selective the index is; any classes give the s
 
 Candidates that share a combination form a group. Pairs of a group are not listed: the group's first
 member (its hub) is verified against the rest, components are merged, the hub leaves the group, and only
-groups whose members still lie in different components go on. When few such pairs are left, those
-across components are verified directly. This loses no link that joins two components, so the
+groups whose members still lie in different components go on. When the pairs across components are at most
+``DIRECT`` for each member of a group, which can be so at once, they are verified directly. Before that,
+one round runs over the groups of each set's first signatures only: it merges most near copies with few
+rows, so that their many further groups are never opened. This loses no link that joins two components, so the
 components are those of all links.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing; with fewer
@@ -64,8 +66,10 @@ LEAST_SIZE = 4
 EXTRA = 5
 #: Ids up to which the documents to verify are found by a broadcast of their ids (8 bytes each), beyond by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pairs left over hub rounds, for each group member, that are verified directly.
-DIRECT = 4
+#: Pairs of groups (a pair in several groups counts as often), for each group member, that are listed and verified directly.
+DIRECT = 30
+#: First signatures of a set whose groups merge most near copies before all groups are looked at.
+FIRST = 3
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -227,8 +231,8 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
     """What the classes of documents meet with, in rows of two kinds.
 
     gid null: (cls, n, met, free), how many of a class's signatures another class has too, in one bucket of
-    signatures; free classes need no least number. Else (gid, cls): classes that share a signature of
-    their prefixes and may link by their sizes.
+    signatures; free classes need no least number. Else (gid, cls, met): classes that share a signature of
+    their prefixes and may link by their sizes; met is FIRST where it is among the first ones of all of them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # 2^20 bits
@@ -239,11 +243,11 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
         held, classes, sizes, frees, sigs = 0, [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            """A row per bucket: signatures of 6 bytes, the lowest bit marking the prefix; classes with how many of them are theirs."""
+            """A row per bucket: signatures of 6 bytes, the lowest bits marking the prefix and its first ones; classes with how many of them are theirs."""
             counts = [len(s) for s in sigs]
             sig = np.concatenate(sigs)
             owner = np.repeat(np.arange(len(sigs)), counts)
-            bucket = (sig >> np.uint64(1)) % np.uint64(buckets)
+            bucket = (sig >> np.uint64(2)) % np.uint64(buckets)
             order = np.lexsort((owner, bucket))
             sig, owner, bucket = sig[order], owner[order], bucket[order].astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -272,7 +276,10 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
                     sizes.append(len(tokens))
                     frees.append(free)
                     one = np.uint64(1)
-                    sigs.append(np.concatenate([_scramble(base) | one, _scramble(more) & ~one]) & np.uint64((1 << 48) - 1))
+                    first = np.zeros(len(base), np.uint64)
+                    first[:FIRST] = 2
+                    marks = np.concatenate([first | one, np.zeros(len(more), np.uint64)])
+                    sigs.append((_scramble(np.concatenate([base, more])) & np.uint64((1 << 48) - 4)) | marks)
                     held += len(sigs[-1])
                 if held >= 500_000:
                     yield flush()
@@ -288,12 +295,12 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
         sig = sig.view(np.uint64)[:, 0]
         owner = np.repeat(np.arange(len(head)), head["count"])
         cls, n, free = head["cls"][owner], head["n"][owner], head["free"][owner]
-        key, base = sig >> np.uint64(1), (sig & np.uint64(1)).astype(bool)
+        key, base, head_of = sig >> np.uint64(2), (sig & np.uint64(1)).astype(bool), (sig & np.uint64(2)).astype(bool)
         order = np.lexsort((cls, key))
-        key, cls, n, free, base = key[order], cls[order], n[order], free[order], base[order]
+        key, cls, n, free, base, head_of = key[order], cls[order], n[order], free[order], base[order], head_of[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n, free, base = key[new], cls[new], n[new], free[new], base[new]
+        key, cls, n, free, base, head_of = key[new], cls[new], n[new], free[new], base[new], head_of[new]
         again = np.zeros(len(key), bool)
         again[1:] = key[1:] == key[:-1]
         again[:-1] |= again[1:]
@@ -302,37 +309,42 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
         met = np.bincount(place, again[kept], len(each)).astype(np.int64)
         counted = {"gid": pa.nulls(len(each), pa.int64()), "cls": pa.array(each), "n": pa.array(n[kept][first].astype(np.int64)), "met": pa.array(met), "free": pa.array(free[kept][first].astype(np.int32))}
 
-        some = again & base
-        key, cls, n = key[some], cls[some], n[some]
-        order = np.lexsort((cls, n, key))
-        key, cls, n = key[order], cls[order], n[order].astype(np.int64)
-        # a group ends where the signature does, or where the next size is too large for all before it
-        apart = (key[1:] != key[:-1]) | (n[:-1] * 100 < n[1:] * PERCENT)
-        start = np.flatnonzero(np.r_[True, apart]) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[start, len(key)])
-        # a group's id is made of its members, so that the many groups of equal members fall together
-        mixed = np.add.reduceat(_scramble(cls.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
-        gid = _scramble(mixed + size.astype(np.uint64))
-        gids, at = np.unique(gid[size > 1], return_index=True)
-        start, size = start[size > 1][at], size[size > 1][at]
-        member = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-        nothing = len(member)
-        groups = {"gid": pa.array(np.repeat(gids, size).astype(np.int64)), "cls": pa.array(cls[member]), "n": pa.nulls(nothing, pa.int64()), "met": pa.nulls(nothing, pa.int64()), "free": pa.nulls(nothing, pa.int32())}
-        return pa.concat_tables([pa.table(counted), pa.table(groups)])
+        def groups(some: np.ndarray, mark: int) -> pa.Table:
+            k, c, m = key[some], cls[some], n[some]
+            order = np.lexsort((c, m, k))
+            k, c, m = k[order], c[order], m[order].astype(np.int64)
+            # a group ends where the signature does, or where the next size is too large for all before it
+            apart = (k[1:] != k[:-1]) | (m[:-1] * 100 < m[1:] * PERCENT)
+            start = np.flatnonzero(np.r_[True, apart]) if len(k) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, len(k)])
+            # a group's id is made of its members, so that the many groups of equal members fall together
+            mixed = np.add.reduceat(_scramble(c.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+            gid = _scramble(mixed + size.astype(np.uint64))
+            gids, at = np.unique(gid[size > 1], return_index=True)
+            start, size = start[size > 1][at], size[size > 1][at]
+            member = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
+            nothing = len(member)
+            return pa.table({"gid": pa.array(np.repeat(gids, size).astype(np.int64)), "cls": pa.array(c[member]), "n": pa.nulls(nothing, pa.int64()), "met": pa.array(np.full(nothing, mark)), "free": pa.nulls(nothing, pa.int32())})
+
+        return pa.concat_tables([pa.table(counted), groups(again & base, 0), groups(again & head_of, FIRST)])
 
     emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, sigs binary, heads binary")
     return emitted.groupBy("bucket").applyInArrow(meet, "gid long, cls long, n long, met long, free int")
 
 
 def candidate_groups(met: DataFrame) -> DataFrame:
-    """(gid, cls): groups of at least two classes that meet others often enough to link."""
+    """(gid, cls, rank, first): groups of at least two classes that meet others often enough to link.
+
+    rank orders hubs: the class whose signatures are most shared, by its size, comes first.
+    """
     # a linked set may be smaller by a fifth, and so may its extension be
     least = F.expr(f"((n * {PERCENT} + 99) div 100 * {EXTRA}) div 100 + 1")
     counts = met.filter("gid IS NULL").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"), F.max("free").alias("free"))
-    able = counts.filter((F.col("free") == 1) | (F.col("met") >= least)).select("cls")
-    members = materialize(met.filter("gid IS NOT NULL").select("gid", "cls").distinct().join(able, "cls"), "members")
-    many = members.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 1").select("gid")
-    return members.join(many, "gid")
+    able = counts.filter((F.col("free") == 1) | (F.col("met") >= least)).select("cls", (-F.col("met") / F.col("n")).alias("rank"))
+    rows = met.filter("gid IS NOT NULL").select("gid", "cls", (F.col("met") == FIRST).alias("first")).distinct()
+    members = materialize(rows.join(able, "cls"), "members")
+    many = members.groupBy("gid", "first").agg(F.count("*").alias("c")).filter("c > 1").select("gid", "first")
+    return members.join(many, ["gid", "first"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,37 +391,39 @@ def token_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def linked_classes(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(id, component) of classes that link with others; None where no group is."""
-    members = groups.count()
+    members = groups.filter("NOT first").count()
     if not members:
         return None
-    links, parts, first = None, None, True
+    links = parts = None
+    first, groups = groups.filter("first").drop("first"), groups.filter("NOT first").drop("first")
     while True:
-        if parts is None:
-            now = groups.withColumn("part", F.col("cls"))
-        else:
-            now = groups.join(parts.select(F.col("id").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        rows = groups if first is None else first
+        now = rows.withColumn("part", F.col("cls"))
+        if parts is not None:
+            now = rows.join(parts.select(F.col("id").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
         each = now.groupBy("gid", "part").agg(F.count("*").alias("c"))
         sums = each.groupBy("gid").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts"))
         open_groups = materialize(sums.filter("parts > 1").select("gid", ((F.col("g") * F.col("g") - F.col("same")) / 2).alias("left")), "open")
         left = open_groups.agg(F.sum("left")).first()[0]
-        if not left:
+        if not left and first is None:
             return parts
         now = materialize(now.join(open_groups.select("gid"), "gid"), "members")
-        direct = left <= DIRECT * members and not first
+        direct = first is None and left <= DIRECT * members
         if direct:
             other = now.select("gid", F.col("cls").alias("b"), F.col("part").alias("q"))
             pairs = now.join(other, "gid").filter("part <> q AND cls < b").select(F.col("cls").alias("a"), "b").distinct()
         else:
-            hubs = materialize(now.groupBy("gid").agg(F.min(F.struct("cls", "part")).alias("hub")), "hubs")
+            hubs = materialize(now.groupBy("gid").agg(F.min(F.struct("rank", "cls", "part")).alias("hub")), "hubs")
             spokes = now.join(hubs, "gid").filter("cls <> hub.cls AND part <> hub.part")
-            pairs = spokes.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
+            pairs = spokes.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
         new = materialize(verify(pairs, sets), "links")
         links = new if links is None else links.unionByName(new)
         parts = materialize(connected_components(links), "parts")
         if direct:
             return parts
-        groups = materialize(now.join(hubs, "gid").filter("cls <> hub.cls").select("gid", "cls"), "groups")
-        first = False
+        if first is None:
+            groups = materialize(now.join(hubs, "gid").filter("cls <> hub.cls").select("gid", "cls", "rank"), "groups")
+        first = None
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
