@@ -2,13 +2,14 @@
 
 A vector is described by its nearest reference points (pivots), in order. Inverted lists hold, for each
 pivot, the vectors that have it among their nearest; two vectors of a list are candidates when they share
-at least ``min_shared`` pivots, and are linked when their cosine in double precision is at least
-``threshold``. The pivots are a bounded sample of the vectors, twice the root of their number; every
-vector is indexed.
+at least ``min_shared`` pivots or have the same nearest one, and are linked when their cosine in double
+precision is at least ``threshold``. The pivots are a bounded sample of the vectors, twice the root of
+their number, less those near an earlier one (``APART``): a hot group of near copies so has few pivots,
+which all its vectors share, and is compared whole. Every vector is indexed.
 
 A pivot's list is dealt in blocks of about ``BLOCK`` vectors, and each pair of blocks is one group, so a
 long list becomes many groups of equal size. A pair is counted only in the list of the least pivot it
-shares. A group returns what each vector gained in links and a forest of what it connected: rows follow
+shares; within a group, vectors that share a lower pivot are set apart before the multiplication. A group returns what each vector gained in links and a forest of what it connected: rows follow
 the vectors, not the pairs. Equal vectors are one class: they are compared once and count as often as
 they come.
 
@@ -32,6 +33,8 @@ from kgspark.operators.components import connected_components
 THRESHOLD, NEAREST, MIN_SHARED = 0.9, 10, 2
 #: Bounds of the number of pivots, and vectors in a block.
 LEAST_PIVOTS, MOST_PIVOTS, BLOCK = 32, 8192, 1500
+#: Cosine from which a sampled pivot is dropped for an earlier one.
+APART = 0.7
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,10 +60,20 @@ def _unit(rows: pa.Array, width: int) -> np.ndarray:
 
 
 def choose_pivots(distinct: DataFrame, width: int, most: int = MOST_PIVOTS) -> np.ndarray:
-    """Unit pivots, as many as twice the root of the vectors, within bounds; taken in hash order."""
+    """Unit pivots of pairwise cosine below ``APART``: of twice the root of the vectors, within bounds, taken in hash order."""
     n = int(min(most, max(LEAST_PIVOTS, 2 * distinct.count() ** 0.5)))
     rows = distinct.orderBy(F.xxhash64("cls"), "cls").limit(n).select("vector").collect()  # at most MOST_PIVOTS
-    return _unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), width) if rows else np.zeros((0, width))
+    return thin(_unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), width)) if rows else np.zeros((0, width))
+
+
+def thin(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """Without the pivots whose cosine to an earlier one that stays is at least ``apart``."""
+    kept, n = np.empty_like(pivots), 0
+    for row in pivots:
+        if not n or (kept[:n] @ row).max() < apart:
+            kept[n] = row
+            n += 1
+    return kept[:n]
 
 
 def index(distinct: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -88,6 +101,20 @@ def _bits(near: np.ndarray, pivots: int) -> np.ndarray:
     return words
 
 
+def _met_here(near: np.ndarray, pivot: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Parts of left x right without most pairs that share a lower pivot, which are counted in that one's list."""
+    many = [np.bincount(near[side][near[side] < pivot], minlength=pivot) for side in (left, right)]
+    both = many[0] * many[1]
+    if not pivot or 4 * both.max() < len(left) * len(right):
+        yield left, right
+        return
+    lower = both.argmax()
+    has_left, has_right = ((near[side] == lower).any(axis=1) for side in (left, right))
+    for a, b in ((left[~has_left], right), (left[has_left], right[~has_right])):
+        if len(a) and len(b):
+            yield from _met_here(near, pivot, a, b)
+
+
 def link(indexed: DataFrame, width: int, pivots: int, threshold: float = THRESHOLD, min_shared: int = MIN_SHARED) -> DataFrame:
     """(cls, links, other): for each group what a class gained in links, and one class it is connected with."""
     lists = indexed.select("cls", F.explode("near").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -112,8 +139,7 @@ def link(indexed: DataFrame, width: int, pivots: int, threshold: float = THRESHO
         below[pivot >> 6] = np.uint64((1 << (pivot & 63)) - 1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for at in range(0, len(left), 256):
-            part = left[at : at + 256]
+        for part, right in ((some[at : at + 256], other) for some, other in _met_here(near, pivot, left, right) for at in range(0, len(some), 256)):
             a, b = np.nonzero(unit[part] @ unit[right].T >= threshold)
             a, b = part[a], right[b]
             if i == j:
@@ -123,7 +149,7 @@ def link(indexed: DataFrame, width: int, pivots: int, threshold: float = THRESHO
                 common = bits[x] & bits[y]
                 good = ~(common & below).any(axis=1)
                 x, y, common = x[good], y[good], common[good]
-                good = np.bitwise_count(common).sum(axis=1) >= min_shared
+                good = (np.bitwise_count(common).sum(axis=1) >= min_shared) | (near[x, 0] == near[y, 0])
                 x, y = x[good], y[good]
                 np.add.at(links, x, weight[y])
                 np.add.at(links, y, weight[x])

@@ -320,6 +320,17 @@ def test_embedding_recall_near_the_threshold(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.9 * links
 
 
+def test_embedding_links_within_a_hot_group(spark):
+    r = np.random.default_rng(4)
+    centre = r.normal(size=64)
+    rows = np.concatenate([r.normal(size=(6000, 64)), centre / np.linalg.norm(centre) + 0.036 * r.normal(size=(3000, 64))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {x["vec_id"]: x for x in embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    links = np.array([got[k]["n_links"] for k in range(len(rows))])
+    assert (links <= near).all() and links.sum() >= 0.9 * near.sum() > 1_000_000
+
+
 # 7 packing, 9 token files
 
 
