@@ -6,21 +6,31 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Elements without text of their own for a reader, elements inside a line, elements without an end.
-SILENT = "script style noscript template svg iframe object head title textarea select math canvas video audio"
+#: Elements without text of their own for a reader, those that hold plain text up to their end tag and those
+#: that hold elements; elements inside a line, elements without an end.
+RAW = frozenset("script style noscript iframe title textarea".split())
+SILENT = frozenset("template svg object select math canvas video audio".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that the start of another one ends.
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 #: Elements that such an end does not reach out of.
 SCOPES = frozenset("ul ol dl table".split())
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    rf"|<({'|'.join(SILENT.split())})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+#: Silent elements in which HTML goes on as outside; those that an outer element's end tag does not reach out of.
+PLAIN, CLOSED_IN = frozenset("canvas video audio".split()), frozenset(["template"])
+#: Elements with rules of their own, elements in which HTML's rules hold again, and elements whose start ends the former.
+FOREIGN = frozenset(["svg", "math"])
+WITHIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements whose start ends an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul".split()
 )
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -43,11 +53,45 @@ def _marks(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _foreign(stack: list[tuple[str, tuple[str, ...]]], hidden: int) -> int:
+    """The place of the svg or math element whose rules hold at the end of the stack, or -1."""
+    for k in range(len(stack) - 1, hidden - 1, -1):
+        if stack[k][0] in FOREIGN:
+            return k
+        if stack[k][0] in WITHIN:
+            break
+    return -1
+
+
+def _left(stack: list[tuple[str, tuple[str, ...]]], hidden: int, name: str, end: bool) -> int:
+    """How much of the stack, whose end is silent from ``hidden`` on, stays open at a tag."""
+    if end:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                return k
+            if stack[k][0] in CLOSED_IN:
+                break
+        return len(stack)
+    size = len(stack)
+    while (k := _foreign(stack[:size], hidden)) >= 0 and name in BREAKOUT:
+        size = k
+    if k >= 0:
+        return size
+    for k in range(size - 1, -1, -1):
+        above = stack[k][0]
+        if above in SCOPES or above in SILENT - PLAIN:
+            break
+        if above in CLOSED_BY.get(name, ()) or (above == "p" and name in ENDS_P):
+            return k
+    return size
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order; character references decoded, white space made single spaces."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    hidden: int | None = None  # the place of the outermost silent element on the stack
     text: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -62,27 +106,51 @@ def blocks(page: str | None) -> list[Block]:
             links.clear()
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
+    while m := _TAG.search(page, at):
+        if m.start() > at and hidden is None:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
                 links.append(piece)
         at = m.end()
-        if m[1]:  # a silent element with all it holds
-            continue
-        name = (m[3] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
+        empty = name in VOID or m[3].rstrip().endswith("/")
+        if hidden is not None:
+            size = _left(stack, hidden, name, bool(m[1]))
+            if size < hidden:
+                flush()
+                in_link = 0
+            del stack[size:]
+            if size <= hidden:
+                hidden = None
+            if m[1]:
+                continue
+        if name in RAW and not m[1] and (hidden is None or _foreign(stack, hidden) < 0):
+            end = _END[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if hidden is not None:
+            if not empty and name not in INLINE:
+                stack.append((name, ()))
+            continue
+        if name in SILENT and not m[1]:
+            if not empty:
+                hidden = len(stack)
+                stack.append((name, ()))
+            continue
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if m[1] else 1
             continue
         if name == "br":
             text.append("\n")
             continue
         flush()
-        if m[2]:
+        if name == "head":  # it has no text of its own, and its end tag may be left out
+            continue
+        if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -98,10 +166,10 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in CLOSED_BY[name]:
                     del stack[k:]
                     break
-        if name not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append((name, _marks(name, m[4])))
-    rest = page[at:]
-    # what is left of a cut-off tag is no text
-    text.append(re.sub(r"<[/!?A-Za-z][^>]*\Z", "", rest))
+        if not empty:
+            stack.append((name, _marks(name, m[3])))
+    if hidden is None:
+        # what is left of a cut-off tag is no text
+        text.append(re.sub(r"<[/!?A-Za-z][^>]*\Z", "", page[at:]))
     flush()
     return out

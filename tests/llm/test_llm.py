@@ -93,6 +93,28 @@ def test_blocks():
     assert blocks(None) == [] and blocks("") == [] and [b.text for b in blocks("<p>cut <b")] == ["cut"]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><meta charset=x><body><p>one<p>two", ["one", "two"]),
+        ("<head><title>T</title><p>one", ["one"]),
+        ("<p>a <svg width='1'/> b</p><p>c</p><svg><path/></svg><p>d</p>", ["a b", "c", "d"]),
+        ("<p>a <math/> b</p><p>c</p>", ["a b", "c"]),
+        ("<svg><g><title/><text>no</text></g><svg><text>no</text></svg><text>no</text></svg><p>one</p>", ["one"]),
+        ("<div><svg><text>no</text><p>one</p></div><p>two</p>", ["one", "two"]),
+        ("<svg><foreignObject><div>no</div></foreignObject></svg><p>one</p>", ["one"]),
+        ("<div><video src=x><source src=y></div><p>one</p>", ["one"]),
+        ("<ul><li><canvas><li>one</ul><p><audio>no<p>two", ["one", "two"]),
+        ("<div>a<video>no</div>b", ["a", "b"]),
+        ("<object><object>no</object>no</object><p>one</p><select><option>no</select>two", ["one", "two"]),
+        ("<div><template></div>no</template>one</div>", ["one"]),
+        ("<script>'<p>no</p>'</script ><p>one</p><textarea>no", ["one"]),
+    ],
+)
+def test_silent_elements_end(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
 def test_html_extraction(spark, labeller):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<nav><a href=x>Home</a></nav>"), (1, "u", PAGE)]
     got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")), labeller).collect()
