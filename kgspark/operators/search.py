@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.operators.components import write_out
 from kgspark.operators.rankings import top_per_group
 from kgspark.operators.traversal import neighborhood
 from kgspark.sources.graph import Graph
 
 K1, B = 1.2, 0.75
+#: Vectors in a block, and queries multiplied with it at once.
+BLOCK, AT_ONCE = 4000, 256
 ENTITY_FLOOR, PROJECT_FLOOR = 0.7, 0.5
 
 
@@ -52,13 +57,51 @@ def _unit(column: str):
 def similar_by_embedding(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = ENTITY_FLOOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): exact cosine of each query (query_id, vector) with all vectors, itself left out.
 
-    The queries are a stated set: they are numbered into blocks, each block meets all vectors in one pass.
+    Queries and vectors are numbered into blocks. A pair of blocks is one group: it is multiplied as two
+    matrices and returns each query's ``k`` best of the block, so rows follow queries times blocks, not pairs.
     """
-    v = vectors.select(F.col(id_col).alias("id"), _unit(vector_col).alias("v")).filter("v IS NOT NULL")
-    q = queries.select("query_id", _unit("vector").alias("q")).filter("q IS NOT NULL")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(v, F.col("query_id") != F.col("id")).select("query_id", "id", F.round(dot, 6).alias("score"))
-    return top_per_group(pairs.filter(F.col("score") >= floor), "query_id", "score", k, ("id",))
+    v = vectors.select(F.col(id_col).alias("id"), _unit(vector_col).alias("v")).filter("v IS NOT NULL AND id IS NOT NULL")
+    q = queries.select("query_id", _unit("vector").alias("v")).filter("v IS NOT NULL AND query_id IS NOT NULL")
+    v, q = write_out(v, "vectors"), write_out(q, "queries")
+    n_v, n_q = (max(1, -(-rows.count() // BLOCK)) for rows in (v, q))
+    number, width = F.monotonically_increasing_id(), F.size("v").alias("w")
+    v, q = v.withColumn("j", (number % n_v).cast("int")), q.withColumn("i", (number % n_q).cast("int"))  # before the copies
+    # a block of one side goes to every block of the other
+    left = q.select(width, "i", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("j"), "query_id", F.lit(None).cast(v.schema["id"].dataType).alias("id"), "v")
+    right = v.select(width, F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), "j", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "id", "v")
+
+    def best(key: tuple, rows: pa.Table) -> pa.Table:
+        asked = rows.filter(rows["query_id"].is_valid()).combine_chunks()
+        known = rows.filter(rows["id"].is_valid()).combine_chunks()
+        a, b = (_matrix(side.column("v"), key[0].as_py()) for side in (asked, known))
+        names, kept = known.column("id").to_numpy(), [np.empty((3, 0))]
+        order = np.unique(names, return_inverse=True)[1] if len(names) else np.empty(0, np.int64)
+        for at in range(0, len(a) if len(b) else 0, AT_ONCE):
+            score = a[at : at + AT_ONCE] @ b.T
+            score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0
+            rank = np.where(np.isnan(score), np.inf, score)  # NaN is above all numbers, as in Spark
+            own = asked.column("query_id").slice(at, AT_ONCE).to_numpy()[:, None] == names[None, :]
+            rank[own | (rank < floor)] = -np.inf
+            if k < rank.shape[1]:
+                rank[rank < np.partition(rank, -k, axis=1)[:, [-k]]] = -np.inf
+            x, y = np.nonzero(rank > -np.inf)
+            by = np.lexsort((order[y], -rank[x, y], x))
+            x, y = x[by], y[by]
+            first = np.arange(len(x)) - np.searchsorted(x, x) < k
+            x, y = x[first], y[first]
+            kept.append(np.stack([x + at, y, score[x, y]]))
+        x, y, score = np.concatenate(kept, axis=1)
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(x.astype(np.int64))), "id": known.column("id").take(pa.array(y.astype(np.int64))), "score": score})
+
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    found = left.unionByName(right).groupBy("w", "i", "j").applyInArrow(best, kinds)
+    return top_per_group(found, "query_id", "score", k, ("id",))
+
+
+def _matrix(rows: pa.ChunkedArray, width: int) -> np.ndarray:
+    """An Arrow list column of equal lengths as the rows of a matrix."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in rows.chunks]
+    return np.concatenate([np.empty(0), *parts]).reshape(-1, width)
 
 
 def hybrid_merge(fulltext: DataFrame, semantic: DataFrame, k: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from kgspark.functions import text as N
 from kgspark.operators import algorithms as G
 from kgspark.operators import build as M
 from kgspark.operators import rankings as W
+from kgspark.operators import search as R
 from kgspark.operators import traversal as T
 from kgspark.operators import validation as V
 from kgspark.operators.components import connected_components
@@ -78,6 +80,24 @@ def test_betweenness(spark, graph, relations):
     assert all(abs(got.get(n, 0.0) - v) < 1e-5 for n, v in want.items())
 
 
+def test_vector_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 30)
+    r = np.random.default_rng(2)
+    rows = r.integers(-2, 3, size=(200, 4)).astype(float).tolist() + [[0.0] * 4, None, [1.0, 2.0], [2.0, 4.1], [1.0, None, 1.0, 1.0]]
+    frame = spark.createDataFrame([(f"v{i}", x) for i, x in enumerate(rows)] + [(None, rows[0])], "id string, v array<double>")
+    asked = frame.filter("id IS NULL OR substr(id, 2) % 2 = 0").selectExpr("id AS query_id", "v AS vector")
+    got = R.similar_by_embedding(frame, asked, 5, 0.3, "id", "v")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    unit = {f"v{i}": np.array(x) / np.linalg.norm(x) for i, x in enumerate(rows) if x and None not in x and any(x)}
+    want = set()
+    for q in unit:
+        if int(q[1:]) % 2 == 0:
+            scored = sorted((-round(float(unit[q] @ x), 6), i) for i, x in unit.items() if i != q and len(x) == len(unit[q]) and round(float(unit[q] @ x), 6) >= 0.3)
+            want |= {(q, i, -s, k + 1) for k, (s, i) in enumerate(scored[:5])}
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 300
+
+
 def test_closeness(spark, graph, relations):
     near = adjacency(graph)
     sources = spark.createDataFrame([(n,) for n in graph[0]], "entity_id string")
