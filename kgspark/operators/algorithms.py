@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.operators.components import write_out
+from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
 
 DAMPING, ROUNDS = 0.85, 20

@@ -6,30 +6,10 @@ ever gathered in one row. Rounds grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session has none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kgspark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from kgspark.sources.scratch import drop, write_out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,30 +17,30 @@ def _state(edges: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def connected_components(edges: DataFrame, write: Callable[[DataFrame, str], DataFrame] = write_out, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(a, b) edges -> (id, component): every node that has an edge and the least node it reaches.
 
-    Edges with a null end and loops are left out; an edge may come in either direction and repeatedly.
+    Edges with a null end and loops are left out; an edge may come in either direction and repeatedly. It runs
+    to the end, or for ``most_rounds`` rounds, after which components may still be parts of the whole ones.
     """
-    now = (
+    now = write_out(
         edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .distinct(),
+        "edges",
     )
-    now = write(now, "edges")
-    before = _state(now)
-    for _ in range(most_rounds):
+    before, rounds = _state(now), 0
+    while before[0] and (most_rounds is None or rounds < most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = write(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        lower = write(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = write_out(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = write(moved.filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        after = _state(now)
+        old, now = now, write_out(moved.filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(old, large)
+        after, rounds = _state(now), rounds + 1
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

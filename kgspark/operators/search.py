@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.operators.components import write_out
+from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
 from kgspark.operators.traversal import neighborhood
 from kgspark.sources.graph import Graph

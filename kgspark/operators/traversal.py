@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators.algorithms import simple_edges
-from kgspark.operators.components import write_out
+from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kgspark.operators.components import shared_folder
+from kgspark.sources.scratch import shared_folder
 from kgspark.registry import register
 from kgspark.sources import files as S
 from kgspark.sources.graph import ORDER_SQL, order_graph, read_table
