@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.sources.scratch import write_out
+
 #: Java, RE2 and Python spelling of a word, and of what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]"
@@ -18,21 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kgspark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def posix(path: str) -> str:
     """The path as files see it; the flat-file formats need a folder that every executor mounts."""
     if "://" in path and not path.startswith("file:"):
@@ -40,27 +25,27 @@ def posix(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage in a way that outlives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows up to which a table is broadcast; a larger one is joined by shuffle.
 SMALL_ROWS = 200_000
 
 
 def small(df: DataFrame, name: str, rows: int = SMALL_ROWS) -> DataFrame:
     """Written out; marked for broadcast only where it was counted to be small."""
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= rows else df
+    table = write_out(df, name)
+    if table.count() > rows:
+        return table
+    marked = F.broadcast(table)
+    marked.written_to = table.written_to
+    return marked
+
+
+#: Rows of an Arrow batch, the same for all operators, since plans that run later read the setting then.
+BATCH_ROWS = 512
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Few rows in each Arrow batch, so that very long texts do not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def single_thread_tokenizers() -> None:

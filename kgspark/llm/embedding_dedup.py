@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import bounded_batches, materialize, table
+from kgspark.llm.common import bounded_batches, table
 from kgspark.operators.components import connected_components
+from kgspark.sources.scratch import write_out
 
 THRESHOLD, NEAREST, MIN_SHARED = 0.9, 10, 2
 #: Bounds of the number of pivots, and vectors in a block.
@@ -173,14 +174,14 @@ def link(indexed: DataFrame, width: int, pivots: int, threshold: float = THRESHO
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, min_shared: int = MIN_SHARED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    bounded_batches(vectors.sparkSession, 2000)
+    bounded_batches(vectors.sparkSession)
     distinct = distinct_vectors(vectors, id_col, vector_col)
     first = distinct.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").first()
     width = first["w"] if first else 1
-    distinct = materialize(distinct.filter(F.size("vector") == width), "vectors")
+    distinct = write_out(distinct.filter(F.size("vector") == width), "vectors")
     pivots = choose_pivots(distinct, width)
-    indexed = materialize(index(distinct, pivots, nearest), "indexed")
-    found = materialize(link(indexed, width, len(pivots), threshold, min(min_shared, max(1, len(pivots)))), "links")
+    indexed = write_out(index(distinct, pivots, nearest), "indexed")
+    found = write_out(link(indexed, width, len(pivots), threshold, min(min_shared, max(1, len(pivots)))), "links")
     parts = connected_components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     classes = (

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import materialize, table
+from kgspark.llm.common import table
+from kgspark.sources.scratch import write_out
 
 PARAGRAPH_LANES, PARAGRAPH_BITS = 8, 28
 #: Two 30-bit halves of a hash; a packed sum holds a lane of each half, 32 bits apart.
@@ -38,7 +39,7 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col(id_col).alias("id")).distinct().repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id())
-    ids = materialize(ids, "ids")
+    ids = write_out(ids, "ids")
     firsts = ids.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("p"), "id")).alias("first"))
     everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select(
@@ -130,7 +131,7 @@ def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     lengths = docs.select(F.col("id").alias("prev_id"), F.length("text").alias("n"))
     following = next_ids(docs, "id").select(F.col("id").alias("of"), "next_id")
     asked = lengths.join(following, F.col("prev_id").eqNullSafe(F.col("of"))).select("next_id", "prev_id", F.floor(F.col("n") / 4).cast("int").alias("k"))
-    asked = materialize(asked, "asked")
+    asked = write_out(asked, "asked")
     heads = docs.join(asked, F.col("id").eqNullSafe(F.col("next_id"))).select(F.col("prev_id").alias("head_of"), "k", F.expr("substring(text, 1, k)").alias("head"))
     before = asked.select(F.col("next_id").alias("me"), "prev_id")
     edited = docs.join(heads, F.col("id").eqNullSafe(F.col("head_of"))).join(before, F.col("id").eqNullSafe(F.col("me")))

@@ -17,7 +17,8 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import materialize, small, table
+from kgspark.llm.common import small, table
+from kgspark.sources.scratch import write_out
 
 LEAST_COSINE = 0.5
 #: A text of at most this many lines that states a licence serves as its directory's licence file.
@@ -59,7 +60,7 @@ def score_lines(lines: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     spark = lines.sparkSession
     texts = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "k int, license string, text string")
     terms = lines.select("line", "n", F.explode(_tokens(F.col("line"))).alias("token")).groupBy("line", "n", "token").agg(F.count("*").alias("tf"))
-    terms = materialize(terms, "terms")
+    terms = write_out(terms, "terms")
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     seen = terms.groupBy("token").agg(F.sum("n").alias("df"))
     idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
@@ -84,7 +85,7 @@ def own_licenses(files: DataFrame, key: str = "path", text_col: str = "text") ->
     stated = files.filter(F.col(text_col).rlike(STATES)).select(
         F.col(key).alias("key"), F.size(all_lines).alias("n_lines"), F.explode(F.filter(F.transform(all_lines, lambda v: F.trim(v)), lambda v: v.rlike(STATES))).alias("line")
     )
-    stated = materialize(stated, "stated")
+    stated = write_out(stated, "stated")
     scored = score_lines(stated.groupBy("line").agg(F.count("*").alias("n")))
     found = stated.join(scored, "line")
     return found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max("n_lines").alias("n_lines")).select(

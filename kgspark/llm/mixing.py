@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import HASH52_SQL, hash52, materialize, n_words, table
+from kgspark.llm.common import HASH52_SQL, hash52, n_words, table
+from kgspark.sources.scratch import write_out
 
 #: Buckets to each doubling of the key; a bucket then holds about 0.2 % of a source's documents at most.
 RESOLUTION = 256
@@ -79,7 +80,7 @@ def mix_sources(
     columns of the input to carry along (None: all of them, read from a second scan).
     """
     u = (hash52(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) + F.lit(0.5)) / F.lit(float(1 << 52))
-    slim = materialize(
+    slim = write_out(
         docs.select(
             F.col(id_col).alias("_id"),
             F.col(source_col).alias("source"),

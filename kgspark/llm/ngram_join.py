@@ -16,26 +16,24 @@ extended prefix ends first then shares more than that many tokens of it, and the
 in its own; sets with fewer repeated tokens in their extended prefix cannot link and leave before any
 candidate is formed. Candidates of too different sizes part in the index as well.
 
-A token's class comes from a sketch of fixed size: counts of all tokens of all documents, in 2^20
-cells. The sketch only steers how selective the index is; any classes give the same links.
+A token's class comes from a sketch: counts of all tokens of all documents, in cells whose number grows
+with the input. It only steers how selective the index is; any classes give the same links.
 
-Candidates that share a combination form a group. Pairs of a group are not listed: the group's first
-member (its hub) is verified against the rest, components are merged, the hub leaves the group, and only
-groups whose members still lie in different components go on. When the pairs across components are at most
-``DIRECT`` for each member of a group, which can be so at once, they are verified directly. Before that,
-one round runs over the groups of each set's first signatures only: it merges most near copies with few
-rows, so that their many further groups are never opened. This loses no link that joins two components, so the
-components are those of all links.
+Sets that share a combination are candidates of each other. Their group is named by its least member, and
+groups of one name are one, so that the many combinations of a family of near copies fall together.
+Pairs are never listed: a group's sets meet in one task, which counts what they share by inverted lists and
+returns a forest of links. A group too large for a task is dealt in blocks, its least member in
+each. Sets outside a group's largest component then meet the group's other blocks once more, so that
+no link between two components is lost: the components are those of all links.
 
 Defined cases: a null text, or one without words, has the empty set and links with nothing; with fewer
-than five words the whole sequence is the only shingle; rows of one id count as separate documents with
-that id, and the id's component is that of any of them (its row shows the smallest); a null id is an id
-that comes last; an empty table gives no rows; other columns are ignored.
+than five words the whole sequence is the only shingle; every row is a document of its own, also where ids
+repeat; a component's id is the least of its rows, a null id comes last; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -45,70 +43,31 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from kgspark.llm.common import bounded_batches, materialize, table
+from kgspark.llm.common import bounded_batches, small, table
+from kgspark.llm.shingles import scramble, shingle_sets
 from kgspark.operators.components import connected_components
+from kgspark.sources.scratch import drop, write_out
 
 SHINGLE, PERCENT = 5, 80
-SKETCH_BITS, SLICES = 20, 16
+#: The sketch has a cell for so many bytes of text, within these powers of two; a row of it holds SLICE cells.
+CELL_BYTES, LEAST_BITS, MOST_BITS, SLICE = 1024, 20, 24, 1 << 16
 #: Tasks whose sketches are summed in one group before the last sum.
 MERGED = 256
 #: A cell is frequent when it holds this many tokens more than the mean cell could by chance.
 FREQUENT = 24
-#: Words whose hashes a worker remembers.
-REMEMBERED = 300_000
 #: A size step has one frequent class for so many tokens of a set.
 CLASS_TOKENS = 20
 #: Sets under this size link with equal sets only.
 LEAST_SIZE = 4
 #: Percent of a set by which a prefix of rare tokens is extended.
 EXTRA = 5
-#: Ids up to which the documents to verify are found by a broadcast of their ids (8 bytes each), beyond by shuffle.
-BROADCAST_IDS = 1_000_000
-#: Pairs of groups (a pair in several groups counts as often), for each group member, that are listed and verified directly.
-DIRECT = 30
-#: First signatures of a set whose groups merge most near copies before all groups are looked at.
-FIRST = 3
-
-_WORD = re.compile(r"[^\x20\x09-\x0D]+").findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Sets and tokens of a block of a group.
+BLOCK_SETS, BLOCK_TOKENS = 384, 400_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = np.dtype([("cls", "<i8"), ("n", "<i4"), ("free", "i1"), ("count", "<i4")])
 
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of texts; a worker remembers the hashes of words it has seen."""
-
-    def __init__(self, size: int = SHINGLE):
-        self.size = size
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD((text or "").translate(_LOWER))
-        known = self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(words) - self.size + 1) if words else 0
-        whole = min(self.size, len(words))
-        out = np.full(n, whole, np.uint64)
-        for k in range(whole):
-            out = _scramble(out * _MIX + hashes[k : k + n])
-        return np.unique(out)
-
-
 def class_id(tokens: np.ndarray) -> int:
     """Identity of a set: a signed 64-bit hash of its sorted tokens."""
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -131,7 +90,8 @@ def class_count(at: int) -> int:
 
 def is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Which tokens lie in a frequent cell; ``frequent`` holds a bit for each cell."""
-    cell = (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    bits = (len(frequent) * 8).bit_length() - 1
+    cell = (tokens >> np.uint64(64 - bits)).astype(np.int64)
     return (frequent[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -153,7 +113,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np
         return rare[:need], rare[need:], True
     found, hot = [rare], tokens[hot]
     for at in (step(len(tokens)), step(len(tokens)) + 1):
-        kind = (_scramble(hot ^ _MIX) % np.uint64(class_count(at))).astype(np.int64)
+        kind = (scramble(hot ^ _MIX) % np.uint64(class_count(at))).astype(np.int64)
         first = np.zeros(len(hot), bool)
         first[np.unique(kind, return_index=True)[1]] = True
         strength = len(rare) + np.cumsum(~first)
@@ -163,65 +123,78 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np
         apart = 1
         while apart < len(some) and (same := kinds[apart:] == kinds[:-apart]).any():
             x, y = some[:-apart][same], some[apart:][same]
-            found.append(_scramble(_scramble(x * _MIX + y) + np.uint64(at)))
+            found.append(scramble(scramble(x * _MIX + y) + np.uint64(at)))
             apart += 1
     return np.unique(np.concatenate(found)), tokens[:0], True
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of two kinds: (id, n, cls) of each document; (slice, part, counts) of the sketch of each task."""
+def sketch_bits(docs: DataFrame, text_col: str = "text") -> int:
+    """The power of two of the sketch's cells, by the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // CELL_BYTES).bit_length()))
+
+
+def describe(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Rows of two kinds: (id, key, n, cls) of each document; (slice, part, counts) of the sketch of each task."""
     bounded_batches(docs.sparkSession)
-    cells = 1 << SKETCH_BITS
+    names = ["id", "key", "n", "cls", "slice", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(rows, kind)) for name, kind in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(), np.zeros(cells, np.uint32)
+        counts, held, size = np.zeros(1 << bits, np.uint32), [], 0
+
+        def count() -> None:
+            cells = (np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64)
+            if len(cells) > len(counts) // 4:
+                counts[:] += np.bincount(cells, minlength=len(counts)).astype(np.uint32)
+            else:
+                np.add.at(counts, cells, np.uint32(1))
+            held.clear()
+
         for batch in batches:
-            ids, sizes, classes, cell = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = shingles(text)
-                ids.append(key)
-                sizes.append(len(tokens))
-                classes.append(class_id(tokens))
-                cell.append((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-            if cell:
-                counts += np.bincount(np.concatenate(cell), minlength=cells).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
-                names=["id", "n", "cls", "slice", "part", "counts"],
-            )
-        if counts.any():
-            part = TaskContext.get().partitionId()
-            for k, some in enumerate(np.split(counts, SLICES)):
-                packed = zlib.compress(np.minimum(some, 65535).astype("<u2").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part // MERGED], pa.int32()), pa.array([packed], pa.binary())],
-                    names=["id", "n", "cls", "slice", "part", "counts"],
-                )
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, n long, cls long, slice int, part int, counts binary")
-
-
-def frequent_cells(described: DataFrame, total: int) -> np.ndarray:
+            sets = shingle_sets(batch.column(2), SHINGLE)
+            held += sets
+            size += sum(map(len, sets))
+            if size >= 2_000_000:
+                count()
+                size = 0
+            yield batch_of(len(sets), id=batch.column(0), key=batch.column(1), n=pa.array(list(map(len, sets)), pa.int64()), cls=pa.array(list(map(class_id, sets)), pa.int64()))
+        if held:
+            count()
+        part = TaskContext.get().partitionId() // MERGED
+        for k, some in enumerate(np.split(counts, len(counts) // SLICE)):
+            if some.any():
+                packed = zlib.compress(some.astype("<u4").tobytes(), 1)
+                yield batch_of(1, slice=pa.array([k], pa.int32()), part=pa.array([part], pa.int32()), counts=pa.array([packed], pa.binary()))
+
+    key = F.lit(None).cast("long") if key_col is None else F.col(key_col).cast("long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, key long, n long, cls long, slice int, part int, counts binary")
+
+
+def frequent_cells(described: DataFrame, total: int, bits: int) -> np.ndarray:
     """A bit for each cell of the summed sketch: whether its tokens count as frequent."""
-    mean = total / (1 << SKETCH_BITS)
-    bound = min(65535, mean + 6 * mean**0.5 + FREQUENT)
+    mean = total / (1 << bits)
+    bound = mean + 6 * mean**0.5 + FREQUENT
 
     def add(rows: pa.Table) -> np.ndarray:
-        return sum(np.frombuffer(zlib.decompress(c.as_py()), "<u2").astype(np.uint32) for c in rows.column("counts"))
+        return sum(np.frombuffer(zlib.decompress(c.as_py()), f"<u{4 if 'part' in rows.column_names else 8}").astype(np.uint64) for c in rows.column("counts"))
 
     def merge(rows: pa.Table) -> pa.Table:
-        packed = zlib.compress(np.minimum(add(rows), 65535).astype("<u2").tobytes(), 1)
+        packed = zlib.compress(add(rows).astype("<u8").tobytes(), 1)
         return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     def mark(rows: pa.Table) -> pa.Table:
-        bits = np.packbits(add(rows) > bound, bitorder="little").tobytes()
-        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
+        marks = np.packbits(add(rows) > bound, bitorder="little").tobytes()
+        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([marks], pa.binary())})
 
     sketches = described.filter("slice IS NOT NULL").select("slice", "part", "counts")
     merged = sketches.groupBy("slice", "part").applyInArrow(merge, "slice int, counts binary")
-    marked = merged.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect()  # 2^20 bits
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES // 8), np.uint8)
+    marked = merged.groupBy("slice").applyInArrow(mark, "slice int, bits binary").collect()  # at most 2^MOST_BITS bits
+    out = np.zeros(((1 << bits) // SLICE, SLICE // 8), np.uint8)
     for r in marked:
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
@@ -230,24 +203,23 @@ def frequent_cells(described: DataFrame, total: int) -> np.ndarray:
 def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> DataFrame:
     """What the classes of documents meet with, in rows of two kinds.
 
-    gid null: (cls, n, met, free), how many of a class's signatures another class has too, in one bucket of
-    signatures; free classes need no least number. Else (gid, cls, met): classes that share a signature of
-    their prefixes and may link by their sizes; met is FIRST where it is among the first ones of all of them.
+    grp null: (cls, n, met, free), how many of a class's signatures another class has too, in one bucket of
+    signatures; free classes need no least number. Else (grp, cls, n): classes that share a signature of
+    their prefixes and may link by their sizes, under the name of the least of them.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # 2^20 bits
+    shared = spark.sparkContext.broadcast(frequent)  # at most 2^MOST_BITS bits
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(), set()
         held, classes, sizes, frees, sigs = 0, [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            """A row per bucket: signatures of 6 bytes, the lowest bits marking the prefix and its first ones; classes with how many of them are theirs."""
+            """A row per bucket: signatures of 6 bytes, the lowest bit marking the prefix; classes with how many of them are theirs."""
             counts = [len(s) for s in sigs]
             sig = np.concatenate(sigs)
             owner = np.repeat(np.arange(len(sigs)), counts)
-            bucket = (sig >> np.uint64(2)) % np.uint64(buckets)
+            bucket = (sig >> np.uint64(1)) % np.uint64(buckets)
             order = np.lexsort((owner, bucket))
             sig, owner, bucket = sig[order], owner[order], bucket[order].astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -260,26 +232,18 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
                 rows = head[mine]
                 rows["count"] = n
                 heads.append(rows.tobytes())
-                packed.append(np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+                packed.append(pack(part))
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.array(heads, pa.binary())], names=["bucket", "sigs", "heads"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text)
-                cls = class_id(tokens)
-                if cls in seen:
-                    continue
-                seen.add(cls)
+            for tokens in shingle_sets(batch.column(0), SHINGLE):
                 base, more, free = signatures(tokens, shared.value)
                 if len(base):
-                    classes.append(cls)
+                    classes.append(class_id(tokens))
                     sizes.append(len(tokens))
                     frees.append(free)
-                    one = np.uint64(1)
-                    first = np.zeros(len(base), np.uint64)
-                    first[:FIRST] = 2
-                    marks = np.concatenate([first | one, np.zeros(len(more), np.uint64)])
-                    sigs.append((_scramble(np.concatenate([base, more])) & np.uint64((1 << 48) - 4)) | marks)
+                    marks = np.concatenate([np.ones(len(base), np.uint64), np.zeros(len(more), np.uint64)])
+                    sigs.append((scramble(np.concatenate([base, more])) & np.uint64((1 << 48) - 2)) | marks)
                     held += len(sigs[-1])
                 if held >= 500_000:
                     yield flush()
@@ -288,167 +252,204 @@ def index(docs: DataFrame, frequent: np.ndarray, text_col: str = "text") -> Data
             yield flush()
 
     def meet(rows: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(rows.column("sigs").to_pylist()), np.uint8).reshape(-1, 6)
+        sig = np.concatenate([unpack(s) for s in rows.column("sigs").to_pylist()])
         head = np.frombuffer(b"".join(rows.column("heads").to_pylist()), HEAD)
-        sig = np.zeros((len(raw), 8), np.uint8)
-        sig[:, :6] = raw
-        sig = sig.view(np.uint64)[:, 0]
         owner = np.repeat(np.arange(len(head)), head["count"])
         cls, n, free = head["cls"][owner], head["n"][owner], head["free"][owner]
-        key, base, head_of = sig >> np.uint64(2), (sig & np.uint64(1)).astype(bool), (sig & np.uint64(2)).astype(bool)
+        key, base = sig >> np.uint64(1), (sig & np.uint64(1)).astype(bool)
         order = np.lexsort((cls, key))
-        key, cls, n, free, base, head_of = key[order], cls[order], n[order], free[order], base[order], head_of[order]
+        key, cls, n, free, base = key[order], cls[order], n[order], free[order], base[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n, free, base, head_of = key[new], cls[new], n[new], free[new], base[new], head_of[new]
+        key, cls, n, free, base = key[new], cls[new], n[new], free[new], base[new]
         again = np.zeros(len(key), bool)
         again[1:] = key[1:] == key[:-1]
         again[:-1] |= again[1:]
         kept = again | (free == 1)
         each, first, place = np.unique(cls[kept], return_index=True, return_inverse=True)
         met = np.bincount(place, again[kept], len(each)).astype(np.int64)
-        counted = {"gid": pa.nulls(len(each), pa.int64()), "cls": pa.array(each), "n": pa.array(n[kept][first].astype(np.int64)), "met": pa.array(met), "free": pa.array(free[kept][first].astype(np.int32))}
-
-        def groups(some: np.ndarray, mark: int) -> pa.Table:
-            k, c, m = key[some], cls[some], n[some]
-            order = np.lexsort((c, m, k))
-            k, c, m = k[order], c[order], m[order].astype(np.int64)
-            # a group ends where the signature does, or where the next size is too large for all before it
-            apart = (k[1:] != k[:-1]) | (m[:-1] * 100 < m[1:] * PERCENT)
-            start = np.flatnonzero(np.r_[True, apart]) if len(k) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, len(k)])
-            # a group's id is made of its members, so that the many groups of equal members fall together
-            mixed = np.add.reduceat(_scramble(c.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
-            gid = _scramble(mixed + size.astype(np.uint64))
-            gids, at = np.unique(gid[size > 1], return_index=True)
-            start, size = start[size > 1][at], size[size > 1][at]
-            member = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-            nothing = len(member)
-            return pa.table({"gid": pa.array(np.repeat(gids, size).astype(np.int64)), "cls": pa.array(c[member]), "n": pa.nulls(nothing, pa.int64()), "met": pa.array(np.full(nothing, mark)), "free": pa.nulls(nothing, pa.int32())})
-
-        return pa.concat_tables([pa.table(counted), groups(again & base, 0), groups(again & head_of, FIRST)])
+        counted = {"grp": pa.nulls(len(each), pa.int64()), "cls": pa.array(each), "n": pa.array(n[kept][first].astype(np.int64)), "met": pa.array(met), "free": pa.array(free[kept][first].astype(np.int32))}
+        k, c, m = key[again & base], cls[again & base], n[again & base].astype(np.int64)
+        order = np.lexsort((c, m, k))
+        k, c, m = k[order], c[order], m[order]
+        # a group ends where the signature does, or where the next size is too large for all before it
+        apart = (k[1:] != k[:-1]) | (m[:-1] * 100 < m[1:] * PERCENT)
+        start = np.flatnonzero(np.r_[True, apart]) if len(k) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(k)])
+        name = np.repeat(np.minimum.reduceat(c, start) if len(k) else c, size)
+        some = np.repeat(size > 1, size)
+        pairs = np.unique(np.rec.fromarrays([name[some], c[some], m[some]], names="grp,cls,n"))
+        nothing = len(pairs)
+        grouped = {"grp": pa.array(pairs["grp"].copy()), "cls": pa.array(pairs["cls"].copy()), "n": pa.array(pairs["n"].copy()), "met": pa.nulls(nothing, pa.int64()), "free": pa.nulls(nothing, pa.int32())}
+        return pa.concat_tables([pa.table(counted), pa.table(grouped)])
 
     emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, sigs binary, heads binary")
-    return emitted.groupBy("bucket").applyInArrow(meet, "gid long, cls long, n long, met long, free int")
+    return emitted.groupBy("bucket").applyInArrow(meet, "grp long, cls long, n long, met long, free int")
 
 
-def candidate_groups(met: DataFrame) -> DataFrame:
-    """(gid, cls, rank, first): groups of at least two classes that meet others often enough to link.
+def pack(tokens: np.ndarray) -> bytes:
+    """The lower six bytes of each."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    rank orders hubs: the class whose signatures are most shared, by its size, comes first.
-    """
+
+def unpack(packed: bytes | memoryview) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view(np.uint64)[:, 0]
+
+
+def candidate_groups(met: DataFrame) -> DataFrame:
+    """(grp, cls, n): groups of at least two classes that meet others often enough to link."""
     # a linked set may be smaller by a fifth, and so may its extension be
     least = F.expr(f"((n * {PERCENT} + 99) div 100 * {EXTRA}) div 100 + 1")
-    counts = met.filter("gid IS NULL").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"), F.max("free").alias("free"))
-    able = counts.filter((F.col("free") == 1) | (F.col("met") >= least)).select("cls", (-F.col("met") / F.col("n")).alias("rank"))
-    rows = met.filter("gid IS NOT NULL").select("gid", "cls", (F.col("met") == FIRST).alias("first")).distinct()
-    members = materialize(rows.join(able, "cls"), "members")
-    many = members.groupBy("gid", "first").agg(F.count("*").alias("c")).filter("c > 1").select("gid", "first")
-    return members.join(many, ["gid", "first"])
+    counts = met.filter("grp IS NULL").groupBy("cls").agg(F.max("n").alias("n"), F.sum("met").alias("met"), F.max("free").alias("free"))
+    able = counts.filter((F.col("free") == 1) | (F.col("met") >= least)).select("cls")
+    rows = met.filter("grp IS NOT NULL").select("grp", "cls", "n").distinct()
+    return rows.join(able, "cls", "left_semi")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) whose sets reach the threshold."""
+def token_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(cls, tokens binary) of documents, a token in six bytes; equal sets once."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                good.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            kept = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
-
-    sizes = sets.select("cls", "n")
-    near = (
-        pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-        .filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT))
-        .select("a", "b")
-    )
-    x, y = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-
-
-def token_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, n, tokens binary) of documents."""
+            found = shingle_sets(batch.column(0), SHINGLE)
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(class_id, found)), pa.int64()), pa.array(list(map(pack, found)), pa.binary())], names=["cls", "tokens"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+
+
+def forest(sets: list[np.ndarray], label: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect, of sets given with component labels, all that links connect.
+
+    Every pair of different components has an end outside the one that has most of the sets not yet asked
+    for. So one of those is asked for at a time, against all sets, until there are none.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    new = np.r_[True, tokens[1:] != tokens[:-1]]
+    start = np.flatnonzero(new)
+    count = np.diff(np.r_[start, len(tokens)])
+    list_of = np.cumsum(new) - 1
+    shared = count[list_of] > 1
+    mine = np.argsort(owner[shared], kind="stable")
+    lists = list_of[shared][mine]
+    cut = np.searchsorted(owner[shared][mine], np.arange(len(sets) + 1))
+    label, asked, found = np.unique(label, return_inverse=True)[1], np.zeros(len(sets), bool), []
+    while True:
+        left = np.flatnonzero(~asked)
+        if not len(left):
+            break
+        others = left[label[left] != np.bincount(label[left]).argmax()]
+        if not len(others):
+            break
+        x = others[0]
+        asked[x] = True
+        some = lists[cut[x] : cut[x + 1]]
+        each = count[some]
+        at = np.repeat(start[some] - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum()) if len(some) else some
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((100 * both >= percent * (sizes[x] + sizes - both)) & (label != label[x]))
+        if len(near):
+            met, first = np.unique(label[near], return_index=True)
+            found += [(int(x), int(y)) for y in near[first]]
+            label[np.isin(label, met)] = label[x]
+    return found
+
+
+def verify(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, block, cls, n, label) with their token sets -> (a, b): links that connect the components of each block.
+
+    Rows of a block come one after another, so a task holds one block at a time; labels name components known before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        held: dict[int, tuple[bytes, int, int]] = {}
+        now = None
+
+        def links() -> tuple[list[int], list[int]]:
+            if len(held) < 2 or len({x[2] for x in held.values()}) < 2:
+                return [], []
+            classes = list(held)
+            pairs = forest([unpack(x[0]) for x in held.values()], np.array([x[2] for x in held.values()]), np.array([x[1] for x in held.values()], np.int64))
+            return [classes[x] for x, _ in pairs], [classes[y] for _, y in pairs]
+
         for batch in batches:
-            found = [shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_id(t) for t in found], pa.int64()), pa.array([len(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())],
-                names=["cls", "n", "tokens"],
-            )
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, n long, tokens binary")
-
-
-def linked_classes(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(id, component) of classes that link with others; None where no group is."""
-    members = groups.filter("NOT first").count()
-    if not members:
-        return None
-    links = parts = None
-    first, groups = groups.filter("first").drop("first"), groups.filter("NOT first").drop("first")
-    while True:
-        rows = groups if first is None else first
-        now = rows.withColumn("part", F.col("cls"))
-        if parts is not None:
-            now = rows.join(parts.select(F.col("id").alias("cls"), F.col("component").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-        each = now.groupBy("gid", "part").agg(F.count("*").alias("c"))
-        sums = each.groupBy("gid").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("parts"))
-        open_groups = materialize(sums.filter("parts > 1").select("gid", ((F.col("g") * F.col("g") - F.col("same")) / 2).alias("left")), "open")
-        left = open_groups.agg(F.sum("left")).first()[0]
-        if not left and first is None:
-            return parts
-        now = materialize(now.join(open_groups.select("gid"), "gid"), "members")
-        direct = first is None and left <= DIRECT * members
-        if direct:
-            other = now.select("gid", F.col("cls").alias("b"), F.col("part").alias("q"))
-            pairs = now.join(other, "gid").filter("part <> q AND cls < b").select(F.col("cls").alias("a"), "b").distinct()
-        else:
-            hubs = materialize(now.groupBy("gid").agg(F.min(F.struct("rank", "cls", "part")).alias("hub")), "hubs")
-            spokes = now.join(hubs, "gid").filter("cls <> hub.cls AND part <> hub.part")
-            pairs = spokes.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
-        new = materialize(verify(pairs, sets), "links")
-        links = new if links is None else links.unionByName(new)
-        parts = materialize(connected_components(links), "parts")
-        if direct:
-            return parts
-        if first is None:
-            groups = materialize(now.join(hubs, "gid").filter("cls <> hub.cls").select("gid", "cls", "rank"), "groups")
-        first = None
-
-
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    described = materialize(describe(docs, id_col, text_col), "described")
-    rows = described.filter("slice IS NULL").select("id", "n", "cls")
+            a, b = [], []
+            for grp, block, cls, n, label, tokens in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if (grp, block) != now:
+                    x, y = links()
+                    a += x
+                    b += y
+                    held.clear()
+                    now = (grp, block)
+                held[cls] = (tokens.as_py(), n, label)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = links()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = dealt.join(sets, "cls").select("grp", "block", "cls", "n", "label", "tokens")
+    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "cls").mapInArrow(run, "a long, b long")
+
+
+def linked_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, component) of classes that link with others."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    groups = small(members.groupBy("grp").agg(F.count("*").alias("c"), F.min("cls").alias("least"), blocks.alias("blocks")).filter("c > 1"), "groups")
+    dealt = members.join(groups, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    first = write_out(dealt, "dealt")
+    everywhere = F.when(F.col("cls") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    once = first.withColumn("block", F.explode(everywhere)).withColumn("label", F.col("cls"))
+    links = write_out(verify(once, sets), "links")
+    parts = connected_components(links)
+    wide = first.filter("blocks > 1")
+    if not groups.filter("blocks > 1").limit(1).count():
+        drop(first, groups)
+        return parts
+    labelled = wide.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select("grp", "cls", "n", "blocks", "own", F.coalesce("component", "cls").alias("label"))
+    labelled = write_out(labelled, "labelled")
+    tally = labelled.groupBy("grp", "label").agg(F.count("*").alias("c"))
+    most = tally.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
+    # sets outside the largest component, in blocks of their own; each of them meets every block of the group
+    rest = small(most.filter("all > most.c").select("grp", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK_SETS).cast("int").alias("outer")), "rest")
+    both = labelled.join(rest, "grp")
+    asks = (F.col("label") != F.col("main")).cast("int")
+    mine = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("outer")).cast("int")
+    as_other = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda k: k * F.col("blocks") + F.col("own"))
+    as_asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: mine * F.col("blocks") + k)
+    places = F.when(asks == 1, F.array_union(as_other, as_asking)).otherwise(as_other)
+    again = both.withColumn("block", F.explode(places)).select("grp", "block", "cls", "n", "label")
+    more = write_out(verify(again, sets).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), "more")
+    drop(first, groups, labelled, rest, links)
+    return connected_components(more)
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; with ``key_col`` also it and ``component``, which tells components of equal or null ids apart."""
+    bits = sketch_bits(docs, text_col)
+    described = write_out(describe(docs, bits, id_col, text_col, key_col), "described")
+    rows = described.filter("slice IS NULL").select("id", "key", "n", "cls")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    met = materialize(index(docs, frequent_cells(described, total), text_col), "met")
-    groups = materialize(candidate_groups(met), "groups")
+    met = write_out(index(docs, frequent_cells(described, total, bits), text_col), "met")
+    members = write_out(candidate_groups(met), "members")
+    drop(met)
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
-    # one document for each class that shares a signature with another
-    wanted = materialize(groups.select("cls").distinct().join(classes, "cls").select("rep"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    sets = materialize(token_sets(texts.join(wanted, "rep", "left_semi")), "sets")
-    parts = linked_classes(groups, sets)
-    if parts is None:
-        whole = classes.select("cls", F.col("rep").alias("component_id"))
-    else:
-        named = classes.join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        whole = named.join(least, "component").select("cls", "component_id")
-    mine = rows.join(whole.withColumn("has", F.lit(1)), (rows["cls"] == whole["cls"]) & (rows["n"] > 0), "left")
-    return mine.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # one document at least for each class that shares a signature with another
+    wanted = small(members.select("cls").distinct().join(classes, "cls").select("rep").distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
+    sets = write_out(token_sets(texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep")), "left_semi")), "sets")
+    parts = write_out(linked_classes(members, sets), "parts")
+    drop(members, wanted, sets)
+    named = classes.join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    whole = named.join(least, "component").select("cls", "component", "component_id")
+    mine = rows.join(whole, (rows["cls"] == whole["cls"]) & (rows["n"] > 0), "left")
+    linked = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), linked.alias("component_id")]
+    return mine.select(*out, *([] if key_col is None else [F.col("key").alias(key_col), "component"]))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import bounded_batches, materialize, table
+from kgspark.llm.common import bounded_batches, table
 from kgspark.llm.tokens import END_ID, crc, default_tokenizer, encoder
+from kgspark.sources.scratch import write_out
 
 CAPACITY = 4096
 #: Pieces of one length that are ranked in one sorted group, about.
@@ -159,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
-    return pack(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(write_out(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import materialize, table
+from kgspark.llm.common import table
+from kgspark.sources.scratch import write_out
 
 KEYS = "|".join("".join(f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token", "api")) + "_?[kK][eE][yY]"
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -118,9 +119,9 @@ def log_ratio() -> Column:
 
 def scan(docs: DataFrame, odds: float = ODDS, id_col: str = "doc_id") -> DataFrame:
     """(id, h, spans array<struct<start, kind, end>>) of the texts that have any; h is xxhash64 of the text."""
-    spans = materialize(find_spans(docs, id_col), "spans")
+    spans = write_out(find_spans(docs, id_col), "spans")
     markov = KINDS.index("markov")
-    tokens = materialize(
+    tokens = write_out(
         spans.filter(F.col("kind") == markov).groupBy("token", F.col("touched").alias("secret")).agg(F.count("*").alias("n")), "tokens"
     )
     model = train_models(tokens)

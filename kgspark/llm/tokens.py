@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import bounded_batches, new_folder, posix, single_thread_tokenizers, table
+from kgspark.llm.common import bounded_batches, posix, single_thread_tokenizers, table
+from kgspark.sources.scratch import new_folder
 
 END_ID = 1
 #: Words whose ids a worker remembers, in each of two generations.

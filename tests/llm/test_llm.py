@@ -8,12 +8,14 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.llm import embedding_dedup, fingerprints, html_extraction, licenses, mixing, ngram_join, packing, quality, secrets, tokens
 from kgspark.llm.common import n_words
 from kgspark.llm.html_blocks import blocks
+from kgspark.llm.shingles import _tables, shingle_sets
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -168,10 +170,10 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("direct", [30, 0])
-def test_ngram_join(spark, monkeypatch, direct):
-    """At once, and by hub rounds to the end."""
-    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+@pytest.mark.parametrize("block", [384, 3])
+def test_ngram_join(spark, monkeypatch, block):
+    """Whole groups, and groups in many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     r = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     rows, passage = [], " ".join(r.choice(words) for _ in range(60))
@@ -190,7 +192,7 @@ def test_ngram_join(spark, monkeypatch, direct):
 
 
 def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "frequent_cells", lambda described, total: np.full((1 << ngram_join.SKETCH_BITS) // 8, 255, np.uint8))
+    monkeypatch.setattr(ngram_join, "frequent_cells", lambda described, total, bits: np.full((1 << bits) // 8, 255, np.uint8))
     r = random.Random(8)
     rows = []
     for _ in range(6):
@@ -206,7 +208,7 @@ def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
 
 def test_prefixes_keep_every_link():
     r = np.random.default_rng(4)
-    for frequent in (np.zeros((1 << ngram_join.SKETCH_BITS) // 8, np.uint8), r.integers(0, 256, (1 << ngram_join.SKETCH_BITS) // 8, np.uint8)):
+    for frequent in (np.zeros((1 << ngram_join.LEAST_BITS) // 8, np.uint8), r.integers(0, 256, (1 << ngram_join.LEAST_BITS) // 8, np.uint8)):
         for _ in range(300):
             n = int(r.integers(4, 300))
             x = r.integers(0, 1 << 63, n, np.uint64)
@@ -223,6 +225,50 @@ def test_prefixes_keep_every_link():
                     assert free or len(np.intersect1d(mine, theirs)) >= least
 
 
+@pytest.mark.parametrize("block", [384, 40])
+def test_ngram_join_family_of_near_copies(spark, monkeypatch, block):
+    """One large family whose members are not all near one another, some of them near none."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    r = random.Random(3)
+    base = [f"f{k}" for k in range(150)]
+    rows = []
+    for k in range(260):
+        text = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            text[r.randrange(len(text))] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_ngram_join_null_and_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (5, text + " more"), (7, "other words of seven here now"), (7, text), (None, "a b"), (None, "a b"), (9, "a B")]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect() if r["doc_id"]) == [(False, 5, 57, 5), (False, 7, 2, 7), (False, 7, 56, 5), (False, 9, 1, 9)]
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got.collect() if r["doc_id"] is None) == [(1, 9), (1, 9), (56, 5)]
+    alone = ngram_join.components(spark.createDataFrame([(None, text), (None, text + " x")], "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in alone] == [None, None]
+
+
+def test_shingle_sets_of_odd_texts(monkeypatch):
+    r = random.Random(1)
+    texts = [None, "", " ", "a", "A b", "a b c d e", "a b c d e f", " x\ny\tz  ", "\x0bq\x0c ü Ü É A", "a\x00b c d e f g"]
+    texts += ["".join(r.choice("abAB \t\nü ") for _ in range(r.randrange(80))) for _ in range(800)]
+    for stretch in (1 << 20, 16, 7):
+        monkeypatch.setattr("kgspark.llm.shingles.STRETCH", stretch)
+        _tables.cache_clear()
+        got = shingle_sets(pa.array([*texts, "skipped"], pa.string()).slice(0, len(texts)), 5)
+        by_set, by_hash = {}, {}
+        for text, found in zip(texts, got, strict=True):
+            want = shingles(text)
+            assert len(found) == len(want)
+            assert by_hash.setdefault(found.tobytes(), want) == want and by_set.setdefault(want, found.tobytes()) == found.tobytes()
+    monkeypatch.undo()
+    _tables.cache_clear()
+
+
 def test_ngram_join_odd(spark, odd, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(odd).collect()}
     assert got == brute_components([(i, t) for i, t, *_ in ODD])
