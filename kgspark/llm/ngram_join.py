@@ -51,7 +51,7 @@ from kgspark.sources.scratch import drop, write_out
 
 SHINGLE, PERCENT = 5, 80
 #: The sketch has a cell for so many bytes of text, within these powers of two; a row of it holds SLICE cells.
-CELL_BYTES, LEAST_BITS, MOST_BITS, SLICE = 1024, 20, 24, 1 << 16
+CELL_BYTES, LEAST_BITS, MOST_BITS, SLICE = 256, 20, 24, 1 << 16
 #: Tasks whose sketches are summed in one group before the last sum.
 MERGED = 256
 #: A cell is frequent when it holds this many tokens more than the mean cell could by chance.
@@ -61,7 +61,7 @@ CLASS_TOKENS = 20
 #: Sets under this size link with equal sets only.
 LEAST_SIZE = 4
 #: Percent of a set by which a prefix of rare tokens is extended.
-EXTRA = 5
+EXTRA = 10
 #: Sets and tokens of a block of a group.
 BLOCK_SETS, BLOCK_TOKENS = 384, 400_000
 
@@ -310,14 +310,17 @@ def candidate_groups(met: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(cls, tokens binary) of documents, a token in six bytes; equal sets once."""
+    """(cls, tokens binary) of documents, a token in six bytes; equal sets once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = shingle_sets(batch.column(0), SHINGLE)
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(class_id, found)), pa.int64()), pa.array(list(map(pack, found)), pa.binary())], names=["cls", "tokens"])
+            found = {class_id(s): s for s in shingle_sets(batch.column(0), SHINGLE)}
+            new = [c for c in found if c not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([pack(found[c]) for c in new], pa.binary())], names=["cls", "tokens"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, tokens binary")
 
 
 def forest(sets: list[np.ndarray], label: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -391,7 +394,7 @@ def verify(dealt: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = links()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    rows = dealt.join(sets, "cls").select("grp", "block", "cls", "n", "label", "tokens")
+    rows = sets.join(dealt, "cls").select("grp", "block", "cls", "n", "label", "tokens")
     return rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "cls").mapInArrow(run, "a long, b long")
 
 
@@ -402,8 +405,9 @@ def linked_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = members.join(groups, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     first = write_out(dealt, "dealt")
     everywhere = F.when(F.col("cls") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    once = first.withColumn("block", F.explode(everywhere)).withColumn("label", F.col("cls"))
+    once = small(first.withColumn("block", F.explode(everywhere)).select("grp", "block", "cls", "n", F.col("cls").alias("label")), "once")
     links = write_out(verify(once, sets), "links")
+    drop(once)
     parts = connected_components(links)
     wide = first.filter("blocks > 1")
     if not groups.filter("blocks > 1").limit(1).count():
@@ -421,9 +425,9 @@ def linked_classes(members: DataFrame, sets: DataFrame) -> DataFrame:
     as_other = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda k: k * F.col("blocks") + F.col("own"))
     as_asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: mine * F.col("blocks") + k)
     places = F.when(asks == 1, F.array_union(as_other, as_asking)).otherwise(as_other)
-    again = both.withColumn("block", F.explode(places)).select("grp", "block", "cls", "n", "label")
+    again = small(both.withColumn("block", F.explode(places)).select("grp", "block", "cls", "n", "label"), "again")
     more = write_out(verify(again, sets).unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))), "more")
-    drop(first, groups, labelled, rest, links)
+    drop(first, groups, labelled, rest, again, links)
     return connected_components(more)
 
 
