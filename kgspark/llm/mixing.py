@@ -8,7 +8,7 @@ buckets whose sums are prefix-summed, so only the one bucket that holds the cut
 Defined cases: a null size counts 0 and a null source is a source of its own, after all others. A null
 or non-positive quality weight counts as the smallest one. Repeated rows are separate documents with
 equal keys. Sources of size 0 get target 0. An empty table gives an empty result. Columns of the input
-are kept; those of the names returned here are replaced.
+named in ``keep`` are carried along; those of the names returned here are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import HASH52_SQL, hash52, n_words, table
+from kgspark.llm.common import HASH52_SQL, hash52, n_words, small, table
 from kgspark.sources.scratch import write_out
 
 #: Buckets to each doubling of the key; a bucket then holds about 0.2 % of a source's documents at most.
@@ -77,8 +77,10 @@ def mix_sources(
     """One row per document: id, size, source_size, target (its source's), copies, taken.
 
     ``weights`` maps (source, source_size) rows to rows with source_weight added. ``keep`` names further
-    columns of the input to carry along (None: all of them, read from a second scan).
+    columns of the input to carry along (None: all of them); they are written with the keys, so no row is joined back.
     """
+    added = {"size", "source_size", "target", "copies", "taken", id_col}
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
     u = (hash52(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) + F.lit(0.5)) / F.lit(float(1 << 52))
     slim = write_out(
         docs.select(
@@ -86,6 +88,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.coalesce(size, F.lit(0)).cast("long").alias("size"),
             (-F.log(u) / F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(LEAST_WEIGHT))).alias("key"),
+            *([F.struct(*kept).alias("_kept")] if kept else []),
         ).withColumn("bucket", F.floor(F.log2("key") * RESOLUTION)),
         "mix",
     )
@@ -113,7 +116,7 @@ def mix_sources(
             F.max(F.when(F.col("start") < F.col("rest"), F.struct("bucket", "start"))).alias("cut"),
         )
     )
-    planned = slim.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select(
+    planned = slim.alias("s").join(small(cut, "cut").alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select(
         "s.*", "source_size", "target", "epochs", "rest", "cut"
     )
     in_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
@@ -123,15 +126,9 @@ def mix_sources(
         "_more", F.col("cut.start") + F.sum("size").over(ordered) - F.col("size") / 2 < F.col("rest")
     )
     copies = F.col("epochs") + F.col("_more").cast("long")
-    taken = sure.unionByName(at_cut).select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    return sure.unionByName(at_cut).select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col("_kept")[c].alias(c) for c in kept]
     )
-    if keep == ():
-        return taken
-    added = {"size", "source_size", "target", "copies", "taken"}
-    wanted = [c for c in (docs.columns if keep is None else (id_col, *keep)) if c not in added]
-    chosen = taken.groupBy(F.col(id_col).alias("_id")).agg(*[F.first(c).alias(c) for c in sorted(added)])
-    return docs.select(*wanted).join(chosen, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def op10_mixing_sources(spark, sf_dir: str) -> DataFrame:

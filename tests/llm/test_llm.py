@@ -6,6 +6,7 @@ import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -564,3 +565,55 @@ def test_pipeline_against_its_stages(spark):
     names = sorted(total)
     for s, target in zip(names, brute_targets([total[s] for s in names], [1 + k % 3 for k in range(len(names))]), strict=True):
         assert abs(words.get(s, 0) - target) <= max(len(r["text"].split()) for r in left.values() if r["source"] == s)
+
+
+STAGE_ROWS = [
+    (None, "password = hunter2222 in a text of the words of one", None, None, None),
+    (None, "one clean text of some words that stays here alone", "en", "a", None),
+    (None, "one clean text of some words that stays here alone", "en", "a", None),
+    (3, "one clean text of some words that stays here alone", "en", "b", None),
+    (3, "another text of the same id as the one above", "en", "b", None),
+    (4, "a text that is twice in the table as it is", "en", "b", 7),
+    (4, "a text that is twice in the table as it is", "en", "b", 7),
+    (5, None, None, None, None),
+    (5, None, None, None, None),
+    (6, "", "en", "a", 0),
+    (7, "long " * 30_000, "en", "a", 0),
+    (8, "token = abcdefgh0123456789", "en", "b", 0),
+    (8, "the same id as a text with a secret in it", "en", "b", 0),
+]
+
+
+def labelled_folder(tmp_path, spark):
+    path = str(tmp_path / "tables")
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def as_rows(df):
+    return sorted(df.collect(), key=str)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    folder = labelled_folder(tmp_path, spark)
+    docs = frame(spark, STAGE_ROWS, extra=True).withColumn("_row", F.lit(1)).withColumn("copies", F.lit(2))
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        assert {r["size"] for r in got.collect()} <= {"x"}
+        assert stage(spark, docs.limit(0), folder).columns == docs.columns and not stage(spark, docs.limit(0), folder).count()
+    one = Counter((r["doc_id"], r["text"]) for r in p.keep_one_of_each(spark, docs, folder).collect())
+    assert one == Counter([(i, t) for i, t, *_ in [STAGE_ROWS[0], *STAGE_ROWS[3:6], *STAGE_ROWS[7:]]])
+    clean = Counter((r["doc_id"], r["text"]) for r in p.drop_secrets(spark, docs, folder).collect())
+    assert clean == Counter([(i, t) for i, t, *_ in STAGE_ROWS if "= " not in (t or "")])
+    scores = {r["text"]: r["predicted"] for r in quality.score(docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")), id_col="text").collect()}
+    good = Counter((r["doc_id"], r["text"]) for r in p.keep_good(spark, docs, folder).collect())
+    assert good == Counter([(i, t) for i, t, *_ in STAGE_ROWS if scores[t]])
+    mixed = Counter((r["doc_id"], r["text"]) for r in p.mix(spark, docs, folder).collect())
+    want = mixing.mix_sources(docs, n_words(F.col("text")), mixing.quality_weight(F.col("text")), keep=("text",)).collect()
+    assert mixed == Counter({(r["doc_id"], r["text"]): 0 for r in want}) + Counter([(r["doc_id"], r["text"]) for r in want for _ in range(r["copies"])])
+    packed = p.pack(spark, docs, folder).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, *_ in STAGE_ROWS)
+    assert p.pack(spark, docs.limit(0), folder).count() == 0
