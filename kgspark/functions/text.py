@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: The category of each named-entity label; labels of None are dropped, others are a Concept.
 CATEGORIES = {
-    "PERSON": "Person", "NORP": "Group", "FAC": "Place", "ORG": "Organization", "GPE": "Place", "LOC": "Place", "PRODUCT": "Product", "EVENT": "Event",
-    "WORK_OF_ART": "Work", "LAW": "Law", "LANGUAGE": "Concept", "PERCENT": "Metric", "MONEY": "Metric", "QUANTITY": "Metric",
+    "PERSON": "Person", "ORG": "Organization", "GPE": "Place", "LOC": "Place", "FAC": "Place", "EVENT": "Event", "NORP": "Organization",
+    "PRODUCT": "Resource", "LAW": "Law", "WORK_OF_ART": "Document", "LANGUAGE": "Concept", "MONEY": "Metric", "QUANTITY": "Metric", "PERCENT": "Metric",
     "DATE": None, "TIME": None, "CARDINAL": None, "ORDINAL": None,
 }
 #: English words without meaning of their own.

@@ -11,11 +11,17 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entity categories, causal families, evidence strengths, magnitudes and required files.
-CATEGORIES = ["Person", "Organization", "Place", "Concept", "Event", "Technology", "Product", "Law", "Agreement", "Process", "Metric", "Work", "Group", "Other"]
-STRENGTHS = ["established", "supported", "suggestive", "contested"]
+#: Entity categories, causal classes, evidence strengths, magnitudes, required files, fields of an extraction.
+CATEGORIES = ["Person", "Organization", "Place", "Event", "Concept", "System", "Process", "Technology", "Law", "Agreement", "Metric", "Document", "Resource", "Other"]
+CAUSAL_CLASSES = [
+    "CAUSES", "ENABLES", "BLOCKS", "INFLUENCES", "DEPENDS_ON", "CONTRADICTS", "SUPPORTS", "PRECEDES",
+    "COMPETES_WITH", "COOPERATES_WITH", "REGULATES", "TRANSFORMS", "PRODUCES", "CONSUMES", "IMPLEMENTS",
+]
+STRENGTHS = ["established", "claimed", "disputed", "speculative"]
 MAGNITUDES = ["foundational", "significant", "marginal"]
-FILES = ["source.md", "02_placement.json", "03_nlp_entities.json", "04_all_entities.json", "05_embeddings.json", "06_extraction.json"]
+FILES = ["01_html.html", "02_placement.json", "03_nlp_entities.json", "04_all_entities.json", "05_embeddings.json", "06_extraction.json"]
+TOP_LEVEL = ["project", "relationships", "causal_chains"]
+PROJECT_FIELDS = ["name", "unique_id", "summary", "narrative_flow", "tags"]
 KEBAB = "^[a-z0-9]+(-[a-z0-9]+)*$"
 
 Rule = tuple[str, Column, Column | str]
@@ -28,6 +34,10 @@ def check_rows(rows: DataFrame, file: str, rules: Iterable[Rule], severity: str
     return found.select("project_id", F.lit(file).alias("file"), "m.rule", F.coalesce("m.message", F.lit("")).alias("message"), F.lit(severity).alias("severity"))
 
 
+def _blank(column: str) -> Column:
+    return F.coalesce(F.trim(column) == "", F.lit(True))
+
+
 def check_files(projects: DataFrame, files: DataFrame, importing: bool = False) -> DataFrame:
     """(project_id), (project_id, file): DIR_EMPTY without any file, FILE_MISSING for each required one; imports need no NLP file."""
     needed = [f for f in FILES if not (importing and f == "03_nlp_entities.json")]
@@ -80,34 +90,39 @@ def check_phases(phases: DataFrame) -> DataFrame:
 
 
 def check_entities(projects: DataFrame, entities: DataFrame, phases: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """(project_id, name, category, definition, first_appearance_index): at least one; fields, category, phase, no name twice in any case."""
+    """(project_id, name, category, definition, first_appearance_index): at least one; fields, category, a given phase must exist, each repetition of a name."""
     none = projects.select("project_id").join(entities, "project_id", "left_anti")
     known = phases.select("project_id", F.col("phase_index").alias("first_appearance_index")).distinct().withColumn("_known", F.lit(True))
-    n = F.count("*").over(Window.partitionBy("project_id", F.lower(F.trim("name"))))
+    n = F.row_number().over(Window.partitionBy("project_id", "name").orderBy("category", "definition"))
     rows = entities.withColumn("_n", n).join(known, ["project_id", "first_appearance_index"], "left")
     found = check_rows(rows, "04_all_entities.json", [
         ("ENTITY_FIELDS", F.coalesce(F.trim("name") == "", F.lit(True)) | F.coalesce(F.trim("definition") == "", F.lit(True)), "blank name or definition"),
         ("ENTITY_CATEGORY", ~F.coalesce(F.col("category").isin(categories or CATEGORIES), F.lit(False)), F.col("category")),
-        ("ENTITY_PHASE_MAP", F.col("_known").isNull(), F.concat(F.lit("no phase "), F.coalesce(F.col("first_appearance_index").cast("string"), F.lit("index")))),
-        ("ENTITY_DUPLICATE", F.col("_n") > 1, F.col("name")),
+        ("ENTITY_PHASE_MAP", F.col("first_appearance_index").isNotNull() & F.col("_known").isNull(), F.concat(F.lit("no phase "), F.col("first_appearance_index").cast("string"))),
+        ("ENTITY_DUPLICATE", (F.col("_n") > 1) & (F.trim("name") != ""), F.col("name")),
     ])
     return found.unionByName(check_rows(none, "04_all_entities.json", [("ENTITY_COUNT_MIN", F.lit(True), "no entities")]))
 
 
-def check_relations(projects: DataFrame, relations: DataFrame, entities: DataFrame, families: list[str]) -> DataFrame:
-    """(project_id, source, target, rel_type, causal, evidence, evidence_strength, magnitude, year); also the warning YEAR_MISSING."""
+def check_relations(projects: DataFrame, relations: DataFrame, entities: DataFrame, families: list[str] | None = None, strengths: list[str] | None = None) -> DataFrame:
+    """(project_id, source, target, rel_type, causal, evidence_strength, magnitude, year[, description, evidence]); also the warning YEAR_MISSING.
+
+    Columns source_entity and target_entity, where there are any, must be null.
+    """
     none = projects.select("project_id").join(relations, "project_id", "left_anti")
     names = entities.select("project_id", "name").distinct()
     rows = relations.join(names.select("project_id", F.col("name").alias("source"), F.lit(True).alias("_s")), ["project_id", "source"], "left").join(names.select("project_id", F.col("name").alias("target"), F.lit(True).alias("_t")), ["project_id", "target"], "left")
     found = check_rows(rows, "06_extraction.json", [
-        ("EXTRACT_REL_FIELDS", F.coalesce(F.trim("rel_type") == "", F.lit(True)), "blank type"),
-        ("EXTRACT_CAUSAL_CLASS", ~F.coalesce(F.col("causal").isin(families), F.lit(False)), F.col("causal")),
-        ("EXTRACT_EVIDENCE", ~F.coalesce(F.col("evidence_strength").isin(STRENGTHS), F.lit(False)), F.col("evidence_strength")),
+        *[("EXTRACT_REL_FIELDS", _blank(c), f"blank {c}") for c in ("source", "target", "rel_type", "description", "evidence") if c in relations.columns],
+        ("EXTRACT_REL_FIELDS", F.col("year").isNull(), "no year"),
+        *[("EXTRACT_REL_NAMES", F.col(c).isNotNull(), f"{c} in place of {c.removesuffix('_entity')}") for c in ("source_entity", "target_entity") if c in relations.columns],
+        ("EXTRACT_CAUSAL_CLASS", ~F.coalesce(F.col("causal").isin(families or CAUSAL_CLASSES), F.lit(False)), F.col("causal")),
+        ("EXTRACT_EVIDENCE", ~F.coalesce(F.col("evidence_strength").isin(strengths or STRENGTHS), F.lit(False)), F.col("evidence_strength")),
         ("EXTRACT_MAGNITUDE", ~F.coalesce(F.col("magnitude").isin(MAGNITUDES), F.lit(False)), F.col("magnitude")),
-        ("EXTRACT_ENTITY_MATCH", F.col("_s").isNull(), F.col("source")),
-        ("EXTRACT_ENTITY_MATCH", F.col("_t").isNull(), F.col("target")),
+        ("EXTRACT_ENTITY_MATCH", ~_blank("source") & F.col("_s").isNull(), F.col("source")),
+        ("EXTRACT_ENTITY_MATCH", ~_blank("target") & F.col("_t").isNull(), F.col("target")),
     ])
-    years = check_rows(relations, "06_extraction.json", [("YEAR_MISSING", F.coalesce(F.trim(F.col("year").cast("string")) == "", F.lit(True)), "no year")], "warning")
+    years = check_rows(relations, "06_extraction.json", [("YEAR_MISSING", F.trim(F.col("year").cast("string")) == "", "empty year")], "warning")
     return found.unionByName(years).unionByName(check_rows(none, "06_extraction.json", [("EXTRACT_REL_COUNT", F.lit(True), "no relations")]))
 
 
@@ -118,14 +133,80 @@ def check_evidence(relations: DataFrame, sources: DataFrame) -> DataFrame:
     return check_rows(rows, "06_extraction.json", [("EXTRACT_EVIDENCE_SOURCE", (F.col("_q") != "") & ~F.col("_t").contains(F.col("_q")), F.substring("_q", 1, 80))])
 
 
-def check_chains(links: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """(project_id, chain, source, target): ends are entities, and each link is a directed relation of the project."""
+def check_chains(links: DataFrame, relations: DataFrame, entities: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """(project_id, chain, source, target[, explanation]): texts, ends are entities, and each link is a directed relation of the project.
+
+    ``chains`` (project_id, chain, name[, description]): a chain has a name and at least one link, and no blank description.
+    """
     names = entities.select("project_id", "name").distinct()
     rels = relations.select("project_id", "source", "target").distinct().withColumn("_r", F.lit(True))
     rows = links.join(names.select("project_id", F.col("name").alias("source"), F.lit(True).alias("_s")), ["project_id", "source"], "left").join(names.select("project_id", F.col("name").alias("target"), F.lit(True).alias("_t")), ["project_id", "target"], "left").join(rels, ["project_id", "source", "target"], "left")
-    return check_rows(rows, "06_extraction.json", [
-        ("EXTRACT_CHAIN_MATCH", F.col("_s").isNull() | F.col("_t").isNull(), F.concat_ws(" > ", "source", "target")),
-        ("EXTRACT_CHAIN_EVIDENCE", F.col("_r").isNull(), F.concat_ws(" > ", "source", "target")),
+    found = check_rows(rows, "06_extraction.json", [
+        *[("EXTRACT_CHAIN_FIELDS", _blank(c), f"blank {c}") for c in ("source", "target", "explanation") if c in links.columns],
+        ("EXTRACT_CHAIN_MATCH", ~_blank("source") & F.col("_s").isNull(), F.col("source")),
+        ("EXTRACT_CHAIN_MATCH", ~_blank("target") & F.col("_t").isNull(), F.col("target")),
+        ("EXTRACT_CHAIN_EVIDENCE", ~_blank("source") & ~_blank("target") & F.col("_r").isNull(), F.concat_ws(" > ", "source", "target")),
+    ])
+    if chains is None:
+        return found
+    linked = links.select("project_id", "chain").distinct().withColumn("_l", F.lit(True))
+    said = [("EXTRACT_CHAIN_FIELDS", F.trim("description") == "", "blank description")] if "description" in chains.columns else []
+    return found.unionByName(check_rows(chains.join(linked, ["project_id", "chain"], "left"), "06_extraction.json", [
+        ("EXTRACT_CHAIN_FIELDS", _blank("name"), "blank name"),
+        ("EXTRACT_CHAIN_FIELDS", F.col("_l").isNull(), F.concat(F.lit("no links in "), F.coalesce("name", F.lit("")))),
+        *said,
+    ]))
+
+
+def check_project(extractions: DataFrame, placements: DataFrame) -> DataFrame:
+    """(project_id, raw JSON of an extraction), (project_id, unique_id): keys, the project's fields, its id, narrative and tags; types of the three parts."""
+    rows = extractions.join(placements.select("project_id", F.col("unique_id").alias("_placed")), "project_id", "left").withColumn("_v", F.try_parse_json("raw"))
+    part = lambda path: F.try_variant_get("_v", F.lit(path), "variant")
+    kind = lambda path: F.coalesce(F.regexp_extract(F.schema_of_variant(part(path)), "^[A-Z]+", 0), F.lit("missing"))
+    text = lambda path: F.when(kind(path) == "STRING", F.trim(F.try_variant_get("_v", F.lit(path), "string")))
+    empty = lambda path: F.coalesce(text(path) == "", F.lit(True))
+    odd = lambda path: F.exists(F.try_variant_get("_v", F.lit(path), "array<variant>"), lambda x: F.coalesce((F.schema_of_variant(x) != "STRING") | (F.trim(F.try_variant_get(x, F.lit("$"), "string")) == ""), F.lit(True)))
+    keys = F.json_object_keys("raw")
+    whole = F.coalesce(F.col("_v").isNotNull() & keys.isNotNull(), F.lit(False))
+    project = whole & (kind("$.project") == "OBJECT")
+    tags = project & (kind("$.project.tags") == "OBJECT")
+    wanted = F.array(*[F.lit(k) for k in TOP_LEVEL])
+    lacks = F.array_except(F.array(*[F.lit(k) for k in PROJECT_FIELDS]), F.json_object_keys(F.get_json_object("raw", "$.project")))
+    differs = project & (text("$.project.unique_id") != "") & (F.col("_placed") != "") & (text("$.project.unique_id") != F.trim("_placed"))
+    narrative, base = "$.project.narrative_flow", "$.project.tags.base_tags"
+    found = check_rows(rows, "06_extraction.json", [
+        ("JSON_PARSE", F.col("_v").isNull(), "not JSON"),
+        ("EXTRACT_TOPLEVEL", F.col("_v").isNotNull() & keys.isNull(), "not an object"),
+        ("EXTRACT_TOPLEVEL", whole & ((F.size(F.array_except(wanted, keys)) > 0) | (F.size(F.array_except(keys, wanted)) > 0)), F.concat_ws(", ", F.array_except(wanted, keys), F.array_except(keys, wanted))),
+        ("EXTRACT_PROJECT", whole & ~project, F.concat(F.lit("project is "), kind("$.project"))),
+        ("EXTRACT_PROJECT", project & (F.size(lacks) > 0), F.concat(F.lit("missing "), F.array_join(lacks, ", "))),
+        *[("EXTRACT_PROJECT", project & empty(f"$.project.{c}"), f"{c} is no text") for c in ("name", "unique_id", "summary")],
+        ("EXTRACT_ID_MATCH", differs, text("$.project.unique_id")),
+        ("EXTRACT_NARRATIVE", project & (kind(narrative) != "ARRAY"), F.concat(F.lit("narrative_flow is "), kind(narrative))),
+        ("EXTRACT_NARRATIVE", project & (kind(narrative) == "ARRAY") & odd(narrative), "an item of narrative_flow is no text"),
+        ("EXTRACT_TAGS", project & ~tags, F.concat(F.lit("tags is "), kind("$.project.tags"))),
+        *[("EXTRACT_TAGS", tags & empty(f"$.project.tags.{c}"), f"{c} is no text") for c in ("domain", "subdomain")],
+        ("EXTRACT_TAGS", tags & ((kind(base) != "ARRAY") | F.coalesce(F.size(F.try_variant_get("_v", F.lit(base), "array<variant>")) == 0, F.lit(True)) | F.coalesce(odd(base), F.lit(False))), "base_tags holds no texts"),
+        ("EXTRACT_REL_COUNT", whole & ~kind("$.relationships").isin("ARRAY", "missing"), F.concat(F.lit("relationships is "), kind("$.relationships"))),
+        ("EXTRACT_CHAIN_COUNT", whole & ~kind("$.causal_chains").isin("ARRAY", "missing"), F.concat(F.lit("causal_chains is "), kind("$.causal_chains"))),
+    ])
+    return found.unionByName(check_rows(rows, "CROSS", [("CROSS_ID", differs, text("$.project.unique_id"))]))
+
+
+def check_embedding_file(files: DataFrame, dim: int = 384) -> DataFrame:
+    """(project_id, raw JSON): the object, its list, its model and dimensions."""
+    rows = files.withColumn("_v", F.try_parse_json("raw")).withColumn("_keys", F.json_object_keys("raw"))
+    kind = lambda path: F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get("_v", F.lit(path), "variant")), "^[A-Z]+", 0), F.lit("missing"))
+    whole = F.coalesce(F.col("_v").isNotNull() & F.col("_keys").isNotNull(), F.lit(False))
+    listed = whole & (kind("$.embeddings") == "ARRAY")
+    model = (kind("$.model") == "STRING") & (F.trim(F.try_variant_get("_v", F.lit("$.model"), "string")) != "")
+    size = (kind("$.dimensions") == "BIGINT") & (F.try_variant_get("_v", F.lit("$.dimensions"), "bigint") == dim)
+    return check_rows(rows, "05_embeddings.json", [
+        ("JSON_PARSE", F.col("_v").isNull(), "not JSON"),
+        ("EMBED_STRUCTURE", F.col("_v").isNotNull() & F.col("_keys").isNull(), "not an object"),
+        ("EMBED_STRUCTURE", whole & F.arrays_overlap("_keys", F.array(F.lit("entity_embeddings"), F.lit("project_embedding"))), "use the key embeddings"),
+        ("EMBED_STRUCTURE", whole & ~listed, F.concat(F.lit("embeddings is "), kind("$.embeddings"))),
+        ("EMBED_STRUCTURE", listed & ~F.coalesce(model & size, F.lit(False)), "model or dimensions"),
     ])
 
 

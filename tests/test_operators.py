@@ -187,6 +187,51 @@ def rules(df):
     return sorted(r["rule"] for r in df.collect())
 
 
+GOOD = {
+    "project": {"name": "n", "unique_id": "p", "summary": "s", "narrative_flow": ["one"], "tags": {"domain": "d", "subdomain": "e", "base_tags": ["t"]}},
+    "relationships": [], "causal_chains": [],
+}
+
+
+@pytest.mark.parametrize(
+    ("change", "rules"),
+    [
+        ({}, []),
+        ({"more": 1}, ["EXTRACT_TOPLEVEL"]),
+        ({"project": []}, ["EXTRACT_PROJECT"]),
+        ({"project": {**GOOD["project"], "summary": 3}}, ["EXTRACT_PROJECT"]),
+        ({"project": {**GOOD["project"], "unique_id": "q"}}, ["CROSS_ID", "EXTRACT_ID_MATCH"]),
+        ({"project": {**GOOD["project"], "narrative_flow": "x"}}, ["EXTRACT_NARRATIVE"]),
+        ({"project": {**GOOD["project"], "narrative_flow": []}}, []),
+        ({"project": {**GOOD["project"], "narrative_flow": ["a", 1]}}, ["EXTRACT_NARRATIVE"]),
+        ({"project": {**GOOD["project"], "tags": {"domain": "d", "subdomain": "", "base_tags": []}}}, ["EXTRACT_TAGS", "EXTRACT_TAGS"]),
+        ({"project": {k: v for k, v in GOOD["project"].items() if k != "tags"}}, ["EXTRACT_PROJECT", "EXTRACT_TAGS"]),
+        ({"relationships": "x", "causal_chains": {}}, ["EXTRACT_CHAIN_COUNT", "EXTRACT_REL_COUNT"]),
+    ],
+)
+def test_check_project(spark, change, rules):
+    raw = json.dumps(GOOD | change)
+    found = V.check_project(spark.createDataFrame([("p", raw)], "project_id string, raw string"), spark.createDataFrame([("p", "p")], "project_id string, unique_id string"))
+    assert sorted(r["rule"] for r in found.collect()) == rules
+
+
+def test_validation_defaults(spark):
+    projects = spark.createDataFrame([("p",)], "project_id string")
+    entities = spark.createDataFrame([("p", f"e{k}", c, "d", None) for k, c in enumerate(V.CATEGORIES)] + [("p", "x", "Group", "d", 4), ("p", "e0", "Person", "d", None)], "project_id string, name string, category string, definition string, first_appearance_index int")
+    phases = spark.createDataFrame([("p", 0)], "project_id string, phase_index int")
+    assert sorted(r["rule"] for r in V.check_entities(projects, entities, phases).collect()) == ["ENTITY_CATEGORY", "ENTITY_DUPLICATE", "ENTITY_PHASE_MAP"]
+    rels = [("p", "e0", "e1", "t", "d", "q", c, s, "marginal", "ongoing", None) for c, s in zip(V.CAUSAL_CLASSES, V.STRENGTHS * 4, strict=False)]
+    rels += [("p", "e0", "e1", "t", "d", "", "CAUSES", "supported", "marginal", "", "e0")]
+    relations = spark.createDataFrame(rels, "project_id string, source string, target string, rel_type string, description string, evidence string, causal string, evidence_strength string, magnitude string, year string, source_entity string")
+    assert sorted(r["rule"] for r in V.check_relations(projects, relations, entities).collect()) == ["EXTRACT_EVIDENCE", "EXTRACT_REL_FIELDS", "EXTRACT_REL_NAMES", "YEAR_MISSING"]
+    links = spark.createDataFrame([("p", "c", "e0", "e1", ""), ("p", "c", "e1", "e0", "x"), ("p", "c", "e0", "zz", "x")], "project_id string, chain string, source string, target string, explanation string")
+    chains = spark.createDataFrame([("p", "c", "n", "d"), ("p", "d", "", " ")], "project_id string, chain string, name string, description string")
+    assert sorted(r["rule"] for r in V.check_chains(links, relations, entities, chains).collect()) == ["EXTRACT_CHAIN_EVIDENCE"] * 2 + ["EXTRACT_CHAIN_FIELDS"] * 4 + ["EXTRACT_CHAIN_MATCH"]
+    files = [json.dumps({"model": "m", "dimensions": 384, "embeddings": []}), "[]", "{", json.dumps({"model": "m", "dimensions": "384", "embeddings": []}), json.dumps({"project_embedding": 1})]
+    found = V.check_embedding_file(spark.createDataFrame([(str(k), f) for k, f in enumerate(files)], "project_id string, raw string")).collect()
+    assert sorted((r["project_id"], r["rule"]) for r in found) == [("1", "EMBED_STRUCTURE"), ("2", "JSON_PARSE"), ("3", "EMBED_STRUCTURE"), ("4", "EMBED_STRUCTURE"), ("4", "EMBED_STRUCTURE")]
+
+
 def test_validation_of_broken_artifacts(spark):
     projects = spark.createDataFrame([("p",)], "project_id string")
     good = json.dumps({"directory": "d", "project_name": "n", "unique_id": "p", "collection": "c", "collection_is_new": True})
