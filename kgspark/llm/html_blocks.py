@@ -9,8 +9,8 @@ from dataclasses import dataclass
 #: Elements without text of their own for a reader, those that hold plain text up to their end tag and those
 #: that hold elements; elements inside a line, elements without an end.
 RAW = frozenset("script style noscript iframe title textarea".split())
-SILENT = frozenset("template svg object select math canvas video audio".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("template svg object select canvas video audio".split())
+INLINE = frozenset("annotation math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that the start of another one ends.
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -19,7 +19,7 @@ SCOPES = frozenset("ul ol dl table".split())
 #: Silent elements in which HTML goes on as outside; those that an outer element's end tag does not reach out of.
 PLAIN, CLOSED_IN = frozenset("canvas video audio".split()), frozenset(["template"])
 #: Elements with rules of their own, elements in which HTML's rules hold again, and elements whose start ends the former.
-FOREIGN = frozenset(["svg", "math"])
+FOREIGN = frozenset(["svg"])
 WITHIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 BREAKOUT = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
@@ -29,8 +29,13 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul".split()
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: Open elements beyond this depth are not followed, and a block's path holds its outermost and innermost ones.
+DEPTH, PATH_ENDS = 512, 24
+
+# every part is possessive or consumes what it has read, so that reading takes time in proportion to the page
+_START = re.compile(r"<(?=[A-Za-z!?]|/[^>])")
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/[^A-Za-z])[^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""", re.S)
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -101,18 +106,23 @@ def blocks(page: str | None) -> list[Block]:
             said = " ".join(html.unescape("".join(text)).split())
             if said:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                out.append(Block(tuple(m for _, marks in stack for m in marks), said, min(1.0, linked / len(said))))
+                near = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+                out.append(Block(tuple(m for _, marks in near for m in marks), said, min(1.0, linked / len(said))))
             text.clear()
             links.clear()
 
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at and hidden is None:
-            piece = page[at : m.start()]
+    at, seek = 0, 0
+    while start := _START.search(page, seek):
+        if start.start() > at and hidden is None:
+            piece = page[at : start.start()]
             text.append(piece)
             if in_link:
                 links.append(piece)
-        at = m.end()
+        m = _TAG.match(page, start.start())
+        if not m:  # a tag that is cut off
+            at = len(page)
+            break
+        at = seek = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
@@ -129,10 +139,10 @@ def blocks(page: str | None) -> list[Block]:
                 continue
         if name in RAW and not m[1] and (hidden is None or _foreign(stack, hidden) < 0):
             end = _END[name].search(page, at)
-            at = end.end() if end else len(page)
+            at = seek = end.end() if end else len(page)
             continue
         if hidden is not None:
-            if not empty and name not in INLINE:
+            if not empty and name not in INLINE and len(stack) < DEPTH:
                 stack.append((name, ()))
             continue
         if name in SILENT and not m[1]:
@@ -166,10 +176,9 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in CLOSED_BY[name]:
                     del stack[k:]
                     break
-        if not empty:
+        if not empty and len(stack) < DEPTH:
             stack.append((name, _marks(name, m[3])))
     if hidden is None:
-        # what is left of a cut-off tag is no text
-        text.append(re.sub(r"<[/!?A-Za-z][^>]*\Z", "", page[at:]))
+        text.append(page[at:])
     flush()
     return out

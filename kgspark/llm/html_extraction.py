@@ -5,9 +5,12 @@ of its tag path (elements, words of classes, ids and roles, hashed), the mean of
 hashed words, and a few measures. A bidirectional LSTM, in numpy, reads the whole sequence, so that
 every block is labelled in the context of the page. Blocks labelled as main text are joined by blank lines.
 
-The model is trained when the query starts, on pages laid out at random from a table of page regions
-(which names mark menus, notices, comments and so on), filled with blocks of a sample of at most
-``SAMPLE_PAGES`` pages. Pages of the table have no labels and none are read.
+The model is trained when the query starts. Pages have no labels, so training pages are laid out at random
+from a table of page regions (menus, notices, comments and so on, with usual names). Their text is of a sample of at
+most ``SAMPLE_PAGES`` pages, at most ``SAMPLE_BLOCKS`` blocks of each: long blocks with few links and sentence ends go
+mostly to main regions, the others and usual phrases of menus and notices mostly to other regions. In a part of the
+training pages names are left out or replaced by unknown ones, so that elements, words, measures and the blocks
+around must decide there.
 
 Defined cases: a null or empty page gives empty text, as does one without main text; unclosed elements end
 where HTML ends them or with their parent; cut-off pages keep what came; repeated rows are extracted
@@ -31,7 +34,11 @@ from kgspark.llm.html_blocks import blocks
 PATHS, PATH_DIM, WORDS, WORD_DIM, MEASURES, HIDDEN = 1 << 12, 16, 1 << 12, 8, 4, 20
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 #: Bound on the pages that training text is taken from, and the number of pages laid out from it.
-SAMPLE_PAGES, TRAINING_PAGES, EPOCHS = 150, 700, 8
+SAMPLE_PAGES, SAMPLE_BLOCKS, TRAINING_PAGES, EPOCHS = 150, 40, 1200, 12
+#: Places (pages times the longest page's blocks) that are labelled at once.
+PLACES = 1 << 16
+#: Share of training pages without names, and of those with unknown ones.
+NAMELESS, RENAMED = 0.1, 0.1
 
 #: Elements and names of page regions, by whether their text is the article's.
 MAIN = [
@@ -49,6 +56,15 @@ OTHER = [
     "section .comments", "div .comments", "div .comment", "ol .comment list", "div .comment body", "div .replies", "div .discussion", "article .comment", "div .disqus thread", "li .comment", "ul .comments", "div .respond", "div .reviews", "section .discussion", "div .user comments", "div .reader comments", "div .feedback",
     "div .share", "div .social", "ul .social links", "div .sharing", "button", "menu", "div .skip link",
 ]
+#: Usual phrases of other regions.
+PHRASES = [
+    "Home", "About us", "Contact", "Log in", "Sign up", "Search", "Menu", "Skip to content", "Next page", "Previous", "Read more", "Share this article", "Follow us on social media",
+    "We use cookies to improve your experience on this site.", "Accept all cookies", "Privacy policy", "Terms of service", "All rights reserved.", "Copyright 2024", "Subscribe to our newsletter",
+    "Sign up for our weekly newsletter and never miss a story.", "Enter your email address", "Advertisement", "Sponsored content", "Buy now and save on your first order today!", "Related articles", "Most read", "Popular posts",
+    "Leave a comment", "Reply", "Great post, thanks for sharing!", "I agree with the author.", "Posted by admin", "3 comments", "Report this comment", "Tags", "Categories", "Archive", "You have reached your limit of free articles.",
+    "Accueil", "Contactez-nous", "Tous droits réservés.", "Nous utilisons des cookies.", "S'abonner à la newsletter", "Startseite", "Impressum", "Datenschutz", "Wir verwenden Cookies.", "Alle Rechte vorbehalten.", "Newsletter abonnieren",
+    "Inicio", "Contacto", "Todos los derechos reservados.", "Utilizamos cookies.", "Suscríbete al boletín",
+]
 LEAVES = ["p", "p", "p", "p", "p", "h2", "h3", "li", "blockquote", "pre", "div", "td", "figcaption", "dd"]
 
 
@@ -203,20 +219,38 @@ def train(pages: list[tuple[list, list[int]]], epochs: int = EPOCHS, rate: float
     return model
 
 
-def training_pages(texts: list[str], n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[list[tuple[tuple[str, ...], str, float]], list[int]]]:
+def is_prose(text: str, linked: float) -> bool:
+    """Whether a block may be of an article by its own looks."""
+    return linked < 0.3 and len(text.split()) >= 10 and any(c in text for c in ".!?")
+
+
+def training_pages(texts: list[tuple[str, float]], n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[list[tuple[tuple[str, ...], str, float]], list[int]]]:
     """Random layouts: regions around and inside a main one, each with blocks of the given texts."""
     random = np.random.default_rng(seed)
-    texts = texts or ["text"]
+    prose = [t for t, linked in texts if is_prose(t, linked)] or ["One sentence of a text that stands in an article."]
+    others = [t for t, linked in texts if not is_prose(t, linked)] or PHRASES
+    names: dict[str, str] | None = None  # of this page, where they are not the usual ones
 
     def pick(values: list) -> str:
         return values[random.integers(len(values))]
 
-    def marks(region: str) -> tuple[str, ...]:
-        tag, *names = region.split() or [""]
-        return (tag, *["." + w.lstrip(".") for w in names]) if tag else ()
+    def named(mark: str) -> str:
+        return names.setdefault(mark, f".x{random.integers(1 << 30)}") if names is not None else mark
+
+    def shown(path: tuple[str, ...]) -> tuple[str, ...]:
+        if names is not None and nameless:
+            return tuple(m for m in path if m[0] != ".")
+        return tuple(named(m) if m[0] == "." else m for m in path)
 
-    def said(short: bool) -> str:
-        words = pick(texts).split()
+    def marks(region: str) -> tuple[str, ...]:
+        tag, *words = region.split() or [""]
+        return (tag, *["." + w.lstrip(".") for w in words]) if tag else ()
+
+    def said(short: bool, main: bool) -> str:
+        # where names are known they decide, also about a phrase inside an article
+        if random.random() < ((0.15 if not main else 0.1) if names is None else (0.35 if not main else 0)):
+            return pick(PHRASES)
+        words = pick(prose if (random.random() < (0.55 if names is None else 0.9)) == main else others).split()
         if short:
             at = random.integers(len(words))
             return " ".join(words[at : at + random.integers(1, 8)]) or "text"
@@ -228,27 +262,34 @@ def training_pages(texts: list[str], n: int = TRAINING_PAGES, seed: int = 11) ->
             inner += pick([("div",), ("section",), ("div", ".inner"), ("div", ".container"), ("div", ".wrap")])
         if label:
             if random.random() < 0.7:
-                out.append((inner + ("h1",), said(random.random() < 0.5), 0.0))
+                out.append((inner + ("h1",), said(random.random() < 0.5, True), 0.0))
                 wanted.append(1)
             for _ in range(1 + min(40, int(random.exponential(6)))):
                 if random.random() < 0.06:
                     region(inner, pick(OTHER), 0, out, wanted)
                 leaf = pick(LEAVES)
                 holder = {"li": ("ul",), "td": ("table", "tr"), "dd": ("dl",), "figcaption": ("figure",)}.get(leaf, ())
-                out.append((inner + holder + (leaf,), said(random.random() < 0.2), float(random.random() < 0.05) * random.random()))
+                out.append((inner + holder + (leaf,), said(random.random() < 0.2, True), float(random.random() < 0.05) * random.random()))
                 wanted.append(1)
+            if random.random() < 0.08:  # a short line many times over
+                line, times = said(True, True), random.integers(5, 80)
+                out += [(inner + ("p",), line, 0.0)] * times
+                wanted += [1] * times
             if random.random() < 0.25:
                 region(inner, pick(OTHER), 0, out, wanted)
         else:
             for _ in range(1 + int(random.exponential(2.5))):
                 leaf = pick([("ul", "li"), ("p",), ("p",), (), ("h3",), ("div",), ("span",), ("label",), ("li",), ("article", ".comment", "p"), ("h2",)])
-                out.append((inner + leaf, said(random.random() < 0.6), float(random.random() < 0.5)))
+                out.append((inner + leaf, said(random.random() < 0.6, False), float(random.random() < 0.5)))
                 wanted.append(0)
 
     made = []
     for _ in range(n):
         out: list = []
         wanted: list[int] = []
+        draw = random.random()
+        nameless = draw < NAMELESS
+        names = {} if draw < NAMELESS + RENAMED else None
         above = ("html", "body") + pick([(), (), ("div", ".wrapper"), ("div", ".page"), ("div", ".container")])
         for _ in range(random.integers(0, 5)):
             region(above, pick(OTHER), 0, out, wanted)
@@ -257,16 +298,28 @@ def training_pages(texts: list[str], n: int = TRAINING_PAGES, seed: int = 11) ->
         for _ in range(random.integers(0, 5)):
             region(above, pick(OTHER), 0, out, wanted)
         if out:
-            made.append((out, wanted))
+            made.append(([(shown(path), text, linked) for path, text, linked in out], wanted))
     return made
 
 
+def sample_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[tuple[str, float]]:
+    """(text, linked share) of at most SAMPLE_BLOCKS blocks of each of at most SAMPLE_PAGES pages, chosen by their ids alone."""
+    bounded_batches(pages.sparkSession)
+    ids = pages.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PAGES)
+    some = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).join(F.broadcast(ids), "_id").select("_html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [b for page in batch.column(0).to_pylist() for b in blocks(page)[:SAMPLE_BLOCKS]]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(b.text.split()[:200]) for b in found], pa.string()), pa.array([b.linked for b in found], pa.float64())], names=["text", "linked"])
+
+    return sorted({(r["text"], r["linked"]) for r in some.mapInArrow(run, "text string, linked double").collect()})
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, np.ndarray]:
-    """Trains on laid-out pages with the blocks of at most SAMPLE_PAGES pages of the table."""
-    sample = pages.filter(F.length(html_col) < 50_000).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_PAGES).select(html_col).collect()
-    texts = sorted({b.text for r in sample for b in blocks(r[0])})
+    """Trains on laid-out pages with the text of sampled ones."""
     read = Reader()
-    return train([([read(*b) for b in page], wanted) for page, wanted in training_pages(texts)])
+    return train([([read(*b) for b in page], wanted) for page, wanted in training_pages(sample_texts(pages, id_col, html_col))])
 
 
 def extract(pages: DataFrame, model: dict[str, np.ndarray], html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -282,8 +335,11 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], html_col: str = "htm
             found = [blocks(p) for p in batch.column("_html").to_pylist()]
             texts = [""] * len(found)
             full = sorted((k for k, bs in enumerate(found) if bs), key=lambda k: len(found[k]))
-            for at in range(0, len(full), 64):
-                some = full[at : at + 64]
+            while full:
+                # pages of like length, as many as their padded places allow
+                longest = len(found[full[-1]])
+                some = full[-max(1, min(64, PLACES // longest)) :]
+                del full[-len(some) :]
                 chances = probabilities(known, [[read(b.path, b.text, b.linked) for b in found[k]] for k in some])
                 for k, chance in zip(some, chances, strict=True):
                     texts[k] = "\n\n".join(b.text for b, c in zip(found[k], chance, strict=True) if c >= 0.5)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -103,6 +104,11 @@ def test_blocks():
         ("<head><title>T</title><p>one", ["one"]),
         ("<p>a <svg width='1'/> b</p><p>c</p><svg><path/></svg><p>d</p>", ["a b", "c", "d"]),
         ("<p>a <math/> b</p><p>c</p>", ["a b", "c"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]),
+        ("<!--><p>one</p><!-- a --!><p>two</p><!-- cut", ["one", "two"]),
+        ("<p title=it's>one</p><p title='a>b' x=\"c>d\">two</p>", ["one", "two"]),
+        ("<p x=\"open>one</p><p>two", ["one", "two"]),
+        ("a < b <3 c </> d </3 e> f", ["a < b <3 c </> d f"]),
         ("<svg><g><title/><text>no</text></g><svg><text>no</text></svg><text>no</text></svg><p>one</p>", ["one"]),
         ("<div><svg><text>no</text><p>one</p></div><p>two</p>", ["one", "two"]),
         ("<svg><foreignObject><div>no</div></foreignObject></svg><p>one</p>", ["one"]),
@@ -139,13 +145,39 @@ def test_html_extraction_of_table(spark, labeller):
 def test_model_on_unseen_layouts(labeller):
     read = html_extraction.Reader()
     good = total = 0
-    for page, wanted in html_extraction.training_pages(["Some plain text here.", "Other words."], 60, seed=99):
+    for page, wanted in html_extraction.training_pages([("Some plain text here that is long enough to be an article.", 0.0), ("Other words.", 0.9)], 60, seed=99):
         chance = html_extraction.probabilities(labeller, [[read(*b) for b in page]])[0]
         good += int(((chance >= 0.5) == np.array(wanted, bool)).sum())
         total += len(wanted)
     assert good / total > 0.97
 
 
+def test_reading_takes_time_in_proportion():
+    for piece in ("<a ", "<p x='", "<div>a", "</script ", "<a x=\">\"", "<!", "<svg>", "<td>a", "</b", "<li><ul>x"):
+        began = time.process_time()
+        blocks(piece * (1_000_000 // len(piece)))
+        assert time.process_time() - began < 12, piece
+
+
+def test_unknown_names_and_words(labeller):
+    """Without known names, elements, words and context decide; words are of weight."""
+    prose = "The council met on Tuesday to talk about the new bridge, and many people came to hear it."
+    page = f"""<body><div class="zq1"><ul><li><a href=x>Home</a><li><a href=y>About us</a><li><a href=z>Contact</a></ul></div>
+    <div class="kk"><h1>A long title of the article</h1>{f"<p>{prose}</p>" * 6}</div><div class="vv"><p>We use cookies to improve your experience on this site.</p><p>All rights reserved.</p></div></body>"""
+    found, read = blocks(page), html_extraction.Reader()
+    kept = lambda model: [c >= 0.5 for c in html_extraction.probabilities(model, [[read(b.path, b.text, b.linked) for b in found]])[0]]
+    got = kept(labeller)
+    assert got[4:10] == [True] * 6 and not any(got[:3]) and not any(got[10:])
+    chance = lambda model: html_extraction.probabilities(model, [[read(b.path, b.text, b.linked) for b in found]])[0]
+    assert np.abs(chance(labeller) - chance({**labeller, "word": labeller["word"] * 0})).max() > 0.02
+
+
+def test_long_page(spark, labeller):
+    page = "<article>" + "<p>one two three.</p>" * 60_000 + "</article>"
+    got = html_extraction.extract(spark.createDataFrame([(1, "u", page), (2, "u", "<p>a</p>")], "page_id long, url string, html string"), labeller).collect()
+    assert len(got[0]["text"].split("\n\n")) == 60_000
+
+
 # 3 n-gram join
 
 
