@@ -2,7 +2,7 @@
 
 A vector is described by its nearest reference points (pivots), in order. Inverted lists hold, for each
 pivot, the vectors that have it among their nearest; two vectors of a list are candidates when they share
-at least ``min_shared`` pivots or have the same nearest one, and are linked when their cosine in double
+at least ``min_shared`` pivots (1: no pair of a list is left out) or have the same nearest one, and are linked when their cosine in double
 precision is at least ``threshold``. The pivots are a bounded sample of the vectors, twice the root of
 their number, less those near an earlier one (``APART``): a hot group of near copies so has few pivots,
 which all its vectors share, and is compared whole. Every vector is indexed.
@@ -31,7 +31,7 @@ from kgspark.llm.common import bounded_batches, table
 from kgspark.operators.components import connected_components
 from kgspark.sources.scratch import write_out
 
-THRESHOLD, NEAREST, MIN_SHARED = 0.9, 10, 2
+THRESHOLD, NEAREST, MIN_SHARED = 0.9, 10, 1
 #: Bounds of the number of pivots, and vectors in a block.
 LEAST_PIVOTS, MOST_PIVOTS, BLOCK = 32, 8192, 1500
 #: Cosine from which a sampled pivot is dropped for an earlier one.

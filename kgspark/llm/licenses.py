@@ -1,13 +1,15 @@
 """License scans, with DataFrame functions only.
 
-Lines that may state a licence are compared with licence texts by the cosine of sparse TF-IDF vectors;
-document frequencies are counted over all such lines of the corpus. Equal lines are scored once. A file's
-own licence is its best line's, where the cosine reaches ``LEAST_COSINE``. Files without one take that of
-the nearest directory above them that holds a licence file.
-
-Defined cases: a null text is empty and states nothing; a null path has no directories above it and
-inherits nothing; ties of cosine go to the licence first in code point order, ties of licence files in one
-directory to the first path; repeated rows are scanned alike; an empty table gives no rows.
+What may state a licence is compared with licence texts by the cosine of sparse TF-IDF vectors: each line, each
+paragraph (lines up to a blank one, comment marks aside, so a wrapped header is one) and the whole text. Those
+without any word of ``STATES`` are left out, as every template has one. Document frequencies are counted over all that
+are compared. Equal ones are scored once. A file's own licence is that of its best one, where the cosine reaches
+``LEAST_COSINE``. A file is a licence file where its whole text reaches ``FILE_COSINE``. Files without a licence of their own
+take that of the nearest directory above them that holds a licence file.
+
+Defined cases: a null text is empty and states nothing; texts of any length are compared whole; a null path has no
+directories above it and inherits nothing; ties of cosine go to the licence first in code point order, ties of licence
+files in one directory to the first path; repeated rows are scanned alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import small, table
 from kgspark.sources.scratch import write_out
 
-LEAST_COSINE = 0.5
-#: A text of at most this many lines that states a licence serves as its directory's licence file.
-FILE_LINES = 3
+#: Least cosine of what states a licence, and of the whole text of a licence file.
+LEAST_COSINE, FILE_COSINE = 0.5, 0.9
+#: Between paragraphs: blank lines, also ones with comment marks only.
+PARAGRAPH = r"\n[ \t\r]*(?:(?:#|//|\*|;|--)[ \t\r]*)?\n"
 
-#: Openings of public licence texts and usual short statements of them.
+#: Public licence texts, or their usual notices where the text is long, and short statements of them.
+BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 TEMPLATES = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
@@ -45,10 +50,20 @@ TEMPLATES = [
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", f"Copyright (c) All rights reserved. {BSD_START} {BSD_END}"),
+    ("BSD-3-Clause", f"Copyright (c) All rights reserved. {BSD_START} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_END}"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Apache-2.0", "Copyright Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without written permission of the copyright holder."),
 ]
-STATES = r"[lL][iI][cC][eE][nN][cCsS][eE]|[cC]opyright|COPYRIGHT|CC[ -]BY|[pP]ermission is hereby|[rR]edistribution and use|[pP]ublic [dD]omain|PUBLIC DOMAIN|[aA]ll rights reserved|ALL RIGHTS RESERVED"
+STATES = r"[lL][iI][cC][eE][nN][cCsS][eE]|[cC]opyright|COPYRIGHT|CC[ -]BY|[pP]ermission (?:is hereby|to use)|[rR]edistribution and use|[pP]ublic [dD]omain|PUBLIC DOMAIN|[aA]ll rights reserved|ALL RIGHTS RESERVED"
 
 
 def _tokens(line: Column) -> Column:
@@ -80,16 +95,18 @@ def score_lines(lines: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
 
 def own_licenses(files: DataFrame, key: str = "path", text_col: str = "text") -> DataFrame:
-    """(key, own_license, cosine, n_lines) of the files that state a licence."""
-    all_lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
+    """(key, own_license, cosine, is_license_file) of the files that state a licence."""
+    text = F.coalesce(text_col, F.lit(""))
+    whole = F.trim(text, F.lit(" \t\r\n"))
+    pieces = F.array_distinct(F.concat(F.array(whole), F.transform(F.split(text, PARAGRAPH), lambda v: F.trim(v, F.lit(" \t\r\n"))), F.transform(F.split(text, "\n"), lambda v: F.trim(v, F.lit(" \t\r\n")))))
     stated = files.filter(F.col(text_col).rlike(STATES)).select(
-        F.col(key).alias("key"), F.size(all_lines).alias("n_lines"), F.explode(F.filter(F.transform(all_lines, lambda v: F.trim(v)), lambda v: v.rlike(STATES))).alias("line")
+        F.col(key).alias("key"), F.posexplode(F.filter(pieces, lambda v: v.rlike(STATES))).alias("pos", "line")
     )
-    stated = write_out(stated, "stated")
+    stated = write_out(stated.select("key", (F.col("pos") == 0).alias("whole"), "line"), "stated")
     scored = score_lines(stated.groupBy("line").agg(F.count("*").alias("n")))
     found = stated.join(scored, "line")
-    return found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max("n_lines").alias("n_lines")).select(
-        F.col("key").alias(key), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), "n_lines"
+    return found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max(F.col("whole") & (F.col("cosine") >= FILE_COSINE)).alias("whole")).select(
+        F.col("key").alias(key), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.col("whole").alias("is_license_file")
     )
 
 
@@ -123,15 +140,19 @@ def op5_license_scans(spark, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(doc_id / 400).cast("string"), F.floor(doc_id / 20).cast("string"), doc_id.cast("string"))
     own = own_licenses(docs.select("doc_id", "text"), "doc_id")
     files = docs.select("doc_id", path.alias("path")).join(own, "doc_id", "left")
-    files = files.withColumn("is_license_file", F.coalesce(F.col("n_lines") <= FILE_LINES, F.lit(False)))
+    files = files.withColumn("is_license_file", F.coalesce("is_license_file", F.lit(False)))
     return inherit(files).select("doc_id", "path", "own_license", "cosine", "is_license_file", "license", "inherited_from")
 
 
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
 _TOKENS = "unnest(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'))"
 _IDF = "(ln((total + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1)"
+_TRIM = "trim({}, ' ' || chr(9) || chr(13) || chr(10))"
 SQL = f"""
-WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents WHERE regexp_matches(text, '{STATES}')),
+WITH d0 AS (SELECT doc_id, text, {_TRIM.format('text')} AS body FROM documents WHERE regexp_matches(text, '{STATES}')),
+x AS (SELECT doc_id, body AS line, true AS whole FROM d0
+  UNION SELECT doc_id, line, false FROM (SELECT doc_id, body, {_TRIM.format("unnest(string_split_regex(text, '" + PARAGRAPH + "'))")} AS line FROM d0) WHERE line <> body
+  UNION SELECT doc_id, line, false FROM (SELECT doc_id, body, {_TRIM.format("unnest(string_split(text, chr(10)))")} AS line FROM d0) WHERE line <> body),
 st AS (SELECT * FROM x WHERE regexp_matches(line, '{STATES}')),
 ln AS (SELECT line, count(*) AS n FROM st GROUP BY line),
 tt AS (SELECT sum(n) AS total FROM ln),
@@ -145,11 +166,11 @@ nm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM w GROUP BY line),
 dt AS (SELECT line, k, license, sum(w * v) AS dot FROM w JOIN kn USING (token) GROUP BY ALL),
 bs AS (SELECT line, license, round(max(dot) / any_value(norm), 6) AS cosine FROM dt JOIN nm USING (line) GROUP BY line, license),
 sc AS (SELECT line, license, cosine FROM bs QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, license) = 1),
-own AS (SELECT doc_id, license AS own_license, cosine, n_lines FROM st JOIN sc USING (line) WHERE cosine >= {LEAST_COSINE}
+own AS (SELECT doc_id, license AS own_license, cosine, bool_or(whole AND cosine >= {FILE_COSINE}) OVER (PARTITION BY doc_id) AS is_file FROM st JOIN sc USING (line) WHERE cosine >= {LEAST_COSINE}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
 f AS (SELECT d.doc_id, concat_ws('/', coalesce(source, ''), (d.doc_id // 400)::VARCHAR, (d.doc_id // 20)::VARCHAR, d.doc_id::VARCHAR) AS path,
   concat_ws('/', coalesce(source, ''), (d.doc_id // 400)::VARCHAR, (d.doc_id // 20)::VARCHAR) AS d2, concat_ws('/', coalesce(source, ''), (d.doc_id // 400)::VARCHAR) AS d1, coalesce(source, '') AS d0,
-  own_license, cosine, coalesce(n_lines <= {FILE_LINES}, false) AS is_license_file FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id),
+  own_license, cosine, coalesce(is_file, false) AS is_license_file FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id),
 h AS (SELECT d2 AS above, arg_min(own_license, path) AS from_above FROM f WHERE is_license_file AND own_license IS NOT NULL GROUP BY d2)
 SELECT doc_id, path, own_license, cosine, is_license_file, coalesce(own_license, a.from_above, b.from_above, c.from_above) AS license,
   CASE WHEN own_license IS NULL THEN coalesce(a.above, b.above, c.above) END AS inherited_from

@@ -362,17 +362,17 @@ def test_markov_models_find_random_strings(spark):
 
 def test_licenses_inherit(spark, empty):
     rows = [
-        ("src/LICENSE", "Released under the MIT License.", True),
-        ("src/a.py", "code", False),
-        ("src/deep/b.py", "# Licensed under the Apache License, Version 2.0.\ncode", False),
-        ("src/deep/er/c.py", None, False),
-        ("lib/LICENSE", "This work is licensed under the GNU General Public License, version 3.", True),
-        ("lib/x/d.py", "code", False),
-        ("top.py", "a licence to speak", False),
+        ("src/LICENSE", "Released under the MIT License."),
+        ("src/a.py", "code"),
+        ("src/deep/b.py", "# Licensed under the Apache License, Version 2.0.\nimport sys\nfor line in sys.stdin:\n    print(line.strip())"),
+        ("src/deep/er/c.py", None),
+        ("lib/LICENSE", "This work is licensed under the GNU General Public License, version 3."),
+        ("lib/x/d.py", "code"),
+        ("top.py", "a licence to speak"),
     ]
-    files = spark.createDataFrame(rows, "path string, text string, is_license_file boolean")
+    files = spark.createDataFrame(rows, "path string, text string")
     own = licenses.own_licenses(files)
-    got = {r["path"]: (r["license"], r["inherited_from"]) for r in licenses.inherit(files.join(own, "path", "left")).collect()}
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in licenses.inherit(files.join(own, "path", "left").withColumn("is_license_file", F.coalesce("is_license_file", F.lit(False)))).collect()}
     assert got == {
         "src/LICENSE": ("MIT", None), "src/a.py": ("MIT", "src"), "src/deep/b.py": ("Apache-2.0", None), "src/deep/er/c.py": ("MIT", "src"),
         "lib/LICENSE": ("GPL-3.0", None), "lib/x/d.py": ("GPL-3.0", "lib"), "top.py": (None, None),
@@ -380,9 +380,45 @@ def test_licenses_inherit(spark, empty):
     assert licenses.own_licenses(empty, "doc_id").count() == 0
 
 
+def test_licenses_of_whole_texts_and_wrapped_headers(spark):
+    mit = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 500)
+    words = mit.split()
+    full = "\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11)).replace("conditions:", "conditions:\n\n")
+    header = "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License as published\n# by the Free Software Foundation; either version 2 of the License.\n\ndef f():\n    return 1\n" + "x = 1\n" * 400
+    rows = [("a/LICENSE", full), ("a/b/c.py", "code"), ("d/e.py", header), ("d/f.py", None), ("d/f.py", None), (None, full), ("g.py", "")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    own = {r["path"]: (r["own_license"], r["is_license_file"]) for r in licenses.own_licenses(files).collect()}
+    assert own == {"a/LICENSE": ("MIT", True), "d/e.py": ("GPL-2.0", False), None: ("MIT", True)}
+    joined = files.join(licenses.own_licenses(files), "path", "left").withColumn("is_license_file", F.coalesce("is_license_file", F.lit(False)))
+    got = [(r["path"], r["license"]) for r in licenses.inherit(joined).collect()]
+    assert ("a/b/c.py", "MIT") in got and ("d/e.py", "GPL-2.0") in got and got.count(("d/f.py", None)) == 2 and len(got) == 7
+
+
 # 6 embeddings
 
 
+def test_embedding_links_in_many_blocks(spark, monkeypatch):
+    """Clustered vectors, lists of many blocks, pairs near the threshold, repeated and null ids."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    r = np.random.default_rng(6)
+    rows = []
+    for size in (200, 60, 5, 5, 5):
+        centre = r.normal(size=32)
+        centre /= np.linalg.norm(centre)
+        rows += [centre + r.normal(size=32) * 0.055 for _ in range(size)]
+    rows += list(r.normal(size=(200, 32)))
+    x = np.array(rows, np.float32)
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {a["vec_id"]: a["n_links"] for a in embedding_dedup.near_duplicates(docs).collect()}
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert all(got[k] <= near[k].sum() for k in got)
+    assert sum(got.values()) >= 0.95 * near.sum() > 10_000
+
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(1)
     rows = []
