@@ -71,26 +71,26 @@ def _tokens(line: Column) -> Column:
 
 
 def score_lines(lines: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(line, n) distinct lines with how often they come -> (line, license, cosine) of those that state a licence."""
+    """(h, line, n) distinct lines with their 64-bit hash and how often they come -> (h, license, cosine) of those that state a licence."""
     spark = lines.sparkSession
     texts = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "k int, license string, text string")
-    terms = lines.select("line", "n", F.explode(_tokens(F.col("line"))).alias("token")).groupBy("line", "n", "token").agg(F.count("*").alias("tf"))
+    terms = lines.select("h", "n", F.explode(_tokens(F.col("line"))).alias("token")).groupBy("h", "n", "token").agg(F.count("*").alias("tf"))
     terms = write_out(terms, "terms")
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     seen = terms.groupBy("token").agg(F.sum("n").alias("df"))
     idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weighted = terms.join(seen, "token").crossJoin(F.broadcast(total)).select("line", "token", (F.col("tf") * idf).alias("w"))  # total is one row
+    weighted = terms.join(seen, "token").crossJoin(F.broadcast(total)).select("h", "token", (F.col("tf") * idf).alias("w"))  # total is one row
     known = texts.select("k", "license", F.explode(_tokens(F.col("text"))).alias("token")).groupBy("k", "license", "token").agg(F.count("*").alias("tf"))
     known = known.join(seen, "token", "left").crossJoin(F.broadcast(total)).select("k", "license", "token", (F.col("tf") * idf).alias("v"))
     known = known.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("k"))))
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(known), "token").groupBy("line", "k", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # the templates' words
+    norms = weighted.groupBy("h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(known), "token").groupBy("h", "k", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # the templates' words
     best = (
-        dots.groupBy("line", "license").agg(F.max("dot").alias("dot")).join(norms, "line")
-        .select("line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+        dots.groupBy("h", "license").agg(F.max("dot").alias("dot")).join(norms, "h")
+        .select("h", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     )
-    return best.groupBy("line").agg(F.max(F.struct(F.col("cosine"), F.col("license"))).alias("top"), F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("first")).select(
-        "line", F.col("first.license").alias("license"), F.col("top.cosine").alias("cosine")
+    return best.groupBy("h").agg(F.max(F.struct(F.col("cosine"), F.col("license"))).alias("top"), F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("first")).select(
+        "h", F.col("first.license").alias("license"), F.col("top.cosine").alias("cosine")
     ).filter(F.col("cosine") >= least)
 
 
@@ -102,9 +102,9 @@ def own_licenses(files: DataFrame, key: str = "path", text_col: str = "text") ->
     stated = files.filter(F.col(text_col).rlike(STATES)).select(
         F.col(key).alias("key"), F.posexplode(F.filter(pieces, lambda v: v.rlike(STATES))).alias("pos", "line")
     )
-    stated = write_out(stated.select("key", (F.col("pos") == 0).alias("whole"), "line"), "stated")
-    scored = score_lines(stated.groupBy("line").agg(F.count("*").alias("n")))
-    found = stated.join(scored, "line")
+    stated = write_out(stated.select("key", (F.col("pos") == 0).alias("whole"), F.xxhash64("line").alias("h"), "line"), "stated")
+    distinct = write_out(stated.groupBy("h").agg(F.first("line").alias("line"), F.count("*").alias("n")), "distinct")
+    found = stated.select("key", "whole", "h").join(score_lines(distinct), "h")
     return found.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.max(F.col("whole") & (F.col("cosine") >= FILE_COSINE)).alias("whole")).select(
         F.col("key").alias(key), F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.col("whole").alias("is_license_file")
     )
