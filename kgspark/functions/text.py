@@ -109,8 +109,8 @@ def words(text: Column, least: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z]{{{least},}}"), F.lit(0))
 
 
-def tfidf_keywords(sections_df: DataFrame, top: int = 20, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
-    """(id, term, score, rank): a document's sections are its corpus; uni- and bigrams, smoothed idf, unit rows, summed."""
+def term_weights(sections_df: DataFrame, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
+    """(id, section_id, term, w): a document's sections are its corpus; uni- and bigrams, smoothed idf, unit rows."""
     kept = F.filter(words(F.col("text")), lambda w: ~w.isin(STOP_WORDS))
     tokens = sections_df.select(id_col, "section_id", kept.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
@@ -120,11 +120,47 @@ def tfidf_keywords(sections_df: DataFrame, top: int = 20, max_features: int = 50
     n = sections_df.groupBy(id_col).agg(F.count("*").alias("n"))
     weighted = terms.join(vocabulary, [id_col, "term"]).join(n, id_col).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "section_id")))
-    scores = weighted.withColumn("w", F.col("w") / norm).groupBy(id_col, "term").agg(F.round(F.sum("w"), 6).alias("score"))
+    return weighted.select(id_col, "section_id", "term", (F.col("w") / norm).alias("w"))
+
+
+def tfidf_keywords(sections_df: DataFrame, top: int = 20, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
+    """(id, term, score, rank): weights of a document's sections summed, the ``top`` terms of each document."""
+    scores = term_weights(sections_df, max_features, id_col).groupBy(id_col, "term").agg(F.round(F.sum("w"), 6).alias("score"))
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), "term")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
+def section_keywords(sections_df: DataFrame, top: int = 10, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
+    """(id, section_id, term, score, rank): the ``top`` terms of each section."""
+    scores = term_weights(sections_df, max_features, id_col).select(id_col, "section_id", "term", F.round("w", 6).alias("score"))
+    order = Window.partitionBy(id_col, "section_id").orderBy(F.desc("score"), "term")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def paired_relations(candidates: DataFrame, top: int = 20, id_col: str = "doc_id") -> DataFrame:
+    """Built-in extractor: the ``top`` pairs of candidates that share sections, with the first context of the former as quote."""
+    quotes = candidates.select(id_col, F.col("text").alias("a"), F.get("contexts", F.lit(0)).alias("evidence"))
+    pairs = co_occurrence(candidates, top, id_col).join(quotes, [id_col, "a"])
+    return pairs.select(id_col, F.col("a").alias("source"), F.col("b").alias("target"), F.lit("CO_OCCURS").alias("rel_type"), "evidence", F.col("n").cast("double").alias("weight"))
+
+
+def extract_relations(candidates: DataFrame, extractor: Callable[[DataFrame], DataFrame] = paired_relations, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(relations, rejected) of an extractor's (id, source, target, rel_type, evidence, weight).
+
+    Relations whose texts are blank, whose ends are one or are no candidates of the document are rejected with a reason.
+    """
+    names = candidates.select(id_col, "text").distinct()
+    blank = F.exists(F.array("source", "target", "rel_type", "evidence"), lambda v: F.coalesce(F.trim(v) == "", F.lit(True)))
+    rows = (
+        extractor(candidates).select(id_col, "source", "target", "rel_type", "evidence", "weight")
+        .join(names.select(id_col, F.col("text").alias("source"), F.lit(True).alias("_s")), [id_col, "source"], "left")
+        .join(names.select(id_col, F.col("text").alias("target"), F.lit(True).alias("_t")), [id_col, "target"], "left")
+    )
+    reason = F.when(blank, "blank").when(F.col("source") == F.col("target"), "loop").when(F.col("_s").isNull() | F.col("_t").isNull(), "unknown end")
+    rows = rows.withColumn("reason", reason).drop("_s", "_t")
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
+
+
 def alias_groups(vectors: DataFrame, threshold: float = 0.85, id_col: str = "doc_id") -> DataFrame:
     """(id, leader, member): greedy leaders in order of ``pos``; each takes the later free ones of higher cosine. Input: (id, name, pos, embedding)."""
     import numpy as np

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.operators.rankings import value_counts_upto
 from kgspark.sources.graph import Graph
 
 GOLD, SILVER, BRONZE_BETWEENNESS = 3, 2, 1000.0
@@ -45,15 +46,8 @@ def bridge_tier(project_count: Column, betweenness: Column | None = None) -> Col
 
 def view_tiers(nodes: DataFrame, share: float = 0.9) -> DataFrame:
     """Tiers of a view: bronze at or above the value at position floor(share * n) of single-project entities' betweenness, and above 0."""
-    singles = nodes.filter("project_count = 1").select("betweenness")
-    cut = singles.agg(F.percentile("betweenness", F.lit(share)).alias("_p"), F.count("*").alias("_n"))
-    position = Window.orderBy("betweenness")
-    exact = (
-        singles.groupBy("betweenness").agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(position.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .join(F.broadcast(cut), F.col("upto") > F.floor(F.col("_n") * F.lit(share)))
-        .agg(F.min("betweenness").alias("cut"))
-    )
+    placed = value_counts_upto(nodes.filter("project_count = 1").select("betweenness"), "betweenness")
+    exact = placed.filter(F.col("upto") > F.floor(F.col("n") * F.lit(share))).agg(F.min("betweenness").alias("cut"))
     bronze = (F.col("project_count") == 1) & (F.col("betweenness") >= F.col("cut")) & (F.col("betweenness") > 0)
     tier = F.when(F.col("project_count") >= GOLD, "gold").when(F.col("project_count") == SILVER, "silver").when(bronze, "bronze").otherwise("none")
     return nodes.crossJoin(F.broadcast(exact)).withColumn("tier", tier).drop("cut")  # one row

@@ -234,3 +234,14 @@ def merge_attributes(existing: DataFrame, imported: DataFrame) -> DataFrame:
         else:
             columns.append(F.greatest(f.name, f"_n_{f.name}").alias(f.name))
     return joined.select(*columns)
+
+
+def verify_import(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
+    """(table, expected, actual, complete): rows of a bundle's tables against those of the graph after its import."""
+    counts = None
+    for side, tables in (("expected", expected), ("actual", actual)):
+        for name, rows in sorted(tables.items()):
+            one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(side).alias("side"), "n")
+            counts = one if counts is None else counts.unionByName(one)
+    side = lambda name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("n"))), F.lit(0)).alias(name)
+    return counts.groupBy("table").agg(side("expected"), side("actual")).withColumn("complete", F.col("actual") >= F.col("expected"))

@@ -168,3 +168,32 @@ def build_view(g: Graph) -> tuple[DataFrame, DataFrame]:
     relations = g.relations.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select("rel_id", "src", "dst", "rel_type", "project_id")
     members = g.mentions.select(F.concat_ws("-", F.lit("m"), "entity_id", "project_id").alias("rel_id"), F.col("entity_id").alias("src"), F.col("project_id").alias("dst"), F.lit("MENTIONED_IN").alias("rel_type"), "project_id")
     return entities.unionByName(projects), relations.unionByName(members)
+
+
+def _part(g: Graph, projects: DataFrame, entities: DataFrame | None = None) -> Graph:
+    """The graph of some projects, and of some entities (None: those they mention)."""
+    keep = lambda df: df.join(projects, "project_id", "left_semi")
+    mentions = keep(g.mentions)
+    inside = (mentions if entities is None else entities).select("entity_id").distinct()
+    relations = keep(g.relations).join(inside.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(inside.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+    return g.with_tables(projects=keep(g.projects), mentions=mentions.join(inside, "entity_id", "left_semi"), relations=relations.select(*g.relations.columns), entities=g.entities.join(inside, "entity_id", "left_semi"))
+
+
+def load_collection_view(g: Graph, collection: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of a collection's projects."""
+    return build_view(_part(g, g.project_collections.filter(F.col("collection") == collection).select("project_id")))
+
+
+def load_project_view(g: Graph, collection: str, project_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of one project, which must be in the collection."""
+    own = g.project_collections.filter((F.col("collection") == collection) & (F.col("project_id") == project_id)).select("project_id")
+    if not own.limit(1).count():
+        raise ValueError(f"project {project_id} is not in collection {collection}")
+    return build_view(_part(g, own))
+
+
+def load_bridge_view(g: Graph, collection: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes and links of a collection's entities of at least so many of its projects."""
+    projects = g.project_collections.filter(F.col("collection") == collection).select("project_id")
+    many = g.mentions.join(projects, "project_id", "left_semi").groupBy("entity_id").agg(F.countDistinct("project_id").alias("n")).filter(F.col("n") >= least)
+    return build_view(_part(g, projects, many))

@@ -26,17 +26,20 @@ def top_per_group(df: DataFrame, group: str | list[str], metric: str, n: int, ti
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+#: Ranges of a running sum over all values.
+RANGES = 256
+
+
 def value_counts_upto(df: DataFrame, value: str) -> DataFrame:
     """(value, below, upto, n): rows strictly below and up to each distinct value.
 
-    The running sum goes over distinct values in ranges: each range is summed on its own and starts from the
+    The running sum goes over distinct values in ranges between approximate quantiles of them: each range is summed on its own and starts from the
     sums of the ranges before it, so no task sees all values.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    bounds = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / 256
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / width)).otherwise(F.lit(0))
-    parted = counts.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("lo", "hi")  # one row
+    bounds = counts.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)]).alias("bounds"))
+    part = F.size(F.filter("bounds", lambda b: b <= F.col(value)))
+    parted = counts.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("bounds")  # one row
     totals = parted.groupBy("part").agg(F.sum("c").alias("t"))
     before = totals.withColumn("start", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = F.sum("t").over(Window.partitionBy())
@@ -44,7 +47,7 @@ def value_counts_upto(df: DataFrame, value: str) -> DataFrame:
     inside = F.sum("c").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         parted.withColumn("_inside", inside)
-        .join(F.broadcast(before), "part")  # at most 257 rows
+        .join(F.broadcast(before), "part")  # at most RANGES rows
         .select(value, (F.col("start") + F.col("_inside") - F.col("c")).alias("below"), (F.col("start") + F.col("_inside")).alias("upto"), "n")
     )
 

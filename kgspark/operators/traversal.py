@@ -71,3 +71,10 @@ def projects_of_paths(paths: DataFrame, mentions: DataFrame) -> DataFrame:
     nodes = paths.select("a", "b", F.explode("path").alias("entity_id")).join(mentions.select("entity_id", "project_id"), "entity_id")
     counts = nodes.groupBy("a", "b").agg(F.countDistinct("project_id").alias("projects"))
     return paths.join(counts, ["a", "b"], "left").withColumn("projects", F.coalesce("projects", F.lit(0)))
+
+
+def highlight_set(links: DataFrame, focus: DataFrame, hops: int = 2) -> DataFrame:
+    """(seed, node_id, distance) over a view's links, memberships included: what lights up around the focused nodes in 1 to 3 steps."""
+    if not 1 <= hops <= 3:
+        raise ValueError("hops must be 1 to 3")
+    return neighborhood(links.select("src", "dst"), focus.select(F.col("node_id").alias("entity_id")), hops).withColumnRenamed("entity_id", "node_id")

@@ -93,3 +93,8 @@ _graph_query(
     "merge_attributes", lambda g: M.merge_attributes(g.entities.select("entity_id", F.when(F.col("category") == "Brand#11", "").otherwise(F.col("name")).alias("name"), F.length("name").alias("n")), g.entities.select("entity_id", F.lit("imported").alias("name"), F.lit(9).alias("n"))),
     "SELECT entity_id, CASE WHEN category = 'Brand#11' THEN 'imported' ELSE name END AS name, greatest(length(name), 9)::INT AS n FROM entities",
 )
+_graph_query(
+    "verify_import", lambda g: M.verify_import({"entities": g.entities, "relations": g.relations, "projects": g.projects}, {"entities": g.entities.filter("category <> 'Brand#11'"), "relations": g.relations, "projects": g.projects}),
+    """SELECT 'entities' AS "table", count(*) AS expected, count(*) FILTER (category <> 'Brand#11') AS actual, count(*) = count(*) FILTER (category <> 'Brand#11') AS complete FROM entities
+    UNION ALL SELECT 'relations', count(*), count(*), true FROM relations UNION ALL SELECT 'projects', count(*), count(*), true FROM projects""",
+)

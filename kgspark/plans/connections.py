@@ -114,3 +114,16 @@ _graph_query(
     """SELECT min(rel_id) AS rel_id, src, dst, rel_type, project_id FROM relations GROUP BY src, dst, rel_type, causal, project_id
     UNION ALL SELECT 'm-' || entity_id || '-' || project_id, entity_id, project_id, 'MENTIONED_IN', project_id FROM mentions""",
 )
+
+#: The view of the collection of one month, by the graph of its projects.
+IN_VIEW = """, vp AS (SELECT project_id FROM pc WHERE collection = '1995-03'), ve AS (SELECT entity_id, count(*) AS n FROM mentions WHERE project_id IN (SELECT project_id FROM vp) GROUP BY 1 HAVING count(*) >= {least}),
+vr AS (SELECT min(rel_id) AS rel_id, src, dst, rel_type, project_id FROM relations WHERE project_id IN (SELECT project_id FROM vp) AND src IN (SELECT entity_id FROM ve) AND dst IN (SELECT entity_id FROM ve) GROUP BY src, dst, rel_type, causal, project_id)
+"""
+VIEW_LINKS = """SELECT rel_id, src, dst, rel_type, project_id FROM vr
+UNION ALL SELECT 'm-' || entity_id || '-' || project_id, entity_id, project_id, 'MENTIONED_IN', project_id FROM mentions WHERE project_id IN (SELECT project_id FROM vp) AND entity_id IN (SELECT entity_id FROM ve)"""
+_graph_query(
+    "collection_view_nodes", lambda g: J.load_collection_view(g, "1995-03")[0].select("node_id", "kind", "name", "category", F.size("projects").alias("n_projects")),
+    IN_VIEW.format(least=1) + "SELECT entity_id AS node_id, 'entity' AS kind, name, category, n::INT AS n_projects FROM ve JOIN entities USING (entity_id) UNION ALL SELECT project_id, 'project', name, NULL, 1 FROM projects WHERE project_id IN (SELECT project_id FROM vp)",
+)
+_graph_query("collection_view_links", lambda g: J.load_collection_view(g, "1995-03")[1], IN_VIEW.format(least=1) + VIEW_LINKS)
+_graph_query("bridge_view_links", lambda g: J.load_bridge_view(g, "1995-03")[1], IN_VIEW.format(least=2) + VIEW_LINKS)

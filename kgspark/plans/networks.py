@@ -8,6 +8,7 @@ from kgspark.operators import aggregates as A
 from kgspark.operators import algorithms as G
 from kgspark.operators import traversal as T
 from kgspark.operators.components import connected_components
+from kgspark.operators.joins import build_view
 from kgspark.plans.summaries import _graph_query
 
 EDGES = """, pe AS (SELECT src AS a, dst AS b FROM relations UNION ALL SELECT dst, src FROM relations), se AS MATERIALIZED (SELECT DISTINCT a, b FROM pe WHERE a <> b)
@@ -140,3 +141,9 @@ _graph_query(
     + """), ex AS (SELECT a, b, unnest(string_split(path, '>')) AS entity_id FROM ps), ct AS (SELECT a, b, count(DISTINCT project_id) AS projects FROM ex JOIN mentions USING (entity_id) GROUP BY ALL)
     SELECT a, b, hops, coalesce(projects, 0) AS projects FROM ps LEFT JOIN ct USING (a, b)""",
 )
+_graph_query(
+    "highlight_set", lambda g: T.highlight_set(build_view(g)[1], _seeds(g).select(F.col("entity_id").alias("node_id")), 1).groupBy("seed", "distance").agg(F.count("*").alias("n"), F.min("node_id").alias("least")),
+    SEEDS + """, al AS (SELECT entity_id AS seed, entity_id AS x, 0 AS distance FROM sd UNION ALL SELECT DISTINCT entity_id, b, 1 FROM sd JOIN se ON a = entity_id
+      UNION ALL SELECT entity_id, project_id, 1 FROM sd JOIN mentions USING (entity_id))
+    SELECT seed, distance, count(*) AS n, min(x) AS least FROM al GROUP BY ALL""",
+)

@@ -38,20 +38,30 @@ _doc_query(
     SECTIONS + "SELECT doc_id, text, 'Concept' AS category, frequency, array_to_string(sections, ',') AS sections FROM cd",
 )
 _doc_query(
-    "co_occurrence", lambda docs: N.co_occurrence(N.entity_candidates(_sections(docs)).filter("frequency >= 2")),
-    SECTIONS + """, loc AS (SELECT doc_id, text, unnest(sections) AS s FROM cd WHERE frequency >= 2)
+    "co_occurrence", lambda docs: N.co_occurrence(N.entity_candidates(_sections(docs))),
+    SECTIONS + """, loc AS (SELECT doc_id, text, unnest(sections) AS s FROM cd)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a, b) AS rank FROM (SELECT x.doc_id, x.text AS a, y.text AS b, count(*) AS n FROM loc x JOIN loc y ON x.doc_id = y.doc_id AND x.s = y.s AND x.text < y.text GROUP BY ALL)) WHERE rank <= 200""",
 )
-_doc_query(
-    "tfidf_keywords", lambda docs: N.tfidf_keywords(_sections(docs)),
-    SECTIONS + f""", tk AS (SELECT doc_id, section_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM sc),
+WEIGHTS = SECTIONS + f""", tk AS (SELECT doc_id, section_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda w: w NOT IN ({STOPS})) AS w FROM sc),
     tr AS (SELECT doc_id, section_id, term, count(*) AS tf FROM (SELECT doc_id, section_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tk) GROUP BY ALL),
     wh AS (SELECT doc_id, term, sum(tf) AS total, count(*) AS df FROM tr GROUP BY ALL),
     vo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, term) AS k FROM wh) WHERE k <= 500),
     ns AS (SELECT doc_id, count(*) AS n FROM sc GROUP BY 1),
     wt AS (SELECT doc_id, section_id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tr JOIN vo USING (doc_id, term) JOIN ns USING (doc_id)),
     nr AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, section_id)) AS v FROM wt)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, term, round(sum(v), 6) AS score FROM nr GROUP BY ALL)) WHERE rank <= 20""",
+"""
+_doc_query(
+    "tfidf_keywords", lambda docs: N.tfidf_keywords(_sections(docs)),
+    WEIGHTS + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, term, round(sum(v), 6) AS score FROM nr GROUP BY ALL)) WHERE rank <= 20""",
+)
+_doc_query(
+    "section_keywords", lambda docs: N.section_keywords(_sections(docs)),
+    WEIGHTS + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY score DESC, term) AS rank FROM (SELECT doc_id, section_id, term, round(v, 6) AS score FROM nr)) WHERE rank <= 10""",
+)
+_doc_query(
+    "relations_of_texts", lambda docs: N.extract_relations(N.entity_candidates(_sections(docs)))[0].select("doc_id", "source", "target", "rel_type", "weight"),
+    SECTIONS + """, loc AS (SELECT doc_id, text, unnest(sections) AS s FROM cd)
+    SELECT doc_id, a AS source, b AS target, 'CO_OCCURS' AS rel_type, n::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a, b) AS k FROM (SELECT x.doc_id, x.text AS a, y.text AS b, count(*) AS n FROM loc x JOIN loc y ON x.doc_id = y.doc_id AND x.s = y.s AND x.text < y.text GROUP BY ALL)) WHERE k <= 20""",
 )
 _doc_query("alias_groups", lambda e: N.alias_groups(e.select(F.floor(F.col("vec_id") / 50).alias("doc_id"), F.col("vec_id").cast("string").alias("name"), F.col("vec_id").alias("pos"), "embedding"), 0.2), None, "embeddings")
 _doc_query("embed_texts", lambda docs: N.hashed_vectors(docs, 128).select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm")))

@@ -304,3 +304,41 @@ def test_stream_counts_and_requests(spark, tmp_path):
         query = build(stream).writeStream.format("memory").queryName(f"seen_{name}").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination(60)
     assert spark.table("seen_once").count() == 2
+
+
+def test_view_tiers_and_running_counts(spark):
+    from kgspark.operators.aggregates import view_tiers
+    from kgspark.operators.rankings import value_counts_upto
+
+    r = random.Random(9)
+    rows = [(k, r.choice([1, 1, 1, 2, 3, 5]), r.paretovariate(0.4) - 1 if k % 3 else 0.0) for k in range(700)]
+    nodes = spark.createDataFrame(rows, "k int, project_count int, betweenness double")
+    counts = value_counts_upto(nodes, "betweenness").collect()
+    values = sorted(b for _, _, b in rows)
+    assert {(c["betweenness"], c["below"], c["upto"], c["n"]) for c in counts} == {(b, sum(x < b for x in values), sum(x <= b for x in values), 700) for b in values}
+    singles = sorted(b for _, n, b in rows if n == 1)
+    cut = singles[int(len(singles) * 0.9)]
+    want = {k: "gold" if n >= 3 else "silver" if n == 2 else "bronze" if b >= cut and b > 0 else "none" for k, n, b in rows}
+    assert {x["k"]: x["tier"] for x in view_tiers(nodes).collect()} == want
+
+
+def test_project_view_must_be_in_the_collection(spark):
+    from kgspark.operators.joins import load_project_view
+    from kgspark.sources.graph import order_graph
+
+    g = order_graph(spark, "/root/testdata/sf0.001")
+    own = g.project_collections.orderBy("project_id").first()
+    nodes, links = load_project_view(g, own["collection"], own["project_id"])
+    assert {x["node_id"] for x in nodes.filter("kind = 'project'").collect()} == {own["project_id"]}
+    assert {x["project_id"] for x in links.collect()} <= {own["project_id"]}
+    with pytest.raises(ValueError):
+        load_project_view(g, "1900-01", own["project_id"])
+
+
+def test_extracted_relations_are_checked(spark):
+    candidates = spark.createDataFrame([(1, "Ann", [0], ["Ann met Bob"]), (1, "Bob", [0], ["Ann met Bob"])], "doc_id long, text string, sections array<long>, contexts array<string>")
+    made = lambda c: spark.createDataFrame([(1, "Ann", "Bob", "MET", "Ann met Bob", 1.0), (1, "Ann", "Ann", "IS", "q", 1.0), (1, "Ann", "Cy", "MET", "q", 1.0), (1, "Ann", "Bob", "MET", " ", 1.0)], "doc_id long, source string, target string, rel_type string, evidence string, weight double")
+    good, bad = N.extract_relations(candidates, made)
+    assert [(r["source"], r["target"]) for r in good.collect()] == [("Ann", "Bob")]
+    assert sorted(r["reason"] for r in bad.collect()) == ["blank", "loop", "unknown end"]
+    assert [(r["source"], r["target"], r["evidence"]) for r in N.extract_relations(candidates)[0].collect()] == [("Ann", "Bob", "Ann met Bob")]
