@@ -142,9 +142,10 @@ def compare_neighbors(g: Graph, focus: DataFrame) -> DataFrame:
 
 
 def project_bridges(g: Graph, projects: DataFrame) -> DataFrame:
-    """Per given project: its entities that other projects mention too, with how many."""
-    others = shared_entities(g, projects)
-    return others.groupBy(F.col("p1").alias("project_id"), "entity_id").agg(F.countDistinct("p2").alias("other_projects"))
+    """Per given project: its entities that other projects mention too, with how many. An entity's projects are counted once, no pairs are listed."""
+    m = g.mentions.select("entity_id", "project_id").distinct()
+    counts = m.groupBy("entity_id").agg((F.count("*") - 1).alias("other_projects")).filter("other_projects > 0")
+    return m.join(projects.select("project_id"), "project_id", "left_semi").join(counts, "entity_id").select("project_id", "entity_id", "other_projects")
 
 
 def explain_pairs(g: Graph, pairs: DataFrame) -> DataFrame:

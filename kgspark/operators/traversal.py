@@ -52,17 +52,24 @@ def shortest_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 6) ->
 
 
 def all_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 3, k: int = 10) -> DataFrame:
-    """(a, b, hops, path, rank): the k first simple paths of each pair, by hops, then nodes."""
+    """(a, b, hops, path, rank): the k first simple paths of each pair, by hops, then nodes.
+
+    Each step closes paths by the edges into ``b`` alone; a pair with k paths of fewer hops is not searched on, and the last step opens none.
+    """
     near = write_out(simple_edges(relations), "simple")
-    wanted = pairs.select("a", "b").filter("a <> b").distinct()
-    now = wanted.select("a", "b", F.array("a").alias("path"))
+    last = F.element_at("path", -1)
+    now = pairs.select("a", "b").filter("a <> b").distinct().select("a", "b", F.array("a").alias("path"))
     found = None
     for hops in range(1, max_hops + 1):
-        step = now.join(near.select(F.col("a").alias("from"), F.col("b").alias("to")), F.element_at("path", -1) == F.col("from")).filter(~F.array_contains("path", F.col("to")))
-        step = write_out(step.select("a", "b", F.concat("path", F.array("to")).alias("path")), "paths")
-        done = step.filter(F.element_at("path", -1) == F.col("b")).withColumn("hops", F.lit(hops))
+        ends = near.select(F.col("a").alias("at"), "b")
+        done = now.withColumn("at", last).join(ends, ["at", "b"]).select("a", "b", F.concat("path", F.array("b")).alias("path"), F.lit(hops).alias("hops"))
+        done = write_out(top_per_group(done.withColumn("_o", F.lit(0)), ["a", "b"], "_o", k, ("path",)).drop("_o", "rank"), "paths")
         found = done if found is None else found.unionByName(done)
-        now = step.filter(F.element_at("path", -1) != F.col("b"))
+        if hops < max_hops:
+            full = found.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+            open_paths = now.join(full, ["a", "b"], "left_anti").withColumn("at", last)
+            step = open_paths.join(near.select(F.col("a").alias("at"), F.col("b").alias("to")), "at").filter(~F.array_contains("path", F.col("to")) & (F.col("to") != F.col("b")))
+            now = write_out(step.select("a", "b", F.concat("path", F.array("to")).alias("path")), "open")
     return top_per_group(found.withColumn("_near", -F.col("hops")), ["a", "b"], "_near", k, ("path",)).drop("_near")
 
 

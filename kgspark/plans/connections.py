@@ -1,4 +1,4 @@
-"""Registered views, profiles and recommendations. Key sets are stated in the data: projects of one day, collections of one year."""
+"""Registered views, profiles and recommendations."""
 
 from __future__ import annotations
 
@@ -44,17 +44,16 @@ _graph_query(
 )
 
 
-def _urgent(g):
-    """The projects of the last month: the keys of the pair queries."""
-    last = g.project_collections.agg(F.max("collection").alias("collection"))
-    return g.project_collections.join(F.broadcast(last), "collection", "left_semi").select("project_id")
+def _asked(g):
+    """A stated query set: every 20th project."""
+    return g.projects.filter(F.substring("project_id", 2, 20).cast("long") % 20 == 0)
 
 
-URGENT = ", ur AS (SELECT project_id FROM pc WHERE collection = (SELECT max(collection) FROM pc)), sh AS (SELECT a.project_id AS p1, b.project_id AS p2, a.entity_id FROM mentions a JOIN ur USING (project_id) JOIN mentions b ON a.entity_id = b.entity_id AND a.project_id <> b.project_id)\n"
-_graph_query("shared_entities", lambda g: J.shared_entities(g, _urgent(g)).groupBy("p1", "p2").agg(F.count("*").alias("shared")), URGENT + "SELECT p1, p2, count(*) AS shared FROM sh GROUP BY ALL")
+SHARED = ", sh AS (SELECT a.project_id AS p1, b.project_id AS p2, a.entity_id FROM (SELECT * FROM mentions WHERE substr(project_id, 2)::BIGINT % 20 = 0) a JOIN mentions b ON a.entity_id = b.entity_id AND a.project_id <> b.project_id)\n"
+_graph_query("shared_entities", lambda g: J.shared_entities(g, _asked(g)).groupBy("p1", "p2").agg(F.count("*").alias("shared")), SHARED + "SELECT p1, p2, count(*) AS shared FROM sh GROUP BY ALL")
 _graph_query(
-    "related_projects", lambda g: J.related_projects(g, _urgent(g)).select("p1", "p2", "shared", F.array_join("entity_ids", ",").alias("entity_ids"), "rank"),
-    URGENT + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY shared DESC, p2) AS rank
+    "related_projects", lambda g: J.related_projects(g, _asked(g)).select("p1", "p2", "shared", F.array_join("entity_ids", ",").alias("entity_ids"), "rank"),
+    SHARED + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY shared DESC, p2) AS rank
       FROM (SELECT p1, p2, count(DISTINCT entity_id) AS shared, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM sh GROUP BY ALL)) WHERE rank <= 10""",
 )
 _graph_query(
@@ -77,8 +76,8 @@ _graph_query(
     "SELECT collection, count(DISTINCT entity_id) AS matches FROM scoped JOIN entities USING (entity_id) WHERE lower(name) LIKE '%a%' GROUP BY collection",
 )
 _graph_query(
-    "suggest_links", lambda g: J.suggest_links(g, A.degrees(g).select("entity_id", F.col("degree").alias("score")), _urgent(g), 10.0),
-    URGENT + """, gd AS (SELECT project_id, entity_id, degree AS score FROM mentions JOIN ur USING (project_id) JOIN degrees USING (entity_id) WHERE degree > 10),
+    "suggest_links", lambda g: J.suggest_links(g, A.degrees(g).select("entity_id", F.col("degree").alias("score")), g.projects, 10.0),
+    """, gd AS (SELECT project_id, entity_id, degree AS score FROM mentions JOIN degrees USING (entity_id) WHERE degree > 10),
     jn AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM relations)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, a, b) AS rank FROM (
       SELECT x.project_id, x.entity_id AS a, y.entity_id AS b, x.score + y.score AS score FROM gd x JOIN gd y ON x.project_id = y.project_id AND x.entity_id < y.entity_id
@@ -96,10 +95,10 @@ _graph_query(
     sd AS (SELECT f.entity_id, f.other, count(*) AS shared FROM fc f JOIN nr x ON x.entity_id = f.entity_id JOIN nr y ON y.entity_id = f.other AND y.other = x.other GROUP BY ALL)
     SELECT f.entity_id, f.other, relations, coalesce(shared, 0) AS shared, dg.d - coalesce(shared, 0) AS own FROM fc f JOIN rl USING (entity_id, other) LEFT JOIN sd USING (entity_id, other) JOIN dg ON dg.entity_id = f.other""",
 )
-_graph_query("project_bridges", lambda g: J.project_bridges(g, _urgent(g)), URGENT + "SELECT p1 AS project_id, entity_id, count(DISTINCT p2) AS other_projects FROM sh GROUP BY ALL")
+_graph_query("project_bridges", lambda g: J.project_bridges(g, g.projects), "SELECT project_id, entity_id, project_count - 1 AS other_projects FROM mentions JOIN counts USING (entity_id) WHERE project_count > 1")
 _graph_query(
-    "explain_pairs", lambda g: J.explain_pairs(g, g.relations.join(_urgent(g), "project_id", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()),
-    URGENT + """, pr AS (SELECT DISTINCT src AS a, dst AS b FROM relations JOIN ur USING (project_id)),
+    "explain_pairs", lambda g: J.explain_pairs(g, g.relations.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()),
+    """, pr AS (SELECT DISTINCT src AS a, dst AS b FROM relations),
     fw AS (SELECT src AS a, dst AS b, count(*) AS n FROM relations GROUP BY ALL),
     sp AS (SELECT pr.a, pr.b, count(DISTINCT x.project_id) AS n FROM pr JOIN mentions x ON x.entity_id = a JOIN mentions y ON y.entity_id = b AND y.project_id = x.project_id GROUP BY ALL)
     SELECT pr.a, pr.b, coalesce(f.n, 0) AS forward, coalesce(r.n, 0) AS backward, coalesce(sp.n, 0) AS projects, coalesce(f.n, 0) + coalesce(r.n, 0) > 0 AS connected

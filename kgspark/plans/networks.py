@@ -24,15 +24,14 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 _graph_query("pagerank", lambda g: G.pagerank(g.entities, g.relations).select("entity_id", F.round("page_rank", 6).alias("page_rank")), _pagerank_sql(G.ROUNDS))
-STRONG = ", st AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM relations WHERE magnitude = 'foundational' UNION ALL SELECT dst, src FROM relations WHERE magnitude = 'foundational') WHERE a <> b), sz AS (SELECT a, count(*) AS n FROM st GROUP BY a)"
-SIMILAR = STRONG + """, ov AS (SELECT x.a AS a, y.a AS b, count(*) AS i FROM st x JOIN st y ON x.b = y.b AND x.a <> y.a GROUP BY ALL),
+SIMILAR = EDGES + """, sz AS (SELECT a, count(*) AS n FROM se GROUP BY a), ov AS (SELECT x.a AS a, y.a AS b, count(*) AS i FROM se x JOIN se y ON x.b = y.b AND x.a <> y.a GROUP BY ALL),
     sm AS (SELECT ov.a, ov.b, round(i / (p.n + q.n - i)::DOUBLE, 6) AS similarity FROM ov JOIN sz p ON p.a = ov.a JOIN sz q ON q.a = ov.b WHERE i / (p.n + q.n - i)::DOUBLE >= 0.05),
     ns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM sm) WHERE rank <= 5)
 """
 
 
 def _similar(g):
-    return G.node_similarity(g.relations.filter("magnitude = 'foundational'"), 0.05, 5)
+    return G.node_similarity(g.relations, 0.05, 5)
 
 
 _graph_query("node_similarity", _similar, SIMILAR + "SELECT * FROM ns")
@@ -52,10 +51,10 @@ def _labels_sql(rounds: int) -> str:
     return sql + f" SELECT entity_id, community FROM l{rounds}"
 
 
-_graph_query("communities", lambda g: G.label_propagation(g.entities, g.relations, 3), _labels_sql(3))
+_graph_query("communities", lambda g: G.label_propagation(g.entities, g.relations), _labels_sql(10))
 _graph_query(
-    "community_sizes", lambda g: G.label_propagation(g.entities, g.relations, 3).groupBy("community").agg(F.count("*").alias("members")),
-    _labels_sql(3).replace("SELECT entity_id, community FROM l3", "SELECT community, count(*) AS members FROM l3 GROUP BY community"),
+    "community_sizes", lambda g: G.label_propagation(g.entities, g.relations).groupBy("community").agg(F.count("*").alias("members")),
+    _labels_sql(10).replace("SELECT entity_id, community FROM l10", "SELECT community, count(*) AS members FROM l10 GROUP BY community"),
 )
 _graph_query("gaps", lambda g: G.gaps(g.entities, A.degrees(g), 30), "SELECT entity_id, CASE WHEN degree = 0 THEN 'isolated' ELSE 'under-connected' END AS kind, degree FROM degrees WHERE degree <= 30")
 _graph_query(
@@ -64,19 +63,17 @@ _graph_query(
     SELECT dg.a AS entity_id, coalesce(t, 0)::BIGINT AS triangles, CASE WHEN d > 1 THEN round(2 * coalesce(t, 0)::DOUBLE / (d * (d - 1)), 6) ELSE 0.0::DOUBLE END AS clustering FROM dg LEFT JOIN tr ON tr.a = dg.a""",
 )
 _graph_query("core_numbers", lambda g: G.core_numbers(g.relations))
-_graph_query("knowledge_islands", lambda g: connected_components(g.relations.filter("magnitude = 'foundational'").select(F.col("src").alias("a"), F.col("dst").alias("b"))))
+_graph_query("knowledge_islands", lambda g: connected_components(g.relations.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
 _graph_query(
     "link_scores", lambda g: G.link_scores(g.relations, _unlinked(g)),
-    EDGES + """, dg AS (SELECT a, count(*) AS d FROM se GROUP BY a), up AS (SELECT DISTINCT m.entity_id AS a, n.entity_id AS b FROM mentions m JOIN mentions n ON m.project_id = n.project_id AND m.entity_id < n.entity_id
-      JOIN pc ON pc.project_id = m.project_id WHERE collection = (SELECT max(collection) FROM pc)), ul AS (SELECT up.* FROM up LEFT JOIN se USING (a, b) WHERE se.a IS NULL)
+    EDGES + """, dg AS (SELECT a, count(*) AS d FROM se GROUP BY a), up AS (SELECT DISTINCT m.entity_id AS a, n.entity_id AS b FROM mentions m JOIN mentions n ON m.project_id = n.project_id AND m.entity_id < n.entity_id), ul AS (SELECT up.* FROM up LEFT JOIN se USING (a, b) WHERE se.a IS NULL)
     SELECT ul.a, ul.b, count(*) AS common, round(sum(1 / ln(d)), 6) AS adamic_adar, round(sum(1 / d::DOUBLE), 6) AS resource_allocation FROM ul JOIN se x ON x.a = ul.a JOIN se y ON y.a = ul.b AND y.b = x.b JOIN dg ON dg.a = x.b GROUP BY ul.a, ul.b""",
 )
 
 
 def _unlinked(g):
-    """Pairs of entities of one project of the last month that no relation joins."""
-    last = g.project_collections.agg(F.max("collection").alias("collection"))
-    m = g.mentions.join(g.project_collections.join(F.broadcast(last), "collection", "left_semi"), "project_id", "left_semi").select("project_id", "entity_id")
+    """Pairs of entities of one project that no relation joins."""
+    m = g.mentions.select("project_id", "entity_id")
     pairs = m.withColumnRenamed("entity_id", "a").join(m.withColumnRenamed("entity_id", "b"), "project_id").filter("a < b").select("a", "b").distinct()
     return pairs.join(G.simple_edges(g.relations), ["a", "b"], "left_anti")
 
@@ -90,11 +87,11 @@ _graph_query("closeness", lambda g: G.closeness(g.relations, _sources(g)))
 
 
 def _seeds(g):
-    """A stated query set: every 200th part."""
-    return g.entities.filter(F.substring("entity_id", 2, 20).cast("long") % 200 == 0).select("entity_id")
+    """A stated query set: every 20th part."""
+    return g.entities.filter(F.substring("entity_id", 2, 20).cast("long") % 20 == 0).select("entity_id")
 
 
-SEEDS = EDGES + ", sd AS (SELECT 'e' || p_partkey AS entity_id, 'e' || (p_partkey + 1) AS after FROM part WHERE p_partkey % 200 = 0)\n"
+SEEDS = EDGES + ", sd AS (SELECT 'e' || p_partkey AS entity_id, 'e' || (p_partkey + 1) AS after FROM part WHERE p_partkey % 20 = 0)\n"
 _graph_query(
     "neighborhood", lambda g: T.neighborhood(g.relations, _seeds(g), 2).groupBy("seed", "distance").agg(F.count("*").alias("n"), F.min("entity_id").alias("least")),
     SEEDS + """, n1 AS (SELECT DISTINCT entity_id AS seed, b FROM sd JOIN se ON a = entity_id), n2 AS (SELECT DISTINCT seed, se.b FROM n1 JOIN se ON se.a = n1.b WHERE se.b <> seed AND (seed, se.b) NOT IN (SELECT (seed, b) FROM n1)),
@@ -109,7 +106,7 @@ _graph_query(
 
 
 def _pairs(g):
-    """A stated query set: every 200th part and the one after it."""
+    """A stated query set: every 20th part and the one after it."""
     key = F.substring("entity_id", 2, 20).cast("long")
     return _seeds(g).select(F.col("entity_id").alias("a"), F.concat(F.lit("e"), (key + 1).cast("string")).alias("b"))
 
@@ -128,11 +125,11 @@ def _paths_sql(hops: int) -> str:
 
 _graph_query("shortest_paths", lambda g: T.shortest_paths(g.relations, _pairs(g), 4).select("a", "b", "hops", F.array_join("path", ">").alias("path")), _paths_sql(4))
 _graph_query(
-    "all_paths", lambda g: T.all_paths(g.relations.filter("magnitude = 'foundational'"), _pairs(g), 3, 10).select("a", "b", "hops", F.array_join("path", ">").alias("path"), "rank"),
-    STRONG + """, pr AS (SELECT 'e' || p_partkey AS a, 'e' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 200 = 0),
-    ap AS (SELECT pr.a, pr.b, 1 AS hops, [pr.a, pr.b] AS p FROM pr JOIN st ON st.a = pr.a AND st.b = pr.b
-      UNION ALL SELECT pr.a, pr.b, 2, [pr.a, x.b, pr.b] FROM pr JOIN st x ON x.a = pr.a JOIN st y ON y.a = x.b AND y.b = pr.b WHERE x.b <> pr.b
-      UNION ALL SELECT pr.a, pr.b, 3, [pr.a, x.b, y.b, pr.b] FROM pr JOIN st x ON x.a = pr.a JOIN st y ON y.a = x.b JOIN st z ON z.a = y.b AND z.b = pr.b WHERE x.b <> pr.b AND y.b <> pr.b AND y.b <> pr.a)
+    "all_paths", lambda g: T.all_paths(g.relations, _pairs(g), 3, 10).select("a", "b", "hops", F.array_join("path", ">").alias("path"), "rank"),
+    EDGES + """, pr AS (SELECT 'e' || p_partkey AS a, 'e' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 20 = 0),
+    ap AS (SELECT pr.a, pr.b, 1 AS hops, [pr.a, pr.b] AS p FROM pr JOIN se ON se.a = pr.a AND se.b = pr.b
+      UNION ALL SELECT pr.a, pr.b, 2, [pr.a, x.b, pr.b] FROM pr JOIN se x ON x.a = pr.a JOIN se y ON y.a = x.b AND y.b = pr.b WHERE x.b <> pr.b
+      UNION ALL SELECT pr.a, pr.b, 3, [pr.a, x.b, y.b, pr.b] FROM pr JOIN se x ON x.a = pr.a JOIN se y ON y.a = x.b JOIN se z ON z.a = y.b AND z.b = pr.b WHERE x.b <> pr.b AND y.b <> pr.b AND y.b <> pr.a)
     SELECT a, b, hops, array_to_string(p, '>') AS path, rank FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hops, p) AS rank FROM ap) WHERE rank <= 10""",
 )
 _graph_query(

@@ -57,8 +57,8 @@ _graph_query(
 _graph_query("search_rows", lambda g: V.search_rows(g.entities, ["name", "definition", "aliases"], "widget").select("entity_id", "name"), "SELECT entity_id, name FROM entities WHERE lower(name) LIKE '%widget%' OR lower(definition) LIKE '%widget%'")
 _graph_query(
     "sort_rows",
-    lambda g: V.sort_rows(A.entity_metrics(g), "name", ties=("entity_id",)).limit(100).select("entity_id", "name"),
-    "SELECT entity_id, name FROM metrics ORDER BY lower(name), entity_id LIMIT 100",
+    lambda g: V.sort_rows(A.entity_metrics(g), "name", ties=("entity_id",)).select("entity_id", "name"),
+    "SELECT entity_id, name FROM metrics ORDER BY lower(name), entity_id",
 )
 
 
