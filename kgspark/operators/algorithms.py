@@ -48,19 +48,25 @@ def pagerank(nodes: DataFrame, relations: DataFrame, damping: float = DAMPING, r
 
 
 def node_similarity(relations: DataFrame, cutoff: float = 0.3, k: int = 5) -> DataFrame:
-    """(a, b, similarity, rank): Jaccard of neighbour sets, at least ``cutoff``, the k best of each node."""
-    near = simple_edges(relations)
+    """(a, b, similarity, rank): Jaccard of neighbour sets, at least ``cutoff``, the k best of each node.
+
+    Of two sets that reach the cutoff, both hold a common neighbour among their first ones, rare neighbours first. What
+    first ones share is counted where they meet; a pair's sets are compared only if the rest, which lies behind one of
+    the two prefixes, could still lift it to the cutoff.
+    """
+    near = write_out(simple_edges(relations), "simple")
     sizes = near.groupBy("a").agg(F.count("*").alias("n"))
-    # prefix filter: of two sets that reach the cutoff, both hold a common neighbour among their first ones
     order = near.groupBy("b").agg(F.count("*").alias("df"))
     placed = near.join(order, "b").join(sizes, "a").withColumn("pos", F.row_number().over(Window.partitionBy("a").orderBy("df", "b")))
-    prefix = placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(cutoff) - 1e-9) + 1).select("a", "b", "n")
-    x, y = prefix, prefix.select(F.col("a").alias("c"), "b", F.col("n").alias("m"))
-    candidates = x.join(y, "b").filter("a < c").filter(F.least("n", "m") >= F.greatest("n", "m") * F.lit(cutoff) - 1e-9).select("a", "c", "n", "m").distinct()
-    sets = near.groupBy("a").agg(F.collect_set("b").alias("near"))
-    both = candidates.join(sets, "a").join(sets.select(F.col("a").alias("c"), F.col("near").alias("other")), "c")
-    shared = F.size(F.array_intersect("near", "other"))
-    scored = both.select("a", "c", (shared / (F.col("n") + F.col("m") - shared)).alias("similarity")).filter(F.col("similarity") >= cutoff)
+    rest = (F.ceil(F.col("n") * F.lit(cutoff) - 1e-9) - 1).alias("rest")
+    prefix = write_out(placed.filter(F.col("pos") <= F.col("n") - rest).select("a", "b", "n", rest), "prefix")
+    y = prefix.select(F.col("a").alias("c"), "b", F.col("n").alias("m"), F.col("rest").alias("rest_c"))
+    met = prefix.join(y, "b").filter("a < c").filter(F.least("n", "m") >= F.greatest("n", "m") * F.lit(cutoff) - 1e-9)
+    counted = met.groupBy("a", "c").agg(F.count("*").alias("seen"), F.first("n").alias("n"), F.first("m").alias("m"), F.greatest(F.first("rest"), F.first("rest_c")).alias("unseen"))
+    candidates = write_out(counted.filter((F.col("seen") + F.col("unseen")) * (1 + cutoff) >= (F.col("n") + F.col("m")) * F.lit(cutoff) - 1e-6).select("a", "c", "n", "m"), "candidates")
+    mine = candidates.join(near, "a").join(near.select(F.col("a").alias("c"), "b"), ["c", "b"])
+    shared = mine.groupBy("a", "c", "n", "m").agg(F.count("*").alias("shared"))
+    scored = shared.select("a", "c", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).filter(F.col("similarity") >= cutoff)
     ways = scored.select("a", F.col("c").alias("b"), F.round("similarity", 6).alias("similarity")).unionByName(scored.select(F.col("c").alias("a"), F.col("a").alias("b"), F.round("similarity", 6).alias("similarity")))
     return top_per_group(ways, "a", "similarity", k, ("b",))
 
