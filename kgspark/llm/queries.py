@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgspark.llm import embedding_dedup, fingerprints, html_extraction, licenses, mixing, ngram_join, packing, quality, secrets, tokens
+from kgspark.llm import conversation_trie, embedding_dedup, fingerprints, html_extraction, lexical_search, licenses, mixing, ngram_join, packing, quality, secrets, tokens, url_filter
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_mixing_sources": mixing.op10_mixing_sources,
+    "op11_ranked_lexical_search": lexical_search.op11_ranked_lexical_search,
+    "op12_url_filters": url_filter.op12_url_filters,
+    "op13_conversation_prefix_trie": conversation_trie.op13_conversation_prefix_trie,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op4_secret_scans": secrets.SQL,
     "op5_license_scans": licenses.SQL,
     "op10_mixing_sources": mixing.SQL,
+    "op11_ranked_lexical_search": lexical_search.SQL,
+    "op12_url_filters": url_filter.SQL,
+    "op13_conversation_prefix_trie": conversation_trie.SQL,
 }
