@@ -6,10 +6,6 @@ executors. Undirected views keep parallel edges unless a definition needs a simp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,89 +138,3 @@ def link_scores(relations: DataFrame, pairs: DataFrame) -> DataFrame:
     x = pairs.select("a", "b").distinct().join(near.select("a", F.col("b").alias("z")), "a")
     common = x.join(near.select(F.col("a").alias("b"), F.col("b").alias("z")), ["b", "z"]).join(degree.select(F.col("a").alias("z"), "d"), "z")
     return common.groupBy("a", "b").agg(F.count("*").alias("common"), F.round(F.sum(1 / F.log("d")), 6).alias("adamic_adar"), F.round(F.sum(1 / F.col("d")), 6).alias("resource_allocation"))
-
-
-def _searches(relations: DataFrame, sources: DataFrame, run, schema: str) -> DataFrame:
-    """Runs ``run(adjacency, numbers of sources)`` over batches of sources on executors.
-
-    Exact path metrics need the whole simple graph in each task; it is broadcast as two number arrays and refused
-    beyond ``MOST_EDGES`` edges, where sources should be searched by ``traversal`` instead.
-    """
-    near = simple_edges(relations)
-    n_edges = near.count()
-    if n_edges > MOST_EDGES:
-        raise ValueError(f"{n_edges} edges; path metrics hold at most {MOST_EDGES} in memory")
-    rows = near.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near")).orderBy("a").toPandas()  # at most MOST_EDGES
-    ids = {v: k for k, v in enumerate(rows["a"])}
-    starts = np.r_[0, np.cumsum([len(x) for x in rows["near"]])]
-    ends = np.array([ids[v] for x in rows["near"] for v in x], np.int64)
-    names = list(rows["a"])
-    shared = relations.sparkSession.sparkContext.broadcast((names, starts, ends))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, starts, ends = shared.value
-        known = {v: k for k, v in enumerate(names)}
-        yield from run(names, starts, ends, (known[s] for b in batches for s in b.column(0).to_pylist() if s in known))
-
-    spread = sources.select("entity_id").distinct().repartition(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_id")
-    return spread.mapInArrow(go, schema)
-
-
-#: Edges (both ways) of a graph whose path metrics are computed in memory; 16 bytes each in a task.
-MOST_EDGES = 20_000_000
-
-
-def _levels(starts: np.ndarray, ends: np.ndarray, source: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Distances, path counts and the edges (from, to) of each level of a breadth-first search."""
-    n = len(starts) - 1
-    distance, paths = np.full(n, -1), np.zeros(n)
-    distance[source], paths[source] = 0, 1
-    frontier, steps = np.array([source]), []
-    while len(frontier):
-        sizes = starts[frontier + 1] - starts[frontier]
-        begin = np.repeat(frontier, sizes)
-        at = np.repeat(starts[frontier] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        to = ends[at]
-        new = distance[to] < 0
-        distance[to[new]] = distance[frontier[0]] + 1
-        on = distance[to] == distance[frontier[0]] + 1
-        begin, to = begin[on], to[on]
-        if not len(to):
-            break
-        np.add.at(paths, to, paths[begin])
-        steps.append((begin, to))
-        frontier = np.unique(to)
-    return distance, paths, steps
-
-
-def betweenness(relations: DataFrame, sources: DataFrame, scale: float = 0.5) -> DataFrame:
-    """(entity_id, betweenness) by Brandes' accumulation from the given sources; halved for undirected pairs."""
-
-    def run(names, starts, ends, chosen):
-        total = np.zeros(len(names))
-        for s in chosen:
-            _, paths, steps = _levels(starts, ends, s)
-            depend = np.zeros(len(names))
-            for begin, to in reversed(steps):
-                np.add.at(depend, begin, paths[begin] / paths[to] * (1 + depend[to]))
-            depend[s] = 0
-            total += depend
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in hit], pa.string()), pa.array(total[hit])], names=["entity_id", "part"])
-
-    parts = _searches(relations, sources, run, "entity_id string, part double")
-    return parts.groupBy("entity_id").agg(F.round(F.sum("part") * F.lit(scale), 6).alias("betweenness"))
-
-
-def closeness(relations: DataFrame, sources: DataFrame) -> DataFrame:
-    """(entity_id, reached, closeness, harmonic) of each source with neighbours."""
-
-    def run(names, starts, ends, chosen):
-        rows = []
-        for s in chosen:
-            distance, _, _ = _levels(starts, ends, s)
-            far = distance[distance > 0]
-            rows.append((names[s], len(far), round(len(far) / far.sum(), 6) if len(far) else 0.0, round(float((1 / far).sum()), 6)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=["entity_id", "reached", "closeness", "harmonic"])
-
-    return _searches(relations, sources, run, "entity_id string, reached long, closeness double, harmonic double")

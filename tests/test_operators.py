@@ -3,7 +3,7 @@
 import itertools
 import json
 import random
-from collections import deque
+from collections import defaultdict, deque
 
 import numpy as np
 import pytest
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as N
 from kgspark.operators import algorithms as G
 from kgspark.operators import build as M
+from kgspark.operators import paths as P
 from kgspark.operators import rankings as W
 from kgspark.operators import search as R
 from kgspark.operators import traversal as T
@@ -67,17 +68,42 @@ def shortest(near, a, b):
     return paths
 
 
-def test_betweenness(spark, graph, relations):
-    near = adjacency(graph)
-    want = dict.fromkeys(graph[0], 0.0)
-    for a, b in itertools.permutations(graph[0], 2):
+def by_hand_betweenness(near):
+    want = dict.fromkeys(near, 0.0)
+    for a, b in itertools.permutations(near, 2):
         paths = shortest(near, a, b)
         for p in paths:
             for n in p[1:-1]:
                 want[n] += 0.5 / len(paths)
-    sources = spark.createDataFrame([(n,) for n in graph[0]], "entity_id string")
-    got = {r["entity_id"]: r["betweenness"] for r in G.betweenness(relations, sources).collect()}
-    assert all(abs(got.get(n, 0.0) - v) < 1e-5 for n, v in want.items())
+    return want
+
+
+@pytest.mark.parametrize("batch", [64, 5])
+def test_betweenness(graph, relations, batch):
+    want = by_hand_betweenness(adjacency(graph))
+    got = {r["entity_id"]: r["betweenness"] for r in P.betweenness(relations, batch=batch).collect()}
+    assert set(got) == {n for n, v in adjacency(graph).items() if v}
+    assert all(abs(v - want[n]) < 1e-5 for n, v in got.items())
+
+
+def test_betweenness_of_a_hub_and_of_nothing(spark):
+    """A hub of 300 leaves, one of which carries a path: every pair of leaves goes through the hub."""
+    rows = [("hub", f"leaf{k}") for k in range(300)] + [("leaf0", "x"), ("x", "y"), ("y", "x"), ("y", "y")]
+    got = {r["entity_id"]: r["betweenness"] for r in P.betweenness(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got["hub"] == 300 * 299 / 2 + 2 * 299 and got["leaf0"] == 2 * 300 and got["x"] == 301 and got["y"] == 0
+    assert P.betweenness(spark.createDataFrame([], "src string, dst string")).count() == 0
+    assert P.betweenness(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
+
+
+def test_betweenness_of_a_sample(spark):
+    rng = random.Random(3)
+    rows = [(f"n{rng.randint(0, 149)}", f"n{int(150 * rng.random() ** 2)}") for _ in range(500)]
+    relations = spark.createDataFrame(rows, "src string, dst string")
+    exact = {r["entity_id"]: r["betweenness"] for r in P.betweenness(relations, batch=200).collect()}
+    some = {r["entity_id"]: r["betweenness"] for r in P.betweenness(relations, sample=40).collect()}
+    assert set(some) == set(exact) and max(abs(some[n] - v) for n, v in exact.items()) <= P.sampling_error(len(exact), 40)
+    top = sorted(exact, key=exact.get)[-5:]
+    assert all(0.4 * exact[n] < some[n] < 2.5 * exact[n] for n in top)
 
 
 def test_vector_search_in_blocks(spark, monkeypatch):
@@ -99,14 +125,24 @@ def test_vector_search_in_blocks(spark, monkeypatch):
 
 
 def test_closeness(spark, graph, relations):
-    near = adjacency(graph)
-    sources = spark.createDataFrame([(n,) for n in graph[0]], "entity_id string")
-    got = {r["entity_id"]: r for r in G.closeness(relations, sources).collect()}
-    for n in graph[0]:
-        if near[n]:
+    """Small sets are counted exactly by a sketch; larger ones within a few per cent."""
+    rng = random.Random(8)
+    rows = [(f"n{rng.randint(0, 2999)}", f"n{rng.randint(0, 2999)}") for _ in range(6000)] + [("hub", f"n{k}") for k in range(1000)] + [(f"p{k}", f"p{k + 1}") for k in range(12)]
+    for near, edges, error in ((adjacency(graph), relations, 1e-4), (None, spark.createDataFrame(rows, "src string, dst string"), 0.08)):
+        if near is None:
+            near = defaultdict(set)
+            for a, b in rows:
+                if a != b:
+                    near[a].add(b)
+                    near[b].add(a)
+        got = {r["entity_id"]: r for r in P.closeness(edges).collect()}
+        assert set(got) == {n for n, v in near.items() if v}
+        some = list(got)[:40] + [n for n in ("hub", "p0", "p6") if n in got]
+        for n in some:
             far = [d for d in distances(near, n).values() if d]
-            assert got[n]["reached"] == len(far)
-            assert got[n]["harmonic"] == pytest.approx(sum(1 / d for d in far), abs=1e-5)
+            assert got[n]["reached"] == pytest.approx(len(far), rel=error)
+            assert got[n]["harmonic"] == pytest.approx(sum(1 / d for d in far), rel=error)
+            assert got[n]["closeness"] == pytest.approx(len(far) / sum(far), rel=error)
 
 
 def test_core_numbers(graph, relations):
