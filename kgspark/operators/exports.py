@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kgspark.operators.aggregates import bridge_tier, collection_relations, scope_entities
 from kgspark.operators.joins import both_ways
 from kgspark.operators.rankings import magnitude_rank, top_per_group
-from kgspark.operators.search import similar_by_embedding
 from kgspark.sources.graph import Graph
 
 
@@ -78,9 +77,3 @@ def set_differences(rows: DataFrame, wanted: list[str], column: str = "keys") ->
     """Adds missing and unexpected: the set differences of an array column and a list."""
     names = F.array(*[F.lit(w) for w in wanted])
     return rows.withColumn("missing", F.array_except(names, column)).withColumn("unexpected", F.array_except(column, names))
-
-
-def knn_graph(vectors: DataFrame, k: int = 5, cutoff: float = 0.7, every: int = 20) -> DataFrame:
-    """Similarity edges of every ``every``-th vector to its k best over the cutoff."""
-    queries = vectors.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return similar_by_embedding(vectors, queries, k, cutoff)

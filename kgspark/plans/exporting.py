@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import aggregates as A
 from kgspark.operators import exports as E
+from kgspark.operators.neighbors import nearest_lists
+from kgspark.operators.search import similar_by_embedding
 from kgspark.operators import filters as V
 from kgspark.operators.build import quick_ingest
 from kgspark.plans.networks import SIMILAR, _similar
@@ -81,7 +83,15 @@ _graph_query(
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1) WHERE rank <= 5""", __name__,
 )
 def knn(spark, sf_dir):
-    return E.knn_graph(read_table(spark, sf_dir, "embeddings"), 5, 0.1)
+    """Exact edges of a stated query set: every 20th vector."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return similar_by_embedding(vectors, vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5, 0.1)
+
+
+@register("knn_lists", None, __name__)
+def knn_lists(spark, sf_dir):
+    """Edges of every vector, by refined lists."""
+    return nearest_lists(read_table(spark, sf_dir, "embeddings"), 5, 0.1)
 
 
 @register("quick_ingest", "SELECT c.role AS name, count(DISTINCT conv_id) AS projects FROM conversations c GROUP BY 1", __name__)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as N
 from kgspark.operators import algorithms as G
 from kgspark.operators import build as M
+from kgspark.operators import neighbors as NN
 from kgspark.operators import paths as P
 from kgspark.operators import rankings as W
 from kgspark.operators import search as R
@@ -124,6 +125,28 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 300
 
 
+def test_nearest_lists(spark):
+    """Recall of 0.9 and more with under a tenth of the pairs; a hot group of near copies, odd vectors."""
+    rng = np.random.default_rng(7)
+    points = rng.standard_normal((8000, 5)) @ rng.standard_normal((5, 24)) + 0.02 * rng.standard_normal((8000, 24))
+    points[:400] = points[0] + 1e-3 * rng.standard_normal((400, 24))
+    rows = [(k, x) for k, x in enumerate(points.tolist())] + [(9001, None), (9002, [0.0] * 24), (9003, [1.0, None] * 12), (None, points[0].tolist()), (9004, [1.0, 2.0]), (9005, [2.0, 4.1]), (9006, [])]
+    met = []
+    got = NN.nearest_lists(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 0.5, met=met).collect()
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -1)
+    found = defaultdict(dict)
+    for r in got:
+        found[r["query_id"]][r["id"]] = r["score"]
+    assert found.pop(9004) == {9005: pytest.approx(0.99997, abs=1e-4)} and found.pop(9005)
+    assert all(k < 8000 and len(v) <= 5 and all(abs(cosine[k, m] - s) < 1e-5 for m, s in v.items()) for k, v in found.items())
+    fifth = np.round(np.sort(cosine, axis=1)[:, -5], 6)
+    right = [sum(s >= fifth[k] - 1e-6 for s in found[k].values()) for k in range(8000)]
+    assert sum(right) >= 0.9 * 5 * 8000
+    assert sum(met) < 0.1 * 8000 * 7999 / 2, sum(met) / (8000 * 7999 / 2)
+
+
 def test_closeness(spark, graph, relations):
     """Small sets are counted exactly by a sketch; larger ones within a few per cent."""
     rng = random.Random(8)
