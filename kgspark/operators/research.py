@@ -79,7 +79,27 @@ def inconsistent_names(g: Graph) -> DataFrame:
 
 
 def near_names(names: DataFrame, most: int = 2) -> DataFrame:
-    """(a, b, distance): different names that begin alike and differ by few edits; the first three letters block."""
-    n = names.select("name").distinct().withColumn("_k", F.lower(F.substring("name", 1, 3)))
-    pairs = n.withColumnRenamed("name", "a").join(n.withColumnRenamed("name", "b"), "_k").filter("a < b")
+    """(a, b, distance): all pairs of different names at most so many edits apart.
+
+    A name is cut into most + 1 pieces of about equal length. Of two names at most that many edits apart, one piece of the longer
+    one stands unchanged in the other, at a place shifted by at most the difference of edits; so pieces of a given
+    number, of a name of a given length, meet equal parts of names of a length near it at the places near theirs. Names of at most ``most``
+    letters have empty pieces: they meet all names within reach of their length.
+    """
+    n = names.select("name").filter("name IS NOT NULL").distinct().withColumn("len", F.length("name"))
+    pieces = most + 1
+    piece = F.sequence(F.lit(0), F.lit(most))
+    starts = lambda i, length: F.floor(i * length / pieces).cast("int")
+    long = n.filter(F.col("len") > most)
+    index = long.select(F.col("name").alias("a"), F.col("len").alias("size"), F.explode(piece).alias("i")).withColumn("at", starts(F.col("i"), F.col("size"))).withColumn("upto", starts(F.col("i") + 1, F.col("size")))
+    index = index.select("a", "size", "i", F.col("at"), F.expr("substring(a, at + 1, upto - at)").alias("part"))
+    probes = long.select(F.col("name").alias("b"), "len", F.explode(F.sequence(F.col("len"), F.col("len") + most)).alias("size")).filter(F.col("size") > most)
+    probes = probes.withColumn("i", F.explode(piece)).withColumn("at", starts(F.col("i"), F.col("size"))).withColumn("upto", starts(F.col("i") + 1, F.col("size")))
+    shift = F.sequence(F.greatest(F.lit(0), F.col("at") - most), F.least(F.col("len") - (F.col("upto") - F.col("at")), F.col("at") + most))
+    probes = probes.filter(F.col("len") - (F.col("upto") - F.col("at")) >= F.greatest(F.lit(0), F.col("at") - most)).withColumn("from", F.explode(shift))
+    probes = probes.select("b", "size", "i", F.expr("substring(b, from + 1, upto - at)").alias("part")).distinct()
+    met = index.join(probes, ["size", "i", "part"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tiny = n.filter(F.col("len") <= most).select(F.col("name").alias("x"), F.explode(F.sequence(F.lit(0), F.col("len") + most)).alias("len"))
+    short = tiny.join(n.filter(F.col("len") <= 2 * most), "len").filter("x <> name").select(F.least("x", "name").alias("a"), F.greatest("x", "name").alias("b"))
+    pairs = met.unionByName(short).distinct()
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).filter(F.col("distance") <= most)

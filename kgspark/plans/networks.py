@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import aggregates as A
 from kgspark.operators import algorithms as G
+from kgspark.operators import communities as C
 from kgspark.operators import paths as P
 from kgspark.operators import traversal as T
 from kgspark.operators.components import connected_components
@@ -57,6 +58,34 @@ _graph_query(
     "community_sizes", lambda g: G.label_propagation(g.entities, g.relations).groupBy("community").agg(F.count("*").alias("members")),
     _labels_sql(10).replace("SELECT entity_id, community FROM l10", "SELECT community, count(*) AS members FROM l10 GROUP BY community"),
 )
+
+
+def _modular_sql(last: str) -> str:
+    sql = EDGES + ", w0 AS MATERIALIZED (SELECT a, b, count(*) AS w FROM pe WHERE a <> b GROUP BY a, b), kk AS (SELECT a, sum(w)::BIGINT AS k FROM w0 GROUP BY a), tt AS (SELECT coalesce(sum(k), 0)::BIGINT AS total FROM kk), n0 AS (SELECT entity_id AS e, coalesce(k, 0) AS k FROM entities LEFT JOIN kk ON a = entity_id)"
+    for v in range(C.LEVELS):
+        sql += f", l{v}_0 AS MATERIALIZED (SELECT e, e AS c, k, ('0x' || substr(md5(e), 1, 8))::BIGINT % {C.CLASSES} AS cl FROM n{v})"
+        for t in range(C.ROUNDS * C.CLASSES):
+            x = f"{v}_{t}"
+            sql += f""", m{x} AS (SELECT e AS a, c AS own, k FROM l{x} WHERE cl = {t % C.CLASSES}), s{x} AS (SELECT c, sum(k)::BIGINT AS size FROM l{x} GROUP BY c),
+            o{x} AS (SELECT a, own, k, c, sum(w)::BIGINT AS w FROM (SELECT m.a, own, m.k, l.c, w FROM m{x} m JOIN w{v} USING (a) JOIN l{x} l ON l.e = b UNION ALL SELECT a, own, k, own, 0 FROM m{x}) GROUP BY ALL),
+            b{x} AS (SELECT a, c FROM (SELECT a, c, row_number() OVER (PARTITION BY a ORDER BY w * total - k * (size - CASE WHEN c = own THEN k ELSE 0 END) DESC, c) AS rank FROM o{x} JOIN s{x} USING (c), tt) WHERE rank = 1),
+            l{v}_{t + 1} AS MATERIALIZED (SELECT e, coalesce(b.c, l.c) AS c, k, cl FROM l{x} l LEFT JOIN b{x} b ON b.a = l.e)"""
+        end = f"l{v}_{C.ROUNDS * C.CLASSES}"
+        sql += f""", w{v + 1} AS MATERIALIZED (SELECT x.c AS a, y.c AS b, sum(w)::BIGINT AS w FROM w{v} JOIN {end} x ON x.e = a JOIN {end} y ON y.e = b WHERE x.c <> y.c GROUP BY 1, 2), n{v + 1} AS (SELECT c AS e, sum(k)::BIGINT AS k FROM {end} GROUP BY c),
+        f{v} AS MATERIALIZED (""" + (f"SELECT e, c FROM {end})" if not v else f"SELECT f.e, x.c FROM f{v - 1} f JOIN {end} x ON x.e = f.c)")
+    return sql + f", lb AS (SELECT e AS entity_id, c AS community FROM f{C.LEVELS - 1}) " + last
+
+
+def _modular(g):
+    return C.modular_communities(g.entities, g.relations)
+
+
+_graph_query("modular_communities", _modular, _modular_sql("SELECT * FROM lb"))
+_graph_query(
+    "community_detail", lambda g: C.community_detail(_modular(g), g.entities, g.relations)["relations"],
+    _modular_sql("""SELECT community, rank, rel_id, src, dst FROM (SELECT x.community, rel_id, src, dst, row_number() OVER (PARTITION BY x.community ORDER BY CASE magnitude WHEN 'foundational' THEN 0 WHEN 'significant' THEN 1
+      WHEN 'marginal' THEN 2 ELSE 3 END, rel_id) AS rank FROM relations JOIN lb x ON x.entity_id = src JOIN lb y ON y.entity_id = dst AND y.community = x.community) WHERE rank <= 50"""),
+)
 _graph_query("gaps", lambda g: G.gaps(g.entities, A.degrees(g), 30), "SELECT entity_id, CASE WHEN degree = 0 THEN 'isolated' ELSE 'under-connected' END AS kind, degree FROM degrees WHERE degree <= 30")
 _graph_query(
     "triangles", lambda g: G.triangles(g.relations),

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from kgspark.functions import text as N
 from kgspark.operators import algorithms as G
 from kgspark.operators import build as M
+from kgspark.operators import communities as C
 from kgspark.operators import neighbors as NN
 from kgspark.operators import paths as P
 from kgspark.operators import rankings as W
+from kgspark.operators import research as B
 from kgspark.operators import search as R
+from kgspark.operators import textindex as I
 from kgspark.operators import traversal as T
 from kgspark.operators import validation as V
 from kgspark.operators.components import connected_components
@@ -125,6 +128,74 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     assert {tuple(x) for x in got.collect()} == want and len(want) > 300
 
 
+def test_index_search(spark, tmp_path):
+    """The same rows as the search without an index, from fewer ranges, and from the folders of the asked terms only."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(400)]
+    weights = [1 / (k + 3) for k in range(400)]
+    rows = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.choice([3, 10, 40, 200])))) for k in range(1500)] + [(9000, None), (9001, ""), (None, "w1 w2"), (9002, "w399 " * 3000)]
+    queries = [(k, " ".join(rng.choices(vocabulary, k=3))) for k in range(12)] + [(50, "nothing here"), (51, None), (52, "w0 w1 w2 w3")]
+    docs, asked = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    index = I.write_index(docs, "id", "text", f"file://{tmp_path}/index", size=16, buckets=16)
+    scored = []
+    got = I.indexed_search(spark, index, asked, 5, buckets=16, scored=scored)
+    want = R.fulltext_search(docs, asked, "id", "text", 5)
+    assert sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect()), key=str) == sorted(map(tuple, want.select("query_id", "id", "score", "rank").collect()), key=str)
+    assert scored[1] < 0.7 * scored[0], scored
+    one = I.read_index(spark, index, spark.createDataFrame([("w7",)], "term string").withColumn("bucket", I._bucket("term", 16)))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_modular_communities(spark):
+    """Planted groups are found again; the graph's modularity is near that of the plant."""
+    rng = random.Random(9)
+    rows = []
+    for a in range(240):
+        rows += [(f"n{a}", f"n{8 * rng.randint(0, 29) + a % 8}") for _ in range(6)] + [(f"n{a}", f"n{rng.randint(0, 239)}")]
+    rows = [(f"r{k}", a, b, "significant") for k, (a, b) in enumerate(rows)]
+    relations = spark.createDataFrame(rows, "rel_id string, src string, dst string, magnitude string")
+    entities = spark.createDataFrame([(f"n{k}", f"name {k}", "x") for k in range(240)] + [("alone", "alone", "y")], "entity_id string, name string, category string")
+    labels = C.modular_communities(entities, relations)
+    found = {r["entity_id"]: r["community"] for r in labels.collect()}
+    planted = spark.createDataFrame([(f"n{k}", str(k % 8)) for k in range(240)] + [("alone", "alone")], "entity_id string, community string")
+    best, got = (C.modularity(x, relations).first() for x in (planted, labels))
+    assert got["modularity"] >= 0.9 * best["modularity"] > 0.5 and 8 <= got["communities"] <= 14, (got, best)
+    assert found["alone"] == "alone" and len(found) == 241
+    detail = C.community_detail(labels, entities, relations, 3)
+    assert detail["members"].count() == 241
+    inside = detail["relations"].collect()
+    assert all(found[r["src"]] == found[r["dst"]] == r["community"] and r["rank"] <= 3 for r in inside) and len(inside) >= 20
+    loops = spark.createDataFrame([("r", "n1", "n1", "significant")], relations.schema)
+    assert {r["community"] for r in C.modular_communities(entities, loops, 1, 2, 1).collect()} == {f"n{k}" for k in range(240)} | {"alone"}
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_near_names(spark, most):
+    """All pairs, also with an edit in the first letters, of every length."""
+    rng = random.Random(most)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    names = {"", "a", "ab", "abc", "b", "xbc", "Alpha", "alpha", "lpha", "Alphabet", "ü", "üb"}
+    while len(names) < 140:
+        old = list(rng.choice(sorted(names)))
+        for _ in range(rng.randint(1, 3)):
+            old.insert(rng.randint(0, len(old)), rng.choice("abcx"))
+            if rng.random() < 0.5 and old:
+                del old[rng.randrange(len(old))]
+        names.add("".join(old))
+    got = {tuple(r) for r in B.near_names(spark.createDataFrame([(n,) for n in [*names, None, "alpha"]], "name string"), most).collect()}
+    want = {(min(a, b), max(a, b), edits(a, b)) for a, b in itertools.combinations(names, 2) if edits(a, b) <= most}
+    assert got == want and any(a[:1] != b[:1] and len(a) > 3 for a, b, _ in want)
+
+
 def test_nearest_lists(spark):
     """Recall of 0.9 and more with under a tenth of the pairs; a hot group of near copies, odd vectors."""
     rng = np.random.default_rng(7)
