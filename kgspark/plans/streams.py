@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kgspark.sources.scratch import shared_folder
+from kgspark.sources.scratch import new_folder, shared_folder
 from kgspark.registry import register
 from kgspark.sources import files as S
 from kgspark.sources.graph import ORDER_SQL, order_graph, read_table
+from kgspark.streaming import keyed as K
 from kgspark.streaming import streams as X
 
 HERE = __name__
@@ -59,6 +60,46 @@ def conflicts(spark, sf_dir):
     return X.conflicting_requests(_events(spark, sf_dir).select(F.col("user_id").alias("request_id"), F.col("event_type").alias("fingerprint")))
 
 
+def _event_stream(spark, sf_dir):
+    """The event table as a stream of its files."""
+    path = f"{sf_dir}/events.parquet"
+    files = spark.read.parquet(path)
+    e = spark.readStream.schema(files.schema).parquet(path) if len(files.inputFiles()) > 1 else spark.readStream.schema(files.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "event_type")
+
+
+def _streamed(spark, stream, mode):
+    """What a stream writes over all files that are there."""
+    folder = new_folder(spark, "stream")
+    K.run_to_end(stream, mode, f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@register("mention_counts", "SELECT user_id::VARCHAR AS entity_id, count(DISTINCT event_type) AS projects FROM events GROUP BY 1", HERE)
+def mention_counts(spark, sf_dir):
+    """Event types as projects of users, counted by a stream with state per key."""
+    mentions = _event_stream(spark, sf_dir).select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("project_id"), "ts")
+    return K.mention_totals(_streamed(spark, K.mention_counts(mentions, "3650 days", 2), "update"))
+
+
+@register(
+    "request_outcomes",
+    """WITH f AS (SELECT user_id::VARCHAR AS request_id, arg_min(event_type, (ts, event_type)) AS first FROM events GROUP BY 1)
+    SELECT DISTINCT request_id, event_type AS fingerprint, CASE WHEN event_type = first THEN 'accepted' ELSE 'conflict' END AS outcome FROM events JOIN f ON request_id = user_id::VARCHAR""", HERE,
+)
+def request_outcomes(spark, sf_dir):
+    """Users as request ids, event types as fingerprints, from a stream."""
+    requests = _event_stream(spark, sf_dir).select(F.col("user_id").alias("request_id"), F.col("event_type").alias("fingerprint"), "ts")
+    return _streamed(spark, K.request_outcomes(requests, "3650 days", 10 * 365 * 86400), "append").drop("batch")
+
+
+@register("newest_results", "SELECT user_id::VARCHAR AS scope, max(event_id)::BIGINT AS seq, arg_max(event_type, event_id) AS result FROM events GROUP BY 1", HERE)
+def newest_results(spark, sf_dir):
+    """The newest event of each user, from a stream that ignores older ones."""
+    results = _event_stream(spark, sf_dir).select(F.col("user_id").alias("scope"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("result"))
+    return X.latest_per_key(_streamed(spark, K.newest_results(results), "update").drop("batch"), "scope", ["seq"]).select("scope", "seq", "result")
+
+
 @register("conversation_projects", "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS n_chars, arg_min(role, turn) AS opened_by FROM conversations GROUP BY 1", HERE)
 def conversations(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations")

@@ -24,6 +24,7 @@ from kgspark.operators import validation as V
 from kgspark.operators.components import connected_components
 from kgspark.sources import files as S
 from kgspark.sources.graph import order_graph
+from kgspark.streaming import keyed as K
 from kgspark.streaming import streams as X
 
 SMALL = "/root/testdata/sf0.001"
@@ -472,3 +473,56 @@ def test_extracted_relations_are_checked(spark):
     assert [(r["source"], r["target"]) for r in good.collect()] == [("Ann", "Bob")]
     assert sorted(r["reason"] for r in bad.collect()) == ["blank", "loop", "unknown end"]
     assert [(r["source"], r["target"], r["evidence"]) for r in N.extract_relations(candidates)[0].collect()] == [("Ann", "Bob", "Ann met Bob")]
+
+
+def _arrive(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("t")).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+
+
+def _stream(spark, folder):
+    found = spark.read.parquet(str(folder / "in"))
+    return spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def test_mention_counts_in_a_stream(spark, tmp_path):
+    """Repeated mentions count once, late ones inside the watermark count, later ones do not; a restart goes on."""
+    schema = "entity_id string, project_id string, t string"
+    run = lambda: K.run_to_end(K.mention_counts(_stream(spark, tmp_path), "10 minutes", 4), "update", f"{tmp_path}/out", f"{tmp_path}/check")
+    totals = lambda: {r["entity_id"]: r["projects"] for r in K.mention_totals(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    _arrive(spark, tmp_path, [("a", f"p{k % 5}", "2024-01-01 12:00:00") for k in range(40)] + [("b", "p1", "2024-01-01 12:00:01"), (None, "p1", "2024-01-01 12:00:01"), ("b", None, "2024-01-01 12:00:01")], schema)
+    run()
+    assert totals() == {"a": 5, "b": 1}
+    _arrive(spark, tmp_path, [("a", "p7", "2024-01-01 12:30:00"), ("a", "p1", "2024-01-01 12:30:00")], schema)
+    run()
+    assert totals() == {"a": 6, "b": 1}
+    _arrive(spark, tmp_path, [("b", "p2", "2024-01-01 12:25:00"), ("b", "p3", "2024-01-01 12:05:00"), ("a", "p8", "2024-01-01 12:31:00")], schema)
+    run()
+    assert totals() == {"a": 7, "b": 2}
+
+
+def test_request_outcomes_in_a_stream(spark, tmp_path):
+    schema = "request_id string, fingerprint string, t string"
+    run = lambda: K.run_to_end(K.request_outcomes(_stream(spark, tmp_path), "10 minutes", 3600), "append", f"{tmp_path}/out", f"{tmp_path}/check")
+    seen = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("request_id", "fingerprint", "outcome").collect())
+    _arrive(spark, tmp_path, [("r1", "f", "2024-01-01 12:00:02"), ("r1", "f", "2024-01-01 12:00:01"), ("r1", "g", "2024-01-01 12:00:03"), ("r2", None, "2024-01-01 12:00:00")], schema)
+    run()
+    want = [("r1", "f", "accepted"), ("r1", "g", "conflict"), ("r2", "", "accepted")]
+    assert seen() == want
+    _arrive(spark, tmp_path, [("r1", "f", "2024-01-01 12:10:00"), ("r1", "g", "2024-01-01 12:10:00"), ("r1", "h", "2024-01-01 12:10:00")], schema)
+    run()
+    assert seen() == sorted([*want, ("r1", "h", "conflict")])
+    _arrive(spark, tmp_path, [("r9", "z", "2024-01-01 18:00:00")], schema)  # passes the first requests by more than an hour
+    run()
+    _arrive(spark, tmp_path, [("r1", "new", "2024-01-01 18:01:00"), ("r2", "late", "2024-01-01 12:00:00")], schema)
+    run()
+    assert seen() == sorted([*want, ("r1", "h", "conflict"), ("r9", "z", "accepted"), ("r1", "new", "accepted")])
+
+
+def test_newest_results_in_a_stream(spark, tmp_path):
+    schema = "scope string, seq long, result string, t string"
+    run = lambda: K.run_to_end(K.newest_results(_stream(spark, tmp_path)), "update", f"{tmp_path}/out", f"{tmp_path}/check")
+    for rows in ([("s", 3, "c"), ("s", 2, "b"), ("t", 1, None)], [("s", 1, "a"), ("t", 2, "y"), (None, 9, "x"), ("t", None, "x")], [("s", 2, "b")]):
+        _arrive(spark, tmp_path, [(*r, "2024-01-01 12:00:00") for r in rows], schema)
+        run()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("scope", "seq", "result").collect())
+    assert got == [("s", 3, "c"), ("t", 1, ""), ("t", 2, "y")]
