@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.sources.scratch import write_out
+
 #: The category of each named-entity label; labels of None are dropped, others are a Concept.
 CATEGORIES = {
     "PERSON": "Person", "ORG": "Organization", "GPE": "Place", "LOC": "Place", "FAC": "Place", "EVENT": "Event", "NORP": "Organization",
@@ -161,28 +164,71 @@ def extract_relations(candidates: DataFrame, extractor: Callable[[DataFrame], Da
     return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
 
 
-def alias_groups(vectors: DataFrame, threshold: float = 0.85, id_col: str = "doc_id") -> DataFrame:
-    """(id, leader, member): greedy leaders in order of ``pos``; each takes the later free ones of higher cosine. Input: (id, name, pos, embedding)."""
+#: Names of a document that are decided at once; names of a group that is compared with their leaders.
+HEAD, PART = 1000, 2000
+
+
+def alias_groups(vectors: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", head: int = HEAD, part: int = PART) -> DataFrame:
+    """(id, leader, member): greedy leaders in order of ``pos``, then name; each takes the later free ones of higher cosine. Input: (id, name, pos, embedding).
+
+    Leaders are the first maximal set of names of which no two are that near. It is found in rounds: of each document the
+    first ``head`` names that are still free choose their leaders among themselves; the names after them are compared
+    with those leaders in groups of about ``part``, and the free ones go on. So a document of any size is many groups of bounded size,
+    and no pairs are listed. Null and zero vectors stay alone; leaders without members have no row.
+    """
     import numpy as np
 
-    def run(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("pos").to_numpy(), kind="stable")
-        names = rows.column("name").to_pylist()
-        x = np.array(rows.column("embedding").to_pylist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        free, leaders, members = np.ones(len(names), bool), [], []
-        for at, k in enumerate(order):
-            if free[k]:
-                free[k] = False
-                later = order[at + 1 :]
-                took = later[free[later] & (x[later] @ x[k] > threshold)]
-                free[took] = False
-                if len(took):
-                    leaders += [names[k]] * (len(took) + 1)
-                    members += [names[k], *(names[t] for t in took)]
-        return pa.table({id_col: pa.array([rows.column(id_col)[0].as_py()] * len(leaders), rows.schema.field(id_col).type), "leader": pa.array(leaders, pa.string()), "member": pa.array(members, pa.string())})
-
-    return vectors.select(id_col, "name", "pos", "embedding").groupBy(id_col).applyInArrow(run, f"{id_col} long, leader string, member string")
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = np.concatenate([np.empty(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]])
+        x = np.nan_to_num(flat.astype(float).reshape(len(column), -1))
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def lead(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("pos", "ascending"), ("name", "ascending")])
+        x = unit(rows.column("embedding"))
+        leader = np.full(len(x), -1)
+        for k in range(len(x)):
+            if leader[k] < 0:
+                took = k + np.flatnonzero((leader[k:] < 0) & (x[k:] @ x[k] > threshold))
+                leader[took] = k
+                leader[k] = k
+        names = rows.column("name").combine_chunks()
+        return pa.table({id_col: rows.column(id_col), "leader": names.take(pa.array(leader)), "member": names, "embedding": rows.column("embedding"), "pos": rows.column("pos")})
+
+    def follow(rows: pa.Table) -> pa.Table:
+        heads = rows.filter(rows["heads"]).sort_by([("pos", "ascending"), ("name", "ascending")])
+        rest = rows.filter(pc.invert(rows["heads"]))
+        a, b = unit(rest.column("embedding")), unit(heads.column("embedding"))
+        over = a @ b.T > threshold if len(b) else np.zeros((len(a), 0), bool)
+        found = over.any(axis=1)
+        first = pa.array(np.where(found, over.argmax(axis=1) if len(b) else 0, 0), mask=~found)
+        return pa.table({id_col: rest.column(id_col), "name": rest.column("name"), "pos": rest.column("pos"), "embedding": rest.column("embedding"), "leader": heads.column("name").combine_chunks().take(first)})
+
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (id_col, "name", "pos", "embedding")}
+    free = vectors.select(id_col, "name", "pos", "embedding").filter("embedding IS NOT NULL AND name IS NOT NULL")
+    order = Window.partitionBy(id_col).orderBy("pos", "name")
+    out = None
+    while True:
+        sizes = free.groupBy(id_col).agg(F.count("*").alias("_n"))
+        placed = free.join(sizes, id_col).withColumn("_whole", F.col("_n") <= head)
+        small, large = placed.filter("_whole"), placed.filter("NOT _whole")
+        first = write_out(small.withColumn("_k", F.lit(0)).unionByName(large.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= head)).drop("_k", "_n", "_whole"), "heads")
+        chosen = write_out(first.groupBy(id_col).applyInArrow(lead, f"{id_col} {kinds[id_col]}, leader string, member string, embedding {kinds['embedding']}, pos {kinds['pos']}"), "chosen")
+        pairs = chosen.select(id_col, "leader", "member")
+        out = pairs if out is None else out.unionByName(pairs)
+        rest = large.drop("_whole").join(first.select(id_col, "name", "pos"), [id_col, "name", "pos"], "left_anti")
+        rest = rest.withColumn("_parts", F.ceil(F.col("_n") / part)).withColumn("_part", F.pmod(F.xxhash64("name", "pos"), F.col("_parts")))
+        if rest.isEmpty():
+            break
+        counts = rest.groupBy(id_col).agg(F.first("_parts").alias("_parts"))
+        leaders = chosen.filter("leader = member").select(id_col, F.col("member").alias("name"), "pos", "embedding").join(counts, id_col)
+        leaders = leaders.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
+        both = rest.select(id_col, "name", "pos", "embedding", F.col("_part").cast("long").alias("_part"), F.lit(False).alias("heads")).unionByName(leaders.select(id_col, "name", "pos", "embedding", "_part", F.lit(True).alias("heads")))
+        seen = write_out(both.groupBy(id_col, "_part").applyInArrow(follow, f"{id_col} {kinds[id_col]}, name string, pos {kinds['pos']}, embedding {kinds['embedding']}, leader string"), "followed")
+        out = out.unionByName(seen.filter("leader IS NOT NULL").select(id_col, "leader", F.col("name").alias("member")))
+        free = seen.filter("leader IS NULL").drop("leader")
+    many = out.groupBy(id_col, "leader").agg(F.count("*").alias("_n")).filter("_n > 1").select(id_col, "leader")
+    return out.join(many, [id_col, "leader"], "left_semi").select(id_col, "leader", "member")
 
 
 def hashed_vectors(rows: DataFrame, dim: int = 384, id_col: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.operators.aggregates import collection_relations, scope_entities
 from kgspark.operators.rankings import top_per_group
 from kgspark.sources.graph import Graph
+from kgspark.sources.scratch import write_out
 
 
 def both_ways(relations: DataFrame, *more: str) -> DataFrame:
@@ -114,13 +115,46 @@ def search_collections(g: Graph, directory: str | None, term: str, by: str = "pr
     return hits.groupBy("collection").agg(F.countDistinct("hit").alias("matches"))
 
 
-def suggest_links(g: Graph, scores: DataFrame, projects: DataFrame, least: float, k: int = 20) -> DataFrame:
-    """Per project the k pairs of entities, both scored above ``least``, that no relation joins in either direction."""
-    good = g.mentions.join(projects.select("project_id"), "project_id", "left_semi").join(scores.filter(F.col("score") > least), "entity_id").select("project_id", "entity_id", "score")
-    a, b = good.select("project_id", F.col("entity_id").alias("a"), F.col("score").alias("sa")), good.select("project_id", F.col("entity_id").alias("b"), F.col("score").alias("sb"))
-    joined = g.relations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    pairs = a.join(b, "project_id").filter("a < b").join(joined, ["a", "b"], "left_anti")
-    return top_per_group(pairs.select("project_id", "a", "b", (F.col("sa") + F.col("sb")).alias("score")), "project_id", "score", k, ("a", "b"))
+#: Parts of a project's entities that are sorted on their own first.
+SALTS = 16
+
+
+def suggest_links(g: Graph, scores: DataFrame, projects: DataFrame, least: float, k: int = 20, listed: list[int] | None = None) -> DataFrame:
+    """Per project the k pairs of entities, both scored above ``least``, that no relation joins in either direction.
+
+    Entities of a project are ranked by score, then id. The pair of ranks (i, j) comes after all pairs (i', j') with i' <= i and j' <= j,
+    i j - i (i + 1) / 2 pairs with itself. So if x of the pairs with such a number up to c are related, and c is k + x or more, the k best are
+    among them. c begins with k and grows for the projects where it is too small; no project lists all its pairs unless it
+    has hardly more. ``listed`` gets the number of pairs of each round.
+    """
+    good = g.mentions.select("project_id", "entity_id").distinct().join(projects.select("project_id").distinct(), "project_id", "left_semi").join(scores.filter(F.col("score") > least), "entity_id").select("project_id", "entity_id", "score")
+    order = [F.desc("score"), "entity_id"]
+    sizes = good.groupBy("project_id").agg(F.count("*").alias("n")).filter("n > 1")
+    joined = write_out(g.relations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct().withColumn("related", F.lit(1)), "related")
+    salt = F.pmod(F.xxhash64("entity_id"), F.lit(SALTS))
+    good = write_out(good.join(sizes, "project_id").withColumn("part", F.row_number().over(Window.partitionBy("project_id", salt).orderBy(*order))), "good")
+    open_ = write_out(sizes.select("project_id", F.lit(k).cast("long").alias("c"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("all")), "open")
+    out = None
+    while not open_.isEmpty():
+        leaders = good.join(open_, "project_id").filter(F.col("part") <= F.col("c") + 1)  # rank 1 meets c others at most
+        ranked = leaders.withColumn("i", F.row_number().over(Window.partitionBy("project_id").orderBy(*order)))
+        ranked = write_out(ranked.filter(F.col("i") <= F.col("c") + 1).select("project_id", "entity_id", "score", "i", "c", "n"), "ranked")
+        last = F.least(F.floor(F.col("c") / F.col("i") + (F.col("i") + 1) / 2), F.col("n"))
+        first = ranked.filter(last > F.col("i")).select("project_id", F.col("entity_id").alias("x"), F.col("score").alias("sx"), F.explode(F.sequence(F.col("i").cast("long") + 1, last)).alias("i"))
+        second = ranked.select("project_id", F.col("entity_id").alias("y"), F.col("score").alias("sy"), F.col("i").cast("long").alias("i"))
+        pairs = first.join(second, ["project_id", "i"]).select("project_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("sx") + F.col("sy")).alias("score"))
+        pairs = write_out(pairs.join(joined, ["a", "b"], "left"), "pairs")
+        if listed is not None:
+            listed.append(pairs.count())
+        related = pairs.groupBy("project_id").agg(F.count("related").alias("x"))
+        state = write_out(open_.join(related, "project_id", "left").withColumn("need", F.lit(k) + F.coalesce("x", F.lit(0))), "state")
+        open_ = state.filter("c < need AND c < all").select("project_id", F.col("need").alias("c"), "all")
+        ended = state.filter("c >= need OR c >= all").select("project_id")
+        found = pairs.filter("related IS NULL").join(ended, "project_id", "left_semi").select("project_id", "a", "b", "score")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = good.select("project_id", F.col("entity_id").alias("a"), F.col("entity_id").alias("b"), "score").limit(0)
+    return top_per_group(out, "project_id", "score", k, ("a", "b"))
 
 
 def typed_pairs(g: Graph, first: Column, second: Column) -> DataFrame:

@@ -24,31 +24,63 @@ def neighborhood(relations: DataFrame, seeds: DataFrame, hops: int = 2, limit: i
     return top_per_group(seen.withColumn("_near", -F.col("distance")), "seed", "_near", limit).drop("_near", "rank")
 
 
-def shortest_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
+def shortest_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 6, mentions: DataFrame | None = None, grown: list[int] | None = None) -> DataFrame:
     """(a, b, hops, path): one shortest undirected path per pair; of several, the one whose nodes are least from the end back.
 
-    Searches run from each distinct start and keep, for each node, the least parent; found pairs leave. Pairs
-    of equal ends, absent ends or further apart have no row.
+    With ``mentions`` (entity_id, project_id) paths may also lead through projects. Searches run from both ends: each step grows
+    the side with the smaller frontier by one level, and the pairs whose levels meet leave, so a path of h hops needs levels of about
+    h / 2. Levels of one end are shared by its pairs. Pairs of equal ends, absent ends or further apart have no row.
+    ``grown`` gets the rows of each new level.
     """
-    near = write_out(simple_edges(relations), "simple")
-    wanted = write_out(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    start = wanted.select("a").distinct()
-    seen = write_out(start.select("a", F.col("a").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")), "seen")
-    newest, left = seen, wanted
-    for k in range(1, max_hops + 1):
-        live = newest.join(left.select("a").distinct(), "a", "left_semi")
-        step = live.join(near.withColumnRenamed("a", "from"), F.col("node") == F.col("from")).groupBy("a", "b").agg(F.min("node").alias("parent"))
-        newest = write_out(step.withColumnRenamed("b", "node").join(seen.select("a", "node"), ["a", "node"], "left_anti").select("a", "node", "parent", F.lit(k).alias("hops")), "frontier")
-        seen = seen.unionByName(newest)
-        left = write_out(left.join(newest.select("a", F.col("node").alias("b")), ["a", "b"], "left_anti"), "left")
-        if not left.limit(1).count():
-            break
-    seen = write_out(seen, "seen")
-    back = wanted.join(seen.select("a", F.col("node").alias("b"), "parent", "hops"), ["a", "b"]).select("a", "b", "hops", F.array("b").alias("path"), F.col("parent").alias("at"))
+    edges = simple_edges(relations)
+    if mentions is not None:
+        member = mentions.select(F.col("entity_id").alias("a"), F.col("project_id").alias("b"))
+        edges = edges.unionByName(member.unionByName(member.select(F.col("b").alias("a"), F.col("a").alias("b")))).distinct()
+    near = write_out(edges, "simple")
+    left = write_out(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
+    levels = {end: [write_out(left.select(F.col(end).alias("root"), F.col(end).alias("node"), F.lit(None).cast("string").alias("parent")).distinct(), "level")] for end in ("a", "b")}
+    found = []
     for _ in range(max_hops):
-        parents = seen.select("a", F.col("node").alias("at"), F.col("parent").alias("up"))
-        back = back.join(parents, ["a", "at"], "left").select("a", "b", "hops", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("up").alias("at"))
-    return back.select("a", "b", "hops", "path")
+        if left.isEmpty():
+            break
+        end = min(("a", "b"), key=lambda e: levels[e][-1].join(left.select(F.col(e).alias("root")).distinct(), "root", "left_semi").count())
+        own = levels[end]
+        live = own[-1].join(left.select(F.col(end).alias("root")).distinct(), "root", "left_semi")
+        step = live.join(near, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), F.col("node").alias("parent"), F.lit(0).alias("seen"))
+        for level in own[-2:]:  # a neighbour of a level is in it, in the one before or in the next one
+            step = step.unionByName(level.select("root", "node", F.lit(None).cast("string").alias("parent"), F.lit(1).alias("seen")))
+        own.append(write_out(step.groupBy("root", "node").agg(F.min("parent").alias("parent"), F.max("seen").alias("seen")).filter("seen = 0").drop("seen"), "level"))
+        if grown is not None:
+            grown.append(own[-1].count())
+        i, j = len(levels["a"]) - 1, len(levels["b"]) - 1
+        front, back = levels["a"][i].select(F.col("root").alias("a"), "node"), levels["b"][j].select(F.col("root").alias("b"), "node")
+        met = write_out(left.join(front, "a").join(back, ["b", "node"]).select("a", "b", "node"), "met")
+        found.append((i, j, met))
+        left = write_out(left.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti"), "left")
+    out = None
+    for i, j, met in found:
+        one = _path_back(near, levels, i, j, met)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else left.select("a", "b", F.lit(0).alias("hops"), F.array("a").alias("path")).limit(0)
+
+
+def _path_back(near: DataFrame, levels: dict[str, list[DataFrame]], i: int, j: int, met: DataFrame) -> DataFrame:
+    """(a, b, hops, path) of pairs that met at (a, b, node), i steps from a and j from b: from b back always to the least node."""
+    on = [met]  # nodes of shortest paths, from the meeting level to the one next to b
+    for t in range(j - 1, 0, -1):
+        level = levels["b"][t].select(F.col("root").alias("b"), F.col("node").alias("to"))
+        step = on[-1].join(near.select(F.col("a").alias("node"), F.col("b").alias("to")), "node").join(level, ["b", "to"])
+        on.append(write_out(step.select("a", "b", F.col("to").alias("node")).distinct(), "on"))
+    back = met.select("a", "b").distinct().select("a", "b", F.array("b").alias("path"), F.col("b").alias("at"))
+    for t in range(j):
+        there = on[len(on) - 1 - t].select("a", "b", F.col("node").alias("to"))
+        edges = near.select(F.col("a").alias("at"), F.col("b").alias("to"))
+        best = back.join(edges, "at").join(there, ["a", "b", "to"]).groupBy("a", "b", "path").agg(F.min("to").alias("at"))
+        back = best.select("a", "b", F.concat(F.array("at"), "path").alias("path"), "at")
+    for t in range(i, 0, -1):
+        up = levels["a"][t].select(F.col("root").alias("a"), F.col("node").alias("at"), F.col("parent").alias("up"))
+        back = back.join(up, ["a", "at"]).select("a", "b", F.concat(F.array("up"), "path").alias("path"), F.col("up").alias("at"))
+    return back.select("a", "b", F.lit(i + j).alias("hops"), "path")
 
 
 def all_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 3, k: int = 10) -> DataFrame:

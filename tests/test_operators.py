@@ -13,6 +13,7 @@ from kgspark.functions import text as N
 from kgspark.operators import algorithms as G
 from kgspark.operators import build as M
 from kgspark.operators import communities as C
+from kgspark.operators import joins as J
 from kgspark.operators import neighbors as NN
 from kgspark.operators import paths as P
 from kgspark.operators import rankings as W
@@ -197,6 +198,81 @@ def test_near_names(spark, most):
     assert got == want and any(a[:1] != b[:1] and len(a) > 3 for a, b, _ in want)
 
 
+def test_shortest_paths_from_both_ends(spark):
+    """Least path from the end back, as one-sided search has it; fewer rows; paths through projects."""
+    rng = random.Random(12)
+    names = [f"n{k:03}" for k in range(300)]
+    rows = list({(a, b) for a, b in (rng.sample(names, 2) for _ in range(480))}) + [(f"c{k}", f"c{k + 1}") for k in range(9)] + [("n001", "c0")]
+    near = defaultdict(set)
+    for a, b in rows:
+        near[a].add(b)
+        near[b].add(a)
+    pairs = [tuple(rng.sample(names, 2)) for _ in range(40)] + [("c0", "c5"), ("c0", "c9"), ("n001", "n001"), ("n001", "nobody"), ("nobody", "n002"), ("c1", "n001")]
+    want = {}
+    for a, b in set(pairs):
+        d = distances(near, a)
+        if a != b and d.get(b, 99) <= 6:
+            path = [b]
+            while path[0] != a:
+                path.insert(0, min(m for m in near[path[0]] if d.get(m) == d[path[0]] - 1))
+            want[a, b] = path
+    relations, asked = spark.createDataFrame(rows, "src string, dst string"), spark.createDataFrame(pairs, "a string, b string")
+    grown = []
+    got = {(r["a"], r["b"]): r["path"] for r in T.shortest_paths(relations, asked, 6, grown=grown).collect()}
+    assert got == want and len(want) > 30
+    one_sided = sum(1 for a in {a for a, _ in pairs} for d in distances(near, a).values() if 0 < d <= max(len(p) - 1 for p in want.values()))
+    assert sum(grown) < 0.5 * one_sided, (sum(grown), one_sided)
+    mentions = spark.createDataFrame([("x", "p1"), ("y", "p1"), ("y", "p2"), ("z", "p2")], "entity_id string, project_id string")
+    through = T.shortest_paths(relations, spark.createDataFrame([("x", "z")], "a string, b string"), 6, mentions).first()
+    assert through["path"] == ["x", "p1", "y", "p2", "z"] and through["hops"] == 4
+    assert T.shortest_paths(relations, asked.limit(0)).count() == 0
+
+
+def test_suggest_links_lists_few_pairs(spark):
+    """A large project, ties, and leaders that are all related: the same pairs as from a listing of all."""
+    rng = random.Random(13)
+    people = {"big": [f"e{k}" for k in range(400)], "tied": [f"t{k}" for k in range(60)], "two": ["e1", "e2"], "one": ["e3"], "dense": [f"d{k}" for k in range(12)]}
+    score = {e: float(rng.randint(1, 30)) for who in people.values() for e in who} | {f"t{k}": 5.0 for k in range(60)}
+    best = sorted(people["big"], key=lambda e: (-score[e], e))[:25]
+    rel = [(a, b) for a, b in itertools.combinations(best, 2) if rng.random() < 0.8] + list(itertools.combinations(people["dense"], 2)) + [("t0", "t1"), ("t3", "t0"), ("e9", "e9")]
+    related = {tuple(sorted(p)) for p in rel}
+    g = order_graph(spark, SMALL).with_tables(
+        mentions=spark.createDataFrame([(e, p, "r") for p, who in people.items() for e in who], "entity_id string, project_id string, role string"),
+        relations=spark.createDataFrame(rel, "src string, dst string"), projects=spark.createDataFrame([(p,) for p in people], "project_id string"),
+    )
+    listed = []
+    found = J.suggest_links(g, spark.createDataFrame(list(score.items()), "entity_id string, score double"), g.projects, 1.0, 7, listed)
+    got = {(r["project_id"], r["a"], r["b"], r["score"], r["rank"]) for r in found.collect()}
+    want = set()
+    for p, who in people.items():
+        pairs = sorted((-(score[a] + score[b]), *sorted((a, b))) for a, b in itertools.combinations([e for e in who if score[e] > 1], 2) if tuple(sorted((a, b))) not in related)
+        want |= {(p, a, b, -s, k + 1) for k, (s, a, b) in enumerate(pairs[:7])}
+    assert got == want
+    assert sum(listed) < 0.1 * 400 * 399 / 2, listed
+
+
+@pytest.mark.parametrize("head, part", [(1000, 2000), (15, 40)])
+def test_alias_groups_of_a_large_document(spark, head, part):
+    """One document in many small groups gives the greedy groups of the whole."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((25, 6))
+    rows = [(1, f"name {k:03}", int(rng.integers(0, 300)), (centres[k % 25] + 0.25 * rng.standard_normal(6)).tolist()) for k in range(260)]
+    rows += [(2, f"other {k}", k, centres[k % 3].tolist()) for k in range(9)] + [(3, "alone", 1, [1.0] * 6), (3, "zero", 2, [0.0] * 6), (4, "null", 1, None)]
+    want = set()
+    for doc in (1, 2, 3):
+        own = sorted(((p, n, np.array(v) / max(np.linalg.norm(v), 1e-12)) for d, n, p, v in rows if d == doc), key=lambda x: x[:2])
+        free = [True] * len(own)
+        for i, (_, name, v) in enumerate(own):
+            if free[i]:
+                took = [j for j in range(i + 1, len(own)) if free[j] and v @ own[j][2] > 0.9]
+                for j in took:
+                    free[j] = False
+                free[i] = False
+                want |= {(doc, name, own[j][1]) for j in [i, *took]} if took else set()
+    got = N.alias_groups(spark.createDataFrame(rows, "doc_id long, name string, pos int, embedding array<double>"), 0.9, head=head, part=part)
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
 def test_nearest_lists(spark):
     """Recall of 0.9 and more with under a tenth of the pairs; a hot group of near copies, odd vectors."""
     rng = np.random.default_rng(7)
