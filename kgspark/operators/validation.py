@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entity categories, causal classes, evidence strengths, magnitudes, required files, fields of an extraction.
+#: Entity categories, causal classes, evidence strengths, magnitudes, required files, fields of a placement, of an entity and of an extraction.
 CATEGORIES = ["Person", "Organization", "Place", "Event", "Concept", "System", "Process", "Technology", "Law", "Agreement", "Metric", "Document", "Resource", "Other"]
 CAUSAL_CLASSES = [
     "CAUSES", "ENABLES", "BLOCKS", "INFLUENCES", "DEPENDS_ON", "CONTRADICTS", "SUPPORTS", "PRECEDES",
@@ -20,6 +20,9 @@ CAUSAL_CLASSES = [
 STRENGTHS = ["established", "claimed", "disputed", "speculative"]
 MAGNITUDES = ["foundational", "significant", "marginal"]
 FILES = ["01_html.html", "02_placement.json", "03_nlp_entities.json", "04_all_entities.json", "05_embeddings.json", "06_extraction.json"]
+PLACEMENT_FIELDS = ["directory", "project_name", "unique_id", "collection", "collection_is_new"]
+PLACEMENT_BAD_NAMES = ["collection_name", "name", "projectName"]
+ENTITY_FIELDS = ["name", "aliases", "category", "definition", "role", "first_appearance_index"]
 TOP_LEVEL = ["project", "relationships", "causal_chains"]
 PROJECT_FIELDS = ["name", "unique_id", "summary", "narrative_flow", "tags"]
 KEBAB = "^[a-z0-9]+(-[a-z0-9]+)*$"
@@ -48,26 +51,143 @@ def check_files(projects: DataFrame, files: DataFrame, importing: bool = False)
     return empty.unionByName(missing.select("project_id", "file", F.lit("FILE_MISSING").alias("rule"), F.concat(F.col("file"), F.lit(" is missing")).alias("message"), F.lit("error").alias("severity")))
 
 
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant: OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, … or missing."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("missing"))
+
+
+def _at(value: str | Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, F.lit(path), kind)
+
+
+def _said(value: str | Column, path: str) -> Column:
+    """A text that is not blank, else null; a number or a boolean is no text."""
+    text = F.when(_kind(_at(value, path)) == "STRING", _at(value, path, "string"))
+    return F.when(F.trim(text) != "", text)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    return files.withColumn("_v", F.try_parse_json("raw")).withColumn("_keys", F.json_object_keys("raw"))
+
+
 def check_placement(placements: DataFrame) -> DataFrame:
-    """(project_id, raw JSON): parse, key set, types, kebab-case id, id equal to the project's, boolean flag."""
-    wanted = ["directory", "project_name", "unique_id", "collection", "collection_is_new"]
-    p = placements.withColumn("_keys", F.json_object_keys("raw"))
-    get = lambda k: F.get_json_object("raw", f"$.{k}")
-    unknown = F.array_except("_keys", F.array(*[F.lit(k) for k in wanted]))
-    absent = F.array_except(F.array(*[F.lit(k) for k in wanted]), "_keys")
-    parsed = F.col("_keys").isNotNull()
-    blank = F.lit(False)
-    for k in wanted[:4]:
-        blank = blank | F.coalesce(F.trim(get(k)) == "", F.lit(True))
+    """(project_id, raw JSON): parse, key set, names that belong elsewhere, texts, kebab-case id, id equal to the name, boolean flag; types as JSON has them."""
+    p = _parsed(placements)
+    wanted = F.array(*[F.lit(k) for k in PLACEMENT_FIELDS])
+    whole = F.col("_v").isNotNull() & F.col("_keys").isNotNull()
+    unknown, absent = F.array_except("_keys", wanted), F.array_except(wanted, "_keys")
+    named = F.array_intersect("_keys", F.array(*[F.lit(k) for k in PLACEMENT_BAD_NAMES]))
+    uid, name = _at("_v", "$.unique_id", "string"), _at("_v", "$.project_name", "string")
     return check_rows(p, "02_placement.json", [
-        ("JSON_PARSE", ~parsed, "not a JSON object"),
-        ("PLACEMENT_FIELDS", parsed & (F.size(absent) > 0), F.concat(F.lit("missing "), F.array_join(absent, ", "))),
-        ("PLACEMENT_FIELD_NAMES", parsed & (F.size(unknown) > 0), F.concat(F.lit("unexpected "), F.array_join(unknown, ", "))),
-        ("PLACEMENT_TYPES", parsed & (F.size(absent) == 0) & blank, "blank text"),
-        ("PLACEMENT_ID", parsed & get("unique_id").isNotNull() & ~get("unique_id").rlike(KEBAB), get("unique_id")),
-        ("PLACEMENT_ID_MATCH", parsed & get("unique_id").isNotNull() & (get("unique_id") != F.col("project_id")), get("unique_id")),
-        ("PLACEMENT_BOOL", parsed & get("collection_is_new").isNotNull() & ~get("collection_is_new").isin("true", "false"), get("collection_is_new")),
+        ("JSON_PARSE", F.col("_v").isNull(), "not JSON"),
+        ("JSON_PARSE", F.col("_v").isNotNull() & F.col("_keys").isNull(), "not an object"),
+        ("PLACEMENT_FIELDS", whole & (F.size(absent) + F.size(unknown) > 0), F.concat_ws(", ", absent, unknown)),
+        ("PLACEMENT_FIELD_NAMES", whole & (F.size(named) > 0), F.array_join(named, ", ")),
+        *[("PLACEMENT_TYPES", whole & _said("_v", f"$.{k}").isNull(), f"{k} is no text") for k in PLACEMENT_FIELDS[:4]],
+        ("PLACEMENT_ID", whole & (_kind(_at("_v", "$.unique_id")) == "STRING") & ~uid.rlike(KEBAB), uid),
+        ("PLACEMENT_ID_MATCH", whole & (uid != "") & (name != "") & ((uid != name) | (_kind(_at("_v", "$.unique_id")) != _kind(_at("_v", "$.project_name")))), uid),
+        ("PLACEMENT_BOOL", whole & (_kind(_at("_v", "$.collection_is_new")) != "BOOLEAN"), F.concat(F.lit("collection_is_new is "), _kind(_at("_v", "$.collection_is_new")))),
+    ])
+
+
+def check_nlp_file(files: DataFrame) -> DataFrame:
+    """(project_id, raw JSON): an object with a list of candidates, each an object with a text; an empty list is fine."""
+    whole = F.col("_v").isNotNull() & F.col("_keys").isNotNull()
+    kind = _kind(_at("_v", "$.entity_candidates"))
+    bad = F.exists(_at("_v", "$.entity_candidates", "array<variant>"), lambda x: _said(x, "$.text").isNull())
+    return check_rows(_parsed(files), "03_nlp_entities.json", [
+        ("JSON_PARSE", F.col("_v").isNull(), "not JSON"),
+        ("NLP_CANDIDATES", F.col("_v").isNotNull() & F.col("_keys").isNull(), "not an object"),
+        ("NLP_CANDIDATES", whole & (kind != "ARRAY"), F.concat(F.lit("entity_candidates is "), kind)),
+        ("NLP_CANDIDATES", whole & (kind == "ARRAY") & bad, "candidate without text"),
+    ])
+
+
+def _items(parsed: DataFrame, path: str) -> DataFrame:
+    """(project_id, pos, x): the items of a list of each file."""
+    return parsed.filter("_keys IS NOT NULL").select("project_id", F.posexplode(_at("_v", path, "array<variant>")).alias("pos", "x"))
+
+
+def entity_names(files: DataFrame) -> DataFrame:
+    """(project_id, name): the distinct names of the entities in the files (project_id, raw)."""
+    names = _items(_parsed(files), "$.entities").select("project_id", _said("x", "$.name").alias("name"))
+    return names.filter("name IS NOT NULL").distinct()
+
+
+def check_entity_file(files: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """(project_id, raw JSON): both lists; of phases whole, unique indices and texts; of entities the six fields, their types, category, phase and unique names."""
+    file, parsed = "04_all_entities.json", _parsed(files)
+    whole = F.col("_v").isNotNull() & F.col("_keys").isNotNull()
+    kind = lambda path: _kind(_at("_v", path))
+    found = check_rows(parsed, file, [
+        ("JSON_PARSE", F.col("_v").isNull(), "not JSON"),
+        ("ENTITY_ARRAY", F.col("_v").isNotNull() & F.col("_keys").isNull(), "not an object"),
+        ("ENTITY_PHASES", whole & (kind("$.temporal_phases") != "ARRAY"), F.concat(F.lit("temporal_phases is "), kind("$.temporal_phases"))),
+        ("ENTITY_ARRAY", whole & (kind("$.entities") != "ARRAY"), F.concat(F.lit("entities is "), kind("$.entities"))),
+        ("ENTITY_COUNT_MIN", whole & (F.size(_at("_v", "$.entities", "array<variant>")) == 0), "no entities"),
+    ])
+    index = F.when(_kind(_at("x", "$.index")) == "BIGINT", _at("x", "$.index", "bigint"))
+    phases = _items(parsed, "$.temporal_phases").withColumn("index", F.when(index >= 0, index))
+    again = F.row_number().over(Window.partitionBy("project_id", "index").orderBy("pos")) > 1
+    one = _kind(F.col("x")) == "OBJECT"
+    found = found.unionByName(check_rows(phases.withColumn("again", again), file, [
+        ("ENTITY_PHASE_FIELDS", ~one, "phase is no object"),
+        ("ENTITY_PHASE_FIELDS", one & F.col("index").isNull(), "index is no whole number of 0 or more"),
+        ("ENTITY_PHASE_FIELDS", one & F.col("index").isNotNull() & F.col("again"), F.concat(F.lit("index twice: "), F.col("index").cast("string"))),
+        *[("ENTITY_PHASE_FIELDS", one & _said("x", f"$.{c}").isNull(), f"{c} is no text") for c in ("label", "period")],
+    ]))
+    known = phases.filter("index IS NOT NULL").select("project_id", F.col("index").alias("first"), F.lit(True).alias("known")).distinct()
+    given = _kind(_at("x", "$.first_appearance_index"))
+    entities = _items(parsed, "$.entities").withColumn("name", _said("x", "$.name")).withColumn("first", F.when(given == "BIGINT", _at("x", "$.first_appearance_index", "bigint")))
+    entities = entities.withColumn("again", F.row_number().over(Window.partitionBy("project_id", "name").orderBy("pos")) > 1).join(known, ["project_id", "first"], "left")
+    absent = F.filter(F.array(*[F.when(_at("x", f"$.{c}").isNull(), F.lit(c)) for c in ENTITY_FIELDS]), lambda c: c.isNotNull())
+    aliases = _at("x", "$.aliases", "array<variant>")
+    category = F.when(_kind(_at("x", "$.category")) == "STRING", _at("x", "$.category", "string"))
+    return found.unionByName(check_rows(entities, file, [
+        ("ENTITY_FIELDS", ~one, "entity is no object"),
+        ("ENTITY_FIELDS", one & (F.size(absent) > 0), F.concat(F.lit("missing "), F.array_join(absent, ", "))),
+        ("ENTITY_FIELDS", one & ((_kind(_at("x", "$.aliases")) != "ARRAY") | F.exists(aliases, lambda a: _said(a, "$").isNull())), "aliases is no list of texts"),
+        *[("ENTITY_FIELDS", one & _said("x", f"$.{c}").isNull(), f"{c} is no text") for c in ("name", "definition", "role")],
+        ("ENTITY_CATEGORY", one & ~F.coalesce(category.isin(categories or CATEGORIES), F.lit(False)), F.coalesce(category, F.lit(""))),
+        ("ENTITY_PHASE_MAP", one & ~given.isin("missing", "VOID") & F.col("known").isNull(), F.concat(F.lit("no phase "), F.coalesce(F.col("first").cast("string"), given))),
+        ("ENTITY_DUPLICATE", F.col("name").isNotNull() & F.col("again"), F.col("name")),
+    ]))
+
+
+def check_embedding_entries(files: DataFrame, entities: DataFrame, placements: DataFrame, dim: int = 384) -> DataFrame:
+    """(project_id, raw JSON), names of entities (project_id, name), (project_id, unique_id): each vector's types, size and values; names that are
+    twice, missing or unexpected; the project's id as the last name and as no entity's; their number."""
+    file = "05_embeddings.json"
+    items = _items(_parsed(files), "$.embeddings").withColumn("name", _said("x", "$.name"))
+    last = F.max("pos").over(Window.partitionBy("project_id"))
+    names = entities.select("project_id", "name").distinct()
+    rows = items.withColumn("again", F.row_number().over(Window.partitionBy("project_id", "name").orderBy("pos")) > 1).withColumn("last", F.col("pos") == last)
+    rows = rows.join(names.withColumn("known", F.lit(True)), ["project_id", "name"], "left").join(placements.select("project_id", "unique_id"), "project_id", "left")
+    one, vector = _kind(F.col("x")) == "OBJECT", _at("x", "$.embedding", "array<variant>")
+    listed = one & (_kind(_at("x", "$.embedding")) == "ARRAY")
+    number = lambda v: _kind(v).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") & ~F.coalesce(F.abs(F.try_variant_get(v, F.lit("$"), "double")) == float("inf"), F.lit(True))
+    numbers = F.forall(vector, number)
+    own, has = _at("x", "$.dimensions"), F.col("unique_id").isNotNull()
+    found = check_rows(rows, file, [
+        ("EMBED_FIELDS", ~one, "entry is no object"),
+        ("EMBED_FIELDS", one & F.col("name").isNull(), "name is no text"),
+        ("EMBED_FIELDS", one & ~listed, "embedding is no list"),
+        ("EMBED_DIMENSIONS", listed & (F.size(vector) != dim), F.col("name")),
+        ("EMBED_FIELDS", listed & ~numbers, F.col("name")),
+        ("EMBED_ZERO", listed & numbers & (F.size(vector) > 0) & F.forall(vector, lambda v: F.try_variant_get(v, F.lit("$"), "double") == 0), F.col("name")),
+        ("EMBED_DIMENSIONS", one & own.isNotNull() & ~((_kind(own) == "BIGINT") & F.coalesce(_at("x", "$.dimensions", "bigint") == dim, F.lit(False))), F.col("name")),
+        ("EMBED_DUPLICATE", F.col("name").isNotNull() & F.col("again"), F.col("name")),
+        ("EMBED_ENTITY_MATCH", has & F.col("name").isNotNull() & ~F.col("again") & F.col("known").isNull() & (F.col("name") != F.col("unique_id")), F.col("name")),
+        ("EMBED_PROJECT", has & F.col("last") & ~F.coalesce(F.col("name") == F.col("unique_id"), F.lit(False)), F.col("name")),
     ])
+    with_any = items.filter("name IS NOT NULL").select("project_id").distinct()
+    missing = names.join(items.select("project_id", "name"), ["project_id", "name"], "left_anti").join(with_any, "project_id", "left_semi")
+    found = found.unionByName(check_rows(missing, file, [("EMBED_ENTITY_MATCH", F.lit(True), F.concat(F.lit("none for "), F.col("name")))]))
+    same = names.join(with_any, "project_id", "left_semi").join(placements.select("project_id", F.col("unique_id").alias("name")), ["project_id", "name"], "left_semi")
+    found = found.unionByName(check_rows(same, file, [("EMBED_PROJECT_NAME", F.lit(True), F.col("name"))]))
+    listed_files = _parsed(files).filter("_keys IS NOT NULL").select("project_id", F.size(_at("_v", "$.embeddings", "array<variant>")).alias("v")).filter("v >= 0")
+    count = listed_files.join(names.groupBy("project_id").agg(F.count("*").alias("e")), "project_id")
+    return found.unionByName(check_rows(count, file, [("EMBED_COUNT", F.col("v") != F.col("e") + 1, F.concat_ws(" of ", "v", F.col("e") + 1))]))
 
 
 def check_nlp(candidates: DataFrame) -> DataFrame:

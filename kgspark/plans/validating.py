@@ -82,3 +82,39 @@ _graph_query(
     SELECT rule, 'error' AS severity, n FROM (SELECT unnest([{'rule': 'JSON_PARSE', 'n': high}, {'rule': 'EXTRACT_TOPLEVEL', 'n': urgent}, {'rule': 'EXTRACT_PROJECT', 'n': urgent + blank}, {'rule': 'EXTRACT_ID_MATCH', 'n': other},
       {'rule': 'CROSS_ID', 'n': other}, {'rule': 'EXTRACT_NARRATIVE', 'n': open}, {'rule': 'EXTRACT_TAGS', 'n': low}, {'rule': 'EXTRACT_REL_COUNT', 'n': urgent}], recursive := true) FROM u) WHERE n > 0""",
 )
+
+
+def _placements(g):
+    """Placements as JSON; some domains have a flag, a name or a key of another type."""
+    first = g.project_collections.groupBy("project_id").agg(F.min("collection").alias("collection"))
+    name = F.struct(F.col("domain").alias("directory"), F.col("project_id").alias("project_name"), F.col("project_id").alias("unique_id"), "collection", F.lit(True).alias("collection_is_new"))
+    raw = F.to_json(name)
+    raw = F.when(F.col("domain") == "1-URGENT", F.replace(raw, F.lit("true"), F.lit('"true"'))).when(F.col("domain") == "2-HIGH", F.regexp_replace(raw, '"project_name":"[^"]*"', '"project_name":5')).otherwise(
+        F.when(F.col("domain") == "5-LOW", F.replace(raw, F.lit('"directory"'), F.lit('"name"'))).otherwise(raw))
+    return g.projects.join(first, "project_id").select("project_id", raw.alias("raw"))
+
+
+_graph_query(
+    "check_placement", lambda g: _count(V.check_placement(_placements(g))),
+    """, c AS (SELECT domain, count(*) AS n FROM projects GROUP BY 1), x AS (SELECT * FROM (VALUES ('1-URGENT', 'PLACEMENT_BOOL'), ('2-HIGH', 'PLACEMENT_TYPES'), ('2-HIGH', 'PLACEMENT_ID_MATCH'), ('5-LOW', 'PLACEMENT_FIELDS'), ('5-LOW', 'PLACEMENT_FIELD_NAMES'), ('5-LOW', 'PLACEMENT_TYPES')) v(domain, rule))
+    SELECT rule, 'error' AS severity, sum(n)::BIGINT AS n FROM c JOIN x USING (domain) GROUP BY rule""",
+)
+
+
+def _entity_files(g):
+    """Entity files as JSON from each project's mentions and phases; a whole number, a list and a text are something else in some domains."""
+    one = F.struct(F.col("entity_id").alias("name"), "aliases", "category", "definition", "role", F.length("role").alias("first_appearance_index"))
+    entities = g.mentions.join(g.entities, "entity_id").groupBy("project_id").agg(F.to_json(F.collect_list(one)).alias("e"))
+    phases = g.phases.groupBy("project_id").agg(F.to_json(F.collect_list(F.struct(F.col("phase_index").alias("index"), F.col("period").alias("label"), "period"))).alias("p"))
+    raw = F.concat(F.lit('{"entities":'), F.coalesce("e", F.lit("[]")), F.lit(',"temporal_phases":'), F.coalesce("p", F.lit("[]")), F.lit("}"))
+    changed = F.when(F.col("domain") == "1-URGENT", F.replace(raw, F.lit('"first_appearance_index":1'), F.lit('"first_appearance_index":true'))).when(
+        F.col("domain") == "2-HIGH", F.regexp_replace(raw, r'"aliases":\[[^\]]*\]', '"aliases":"none"')).when(F.col("domain") == "5-LOW", F.regexp_replace(raw, '"role":"[^"]*"', '"role":null')).otherwise(raw)
+    return g.projects.join(entities, "project_id", "left").join(phases, "project_id", "left").select("project_id", changed.alias("raw"))
+
+
+_graph_query(
+    "check_entity_file", lambda g: _count(V.check_entity_file(_entity_files(g), ["Brand#11", "Brand#22"])),
+    """, m AS (SELECT m.project_id, domain, category, EXISTS (SELECT 1 FROM phases p WHERE p.project_id = m.project_id AND p.phase_index = 1) AS known FROM mentions m JOIN entities USING (entity_id) JOIN projects p ON p.project_id = m.project_id)
+    SELECT rule, 'error' AS severity, n FROM (SELECT 'ENTITY_CATEGORY' AS rule, count(*) FILTER (category NOT IN ('Brand#11', 'Brand#22')) AS n FROM m UNION ALL SELECT 'ENTITY_PHASE_MAP', count(*) FILTER (domain = '1-URGENT' OR NOT known) FROM m
+      UNION ALL SELECT 'ENTITY_FIELDS', count(*) FILTER (domain IN ('2-HIGH', '5-LOW')) FROM m UNION ALL SELECT 'ENTITY_COUNT_MIN', count(*) FROM projects WHERE project_id NOT IN (SELECT project_id FROM mentions)) WHERE n > 0""",
+)

@@ -441,13 +441,15 @@ def test_validation_defaults(spark):
 
 def test_validation_of_broken_artifacts(spark):
     projects = spark.createDataFrame([("p",)], "project_id string")
-    good = json.dumps({"directory": "d", "project_name": "n", "unique_id": "p", "collection": "c", "collection_is_new": True})
+    good = json.dumps({"directory": "d", "project_name": "p", "unique_id": "p", "collection": "c", "collection_is_new": True})
     check = lambda raw: rules(V.check_placement(spark.createDataFrame([("p", raw)], "project_id string, raw string")))
     assert check(good) == []
-    assert check("{") == ["JSON_PARSE"]
-    assert check(good.replace('"p"', '"Bad Id"')) == ["PLACEMENT_ID", "PLACEMENT_ID_MATCH"]
-    assert check(good.replace("true", '"maybe"')) == ["PLACEMENT_BOOL"]
-    assert check(good.replace('"directory"', '"folder"')) == ["PLACEMENT_FIELDS", "PLACEMENT_FIELD_NAMES"]
+    assert check("{") == check("[]") == check(None) == ["JSON_PARSE"]
+    assert check(good.replace('"unique_id": "p"', '"unique_id": "Bad Id"')) == ["PLACEMENT_ID", "PLACEMENT_ID_MATCH"]
+    assert check(good.replace("true", '"true"')) == check(good.replace("true", "1")) == ["PLACEMENT_BOOL"]
+    assert check(good.replace('"project_name": "p"', '"project_name": 5')) == ["PLACEMENT_ID_MATCH", "PLACEMENT_TYPES"]
+    assert check(good.replace('"directory"', '"name"')) == ["PLACEMENT_FIELDS", "PLACEMENT_FIELD_NAMES", "PLACEMENT_TYPES"]
+    assert check(good.replace('"directory": "d"', '"directory": " "')) == ["PLACEMENT_TYPES"]
     entities = spark.createDataFrame([("p", "A"), ("p", "B")], "project_id string, name string")
     vectors = lambda rows: rules(V.check_embeddings(spark.createDataFrame([("p", k, n, v) for k, (n, v) in enumerate(rows)], "project_id string, pos int, name string, embedding array<double>"), entities, 2))
     assert vectors([("A", [1.0, 0.0]), ("B", [0.0, 1.0]), ("p", [1.0, 1.0])]) == []
@@ -463,6 +465,49 @@ def test_validation_of_broken_artifacts(spark):
     assert rules(V.check_phases(phases)) == ["ENTITY_PHASES"] * 3 + ["ENTITY_PHASE_FIELDS"]
 
 
+def test_validation_of_raw_files(spark):
+    """Types as JSON has them, one change at a time."""
+    frame_of = lambda raw: spark.createDataFrame([("p", raw if raw is None or isinstance(raw, str) else json.dumps(raw))], "project_id string, raw string")
+    nlp = lambda raw: rules(V.check_nlp_file(frame_of(raw)))
+    assert nlp({"entity_candidates": []}) == nlp({"entity_candidates": [{"text": "a"}]}) == []
+    for raw in ({"error": "none"}, [], {"entity_candidates": {}}, {"entity_candidates": [{"text": " "}]}, {"entity_candidates": [{"text": 1}]}, {"entity_candidates": ["a"]}):
+        assert nlp(raw) == ["NLP_CANDIDATES"]
+    person = {"name": "Mira", "aliases": ["M"], "category": "Person", "definition": "d", "role": "r", "first_appearance_index": None}
+    phase = {"index": 1, "label": "l", "period": "p"}
+    check = lambda entities, phases=(), **more: rules(V.check_entity_file(frame_of({"entities": entities, "temporal_phases": list(phases)} | more)))
+    assert check([person]) == check([person | {"first_appearance_index": 1}], [phase]) == []
+    assert check([]) == ["ENTITY_COUNT_MIN"] and check({}) == ["ENTITY_ARRAY"] and check([person], temporal_phases=None) == ["ENTITY_PHASES"]
+    assert rules(V.check_entity_file(frame_of([]))) == ["ENTITY_ARRAY"] and rules(V.check_entity_file(frame_of("{"))) == ["JSON_PARSE"]
+    for index in (1, True, "0", 0.5):
+        assert check([person | {"first_appearance_index": index}]) == ["ENTITY_PHASE_MAP"]
+    assert check([person | {"first_appearance_index": True}], [phase]) == ["ENTITY_PHASE_MAP"]
+    assert check([person, person]) == ["ENTITY_DUPLICATE"]
+    for change in ({"category": []}, {"category": "Group"}, {"category": None}):
+        assert check([person | change]) == ["ENTITY_CATEGORY"]
+    for change in ({"aliases": "M"}, {"aliases": ["M", ""]}, {"aliases": [1]}, {"role": " "}, {"definition": 7}):
+        assert check([person | change]) == ["ENTITY_FIELDS"]
+    assert check(["Mira"]) == ["ENTITY_FIELDS"] and check([{k: v for k, v in person.items() if k != "role"}]) == ["ENTITY_FIELDS"] * 2
+    for change in ({"index": -1}, {"index": "1"}, {"index": None}, {"label": ""}, {"period": 3}):
+        assert check([person], [phase | change]) == ["ENTITY_PHASE_FIELDS"]
+    assert check([person], [phase, phase]) == ["ENTITY_PHASE_FIELDS"] and check([person], ["x"]) == ["ENTITY_PHASE_FIELDS"]
+
+    vector = lambda name, values=(0.5, 1): {"name": name, "embedding": list(values)}
+    entities, placement = spark.createDataFrame([("p", "Mira"), ("p", "Atlas")], "project_id string, name string"), spark.createDataFrame([("p", "note")], "project_id string, unique_id string")
+    vectors = lambda rows, names=entities: rules(V.check_embedding_entries(frame_of({"embeddings": rows}), names, placement, 2))
+    good = [vector("Mira"), vector("Atlas"), vector("note")]
+    assert vectors(good) == [] and V.entity_names(frame_of({"entities": [person, person]})).collect() == [("p", "Mira")]
+    assert vectors(good[1:]) == ["EMBED_COUNT", "EMBED_ENTITY_MATCH"]
+    assert vectors(good[::-1]) == ["EMBED_PROJECT"]
+    assert vectors([good[0], good[0], good[2]]) == ["EMBED_DUPLICATE", "EMBED_ENTITY_MATCH"]
+    assert vectors([good[0], vector("Unknown"), good[2]]) == ["EMBED_ENTITY_MATCH"] * 2
+    assert vectors([good[0], good[2]], spark.createDataFrame([("p", "Mira"), ("p", "note")], entities.schema)) == ["EMBED_COUNT", "EMBED_PROJECT_NAME"]
+    assert vectors([vector("Mira", [0, 0.0]), *good[1:]]) == ["EMBED_ZERO"] and vectors([]) == ["EMBED_COUNT"]
+    assert vectors([vector("Mira", [1]), *good[1:]]) == ["EMBED_DIMENSIONS"] and vectors([good[0] | {"dimensions": "2"}, *good[1:]]) == ["EMBED_DIMENSIONS"]
+    for value in (True, "0.1", None, [1]):
+        assert vectors([vector("Mira", [value, 1]), *good[1:]]) == ["EMBED_FIELDS"]
+    assert vectors([{"name": "Mira", "embedding": "x"}, *good[1:]]) == ["EMBED_FIELDS"]
+
+
 def test_quick_ingest_and_purge(spark):
     rows = [("i1", "T", ["t"], ["c"], [("A", [("B", None)]), ("B", [])])]
     new = M.quick_ingest(spark.createDataFrame(rows, "payload_id string, title string, tags array<string>, collections array<string>, entities array<struct<name string, relations array<struct<target string, type string>>>>"))
