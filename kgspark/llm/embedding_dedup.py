@@ -11,11 +11,12 @@ A pivot's list is dealt in blocks of about ``BLOCK`` vectors, and each pair of b
 long list becomes many groups of equal size. A pair is counted only in the list of the least pivot it
 shares; within a group, vectors that share a lower pivot are set apart before the multiplication. A group returns what each vector gained in links and a forest of what it connected: rows follow
 the vectors, not the pairs. Equal vectors are one class: they are compared once and count as often as
-they come.
+they come. Classes have numbers of their own; ids come in again only at the end. Vectors of each length have their own pivots.
 
-Defined cases: a vector that is null, zero, or has null or non-finite components links with nothing, nor
-does one of another length than the pivots'; rows of one id are vectors of their own with that id; an
-empty table gives no rows; other columns are ignored.
+Defined cases: a vector that is null, zero, or has null or non-finite components links with nothing; vectors of different
+lengths do not link; rows of one id are vectors of their own with that id, and so are rows without id, which count as links of
+others; a component is named by its least id, or null if it has none, and a row without id has a null ``kept``; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import bounded_batches, table
 from kgspark.operators.components import connected_components
-from kgspark.sources.scratch import write_out
+from kgspark.sources.scratch import drop, write_out
 
 THRESHOLD, NEAREST, MIN_SHARED = 0.9, 10, 1
 #: Bounds of the number of pivots, and vectors in a block.
@@ -39,7 +40,7 @@ APART = 0.7
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(cls, n, vector): the valid vectors, equal ones once; cls is the least id among them."""
+    """(least, n, vector): the valid vectors, equal ones once, with the least id among them."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.size(v) > 0
     fine &= F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
@@ -48,8 +49,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return (
         vectors.filter(F.coalesce(fine, F.lit(False)))
         .groupBy(clean.alias("vector"))
-        .agg(F.min(id_col).alias("cls"), F.count("*").alias("n"))
-        .filter(F.col("cls").isNotNull())
+        .agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     )
 
 
@@ -63,7 +63,7 @@ def _unit(rows: pa.Array, width: int) -> np.ndarray:
 def choose_pivots(distinct: DataFrame, width: int, most: int = MOST_PIVOTS) -> np.ndarray:
     """Unit pivots of pairwise cosine below ``APART``: of twice the root of the vectors, within bounds, taken in hash order."""
     n = int(min(most, max(LEAST_PIVOTS, 2 * distinct.count() ** 0.5)))
-    rows = distinct.orderBy(F.xxhash64("cls"), "cls").limit(n).select("vector").collect()  # at most MOST_PIVOTS
+    rows = distinct.orderBy(F.xxhash64("vector"), "cls").limit(n).select("vector").collect()  # at most MOST_PIVOTS
     return thin(_unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), width)) if rows else np.zeros((0, width))
 
 
@@ -175,25 +175,30 @@ def link(indexed: DataFrame, width: int, pivots: int, threshold: float = THRESHO
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, min_shared: int = MIN_SHARED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     bounded_batches(vectors.sparkSession)
-    distinct = distinct_vectors(vectors, id_col, vector_col)
-    first = distinct.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").first()
-    width = first["w"] if first else 1
-    distinct = write_out(distinct.filter(F.size("vector") == width), "vectors")
-    pivots = choose_pivots(distinct, width)
-    indexed = write_out(index(distinct, pivots, nearest), "indexed")
-    found = write_out(link(indexed, width, len(pivots), threshold, min(min_shared, max(1, len(pivots)))), "links")
-    parts = connected_components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    distinct = write_out(distinct_vectors(vectors, id_col, vector_col).withColumn("cls", F.monotonically_increasing_id()), "vectors")  # written, so numbers stay
+    none = found = distinct.sparkSession.createDataFrame([], "cls long, links long, other long")
+    for width in [r["w"] for r in distinct.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("c")).filter("c > 1").orderBy("w").collect()]:  # one row for each length
+        same = distinct.filter(F.size("vector") == width)
+        pivots = choose_pivots(same, width)
+        indexed = write_out(index(same, pivots, nearest), "indexed")
+        one = write_out(link(indexed, width, len(pivots), threshold, min(min_shared, max(1, len(pivots)))), "links")
+        drop(indexed)
+        found = one if found is none else found.unionByName(one)
+    parts = connected_components(found.select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
+    parts = write_out(distinct.select("cls", "least").join(parts, "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("component")), "parts")
+    named = parts.groupBy("component").agg(F.min("least").alias("component_id"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     classes = (
         distinct.join(links, "cls", "left")
-        .join(parts.withColumnRenamed("id", "cls"), "cls", "left")
-        .select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+        .join(parts.select("cls", "component"), "cls")
+        .join(named, "component")
+        .select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("valid"))
     )
     clean = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
     rows = vectors.select(F.col(id_col).alias("id"), F.md5(F.to_json(F.struct(clean.alias("v"))).cast("binary")).alias("h"), clean.alias("v"))
-    classes = classes.select(F.md5(F.to_json(F.struct(F.col("vector").alias("v"))).cast("binary")).alias("h"), "vector", "n_links", "component_id")
+    classes = classes.select(F.md5(F.to_json(F.struct(F.col("vector").alias("v"))).cast("binary")).alias("h"), "vector", "n_links", "component_id", "valid")
     joined = rows.join(classes, (rows["h"] == classes["h"]) & (rows["v"] == classes["vector"]), "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import conversation_trie, lexical_search, url_filter
+from kgspark.llm import conversation_trie, embedding_dedup, lexical_search, url_filter
 from kgspark.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -280,3 +280,35 @@ def test_double_array_packs_and_walks():
     assert len(trie.base) < 1.5 * len(prefixes)
     with pytest.raises((KeyError, IndexError)):
         conversation_trie.DoubleArray([[0, 1]]).walk([[1, 0]])
+
+
+# 6 embeddings: ids that are null or repeated, vectors of several lengths
+
+
+def test_embedding_links_of_odd_ids_and_lengths(spark):
+    """Every row is a vector of its own, whatever its id; links and components equal brute force over rows."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for width, groups in ((8, 60), (3, 12), (2, 1)):
+        for _ in range(groups):
+            centre = rng.standard_normal(width)
+            for _ in range(int(rng.integers(1, 7))):
+                rows.append([None if rng.random() < 0.2 else int(rng.integers(0, 150)), (centre + 0.12 * rng.standard_normal(width)).tolist()])
+    rows += [[None, rows[0][1]], [5, rows[0][1]], [7, [1.0, 0.0, 0.0, 0.0]], [7, [0.0, 1.0, 0.0, 0.0]], [7, None], [None, None], [9, []], [8, [0.0] * 8], [3, [float("nan")] * 8]]
+    valid = [v is not None and len(v) > 0 and np.isfinite(v).all() and any(v) for _, v in rows]
+    unit = [np.array(v) / np.linalg.norm(v) if ok else None for (_, v), ok in zip(rows, valid, strict=True)]
+    near = [[j for j in range(len(rows)) if j != i and valid[i] and valid[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    want = []
+    for i, (key, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        name = min(ids) if ids else None
+        want.append((key, len(near[i]), name, None if key is None else key == name))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cls", F.lit("?")).withColumn("least", F.lit("?"))
+    got = embedding_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
