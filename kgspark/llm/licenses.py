@@ -2,7 +2,7 @@
 
 What may state a licence is compared with licence texts by the cosine of sparse TF-IDF vectors: each line, each
 paragraph (lines up to a blank one, comment marks aside, so a wrapped header is one) and the whole text. Those
-without any word of ``STATES`` are left out, as every template has one. Document frequencies are counted over all that
+without any word of ``STATES``, in either case, are left out; every template has one. Document frequencies are counted over all that
 are compared. Equal ones are scored once. A file's own licence is that of its best one, where the cosine reaches
 ``LEAST_COSINE``. A file is a licence file where its whole text reaches ``FILE_COSINE``. Files without a licence of their own
 take that of the nearest directory above them that holds a licence file.
@@ -63,7 +63,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without written permission of the copyright holder."),
 ]
-STATES = r"[lL][iI][cC][eE][nN][cCsS][eE]|[cC]opyright|COPYRIGHT|CC[ -]BY|[pP]ermission (?:is hereby|to use)|[rR]edistribution and use|[pP]ublic [dD]omain|PUBLIC DOMAIN|[aA]ll rights reserved|ALL RIGHTS RESERVED"
+#: Words of which every template has one, in either case and however blank space falls.
+STATES = r"(?i)licen[cs]|copyright|cc[\s-]+by|permission|redistribution|public\s+domain|rights\s+reserved"
 
 
 def _tokens(line: Column) -> Column:

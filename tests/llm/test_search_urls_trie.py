@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import conversation_trie, embedding_dedup, lexical_search, url_filter
+from kgspark.llm import conversation_trie, embedding_dedup, lexical_search, licenses, url_filter
 from kgspark.llm.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -312,3 +312,16 @@ def test_embedding_links_of_odd_ids_and_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cls", F.lit("?")).withColumn("least", F.lit("?"))
     got = embedding_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+# 5 licences: spelling
+
+
+def test_licenses_however_they_are_spelled(spark):
+    """Capitals, blanks and line breaks change no licence; every template has a word that is looked for."""
+    assert all(re.search(licenses.STATES, text) for _, text in licenses.TEMPLATES)
+    grant = next(text for name, text in licenses.TEMPLATES if name == "MIT")
+    spelled = [grant, grant.upper(), grant.lower(), grant.replace("Permission ", "Permission  "), grant.replace(" ", "\n", 1), re.sub(" ", " \n ", grant, count=3)]
+    rows = [(k, text, f"d/{k}/x") for k, text in enumerate(spelled)] + [(99, "Nothing of the kind is said here.", "d/99/x")]
+    found = {r["key"]: r["own_license"] for r in licenses.own_licenses(spark.createDataFrame(rows, "key long, text string, path string"), "key").collect()}
+    assert found == dict.fromkeys(range(len(spelled)), "MIT")
