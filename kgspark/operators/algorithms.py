@@ -116,11 +116,11 @@ def triangles(relations: DataFrame) -> DataFrame:
     return out.select("entity_id", "triangles", rate.alias("clustering"))
 
 
-def core_numbers(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
+def core_numbers(relations: DataFrame) -> DataFrame:
     """(entity_id, core): each node's h-index over its neighbours' values, from their degrees, until nothing changes."""
     near = write_out(simple_edges(relations), "simple")
     core = write_out(near.groupBy("a").agg(F.count("*").alias("core")), "core")
-    for _ in range(most_rounds):
+    while True:  # each round lowers a value, so it ends
         values = near.join(core.select(F.col("a").alias("b"), F.col("core").alias("c")), "b").groupBy("a", "c").agg(F.count("*").alias("n"))
         over = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         h = values.withColumn("over", over).groupBy("a").agg(F.max(F.least("c", "over")).alias("h"))
@@ -128,7 +128,6 @@ def core_numbers(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
         core = new.select("a", "core")
         if not new.filter("moved").limit(1).count():
             return core.select(F.col("a").alias("entity_id"), "core")
-    raise RuntimeError(f"cores still move after {most_rounds} rounds")
 
 
 def link_scores(relations: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -55,10 +55,11 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, mode: str = "merge") -
     return merged.select(key, *columns), new.limit(0)
 
 
-def upsert_named(existing: DataFrame, names: DataFrame) -> DataFrame:
-    """Adds names (name column) that are not there; blank ones are an error row in neither."""
-    wanted = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct().join(existing.select("name"), "name", "left_anti")
-    return existing.unionByName(wanted, allowMissingColumns=True)
+def upsert_named(existing: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, rejects): adds names (name column), trimmed, that are not there; rows with a null or blank name are rejected."""
+    blank = F.coalesce(F.trim("name") == "", F.lit(True))
+    wanted = names.filter(~blank).select(F.trim("name").alias("name")).distinct().join(existing.select("name"), "name", "left_anti")
+    return existing.unionByName(wanted, allowMissingColumns=True), names.filter(blank)
 
 
 def upsert_mentions(mentions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,11 +100,18 @@ def link_first_appearance(entities: DataFrame, phases: DataFrame) -> DataFrame:
     return entities.select("entity_id", "project_id", F.col("first_appearance_index").alias("phase_index")).join(phases.select("project_id", "phase_index"), ["project_id", "phase_index"], "left_semi")
 
 
-def store_embeddings(vectors: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(project_id, name, embedding): entity vectors by (name, entity_id), the rest are their project's; also coverage per project."""
+def store_embeddings(vectors: DataFrame, names: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(project_id, name, embedding): entity vectors by (name, entity_id), the rest are their project's; also coverage per project.
+
+    With ``mentions`` (entity_id, project_id) coverage also has ``expected``, the project's entities and one, and ``complete``.
+    """
     joined = vectors.join(names.select("name", "entity_id").distinct(), "name", "left")
     stored = joined.select("project_id", "entity_id", F.when(F.col("entity_id").isNull(), "project").otherwise("entity").alias("kind"), "embedding")
     coverage = stored.groupBy("project_id").agg(F.count_if(F.col("kind") == "entity").alias("entities"), F.count_if(F.col("kind") == "project").alias("projects"))
+    if mentions is not None:
+        wanted = mentions.groupBy("project_id").agg((F.countDistinct("entity_id") + 1).alias("expected"))
+        coverage = wanted.join(coverage, "project_id", "left").select("project_id", F.coalesce("entities", F.lit(0)).alias("entities"), F.coalesce("projects", F.lit(0)).alias("projects"), "expected")
+        coverage = coverage.withColumn("complete", (F.col("entities") + F.col("projects") == F.col("expected")) & (F.col("projects") == 1))
     return stored, coverage
 
 
@@ -144,6 +152,22 @@ def rename(existing: DataFrame, updates: DataFrame, key: str = "name") -> DataFr
     return existing.join(free, existing[key] == free["old"], "left").withColumn(key, F.coalesce("new", key)).drop("old", "new")
 
 
+def describe(existing: DataFrame, updates: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(table, rejects): updates (old, new name or null, new description or null) change a row's name where it is free, and its description;
+    a null keeps what is there. Rejected: an unknown or repeated old name, a blank new one, one that another row has or wants."""
+    known = existing.select(F.col(key).alias("old"), F.lit(True).alias("_known"))
+    taken = existing.select(F.col(key).alias("name"), F.lit(True).alias("_taken"))
+    u = updates.join(known, "old", "left").join(taken, "name", "left")
+    u = u.withColumn("_times", F.count("*").over(Window.partitionBy("old"))).withColumn("_wants", F.count("name").over(Window.partitionBy("name")))
+    moves = F.col("name").isNotNull() & (F.col("name") != F.col("old"))
+    bad = F.col("_known").isNull() | (F.col("_times") > 1) | (F.trim("name") == "") | (moves & (F.col("_taken").isNotNull() | (F.col("_wants") > 1)))
+    u = u.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    good = u.filter("NOT _bad").select(F.col("old").alias(key), F.col("name").alias("_name"), F.col("description").alias("_description"))
+    others = [c for c in existing.columns if c not in (key, "description")]
+    done = existing.join(good, key, "left").select(F.coalesce("_name", key).alias(key), F.coalesce("_description", "description").alias("description"), *others)
+    return done.select(*existing.columns), u.filter("_bad").select("old", "name", "description")
+
+
 def delete_empty_directories(directories: DataFrame, project_directories: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deletes named directories that hold no project; also (directory, deleted)."""
     used = project_directories.select("directory").distinct()

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.operators.algorithms import simple_edges
+from kgspark.operators.joins import explain_pairs
 from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
+from kgspark.sources.graph import Graph
 
 
 def neighborhood(relations: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = None) -> DataFrame:
@@ -105,6 +107,23 @@ def all_paths(relations: DataFrame, pairs: DataFrame, max_hops: int = 3, k: int
     return top_per_group(found.withColumn("_near", -F.col("hops")), ["a", "b"], "_near", k, ("path",)).drop("_near")
 
 
+def explain_connections(g: Graph, pairs: DataFrame, max_hops: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Summary (a, b, forward, backward, projects, hops, path, connected) of each pair, and the direct relations of the pairs as evidence
+    (a, b, rel_id, direction, rel_type, evidence_strength).
+
+    A path of at most ``max_hops`` is looked for only where no relation joins the pair; hops is null where there is none. A pair is connected by
+    a relation, a shared project or a path.
+    """
+    asked = pairs.select("a", "b").distinct()
+    base = write_out(explain_pairs(g, asked), "direct")
+    found = shortest_paths(g.relations, base.filter("forward + backward = 0").select("a", "b"), max_hops)
+    summary = base.drop("connected").join(found, ["a", "b"], "left").withColumn("connected", (F.col("forward") + F.col("backward") + F.col("projects") > 0) | F.col("hops").isNotNull())
+    ends = g.relations.select("rel_id", "rel_type", "evidence_strength", "src", "dst")
+    out = ends.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_id", F.lit("outgoing").alias("direction"), "rel_type", "evidence_strength")
+    back = ends.filter("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_id", F.lit("incoming").alias("direction"), "rel_type", "evidence_strength")
+    return summary, out.unionByName(back).join(asked, ["a", "b"], "left_semi")
+
+
 def projects_of_paths(paths: DataFrame, mentions: DataFrame) -> DataFrame:
     """Adds the number of distinct projects that mention a node of the path."""
     nodes = paths.select("a", "b", F.explode("path").alias("entity_id")).join(mentions.select("entity_id", "project_id"), "entity_id")

@@ -185,3 +185,25 @@ _graph_query(
       UNION ALL SELECT entity_id, project_id, 1 FROM sd JOIN mentions USING (entity_id))
     SELECT seed, distance, count(*) AS n, min(x) AS least FROM al GROUP BY ALL""",
 )
+
+
+def _some_pairs(g):
+    """A stated query set: every 20th part and the one after it, and the first relation's other end of every 20th part."""
+    first = g.relations.join(_seeds(g).select(F.col("entity_id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("a")).agg(F.min("dst").alias("b"))
+    return _pairs(g).unionByName(first).distinct()
+
+
+SOME_PAIRS = ", sp AS (SELECT DISTINCT * FROM (SELECT 'e' || p_partkey AS a, 'e' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT src, min(dst) FROM relations WHERE substr(src, 2)::BIGINT % 20 = 0 GROUP BY src))\n"
+_graph_query(
+    "explain_connections", lambda g: T.explain_connections(g, _some_pairs(g))[0].select("a", "b", "forward", "backward", "projects", "hops", F.array_join("path", ">").alias("path"), "connected"),
+    _paths_sql(3).replace(" SELECT fd.a, b, hops, concat_ws", ", ps AS (SELECT fd.a, b, hops, concat_ws", 1) + ")" + SOME_PAIRS
+    + """, dr AS (SELECT sp.a, sp.b, count(r.src) FILTER (r.src = sp.a AND r.dst = sp.b) AS forward, count(r.src) FILTER (r.src = sp.b AND r.dst = sp.a) AS backward FROM sp LEFT JOIN relations r ON (r.src = sp.a AND r.dst = sp.b) OR (r.src = sp.b AND r.dst = sp.a) GROUP BY sp.a, sp.b),
+    sj AS (SELECT sp.a, sp.b, count(DISTINCT x.project_id) AS n FROM sp JOIN mentions x ON x.entity_id = a JOIN mentions y ON y.entity_id = b AND y.project_id = x.project_id GROUP BY ALL)
+    SELECT dr.a, dr.b, forward, backward, coalesce(n, 0) AS projects, CASE WHEN forward + backward = 0 THEN hops END AS hops, CASE WHEN forward + backward = 0 THEN path END AS path,
+      forward + backward + coalesce(n, 0) > 0 OR hops IS NOT NULL AS connected FROM dr LEFT JOIN sj ON sj.a = dr.a AND sj.b = dr.b LEFT JOIN ps ON ps.a = dr.a AND ps.b = dr.b""",
+)
+_graph_query(
+    "connection_evidence", lambda g: T.explain_connections(g, _some_pairs(g))[1],
+    SEEDS.split(", sd AS")[0] + SOME_PAIRS + """SELECT sp.a, sp.b, rel_id, 'outgoing' AS direction, rel_type, evidence_strength FROM sp JOIN relations ON src = sp.a AND dst = sp.b
+    UNION ALL SELECT sp.a, sp.b, rel_id, 'incoming', rel_type, evidence_strength FROM sp JOIN relations ON src = sp.b AND dst = sp.a""",
+)

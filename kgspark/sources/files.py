@@ -36,10 +36,11 @@ def missing_artifacts(projects: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(title, slug, text) of JSON arrays of videos; slugs have at most 50 signs, without one the position names it."""
-    videos = spark.read.schema("title string, transcript string").json(path, multiLine=True)
+    """(title, slug, text) of JSON arrays of videos; slugs have at most 50 signs, without one it is video- and the place in its file, from 1."""
+    raw = spark.read.text(path, wholetext=True)
+    videos = raw.select(F.posexplode(F.from_json("value", "array<struct<title string, transcript string>>")).alias("pos", "v")).select("pos", "v.*")
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 50)
-    fallback = F.concat(F.lit("video-"), F.substring(F.sha2(F.coalesce("transcript", F.lit("")).cast("binary"), 256), 1, 8))
+    fallback = F.concat(F.lit("video-"), (F.col("pos") + 1).cast("string"))
     return videos.select("title", F.when(slug == "", fallback).otherwise(slug).alias("slug"), F.col("transcript").alias("text"))
 
 
@@ -113,12 +114,9 @@ def resolve_sources(projects: DataFrame, files: DataFrame) -> DataFrame:
 def write_artifacts(rows: DataFrame, folder: str) -> DataFrame:
     """(collection, project_id, …) rows in a folder per project; projects that are there already are left out and returned."""
     spark = rows.sparkSession
-    try:
-        have = spark.read.parquet(folder).select("project_id").distinct()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        have = rows.select("project_id").limit(0)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    have = spark.read.parquet(folder).select(F.col("project_id").cast("string").alias("project_id")).distinct() if there else rows.select("project_id").limit(0)
     new = rows.join(have, "project_id", "left_anti")
     new.write.mode("append").partitionBy("collection", "project_id").parquet(folder)
     return rows.join(have, "project_id", "left_semi")

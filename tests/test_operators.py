@@ -647,3 +647,39 @@ def test_newest_results_in_a_stream(spark, tmp_path):
         run()
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("scope", "seq", "result").collect())
     assert got == [("s", 3, "c"), ("t", 1, ""), ("t", 2, "y")]
+
+
+def test_transcripts_artifacts_and_slug_bundles(spark, tmp_path):
+    (tmp_path / "videos.json").write_text(json.dumps([{"title": "A Talk: " + "x" * 80, "transcript": "one"}, {"title": "!!", "transcript": "two"}, {"transcript": None}]))
+    got = [tuple(r) for r in S.read_transcripts(spark, str(tmp_path / "videos.json")).collect()]
+    assert [r[1] for r in got] == [("a-talk-" + "x" * 80)[:50], "video-2", "video-3"] and [r[2] for r in got] == ["one", "two", None]
+    for project, raw in (("p1", '{"n": 1}'), ("p2", "{"), ("p3", '{"n": 3}')):
+        (tmp_path / "all" / project).mkdir(parents=True)
+        (tmp_path / "all" / project / "02.json").write_text(raw)
+    good, broken = S.read_artifacts(spark, str(tmp_path / "all"), "02.json", "n int")
+    assert sorted(map(tuple, good.collect())) == [("p1", 1), ("p3", 3)] and [r["project_id"] for r in broken.collect()] == ["p2"]
+    assert [r[0] for r in S.missing_artifacts(spark.createDataFrame([("p1",), ("p9",)], "project_id string"), good).collect()] == ["p9"]
+    rows = spark.createDataFrame([("c", "p1", "x"), ("c", "p2", "y")], "collection string, project_id string, text string")
+    folder = f"file://{tmp_path}/written"
+    assert S.write_artifacts(rows, folder).count() == 0
+    more = rows.unionByName(spark.createDataFrame([("d", "p3", "z")], rows.schema)).withColumn("text", F.lit("new"))
+    assert {r["project_id"] for r in S.write_artifacts(more, folder).collect()} == {"p1", "p2"}
+    assert sorted((r["project_id"], r["text"]) for r in spark.read.parquet(folder).collect()) == [("p1", "x"), ("p2", "y"), ("p3", "new")]
+    bundle = {"entities": [{"slug": "e", "name": "E", "category": "Person", "projectRoles": [{"project": "p", "role": "r"}]}], "chains": [{"slug": "c", "project": "p", "links": [{"orderIndex": 0, "source": "e", "target": "f"}]}]}
+    (tmp_path / "bundle.json").write_text(json.dumps(bundle))
+    assert [[tuple(r) for r in part.collect()] for part in S.read_slug_bundle(spark, str(tmp_path / "bundle.json"))] == [[("e", "E", "Person")], [("e", "p", "r")], [("c", 0, "e", "f")]]
+
+
+def test_named_rows_descriptions_and_stored_vectors(spark):
+    table = spark.createDataFrame([("A", "a"), ("B", None), ("C", "c")], "name string, description string")
+    grown, refused = M.upsert_named(table, spark.createDataFrame([(" D ",), ("A",), ("D",), (" ",), (None,)], "name string"))
+    assert sorted(r["name"] for r in grown.collect()) == ["A", "B", "C", "D"] and refused.count() == 2
+    assert {r["name"] for r in M.rename(table, spark.createDataFrame([("A", "X"), ("B", "C")], "old string, new string")).collect()} == {"X", "B", "C"}
+    updates = [("A", "X", None), ("B", None, "new"), ("C", "B", "no"), ("nobody", "Y", None), ("Z", " ", "z")]
+    done, refused = M.describe(table, spark.createDataFrame(updates, "old string, name string, description string"))
+    assert sorted(map(tuple, done.collect()), key=str) == [("B", "new"), ("C", "c"), ("X", "a")] and {r["old"] for r in refused.collect()} == {"C", "nobody", "Z"}
+    vectors = spark.createDataFrame([("p", "A", [1.0]), ("p", "B", [2.0]), ("p", "p", [3.0]), ("q", "A", [1.0])], "project_id string, name string, embedding array<double>")
+    names = spark.createDataFrame([("A", "e1"), ("B", "e2")], "name string, entity_id string")
+    stored, coverage = M.store_embeddings(vectors, names, spark.createDataFrame([("e1", "p"), ("e2", "p"), ("e1", "q"), ("e1", "z")], "entity_id string, project_id string"))
+    assert {(r["project_id"], r["kind"], r["entity_id"]) for r in stored.collect()} == {("p", "entity", "e1"), ("p", "entity", "e2"), ("p", "project", None), ("q", "entity", "e1")}
+    assert {r["project_id"]: (r["entities"], r["projects"], r["expected"], r["complete"]) for r in coverage.collect()} == {"p": (2, 1, 3, True), "q": (1, 0, 2, False), "z": (0, 0, 2, False)}
