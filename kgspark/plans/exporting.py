@@ -90,8 +90,8 @@ def knn(spark, sf_dir):
 
 @register("knn_lists", None, __name__)
 def knn_lists(spark, sf_dir):
-    """Edges of every vector, by refined lists."""
-    return nearest_lists(read_table(spark, sf_dir, "embeddings"), 5, 0.1)
+    """Edges of every vector, by refined lists; longer ones than usual, since these vectors have hardly any structure."""
+    return nearest_lists(read_table(spark, sf_dir, "embeddings"), 5, 0.1, lists=20)
 
 
 @register("quick_ingest", "SELECT c.role AS name, count(DISTINCT conv_id) AS projects FROM conversations c GROUP BY 1", __name__)
