@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import hashed_vectors
 from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
 from kgspark.operators.traversal import neighborhood
@@ -67,8 +68,8 @@ def _unit(column: str):
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def similar_by_embedding(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = ENTITY_FLOOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact cosine of each query (query_id, vector) with all vectors, itself left out.
+def similar_by_embedding(vectors: DataFrame, queries: DataFrame, k: int = 10, floor: float = ENTITY_FLOOR, id_col: str = "vec_id", vector_col: str = "embedding", itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): exact cosine of each query (query_id, vector) with all vectors, the one of its id left out unless ``itself``.
 
     Queries and vectors are numbered into blocks. A pair of blocks is one group: it is multiplied as two
     matrices and returns each query's ``k`` best of the block, so rows follow queries times blocks, not pairs.
@@ -94,7 +95,7 @@ def similar_by_embedding(vectors: DataFrame, queries: DataFrame, k: int = 10, fl
             score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score) + 0.0
             rank = np.where(np.isnan(score), np.inf, score)  # NaN is above all numbers, as in Spark
             own = asked.column("query_id").slice(at, AT_ONCE).to_numpy()[:, None] == names[None, :]
-            rank[own | (rank < floor)] = -np.inf
+            rank[(own & (not itself)) | (rank < floor)] = -np.inf
             if k < rank.shape[1]:
                 rank[rank < np.partition(rank, -k, axis=1)[:, [-k]]] = -np.inf
             x, y = np.nonzero(rank > -np.inf)
@@ -117,6 +118,20 @@ def _matrix(rows: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate([np.empty(0), *parts]).reshape(-1, width)
 
 
+def semantic_search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 20, floor: float = 0.0, dim: int = 64, encoder=hashed_vectors) -> DataFrame:
+    """(query_id, id, score, rank): the rows whose texts are nearest by cosine to each query's text (query_id, query).
+
+    Rows and queries are encoded together, so that words weigh alike; ``encoder(texts (doc_id, text), dim)`` gives (doc_id, embedding). Texts without
+    words have no vector and are not found. Ids are whole numbers.
+    """
+    texts = rows.select(F.struct(F.lit(False).alias("asked"), F.col(id_col).cast("long").alias("id")).alias("doc_id"), F.col(text_col).alias("text"))
+    asked = queries.select(F.struct(F.lit(True).alias("asked"), F.col("query_id").cast("long").alias("id")).alias("doc_id"), F.col("query").alias("text"))
+    vectors = write_out(encoder(texts.unionByName(asked), dim), "encoded")
+    known = vectors.filter("NOT doc_id.asked").select(F.col("doc_id.id").alias("id"), "embedding")
+    wanted = vectors.filter("doc_id.asked").select(F.col("doc_id.id").alias("query_id"), F.col("embedding").alias("vector"))
+    return similar_by_embedding(known, wanted, k, floor, "id", itself=True)  # ids of queries and of rows have nothing in common
+
+
 def hybrid_merge(fulltext: DataFrame, semantic: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, id, source, rank): hits of both, those of the text search first; found twice is marked both."""
     f = fulltext.select("query_id", "id", F.col("rank").alias("fr"))

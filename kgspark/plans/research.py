@@ -6,7 +6,6 @@ import sys
 
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import hashed_vectors
 from kgspark.operators import research as B
 from kgspark.operators import search as R
 from kgspark.operators import textindex as I
@@ -116,9 +115,12 @@ def similar(spark, sf_dir):
 def hybrid(spark, sf_dir):
     docs, asked = read_table(spark, sf_dir, "documents"), _questions(read_table(spark, sf_dir, "benchmark"))
     text = R.fulltext_search(docs, asked, "doc_id", "text")
-    vectors = hashed_vectors(docs.select("doc_id", "text").unionByName(asked.select((-1 - F.col("query_id")).alias("doc_id"), F.col("query").alias("text"))), 64)
-    queries = vectors.filter("doc_id < 0").select((-1 - F.col("doc_id")).alias("query_id"), F.col("embedding").alias("vector"))
-    return R.hybrid_merge(text, R.similar_by_embedding(vectors.filter("doc_id >= 0"), queries, 20, 0.0, "doc_id"), 20)
+    return R.hybrid_merge(text, R.semantic_search(docs, asked, "doc_id", "text"), 20)
+
+
+@_named("semantic_search")
+def semantic(spark, sf_dir):
+    return R.semantic_search(read_table(spark, sf_dir, "documents"), _questions(read_table(spark, sf_dir, "benchmark")), "doc_id", "text")
 
 
 @_named("recall")

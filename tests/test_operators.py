@@ -683,3 +683,25 @@ def test_named_rows_descriptions_and_stored_vectors(spark):
     stored, coverage = M.store_embeddings(vectors, names, spark.createDataFrame([("e1", "p"), ("e2", "p"), ("e1", "q"), ("e1", "z")], "entity_id string, project_id string"))
     assert {(r["project_id"], r["kind"], r["entity_id"]) for r in stored.collect()} == {("p", "entity", "e1"), ("p", "entity", "e2"), ("p", "project", None), ("q", "entity", "e1")}
     assert {r["project_id"]: (r["entities"], r["projects"], r["expected"], r["complete"]) for r in coverage.collect()} == {"p": (2, 1, 3, True), "q": (1, 0, 2, False), "z": (0, 0, 2, False)}
+
+
+def test_semantic_search_and_hybrid_merge(spark):
+    """Cosines of the encoder's vectors by brute force; the merge takes text hits first."""
+    rng = random.Random(17)
+    texts = [(k, " ".join(rng.choices([f"w{j}" for j in range(60)], k=rng.randint(1, 12)))) for k in range(80)] + [(500, None), (501, "")]
+    asked = [(k, texts[k * 7][1]) for k in range(6)] + [(3000, "unknownword"), (4000, None)]
+    docs, queries = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    both = spark.createDataFrame([(f"d{k}", t) for k, t in texts] + [(f"q{k}", t) for k, t in asked], "doc_id string, text string")
+    unit = {r["doc_id"]: np.array(r["embedding"]) for r in N.hashed_vectors(both, 64).collect()}
+    got = R.semantic_search(docs, queries, "id", "text", 5, 0.05)
+    want = set()
+    for q, _ in asked:
+        if f"q{q}" in unit:
+            scored = sorted((-round(float(unit[f"q{q}"] @ unit[f"d{k}"]), 6), k) for k, _ in texts if f"d{k}" in unit)
+            want |= {(q, k, -s, r + 1) for r, (s, k) in enumerate(scored[:5]) if -s >= 0.05}
+    found = {tuple(r) for r in got.select("query_id", "id", "score", "rank").collect()}
+    assert {x[:2] for x in found} == {x[:2] for x in want} and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(found), sorted(want), strict=True))
+    first = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank int")
+    second = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (2, 13, 1)], "query_id long, id long, rank int")
+    merged = {tuple(r) for r in R.hybrid_merge(first, second, 2).select("query_id", "id", "source", "rank").collect()}
+    assert merged == {(1, 10, "fulltext", 1), (1, 11, "both", 2), (2, 13, "semantic", 1)}
