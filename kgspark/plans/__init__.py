@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("summaries", "views", "connections", "networks", "texts", "research", "building", "validating", "streams", "exporting")
+MODULES = ("summaries", "views", "connections", "networks", "texts", "research", "building", "validating", "streams", "exporting", "portable")
 
 
 def all_modules() -> None:
