@@ -78,6 +78,13 @@ def chunks(docs: DataFrame, size: int = 30_000, separator: str = "\n\n", id_col:
     return docs.select(F.col(id_col).cast("long"), "text").mapInArrow(run, f"{id_col} long, part int, text string")
 
 
+def chunk_titles(parts: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, part, title) of ``chunks``: the document's title (null: empty), with `` - Part i`` where the document has more than one part."""
+    many = parts.groupBy(id_col).agg(F.max("part").alias("_last"))
+    titled = parts.select(id_col, "part").join(many, id_col).join(docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce("title", F.lit("")).alias("title")), id_col)
+    return titled.select(id_col, "part", F.when(F.col("_last") > 1, F.concat("title", F.lit(" - Part "), F.col("part").cast("string"))).otherwise(F.col("title")).alias("title"))
+
+
 def capitalised_spans(sections_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Built-in span source: (id, section_id, text, label, context) of words with a capital, four letters or longer."""
     found = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{3,}"), F.lit(0))
@@ -265,6 +272,12 @@ def fallback_entities(docs: DataFrame, top: int = 20, shown: int = 12, id_col: s
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(top, shown)).select(id_col, F.initcap("w").alias("name"), "rank")
 
 
+def fallback_where_few(docs: DataFrame, candidates: DataFrame, fewer_than: int = 10, top: int = 20, shown: int = 12, id_col: str = "doc_id") -> DataFrame:
+    """``fallback_entities`` of the documents with fewer distinct candidates (id, name) than that, none included."""
+    enough = candidates.groupBy(id_col).agg(F.countDistinct("name").alias("n")).filter(F.col("n") >= fewer_than)
+    return fallback_entities(docs.join(enough.select(id_col), id_col, "left_anti"), top, shown, id_col)
+
+
 def sentences(docs: DataFrame, longer_than: int = 20, id_col: str = "doc_id") -> DataFrame:
     """(id, pos, sentence): split after . ! ? and white space; short ones left out."""
     parts = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])[ \t\n\r]+")

@@ -31,6 +31,15 @@ def similar_pairs(similar: DataFrame) -> DataFrame:
     return similar.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.round(F.max("similarity"), 3).alias("similarity"))
 
 
+def identify_projects(extracted: DataFrame, projects: DataFrame) -> DataFrame:
+    """extracted (chain, project_id, project_name, …) with the project_id of ``projects``: its own where it is one of theirs, else that of the one project
+    with its name. Rows that neither names are left out, and so are those whose name several projects have."""
+    known = projects.select("project_id").distinct().withColumn("_known", F.col("project_id"))
+    named = projects.groupBy(F.col("name").alias("project_name")).agg(F.countDistinct("project_id").alias("_n"), F.min("project_id").alias("_named")).filter("_n = 1").drop("_n")
+    out = extracted.join(known, "project_id", "left").join(named, "project_name", "left").withColumn("project_id", F.coalesce("_known", "_named"))
+    return out.filter("project_id IS NOT NULL").select(*extracted.columns)
+
+
 def enrich_chains(links: DataFrame, extracted: DataFrame) -> DataFrame:
     """(chain, project_id, order_index, source, target): a chain's links are replaced where the extraction has the chain, by name and project."""
     have = extracted.select("chain", "project_id").distinct()

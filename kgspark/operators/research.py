@@ -103,3 +103,52 @@ def near_names(names: DataFrame, most: int = 2) -> DataFrame:
     short = tiny.join(n.filter(F.col("len") <= 2 * most), "len").filter("x <> name").select(F.least("x", "name").alias("a"), F.greatest("x", "name").alias("b"))
     pairs = met.unionByName(short).distinct()
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).filter(F.col("distance") <= most)
+
+
+def chain_crossings(g: Graph) -> DataFrame:
+    """(entity_id, chains, projects): entities that chains of two projects or more pass through."""
+    placed = chain_nodes(g).join(g.chains.select("chain_id", "project_id"), "chain_id")
+    return placed.groupBy("entity_id").agg(F.countDistinct("chain_id").alias("chains"), F.countDistinct("project_id").alias("projects")).filter("projects >= 2")
+
+
+def crossed_chains(g: Graph) -> DataFrame:
+    """(chain_id, project_id, entities, meetings): chains that share entities with chains of other projects; meetings are counted for each shared entity.
+
+    A chain meets, at an entity, all chains there less those of its own project, so no pair of chains is listed."""
+    placed = chain_nodes(g).join(g.chains.select("chain_id", "project_id"), "chain_id")
+    own = placed.groupBy("entity_id", "project_id").agg(F.count("*").alias("_own"))
+    every = own.groupBy("entity_id").agg(F.sum("_own").alias("_all"))
+    others = own.join(every, "entity_id").select("entity_id", "project_id", (F.col("_all") - F.col("_own")).alias("_others")).filter("_others > 0")
+    met = placed.join(others, ["entity_id", "project_id"])
+    return met.groupBy("chain_id", "project_id").agg(F.count("*").alias("entities"), F.sum("_others").alias("meetings"))
+
+
+def year_gaps(g: Graph) -> DataFrame:
+    """(collection, after, before): years that neither a relation nor a phase of the collection covers, between its first and last one.
+
+    A relation covers its year; a phase the years from the least to the largest number of four digits in its period, nothing without one."""
+    years = F.transform(F.regexp_extract_all("period", F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
+    phases = g.phases.select("project_id", years.alias("y")).filter(F.size("y") > 0).select("project_id", F.array_min("y").alias("start"), F.array_max("y").alias("end"))
+    relations = g.relations.filter("year IS NOT NULL").select("project_id", F.col("year").cast("int").alias("start"), F.col("year").cast("int").alias("end"))
+    # one row for a first year: as many rows as there are years
+    spans = phases.unionByName(relations).join(g.project_collections, "project_id").groupBy("collection", "start").agg(F.max("end").alias("end"))
+    reach = F.max("end").over(Window.partitionBy("collection").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("after", reach).filter(F.col("start") > F.col("after") + 1).select("collection", "after", F.col("start").alias("before"))
+
+
+def sparse_projects(g: Graph) -> DataFrame:
+    """(collection, project_id, density, mean): projects with fewer relations for each entity than their collection's mean; without entities it is 0."""
+    entities = g.mentions.groupBy("project_id").agg(F.countDistinct("entity_id").alias("e"))
+    relations = g.relations.groupBy("project_id").agg(F.count("*").alias("r"))
+    counts = g.project_collections.join(entities, "project_id", "left").join(relations, "project_id", "left")
+    dense = counts.select("collection", "project_id", F.when(F.col("e") > 0, F.coalesce("r", F.lit(0)) / F.col("e")).otherwise(0.0).alias("density"))
+    means = dense.groupBy("collection").agg(F.avg("density").alias("mean"))
+    return dense.join(means, "collection").select("collection", "project_id", F.round("density", 6).alias("density"), F.round("mean", 6).alias("mean")).filter("density < mean")
+
+
+def uneven_bridges(g: Graph) -> DataFrame:
+    """(entity_id, projects, least, most): entities of two projects or more whose relations are not equally many in each of them."""
+    ends = g.relations.select("project_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("entity_id")).groupBy("project_id", "entity_id").agg(F.count("*").alias("r"))
+    placed = g.mentions.select("entity_id", "project_id").distinct().join(ends, ["project_id", "entity_id"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    spread = placed.groupBy("entity_id").agg(F.count("*").alias("projects"), F.min("r").alias("least"), F.max("r").alias("most"))
+    return spread.filter("projects >= 2 AND most > least")

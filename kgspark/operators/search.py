@@ -158,3 +158,27 @@ def recall(g: Graph, questions: DataFrame, depth: int = 1, seeds: int = 5, limit
     for rows, kind in ((inside, "relation"), (chains, "chain"), (projects, "project")):
         out = out.unionByName(top_per_group(rows.withColumn("_o", F.lit(0)), "query_id", "_o", limits[kind], ("id",)).drop("_o", "rank"))
     return out
+
+
+def recall_summary(g: Graph, questions: DataFrame, context: DataFrame, depth: int = 1, seeds: int = 5) -> DataFrame:
+    """(query_id, entities, summary): what ``recall`` found for each question in words, seeds by rank; questions without a seed have no row."""
+    named = g.entities.select("entity_id", F.concat_ws(" ", "name", "definition", F.array_join("aliases", " ")).alias("text"))
+    found = fulltext_search(named, questions, "entity_id", "text", seeds).join(g.entities.select(F.col("entity_id").alias("id"), "name"), "id")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]), ", ")
+    starts = found.groupBy("query_id").agg(names.alias("_names"))
+    counts = context.filter("kind = 'entity'").groupBy("query_id").agg(F.countDistinct("id").alias("entities"))
+    words = F.concat(F.lit("Found "), F.col("entities").cast("string"), F.lit(f" entities across {depth} hops from "), F.col("_names"))
+    return starts.join(counts, "query_id").select("query_id", "entities", words.alias("summary"))
+
+
+def similar_or_nearest(similar: DataFrame, keys: DataFrame, vectors: DataFrame, k: int, floor: float = ENTITY_FLOOR) -> DataFrame:
+    """(a, b, similarity, rank, source): each key's k best stored pairs (a, b, similarity, in either direction); keys without any ask with their vector
+    (entity_id, embedding) among all vectors. Keys with neither have no row."""
+    both = similar.select("a", "b", "similarity").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    wanted = keys.select(F.col("entity_id").alias("a")).distinct()
+    best = both.join(wanted, "a", "left_semi").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    stored = top_per_group(best, "a", "similarity", k, ("b",)).withColumn("source", F.lit("stored"))
+    asks = vectors.join(wanted.join(stored.select("a"), "a", "left_anti").withColumnRenamed("a", "entity_id"), "entity_id", "left_semi")
+    near = similar_by_embedding(vectors, asks.select(F.col("entity_id").alias("query_id"), F.col("embedding").alias("vector")), k, floor, "entity_id")
+    near = near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"), "rank", F.lit("vector").alias("source"))
+    return stored.select("a", "b", "similarity", "rank", "source").unionByName(near)

@@ -41,6 +41,18 @@ _graph_query(
     "enrich_chains", lambda g: E.enrich_chains(_named_links(g), _named_links(g).filter("order_index = 0").withColumn("target", F.lit("replaced"))),
     "SELECT chain_id AS chain, project_id, order_index, src AS source, 'replaced' AS target FROM chain_links JOIN chains USING (chain_id) WHERE order_index = 0",
 )
+def _told(g):
+    """Chains as an extraction tells them: odd years' projects by id, the others by name only."""
+    odd = F.year("created_at") % 2 == 1
+    p = g.projects.select("project_id", F.when(odd, F.col("project_id")).otherwise("unknown").alias("told"), F.col("name").alias("project_name"))
+    return _named_links(g).join(p, "project_id").filter("order_index > 0").select("chain", F.col("told").alias("project_id"), "project_name", "order_index", "source", F.lit("replaced").alias("target"))
+
+
+_graph_query(
+    "enrich_chains_by_name", lambda g: E.enrich_chains(_named_links(g), E.identify_projects(_told(g), g.projects)),
+    """, lk AS (SELECT chain_id AS chain, project_id, order_index, src AS source, dst AS target, max(order_index) OVER (PARTITION BY chain_id) AS last FROM chain_links JOIN chains USING (chain_id))
+    SELECT chain, project_id, order_index, source, CASE WHEN last > 0 THEN 'replaced' ELSE target END AS target FROM lk WHERE order_index > 0 OR last = 0""",
+)
 _graph_query(
     "export_summary", E.export_summary,
     f"SELECT *, {TIER.format('projects')} AS tier FROM (SELECT collection, entity_id, count(DISTINCT project_id) AS projects, row_number() OVER (PARTITION BY collection ORDER BY count(DISTINCT project_id) DESC, entity_id) AS rank FROM scoped GROUP BY collection, entity_id HAVING count(DISTINCT project_id) >= 2) WHERE rank <= 15",

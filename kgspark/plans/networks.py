@@ -8,10 +8,13 @@ from kgspark.operators import aggregates as A
 from kgspark.operators import algorithms as G
 from kgspark.operators import communities as C
 from kgspark.operators import paths as P
+from kgspark.operators import search as R
 from kgspark.operators import traversal as T
 from kgspark.operators.components import connected_components
 from kgspark.operators.joins import build_view
 from kgspark.plans.summaries import _graph_query
+from kgspark.registry import register
+from kgspark.sources.graph import ORDER_SQL, order_graph, read_table
 
 EDGES = """, pe AS (SELECT src AS a, dst AS b FROM relations UNION ALL SELECT dst, src FROM relations), se AS MATERIALIZED (SELECT DISTINCT a, b FROM pe WHERE a <> b)
 """
@@ -207,3 +210,19 @@ _graph_query(
     SEEDS.split(", sd AS")[0] + SOME_PAIRS + """SELECT sp.a, sp.b, rel_id, 'outgoing' AS direction, rel_type, evidence_strength FROM sp JOIN relations ON src = sp.a AND dst = sp.b
     UNION ALL SELECT sp.a, sp.b, rel_id, 'incoming', rel_type, evidence_strength FROM sp JOIN relations ON src = sp.b AND dst = sp.a""",
 )
+
+
+NEAR = """, kv AS (SELECT 'e' || vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), kn AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM kv),
+ke AS (SELECT id, list_transform(v, lambda x: x / l) AS v FROM kn WHERE l > 0), cat AS (SELECT entity_id FROM entities WHERE category = 'Brand#11'),
+st AS (SELECT a, b, max(similarity) AS similarity FROM (SELECT a, b, similarity FROM ns WHERE similarity >= 0.2 UNION ALL SELECT b, a, similarity FROM ns WHERE similarity >= 0.2) WHERE a IN (SELECT entity_id FROM cat) GROUP BY a, b),
+nr AS (SELECT q.id AS a, e.id AS b, round(list_dot_product(q.v, e.v), 6) AS similarity FROM ke q JOIN ke e ON q.id IN (SELECT entity_id FROM cat) AND q.id NOT IN (SELECT a FROM st) AND q.id <> e.id)
+SELECT * FROM (SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank, 'stored' AS source FROM st) WHERE rank <= 5
+UNION ALL SELECT * FROM (SELECT a, b, similarity, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank, 'vector' FROM nr WHERE similarity >= 0.1) WHERE rank <= 5"""
+
+
+@register("similar_or_nearest", ORDER_SQL + SIMILAR + NEAR, __name__)
+def similar_or_nearest(spark, sf_dir):
+    """Entities of one category: their stored pairs of 0.2 and more, else their nearest vectors."""
+    g = order_graph(spark, sf_dir)
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.concat(F.lit("e"), F.col("vec_id").cast("string")).alias("entity_id"), "embedding")
+    return R.similar_or_nearest(_similar(g).filter("similarity >= 0.2"), g.entities.filter("category = 'Brand#11'"), vectors, 5, 0.1)

@@ -128,3 +128,38 @@ def recall(spark, sf_dir):
     g = order_graph(spark, sf_dir)
     questions = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat_ws(" ", F.lit("small ring economy"), "r_name").alias("query"))
     return R.recall(g, questions)
+_graph_query(
+    "chain_crossings", B.chain_crossings,
+    """, cn AS (SELECT src AS entity_id, chain_id FROM chain_links UNION SELECT dst, chain_id FROM chain_links)
+    SELECT entity_id, count(DISTINCT chain_id) AS chains, count(DISTINCT project_id) AS projects FROM cn JOIN chains USING (chain_id) GROUP BY 1 HAVING count(DISTINCT project_id) >= 2""",
+)
+_graph_query(
+    "crossed_chains", B.crossed_chains,
+    """, cn AS (SELECT entity_id, chain_id, project_id FROM (SELECT src AS entity_id, chain_id FROM chain_links UNION SELECT dst, chain_id FROM chain_links) JOIN chains USING (chain_id))
+    SELECT a.chain_id, a.project_id, count(DISTINCT a.entity_id) AS entities, count(*) AS meetings FROM cn a JOIN cn b ON a.entity_id = b.entity_id AND a.project_id <> b.project_id GROUP BY ALL""",
+)
+_graph_query(
+    "year_gaps", lambda g: B.year_gaps(g.with_tables(project_collections=g.projects.select("project_id", F.col("domain").alias("collection")), relations=g.relations.filter("magnitude = 'foundational' AND year % 2 = 0"), phases=g.phases.filter("period LIKE '199_-01' AND phase_index = 3"))),
+    """, dm AS (SELECT project_id, domain AS collection FROM projects), ys AS (SELECT DISTINCT collection, y FROM (SELECT project_id, year AS y FROM relations WHERE magnitude = 'foundational' AND year % 2 = 0
+      UNION ALL SELECT project_id, substr(period, 1, 4)::INT FROM phases WHERE period LIKE '199_-01' AND phase_index = 3) JOIN dm USING (project_id))
+    SELECT * FROM (SELECT collection, lag(y) OVER (PARTITION BY collection ORDER BY y)::INT AS after, y::INT AS before FROM ys) WHERE before > after + 1""",
+)
+_graph_query(
+    "sparse_projects", B.sparse_projects,
+    """, en AS (SELECT project_id, count(*) AS e FROM mentions GROUP BY 1), rn AS (SELECT project_id, count(*) AS r FROM relations GROUP BY 1),
+    dn AS (SELECT collection, project_id, coalesce(coalesce(r, 0)::DOUBLE / e, 0.0) AS d FROM pc LEFT JOIN en USING (project_id) LEFT JOIN rn USING (project_id))
+    SELECT collection, project_id, round(d, 6) AS density, round(m, 6) AS mean FROM dn JOIN (SELECT collection, avg(d) AS m FROM dn GROUP BY 1) USING (collection) WHERE round(d, 6) < round(m, 6)""",
+)
+_graph_query(
+    "uneven_bridges", B.uneven_bridges,
+    """, en AS (SELECT project_id, e AS entity_id, count(*) AS r FROM (SELECT project_id, src AS e FROM relations UNION ALL SELECT project_id, dst FROM relations WHERE dst <> src) GROUP BY ALL)
+    SELECT entity_id, count(*) AS projects, min(coalesce(r, 0)) AS least, max(coalesce(r, 0)) AS most FROM mentions LEFT JOIN en USING (project_id, entity_id) GROUP BY 1 HAVING count(*) >= 2 AND max(coalesce(r, 0)) > min(coalesce(r, 0))""",
+)
+
+
+@_named("recall_summary")
+def recall_summary(spark, sf_dir):
+    """The questions of ``recall`` with what it finds for them in words."""
+    g = order_graph(spark, sf_dir)
+    questions = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.concat_ws(" ", F.lit("small ring economy"), "r_name").alias("query"))
+    return R.recall_summary(g, questions, R.recall(g, questions))

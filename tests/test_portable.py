@@ -209,3 +209,43 @@ def test_repair_embeddings(spark):
     plain = spark.createDataFrame([("a", "red green"), ("b", "red blue"), ("c", "green green"), ("d", "?"), ("e", ""), ("f", "red")], "id string, text string")
     whole = {r["id"]: r["embedding"] for r in hashed_vectors(plain, 4, "id").collect()}
     assert all(got[i][1] == pytest.approx(whole[i]) for i in "bcf")
+
+
+def test_titles_of_parts_and_fallback_where_few(spark):
+    from kgspark.functions import text as N
+
+    docs = spark.createDataFrame([(1, "One", "aa\n\nbb"), (2, None, "c"), (3, "Three", None)], "doc_id long, title string, text string")
+    parts = N.chunks(docs, 3)
+    assert rows(N.chunk_titles(parts, docs)) == [(1, 1, "One - Part 1"), (1, 2, "One - Part 2"), (2, 1, "")]
+    texts = spark.createDataFrame([(1, "harbour harbour bridge"), (2, "harbour bridge"), (3, "bridge")], "doc_id long, text string")
+    named = spark.createDataFrame([(1, "A"), (1, "B"), (1, "B"), (2, "A"), (2, "A")], "doc_id long, name string")
+    got = N.fallback_where_few(texts, named, 2)
+    assert rows(got, "doc_id", "name") == [(2, "Bridge"), (2, "Harbour"), (3, "Bridge")]
+
+
+def test_projects_of_an_extraction(spark):
+    from kgspark.operators.exports import identify_projects
+
+    projects = spark.createDataFrame([("p1", "One"), ("p2", "Two"), ("p3", "Twin"), ("p4", "Twin")], "project_id string, name string")
+    told = [("a", "p1", "Two"), ("b", None, "Two"), ("c", "gone", "One"), ("d", None, "Twin"), ("e", None, None), ("f", "p4", "Twin")]
+    got = identify_projects(spark.createDataFrame(told, "chain string, project_id string, project_name string"), projects)
+    assert rows(got, "chain", "project_id") == [("a", "p1"), ("b", "p2"), ("c", "p1"), ("f", "p4")]
+
+
+def test_recall_summary(spark, source):
+    from kgspark.operators.search import recall, recall_summary
+
+    questions = spark.createDataFrame([("q", "who is bob"), ("none", "zzz")], "query_id string, query string")
+    said = recall_summary(source, questions, recall(source, questions))
+    # Bob is the only seed; Ann, Cy and Far are one step away
+    assert rows(said) == [("q", 4, "Found 4 entities across 1 hops from Bob")]
+
+
+def test_chains_that_cross(spark, source):
+    from kgspark.operators.research import chain_crossings, crossed_chains, year_gaps
+
+    assert rows(chain_crossings(source)) == [("b", 2, 2), ("far", 2, 2)]
+    assert rows(crossed_chains(source)) == [("k1", "p1", 2, 2), ("k3", "p3", 2, 2)]
+    phases = spark.createDataFrame([("p1", 0, "1944-1971"), ("p1", 1, "about 1950"), ("p1", 2, "2008 to 2023"), ("p1", 3, "never"), ("p3", 0, "12345")], SCHEMAS["phases"])
+    g = source.with_tables(phases=phases, project_collections=source.project_collections.filter("collection <> 'COL'"))
+    assert rows(year_gaps(g)) == [("Col", 1971, 1990), ("Col", 1990, 2008)]
