@@ -139,9 +139,9 @@ _graph_query(
     SELECT a.chain_id, a.project_id, count(DISTINCT a.entity_id) AS entities, count(*) AS meetings FROM cn a JOIN cn b ON a.entity_id = b.entity_id AND a.project_id <> b.project_id GROUP BY ALL""",
 )
 _graph_query(
-    "year_gaps", lambda g: B.year_gaps(g.with_tables(project_collections=g.projects.select("project_id", F.col("domain").alias("collection")), relations=g.relations.filter("magnitude = 'foundational' AND year % 2 = 0"), phases=g.phases.filter("period LIKE '199_-01' AND phase_index = 3"))),
-    """, dm AS (SELECT project_id, domain AS collection FROM projects), ys AS (SELECT DISTINCT collection, y FROM (SELECT project_id, year AS y FROM relations WHERE magnitude = 'foundational' AND year % 2 = 0
-      UNION ALL SELECT project_id, substr(period, 1, 4)::INT FROM phases WHERE period LIKE '199_-01' AND phase_index = 3) JOIN dm USING (project_id))
+    "year_gaps",  # each entity as a collection of the relations that it starts
+    lambda g: B.year_gaps(g.with_tables(project_collections=g.entities.select(F.col("entity_id").alias("project_id"), F.col("entity_id").alias("collection")), relations=g.relations.withColumn("project_id", F.col("src")))),
+    """, ys AS (SELECT DISTINCT src AS collection, year AS y FROM relations)
     SELECT * FROM (SELECT collection, lag(y) OVER (PARTITION BY collection ORDER BY y)::INT AS after, y::INT AS before FROM ys) WHERE before > after + 1""",
 )
 _graph_query(
