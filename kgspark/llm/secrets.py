@@ -1,10 +1,11 @@
 """Secret scans, with DataFrame functions only.
 
 Base rules find assignments, access keys and long hex runs. The method adds what two character Markov
-models tell apart: one of random strings, one of ordinary identifiers. Both are bigram counts over every
-long token of the corpus; a token's label is whether a base rule covers it. A transition counts with its
-share among all transitions of its class, so that a first character that one class hardly uses speaks for
-the other; a token's own occurrences do not count for it. A token that no base span touches is reported when its log-likelihood ratio passes ``odds``.
+models tell apart: one of random strings, one of ordinary identifiers. Both hold the chance of a character
+given the one before it (the first one: given the start), counted over every token of ``LEAST`` or more
+characters in the corpus; a token's label is whether a base rule covers it. All occurrences of a token are
+left out of the counts that judge it. A token with a letter (others are numbers) that no base span touches is reported when its log-likelihood
+ratio reaches ``odds`` in all and ``PER_CHARACTER`` for each character.
 
 Positions come from one split by the rule's expression: the gaps before the matches and the matches'
 own lengths, summed along the document. Spans are in code points, end exclusive.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import table
 from kgspark.sources.scratch import write_out
 
+#: Least length of a token that the models judge.
+LEAST = 12
 KEYS = "|".join("".join(f"[{c}{c.upper()}]" for c in word) for word in ("password", "passwd", "secret", "token", "api")) + "_?[kK][eE][yY]"
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 #: kind -> (expression, least length of its value); the order is that of ties.
@@ -28,15 +31,15 @@ RULES = {
     "assign": (rf"({KEYS})[\"']?\x20*[:=]\x20*[\"']?({VALUE})", 6),
     "access": (r"AKIA[A-Z0-9]+", 20),
     "hex": (r"[0-9a-f]{24,}", 24),
-    "markov": (r"[A-Za-z0-9+/_=-]{20,}", 20),
+    "markov": (rf"[A-Za-z0-9+/_=-]{{{LEAST},}}", LEAST),
 }
 KINDS = list(RULES)
-#: Characters of a token, and the share of a uniform draw in each model: random strings keep half, so that
-#: characters never seen together stay likely; ordinary names keep little.
-ALPHABET = 66
+#: Characters of a token and what stands for its start, and the share of a uniform draw in each model: random
+#: strings keep half, so that characters never seen together stay likely; ordinary names keep little.
+ALPHABET, START = 66, "^"
 RANDOM_UNIFORM, ORDINARY_UNIFORM = 0.5, 0.02
-#: Least log-likelihood ratio, in nats, of a reported token.
-ODDS = 20.0
+#: Least log-likelihood ratio, in nats, of a reported token, and of each of its characters on the mean.
+ODDS, PER_CHARACTER = 10.0, 0.7
 
 
 def _matches(kind: str) -> Column:
@@ -89,50 +92,56 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return placed.withColumn("touched", touched)
 
 
-def _bigrams(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn("g", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))))
+def transitions(tokens: DataFrame) -> DataFrame:
+    """A row with ``g``, two characters in a row, for every place of every token; the first ones follow ``START``.
+
+    Letters of a token in capitals throughout are read as small ones: case tells something only where it changes.
+    """
+    read = F.when(F.col("token").rlike("[a-z]"), F.col("token")).otherwise(F.lower("token"))
+    pairs = F.zip_with(F.split(F.concat(F.lit(START), read), ""), F.split(read, ""), lambda a, b: F.concat(a, b))
+    return tokens.withColumn("g", F.explode(pairs)).filter("g IS NOT NULL")
 
 
 def train_models(tokens: DataFrame) -> DataFrame:
-    """(token, secret, n) -> (g, p_random, n_ordinary, all_ordinary) of each bigram; at most ALPHABET squared rows."""
+    """(token, secret, n) -> (g, p_random, n_ordinary, all_ordinary) of each transition; at most (ALPHABET + 1) * ALPHABET rows.
+
+    p_random is the chance in random strings; n_ordinary counts the transition in ordinary tokens, all_ordinary all those from its first character.
+    """
     counts = (
-        _bigrams(tokens)
+        transitions(tokens)
         .groupBy("g")
-        .agg(
-            F.sum(F.when(F.col("secret"), F.col("n")).otherwise(0)).alias("n_random"),
-            F.sum(F.when(F.col("secret"), 0).otherwise(F.col("n"))).alias("n_ordinary"),
-        )
+        .agg(F.sum(F.when(F.col("secret"), F.col("n")).otherwise(0)).alias("n_random"), F.sum(F.when(F.col("secret"), 0).otherwise(F.col("n"))).alias("n_ordinary"))
     )
-    everything = Window.partitionBy()
-    total = F.sum("n_random").over(everything)
-    seen = F.when(total > 0, F.col("n_random") / total).otherwise(F.lit(1.0 / ALPHABET**2))
+    same = Window.partitionBy(F.substring("g", 1, 1))
+    seen = (F.col("n_random") + F.lit(1.0 / ALPHABET)) / (F.sum("n_random").over(same) + 1)
     return counts.select(
-        "g", (F.lit(1 - RANDOM_UNIFORM) * seen + F.lit(RANDOM_UNIFORM / ALPHABET**2)).alias("p_random"), "n_ordinary", F.sum("n_ordinary").over(everything).alias("all_ordinary")
+        "g", (F.lit(1 - RANDOM_UNIFORM) * seen + F.lit(RANDOM_UNIFORM / ALPHABET)).alias("p_random"), "n_ordinary", F.sum("n_ordinary").over(same).alias("all_ordinary")
     )
 
 
 def log_ratio() -> Column:
-    """What a bigram of an unlabelled token adds: its chance in random strings against that in the other ordinary tokens."""
-    others = F.greatest(F.col("n_ordinary") - F.col("n"), F.lit(0)) / F.col("all_ordinary")
-    return F.log("p_random") - F.log(F.lit(1 - ORDINARY_UNIFORM) * others + F.lit(ORDINARY_UNIFORM / ALPHABET**2))
+    """What a transition that an unlabelled token has m times, of those ``before`` from its first character, adds each time: its chance in random strings against that in the other ordinary tokens."""
+    own, all_own = F.col("n") * F.col("m"), F.col("n") * F.col("before")
+    others = (F.col("n_ordinary") - own + F.lit(1.0 / ALPHABET)) / (F.col("all_ordinary") - all_own + 1)
+    return F.log("p_random") - F.log(F.lit(1 - ORDINARY_UNIFORM) * others + F.lit(ORDINARY_UNIFORM / ALPHABET))
 
 
 def scan(docs: DataFrame, odds: float = ODDS, id_col: str = "doc_id") -> DataFrame:
     """(id, h, spans array<struct<start, kind, end>>) of the texts that have any; h is xxhash64 of the text."""
     spans = write_out(find_spans(docs, id_col), "spans")
     markov = KINDS.index("markov")
-    tokens = write_out(
-        spans.filter(F.col("kind") == markov).groupBy("token", F.col("touched").alias("secret")).agg(F.count("*").alias("n")), "tokens"
-    )
+    tokens = spans.filter(F.col("kind") == markov).groupBy("token", F.col("touched").alias("secret")).agg(F.count("*").alias("n"))
+    tokens = write_out(tokens.withColumn("of", F.monotonically_increasing_id()), "tokens")  # written, so numbers stay
     model = train_models(tokens)
-    likely = (
-        _bigrams(tokens.filter("NOT secret").select("token", "n"))
-        .join(F.broadcast(model), "g")  # at most ALPHABET squared rows
-        .groupBy("token")
-        .agg(F.sum(F.round(log_ratio(), 6).cast("decimal(18,6)")).alias("llr"))
+    own = transitions(tokens.filter("NOT secret")).groupBy("of", "g").agg(F.first("n").alias("n"), F.count("*").alias("m"))
+    own = own.withColumn("before", F.sum("m").over(Window.partitionBy("of", F.substring("g", 1, 1))))
+    judged = (
+        own.join(F.broadcast(model), "g")  # at most (ALPHABET + 1) * ALPHABET rows
+        .groupBy("of")
+        .agg(F.sum(F.round(log_ratio(), 6).cast("decimal(18,6)") * F.col("m").cast("int")).alias("llr"))
         .filter(F.col("llr") >= odds)
-        .select("token")
     )
+    likely = tokens.join(judged, "of").filter(F.col("llr") >= F.lit(PER_CHARACTER) * F.length("token")).filter(F.col("token").rlike("[A-Za-z]")).select("token")
     added = spans.filter((F.col("kind") == markov) & ~F.col("touched")).join(likely, "token", "left_semi")
     columns = ("id", "h", "start", "kind", "end")
     every = spans.filter(F.col("kind") < markov).select(*columns).unionByName(added.select(*columns))
@@ -186,11 +195,12 @@ s AS (SELECT doc_id, kind, m AS token, (stop - len)::BIGINT AS start, stop::BIGI
 b AS (SELECT * FROM s WHERE kind < 3),
 t AS (SELECT *, EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop) AS secret FROM s WHERE kind = 3),
 u AS (SELECT token, secret, count(*) AS n FROM t GROUP BY ALL),
-g AS (SELECT token, secret, n, substr(token, i::BIGINT, 2) AS g FROM (SELECT *, unnest(range(1, length(token))) AS i FROM u)),
-c AS (SELECT g, sum(n * secret::INT)::DOUBLE AS r, sum(n * (NOT secret)::INT)::DOUBLE AS o FROM g GROUP BY g),
-m AS (SELECT g, {1 - RANDOM_UNIFORM}::DOUBLE * CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE {1 / ALPHABET**2}::DOUBLE END + {RANDOM_UNIFORM / ALPHABET**2}::DOUBLE AS p_random, o, sum(o) OVER () AS all_o FROM c),
-l AS (SELECT token, ln(p_random) - ln({1 - ORDINARY_UNIFORM}::DOUBLE * (greatest(o - n, 0) / all_o) + {ORDINARY_UNIFORM / ALPHABET**2}::DOUBLE) AS llr FROM g JOIN m USING (g) WHERE NOT secret),
-k AS (SELECT token FROM l GROUP BY token HAVING sum(round(llr, 6)::DECIMAL(18, 6)) >= {ODDS}),
+g AS (SELECT token, secret, n, substr('{START}' || CASE WHEN regexp_matches(token, '[a-z]') THEN token ELSE lower(token) END, i::BIGINT, 2) AS g, count(*)::BIGINT AS m FROM (SELECT *, unnest(range(1, length(token) + 1)) AS i FROM u) GROUP BY ALL),
+o AS (SELECT *, sum(m) OVER (PARTITION BY token, secret, g[1]) AS before FROM g),
+c AS (SELECT g, sum(n * m * secret::INT)::DOUBLE AS r, sum(n * m * (NOT secret)::INT)::DOUBLE AS o FROM g GROUP BY g),
+m AS (SELECT g, {1 - RANDOM_UNIFORM}::DOUBLE * ((r + {1 / ALPHABET}::DOUBLE) / (sum(r) OVER (PARTITION BY g[1]) + 1)) + {RANDOM_UNIFORM / ALPHABET}::DOUBLE AS p_random, o AS n_o, sum(o) OVER (PARTITION BY g[1]) AS all_o FROM c),
+l AS (SELECT token, m, ln(p_random) - ln({1 - ORDINARY_UNIFORM}::DOUBLE * ((n_o - n * o.m + {1 / ALPHABET}::DOUBLE) / (all_o - n * before + 1)) + {ORDINARY_UNIFORM / ALPHABET}::DOUBLE) AS llr FROM o JOIN m USING (g) WHERE NOT secret),
+k AS (SELECT token FROM l WHERE regexp_matches(token, '[A-Za-z]') GROUP BY token HAVING sum(round(llr, 6)::DECIMAL(18, 6) * m) >= {ODDS} AND sum(round(llr, 6)::DECIMAL(18, 6) * m) >= {PER_CHARACTER} * length(token)),
 a AS (SELECT doc_id, kind, start, stop FROM b UNION ALL SELECT doc_id, kind, start, stop FROM t WHERE NOT secret AND token IN (SELECT token FROM k)),
 w AS (SELECT *, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop AS said FROM a)
 SELECT d.doc_id, coalesce(count(*) FILTER (kind = 0), 0) AS n_assign, coalesce(count(*) FILTER (kind = 1), 0) AS n_access,

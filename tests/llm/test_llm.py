@@ -357,6 +357,27 @@ def test_markov_models_find_random_strings(spark):
     assert all([s["kind"] for s in got[200 + k]] == [0] for k in range(60))
 
 
+def test_short_keys_in_documents(spark):
+    """Keys of 12 to 40 characters without any assignment, in real documents that also hold assigned ones: found; clean documents stay clean."""
+    r = random.Random(5)
+    symbols = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    rows = [(x["doc_id"], x["text"] or "") for x in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    keys = {}
+    for k, n in enumerate((12, 16, 18, 19, 24, 40) * 10):
+        doc, text = rows[k]
+        key = "".join(r.choices(symbols[k % 7 % 3], k=n))
+        at = text.find(" ") + 1
+        rows[k] = (doc, f"{text[:at]} {key} {text[at:]}")
+        keys[doc] = (at + 1, at + 1 + n)
+    rows += [(100_000 + k, f"the token = {''.join(r.choices(symbols[k % 3], k=32))} of it") for k in range(60)]
+    rows += [(200_000 + k, "AN ANNOUNCEMENT OF INTERNATIONALISATION!") for k in range(2)]
+    markov = secrets.KINDS.index("markov")
+    found = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["kind"] == markov] for x in secrets.scan_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k, v in found.items() if v and k not in keys] == []
+    assert all(set(found[k]) <= {v} for k, v in keys.items())
+    assert sum(found[k] == [v] for k, v in keys.items()) >= 0.9 * len(keys)
+
+
 # 5 licences
 
 
