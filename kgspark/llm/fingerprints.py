@@ -11,8 +11,9 @@ clause's length. Inner products of those sums estimate the inner products of the
 likeness 2 xy / (xx + yy) of two fingerprints estimates how much text they share.
 
 Defined cases: a null text is empty, and two texts without clauses are alike (1) if their paragraphs
-agree, else 0. Rows of one id count as one document with the smallest text (null last); null ids are
-one document, which comes first. The only document follows itself. An empty table gives no rows.
+agree, else 0. Every row has its result. Different texts of one id follow one another in order of their
+MD5; equal rows count as one document, and each has its result; null ids come first. The only document
+follows itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -115,18 +116,24 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sum_vectors(exploded, id_col)
 
 
-def one_text_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text): null texts empty, and the smallest text of an id where ids repeat; texts are shuffled only then."""
-    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("c"))
+def own_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) with null texts empty, and, where ids repeat, how many rows each one stands for.
+
+    Where ids repeat, ``id`` is a struct of the id and the text's MD5, ordered like it, and the second table holds (id, copies).
+    """
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    if ids.filter("c > 1").limit(1).count():
-        rows = docs.groupBy(F.col(id_col).alias("id")).agg(F.coalesce(F.min(text_col), F.lit("")).alias("text"))
-    return rows
+    if not repeated:
+        return rows, None
+    digest = F.md5(F.col("text").cast("binary"))
+    counted = write_out(rows.groupBy("id", digest.alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("copies")), "rows")
+    key = F.struct("id", "digest").alias("id")
+    return counted.select(key, "text"), counted.select(key, "copies")
 
 
 def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
-    docs = one_text_each(table(spark, sf_dir, "documents"))
+    docs, copies = own_rows(table(spark, sf_dir, "documents"))
     # each document is the next one of exactly one other
     lengths = docs.select(F.col("id").alias("prev_id"), F.length("text").alias("n"))
     following = next_ids(docs, "id").select(F.col("id").alias("of"), "next_id")
@@ -146,6 +153,9 @@ def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     )
     sent = prints.select("n", "sha", "paragraphs", "clauses", F.explode(roles).alias("r")).select(F.col("r.to").alias("doc_id"), F.col("r.role").alias("role"), F.struct("n", "sha", "paragraphs", "clauses").alias("v"))
     met = sent.groupBy("doc_id").agg(*[F.first(F.when(F.col("role") == k, F.col("v")), ignorenulls=True).alias(name) for k, name in enumerate(("own", "changed", "after"))])
+    if copies is not None:
+        met = met.join(copies.withColumnRenamed("id", "of"), F.col("doc_id") == F.col("of"))
+        met = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("doc_id", F.col("doc_id.id"))
     p, c = F.col("own.paragraphs"), F.col("own.clauses")
     return met.select(
         "doc_id",
@@ -170,9 +180,10 @@ def _sql_near(p: str, c: str, q: str, d: str) -> str:
 
 _HEX = "('0x' || substr(sha256(v), {at}, {n}))::BIGINT"
 SQL = f"""
-WITH o AS (SELECT doc_id, coalesce(min(text), '') AS text FROM documents GROUP BY doc_id),
-f AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER (ORDER BY doc_id NULLS FIRST)) AS after,
-  coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER (ORDER BY doc_id NULLS FIRST)) AS next_id FROM o WINDOW w AS (ORDER BY doc_id NULLS FIRST)),
+WITH r AS (SELECT doc_id AS id, coalesce(text, '') AS text, count(*) AS copies FROM documents GROUP BY ALL),
+o AS (SELECT id, text, copies, row_number() OVER (ORDER BY id NULLS FIRST, md5(text)) AS doc_id FROM r),
+f AS (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER (ORDER BY doc_id)) AS after,
+  coalesce(lead(doc_id) OVER w, 1) AS next_id FROM o WINDOW w AS (ORDER BY doc_id)),
 e AS (SELECT doc_id, next_id, 0 AS which, text FROM f UNION ALL
   SELECT doc_id, next_id, 1, substr(text, 1, (length(text) - length(text) // 4)::BIGINT) || substr(after, 1, (length(text) // 4)::BIGINT) FROM f),
 u AS (SELECT doc_id, which, 1 AS kind, trim(unnest(string_split(text, chr(10))), ' ') AS v FROM e UNION ALL
@@ -182,10 +193,11 @@ h AS (SELECT doc_id, which, kind, floor(sqrt(length(v)))::BIGINT AS w, {_HEX.for
 s AS (SELECT e.doc_id, e.which, any_value(e.next_id) AS next_id, any_value(e.text) AS text,
   [{', '.join(f'(coalesce(sum(p[{i + 1}]) FILTER (kind = 1), 0) % {1 << PARAGRAPH_BITS})::BIGINT' for i in range(PARAGRAPH_LANES))}] AS p,
   [{', '.join(f'coalesce(sum(w * (2 * ((h >> {i}) & 1) - 1)) FILTER (kind = 2), 0)::BIGINT' for i in range(CLAUSE_LANES))}] AS c
-  FROM e LEFT JOIN h ON e.doc_id IS NOT DISTINCT FROM h.doc_id AND e.which = h.which GROUP BY e.doc_id, e.which)
-SELECT m.doc_id, length(m.text)::BIGINT AS n_chars, sha256(x.text) AS edited_sha256,
+  FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND e.which = h.which GROUP BY e.doc_id, e.which)
+SELECT o.id AS doc_id, length(m.text)::BIGINT AS n_chars, sha256(x.text) AS edited_sha256,
   {_sql_written('m.p', 'm.c')} AS fingerprint, {_sql_written('x.p', 'x.c')} AS edited_fingerprint,
   {_sql_near('m.p', 'm.c', 'x.p', 'x.c')} AS near_edited, {_sql_near('m.p', 'm.c', 'n.p', 'n.c')} AS near_next
-FROM s m JOIN s x ON m.doc_id IS NOT DISTINCT FROM x.doc_id AND m.which = 0 AND x.which = 1
-  JOIN s n ON m.next_id IS NOT DISTINCT FROM n.doc_id AND n.which = 0
+FROM s m JOIN s x ON m.doc_id = x.doc_id AND m.which = 0 AND x.which = 1
+  JOIN s n ON m.next_id = n.doc_id AND n.which = 0
+  JOIN (SELECT id, doc_id, unnest(range(copies)) FROM o) o ON o.doc_id = m.doc_id
 """

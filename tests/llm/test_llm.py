@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -79,6 +80,20 @@ def test_fingerprint_query(spark, tmp_path, odd):
     assert got[1]["fingerprint"] == got[5]["fingerprint"] != got[6]["fingerprint"]
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark, tmp_path, empty):
+    """Every row has its result; equal to the SQL, which numbers the rows."""
+    rows = [(1, "a one. b two."), (1, "c three.\nd four."), (1, "a one. b two."), (None, "e five, f six"), (None, None), (2, ""), (2, "g " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, fingerprints.op1_document_fingerprints(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(fingerprints.SQL).fetchall(), key=str)
+    assert sorted(map(str, (r[:2] for r in got))) == sorted(str((i, len(t or ""))) for i, t in rows)
+    (tmp_path / "none").mkdir()
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert fingerprints.op1_document_fingerprints(spark, str(tmp_path / "none")).count() == 0
+
+
 # 2 html
 
 PAGE = """<html><body><header class="site-header"><a href="/">Home site</a></header><div id="cookie-notice"><p>We use cookies.</p></div>
