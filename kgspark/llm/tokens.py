@@ -63,12 +63,17 @@ class Recent:
         return out
 
 
+#: Texts on which an encoder must agree with its tokenizer before it is used.
+PROBES = ("One two, three.", " two  blanks\nand a line ", "don't 12 345 x=y", "\u00e9t\u00e9 \u4e2d\u6587 \ud55c\uad6d", "")
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose pieces never reach across white space.
 
     The tokenizer's normaliser and splitter treat blank-separated words alone, so each distinct word is
     encoded once by the library and a text's ids are those of its words, end to end. New words are encoded
-    many at a time, with one of the tokenizer's special tokens between them to tell them apart.
+    many at a time, with one of the tokenizer's special tokens between them to tell them apart. A tokenizer
+    that differs from this on ``PROBES`` is refused.
     """
 
     def __init__(self, path: str):
@@ -81,6 +86,9 @@ class WordEncoder:
         self.special = list(special)
         self.between = special.popitem() if special else None
         self.known = Recent()
+        for text, ids in zip(PROBES, self.encode_all(list(PROBES), None), strict=True):
+            if ids.tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{path} joins pieces across white space; its texts cannot be encoded word by word")
 
     def _each(self, words: list[str]) -> None:
         for at in range(0, len(words), 1024):

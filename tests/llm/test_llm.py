@@ -528,6 +528,11 @@ def test_encoder_matches_whole_texts():
     assert [x.tolist() for x in encoder.encode_all(texts)] == whole_ids(texts)
 
 
+def test_tokenizers_that_join_words_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        tokens.WordEncoder("/opt/tokenizers/byte_bpe_50k.json")
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing(spark, odd, empty, capacity):
     rows = packing.pack_documents(odd, capacity=capacity).collect()
