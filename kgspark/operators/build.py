@@ -28,7 +28,8 @@ def resolve_entities(new: DataFrame, existing: DataFrame) -> DataFrame:
     matching id wins; without one the id is made from the name. Rows of one batch are not matched with each other.
     """
     keys = lambda df, *c: df.select(*c, F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("key"))
-    found = keys(new.select("name", "aliases"), F.col("name")).join(keys(existing, "entity_id"), "key").groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    held = keys(existing, "entity_id").groupBy("key").agg(F.min("entity_id").alias("entity_id"))  # of each key one row on either side
+    found = keys(new.select("name", "aliases"), F.col("name")).distinct().join(held, "key").groupBy("name").agg(F.min("entity_id").alias("entity_id"))
     out = new.select("name").distinct().join(found, "name", "left")
     return out.select("name", F.coalesce("entity_id", new_id("name")).alias("entity_id"), F.col("entity_id").isNull().alias("is_new"))
 
