@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import hashed_vectors
+from kgspark.operators.bm25 import scored_rows
 from kgspark.sources.scratch import write_out
 from kgspark.operators.rankings import top_per_group
 from kgspark.operators.traversal import neighborhood
 from kgspark.sources.graph import Graph
 
-K1, B = 1.2, 0.75
 #: Vectors in a block, and queries multiplied with it at once.
 BLOCK, AT_ONCE = 4000, 256
 ENTITY_FLOOR, PROJECT_FLOOR = 0.7, 0.5
@@ -23,42 +23,12 @@ def terms(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str, among: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, len); with ``among`` (term) of those terms only, which are picked before anything is counted."""
-    words = rows.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    each = words.select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    if among is not None:
-        each = each.join(among.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-
-
-def prefix_matches(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, q, term): the distinct words (term) that start with a wanted prefix (query_id, q) of three letters or more.
-
-    A word meets its prefixes by equality, none longer than the longest wanted one.
-    """
-    asked = wanted.filter(F.length("q") >= 3)
-    longest = asked.agg(F.coalesce(F.max(F.length("q")), F.lit(0)).alias("longest"))
-    known = words.select("term").distinct().crossJoin(F.broadcast(longest)).filter("length(term) >= 3 AND longest >= 3")  # one row
-    lengths = F.sequence(F.lit(3), F.least(F.length("term"), F.col("longest")))
-    return known.select("term", F.explode(lengths).alias("n")).select("term", F.expr("substring(term, 1, n)").alias("q")).join(asked, "q").select("query_id", "q", "term")
-
-
 def fulltext_search(rows: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int = 20, prefix: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): BM25 of the queries' terms (query_id, query); with ``prefix`` a term also matches longer words."""
-    stats = rows.select(F.size(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    """(query_id, id, score, rank): BM25 of the queries' terms (query_id, query); with ``prefix`` a term of three letters or more matches the words that begin
+    with it, and a shorter one none."""
+    words = rows.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("q")).distinct()
-    if prefix:
-        matches = prefix_matches(rows.select(F.explode(terms(F.col(text_col))).alias("term")), wanted)
-    else:
-        matches = wanted.withColumn("term", F.col("q"))
-    hits = postings(rows, id_col, text_col, matches).join(matches, "term")
-    hits = hits.groupBy("query_id", "q", "id", "len").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("query_id", "q").agg(F.count("*").alias("df"))
-    scored = hits.join(df, ["query_id", "q"]).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scores = scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    scores = scored_rows(words, wanted, k, prefix).select("query_id", "id", F.round("score", 6).alias("score"))
     return top_per_group(scores, "query_id", "score", k, ("id",))
 
 

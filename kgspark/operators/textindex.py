@@ -16,8 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark.operators.bm25 import B, K1
 from kgspark.operators.rankings import top_per_group
-from kgspark.operators.search import B, K1, terms
+from kgspark.operators.search import terms
 from kgspark.sources.scratch import write_out
 
 #: Rows of a range; folders; ranges that each query scores before it has a k-th score.
