@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -119,30 +120,98 @@ def words(text: Column, least: int = 2) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[a-z]{{{least},}}"), F.lit(0))
 
 
-def term_weights(sections_df: DataFrame, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
-    """(id, section_id, term, w): a document's sections are its corpus; uni- and bigrams, smoothed idf, unit rows."""
-    kept = F.filter(words(F.col("text")), lambda w: ~w.isin(STOP_WORDS))
-    tokens = sections_df.select(id_col, "section_id", kept.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    terms = tokens.select(id_col, "section_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_col, "section_id", "term").agg(F.count("*").alias("tf"))
-    whole = terms.groupBy(id_col, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocabulary = whole.withColumn("k", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("total"), "term"))).filter(F.col("k") <= max_features)
-    n = sections_df.groupBy(id_col).agg(F.count("*").alias("n"))
-    weighted = terms.join(vocabulary, [id_col, "term"]).join(n, id_col).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "section_id")))
-    return weighted.select(id_col, "section_id", "term", (F.col("w") / norm).alias("w"))
+#: Words weighed at once, about; what rounding to six places may move a score by.
+WORDS, NEAR = 500_000, 2e-6
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the sorted columns has a new value."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _leading(unit: np.ndarray, score: np.ndarray, code: np.ndarray, top: int) -> np.ndarray:
+    """Rows that may be among the ``top`` of their unit by rounded score, then code; of equal scores so many first."""
+    order = np.lexsort((code, -score, unit))
+    unit, score = unit[order], score[order]
+    place = np.arange(len(order))
+    first = np.maximum.accumulate(np.where(_starts(unit), place, 0))
+    least = np.where(place - first == top - 1, score, -np.inf)
+    ends = np.flatnonzero(_starts(unit))
+    least = np.repeat(np.maximum.reduceat(least, ends), np.diff(np.append(ends, len(order)))) if len(order) else least
+    same = np.maximum.accumulate(np.where(_starts(unit, score), place, 0))
+    return order[(score >= least - NEAR) & (place - same < top)]
+
+
+def leading_terms(sections_df: DataFrame, top: int, max_features: int = 500, id_col: str = "doc_id", summed: bool = False) -> DataFrame:
+    """(id, section_id, term, score): a document's sections are its corpus; uni- and bigrams, smoothed idf, unit rows, of each section the ``top`` terms.
+
+    With ``summed`` the sections' weights are added up and the terms are a document's. Scores are not rounded, so terms that
+    rounding might lift are there too. A document's sections come as one row, many documents are weighed at once, and only the leading terms go on.
+    """
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, len(whole) * WORDS // max(1, len(whole.column(1).flatten().flatten()[1].flatten())))
+            for begin in range(0, len(whole), step):
+                batch = whole.slice(begin, step)
+                numbers, lists = batch.column(1).flatten().flatten()
+                n = batch.column(1).value_lengths().to_numpy()
+                doc, sizes = np.repeat(np.arange(len(batch)), n), lists.value_lengths().to_numpy()
+                coded = pa.array(lists.flatten(), pa.string()).dictionary_encode()
+                order = pc.sort_indices(coded.dictionary).to_numpy()
+                known, v = coded.dictionary.take(pa.array(order)), len(order) + 1
+                word = np.argsort(order)[coded.indices.to_numpy()] if len(order) else np.empty(0, np.int64)
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                pair = np.flatnonzero(at[1:] == at[:-1])
+                # a blank comes before all letters, so codes are in the order of terms
+                section, code = np.concatenate([at, at[pair]]), np.concatenate([word * v, word[pair] * v + word[pair + 1] + 1])
+                order = np.lexsort((section, code, doc[section]))
+                section, code = section[order], code[order]
+                new = np.flatnonzero(_starts(section, code))
+                tf = np.diff(np.append(new, len(code)))
+                section, code = section[new], code[new]
+                of = doc[section]
+                term = np.cumsum(_starts(of, code)) - 1
+                heads = np.flatnonzero(_starts(of, code))
+                total, df = np.bincount(term, tf, len(heads)), np.bincount(term, minlength=len(heads))
+                order = np.lexsort((code[heads], -total, of[heads]))
+                place = np.arange(len(order))
+                kept = np.zeros(len(order), bool)
+                kept[order] = place - np.maximum.accumulate(np.where(_starts(of[heads][order]), place, 0)) < max_features
+                row = kept[term]
+                w = tf[row] * (np.log((1 + n[of[row]]) / (1 + df[term[row]])) + 1)
+                section, code, of = section[row], code[row], of[row]
+                score = w / np.sqrt(np.bincount(section, w * w, len(sizes)))[section]
+                if summed:
+                    new = _starts(of, code)
+                    score, section, code, of = np.bincount(np.cumsum(new) - 1, score, new.sum()), section[new], code[new], of[new]
+                lead = _leading(of if summed else section, score, code, top)
+                section, code, of = section[lead], code[lead], of[lead]
+                one, two = known.take(pa.array(code // v)), known.take(pa.array(code % v - 1, mask=code % v == 0))
+                terms = pc.coalesce(pc.binary_join_element_wise(one, two, " "), one)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), numbers.take(pa.array(section)), terms, pa.array(score[lead], pa.float64())], [id_col, "section_id", "term", "score"])
+
+    kept = lambda s: F.coalesce(F.filter(words(s["text"]), lambda w: ~w.isin(STOP_WORDS)), F.array().cast("array<string>"))
+    whole = sections_df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_list(F.struct("section_id", "text")).alias("s"))  # one document
+    rows = whole.select(id_col, F.transform("s", lambda s: F.struct(s["section_id"].alias("section_id"), kept(s).alias("w"))).alias("s"))
+    kinds = [sections_df.schema[c].dataType.simpleString() for c in (id_col, "section_id")]
+    return rows.mapInArrow(weigh, f"{id_col} {kinds[0]}, section_id {kinds[1]}, term string, score double")
 
 
 def tfidf_keywords(sections_df: DataFrame, top: int = 20, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
     """(id, term, score, rank): weights of a document's sections summed, the ``top`` terms of each document."""
-    scores = term_weights(sections_df, max_features, id_col).groupBy(id_col, "term").agg(F.round(F.sum("w"), 6).alias("score"))
+    scores = leading_terms(sections_df, top, max_features, id_col, summed=True).select(id_col, "term", F.round("score", 6).alias("score"))
     order = Window.partitionBy(id_col).orderBy(F.desc("score"), "term")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def section_keywords(sections_df: DataFrame, top: int = 10, max_features: int = 500, id_col: str = "doc_id") -> DataFrame:
     """(id, section_id, term, score, rank): the ``top`` terms of each section."""
-    scores = term_weights(sections_df, max_features, id_col).select(id_col, "section_id", "term", F.round("w", 6).alias("score"))
+    scores = leading_terms(sections_df, top, max_features, id_col).select(id_col, "section_id", "term", F.round("score", 6).alias("score"))
     order = Window.partitionBy(id_col, "section_id").orderBy(F.desc("score"), "term")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -183,8 +252,6 @@ def alias_groups(vectors: DataFrame, threshold: float = 0.85, id_col: str = "doc
     with those leaders in groups of about ``part``, and the free ones go on. So a document of any size is many groups of bounded size,
     and no pairs are listed. Null and zero vectors stay alone; leaders without members have no row.
     """
-    import numpy as np
-
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         flat = np.concatenate([np.empty(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]])
         x = np.nan_to_num(flat.astype(float).reshape(len(column), -1))
