@@ -118,10 +118,16 @@ def explain_connections(g: Graph, pairs: DataFrame, max_hops: int = 3) -> tuple[
     base = write_out(explain_pairs(g, asked), "direct")
     found = shortest_paths(g.relations, base.filter("forward + backward = 0").select("a", "b"), max_hops)
     summary = base.drop("connected").join(found, ["a", "b"], "left").withColumn("connected", (F.col("forward") + F.col("backward") + F.col("projects") > 0) | F.col("hops").isNotNull())
+    return summary, direct_evidence(g, asked)
+
+
+def direct_evidence(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(a, b, rel_id, direction, rel_type, evidence_strength): the direct relations of the pairs; no path is looked for."""
+    asked = pairs.select("a", "b").distinct()
     ends = g.relations.select("rel_id", "rel_type", "evidence_strength", "src", "dst")
     out = ends.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_id", F.lit("outgoing").alias("direction"), "rel_type", "evidence_strength")
     back = ends.filter("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_id", F.lit("incoming").alias("direction"), "rel_type", "evidence_strength")
-    return summary, out.unionByName(back).join(asked, ["a", "b"], "left_semi")
+    return out.unionByName(back).join(asked, ["a", "b"], "left_semi")
 
 
 def projects_of_paths(paths: DataFrame, mentions: DataFrame) -> DataFrame:

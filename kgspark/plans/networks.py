@@ -206,7 +206,7 @@ _graph_query(
       forward + backward + coalesce(n, 0) > 0 OR hops IS NOT NULL AS connected FROM dr LEFT JOIN sj ON sj.a = dr.a AND sj.b = dr.b LEFT JOIN ps ON ps.a = dr.a AND ps.b = dr.b""",
 )
 _graph_query(
-    "connection_evidence", lambda g: T.explain_connections(g, _some_pairs(g))[1],
+    "connection_evidence", lambda g: T.direct_evidence(g, _some_pairs(g)),
     SEEDS.split(", sd AS")[0] + SOME_PAIRS + """SELECT sp.a, sp.b, rel_id, 'outgoing' AS direction, rel_type, evidence_strength FROM sp JOIN relations ON src = sp.a AND dst = sp.b
     UNION ALL SELECT sp.a, sp.b, rel_id, 'incoming', rel_type, evidence_strength FROM sp JOIN relations ON src = sp.b AND dst = sp.a""",
 )

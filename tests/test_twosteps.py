@@ -71,3 +71,13 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert not node_similarity(none, 0.05).collect()
     assert not link_scores(none, spark.createDataFrame([("a", "b")], "a string, b string")).collect()
+
+
+def test_evidence_looks_for_no_path(spark, monkeypatch):
+    from kgspark.operators import traversal
+    from kgspark.plans import all_modules
+    from kgspark.registry import queries
+
+    all_modules()
+    monkeypatch.setattr(traversal, "shortest_paths", None)
+    assert queries()["connection_evidence"](spark, "/root/testdata/sf0.001").count()
