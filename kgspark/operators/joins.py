@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,84 @@ def related_projects(g: Graph, keys: DataFrame, k: int = 10) -> DataFrame:
     return top_per_group(counts, "p1", "shared", k, ("p2",))
 
 
+#: Collections that one row of an entity's list of them can name.
+LISTED = 512
+
+
 def recommend_projects(g: Graph, collections: DataFrame, k: int = 10) -> DataFrame:
-    """For each collection the k projects outside it with most of its entities."""
-    scope = scope_entities(g).join(collections.select("collection"), "collection", "left_semi").select("collection", "entity_id").distinct()
-    found = scope.join(g.mentions.select("entity_id", "project_id"), "entity_id").join(g.project_collections, ["collection", "project_id"], "left_anti")
-    counts = found.groupBy("collection", "project_id").agg(F.countDistinct("entity_id").alias("shared"))
+    """For each collection the k projects outside it with most of its entities.
+
+    Collections are numbered; a mention takes along the list of its entity's collections, two bytes each, so no row is made for each
+    collection that an entity and a project meet in. Each task counts them project by project and keeps its own k best of each collection.
+    """
+    names = write_out(collections.select("collection").filter("collection IS NOT NULL").distinct().orderBy("collection").select("collection", F.monotonically_increasing_id().alias("_m")), "collections")
+    part = F.shiftright("_m", 33)
+    sizes = names.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row for each range
+    bases = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    number = names.withColumn("_p", part).join(bases, "_p").select("collection", (F.col("_m") - F.shiftleft("_p", 33) + F.col("_base")).alias("number"))
+    number = write_out(number.select("collection", F.floor(F.col("number") / LISTED).cast("int").alias("block"), (F.col("number") % LISTED).cast("int").alias("at")), "numbers")
+    m = g.mentions.select("entity_id", "project_id").filter("project_id IS NOT NULL").distinct()
+    placed = g.project_collections.join(number, "collection").select("project_id", "block", "at")
+    of_entity = m.join(placed, "project_id").groupBy("entity_id", "block").agg(F.collect_set("at").alias("list"))
+    of_project = placed.groupBy("project_id", "block").agg(F.collect_set("at").alias("list"))
+    short = F.col("list").cast("array<smallint>").alias("list")
+    rows = m.join(of_entity, "entity_id").select("project_id", "block", short, F.lit(False).alias("own"))
+    rows = rows.unionByName(of_project.select("project_id", "block", short, F.lit(True).alias("own")))
+    rows = rows.repartition("project_id", "block").sortWithinPartitions("block", "project_id")
+
+    def count(batches):
+        held, block, best = [], None, {}
+
+        def take(table, final):
+            """Counts of whole projects of one block enter the lists of the k best; the last project may go on in the next batch."""
+            ids, lists, own = table.column(0).combine_chunks().dictionary_encode(), table.column(2).combine_chunks(), table.column(3).to_numpy()
+            place = ids.indices.to_numpy()  # in the order of the rows, which are sorted
+            if not final:
+                n = int(np.searchsorted(place, place[-1])) if len(place) else 0
+                rest, table = table.slice(n), table.slice(0, n)
+                lists, own, place = lists.slice(0, n), own[:n], place[:n]
+            else:
+                rest = table.slice(len(place))
+            if len(place):
+                at, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(place)), lists.value_lengths().to_numpy())
+                top = int(place[-1]) + 1
+                key = place[row].astype(np.int64) * LISTED + at
+                counts = np.bincount(key[~own[row]], minlength=top * LISTED).reshape(top, LISTED)
+                counts[place[row][own[row]], at[own[row]]] = 0
+                for c in np.flatnonzero(counts.any(axis=0)):
+                    some = best.setdefault(int(c), [])
+                    least = some[-1][0] if len(some) >= k else 0
+                    found = np.flatnonzero(counts[:, c] > -least)  # ids ascend, so equal ones are behind
+                    if len(found) > k:
+                        found = found[np.argsort(-counts[found, c], kind="stable")[:k]]
+                    some += [(-int(counts[p, c]), ids.dictionary[int(p)].as_py()) for p in found]
+                    some.sort(key=lambda x: (x[0], x[1].encode()))
+                    del some[k:]
+            return rest
+
+        def out():
+            flat = [(block, c, p, -n) for c, some in best.items() for n, p in some]
+            best.clear()
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat), (pa.int32(), pa.int32(), pa.string(), pa.int64()))], ["block", "at", "project_id", "shared"])
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            blocks = table.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s:
+                    block = int(blocks[s])
+                    rest = take(table.slice(s, e - s), e < len(blocks))
+                    if e < len(blocks):
+                        yield from out()
+        if rest is not None and rest.num_rows:
+            take(rest, True)
+        yield from out()
+
+    counts = rows.mapInArrow(count, "block int, at int, project_id string, shared long").join(number, ["block", "at"]).select("collection", "project_id", "shared")
     return top_per_group(counts, "collection", "shared", k, ("project_id",))
 
 
@@ -182,13 +257,32 @@ def project_bridges(g: Graph, projects: DataFrame) -> DataFrame:
     return m.join(projects.select("project_id"), "project_id", "left_semi").join(counts, "entity_id").select("project_id", "entity_id", "other_projects")
 
 
+def shared_counts(mentions: DataFrame, pairs: DataFrame, most: float = 8.0) -> DataFrame:
+    """(a, b, projects): distinct projects that mention both, of the pairs that share one.
+
+    Each project lists its own pairs where these are few for each mention, as counted. Otherwise each pair meets the projects of its end with fewer.
+    """
+    m = write_out(mentions.select("entity_id", "project_id").filter("entity_id IS NOT NULL AND project_id IS NOT NULL").distinct(), "mentions")
+    asked = pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct().select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    sums = m.groupBy("project_id").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") + 1) / 2).alias("listed")).first()
+    if (sums["listed"] or 0) <= most * (sums["rows"] or 0):
+        met = m.withColumnRenamed("entity_id", "x").join(m.withColumnRenamed("entity_id", "y"), "project_id").filter("x <= y")
+    else:
+        degree = m.groupBy("entity_id").agg(F.count("*").alias("n"))
+        at = lambda end, n: degree.select(F.col("entity_id").alias(end), F.col("n").alias(n))
+        first = F.col("nx") <= F.col("ny")
+        few = asked.select("x", "y").distinct().join(at("x", "nx"), "x").join(at("y", "ny"), "y")
+        few = few.select("x", "y", F.when(first, F.col("x")).otherwise(F.col("y")).alias("entity_id"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"))
+        met = few.join(m, "entity_id").join(m.withColumnRenamed("entity_id", "other"), ["other", "project_id"], "left_semi")
+    counts = met.groupBy("x", "y").agg(F.count("*").alias("projects"))
+    return asked.join(counts, ["x", "y"]).select("a", "b", "projects")
+
+
 def explain_pairs(g: Graph, pairs: DataFrame) -> DataFrame:
     """(a, b) pairs with the relations each way and the projects they share."""
     ab = g.relations.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").alias("forward"))
-    ba = g.relations.groupBy(F.col("dst").alias("a"), F.col("src").alias("b")).agg(F.count("*").alias("backward"))
-    m = g.mentions.select("entity_id", "project_id")
-    both = pairs.select("a", "b").join(m.select(F.col("entity_id").alias("a"), "project_id"), "a").join(m.select(F.col("entity_id").alias("b"), "project_id"), ["b", "project_id"])
-    shared = both.groupBy("a", "b").agg(F.countDistinct("project_id").alias("projects"))
+    ba = ab.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("forward").alias("backward"))
+    shared = shared_counts(g.mentions, pairs)
     out = pairs.join(ab, ["a", "b"], "left").join(ba, ["a", "b"], "left").join(shared, ["a", "b"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("a", "b", zero("forward"), zero("backward"), zero("projects")).withColumn("connected", F.col("forward") + F.col("backward") > 0)

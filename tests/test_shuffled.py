@@ -3,6 +3,8 @@
 import random
 
 from kgspark.operators import communities as C
+from kgspark.operators import joins as J
+from kgspark.sources.graph import Graph
 
 
 def test_communities_send_packed_edges(spark, monkeypatch):
@@ -23,3 +25,40 @@ def test_communities_send_packed_edges(spark, monkeypatch):
     assert labels.count() == 300
     large = [(name, n) for name, n in rows if n > 600 and name != "contracted"]
     assert len(large) == 1 and large[0][0] == "half", large
+
+
+def test_shared_counts_both_ways(spark):
+    """Counts by project and by pair agree with sets; of pairs with a project of all entities only the smaller end's projects are met."""
+    rng = random.Random(8)
+    mentions = {(f"e{rng.randrange(30)}", f"p{rng.randrange(40)}") for _ in range(300)} | {(f"e{k}", "all") for k in range(30)}
+    pairs = [(f"e{rng.randrange(33)}", f"e{rng.randrange(33)}") for _ in range(200)] + [("e1", "e1")]
+    of = {}
+    for e, p in mentions:
+        of.setdefault(e, set()).add(p)
+    want = {(a, b): n for a, b in pairs if (n := len(of.get(a, set()) & of.get(b, set())))}
+    m, asked = spark.createDataFrame([*mentions, *list(mentions)[:50]], "entity_id string, project_id string"), spark.createDataFrame(pairs, "a string, b string")
+    for most in (0.0, 1e9):
+        rows = J.shared_counts(m, asked, most).collect()
+        assert {(r["a"], r["b"]): r["projects"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_recommended_projects_with_many_collections(spark, monkeypatch):
+    """Several rows of collections to an entity, batches that cut a project, own projects left out; ties by id."""
+    monkeypatch.setattr(J, "LISTED", 4)
+    rng = random.Random(6)
+    mentions = {(f"e{rng.randrange(40)}", f"p{rng.randrange(60)}") for _ in range(500)}
+    members = {(f"p{k}", f"c{rng.randrange(11)}") for k in range(60) for _ in range(2)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        none = spark.createDataFrame([], "x int")
+        g = Graph(none, none, spark.createDataFrame([*members], "project_id string, collection string"), none, spark.createDataFrame([(*x, "r") for x in mentions], "entity_id string, project_id string, role string"), none, none, none, none)
+        got = {(r["collection"], r["rank"]): (r["project_id"], r["shared"]) for r in J.recommend_projects(g, g.project_collections.select("collection").distinct(), 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in {c for _, c in members}:
+        scope = {e for e, p in mentions if (p, c) in members}
+        counts = {p: sum(1 for e, q in mentions if q == p and e in scope) for p in {p for _, p in mentions} if (p, c) not in members}
+        for rank, (p, n) in enumerate(sorted(((p, n) for p, n in counts.items() if n), key=lambda x: (-x[1], x[0]))[:3], 1):
+            want[c, rank] = (p, n)
+    assert got == want
