@@ -4,6 +4,7 @@ import random
 
 from kgspark.operators import communities as C
 from kgspark.operators import joins as J
+from kgspark.operators import traversal as T
 from kgspark.sources.graph import Graph
 
 
@@ -62,3 +63,32 @@ def test_recommended_projects_with_many_collections(spark, monkeypatch):
         for rank, (p, n) in enumerate(sorted(((p, n) for p, n in counts.items() if n), key=lambda x: (-x[1], x[0]))[:3], 1):
             want[c, rank] = (p, n)
     assert got == want
+
+
+def test_shortest_paths_in_slices(spark, monkeypatch):
+    """Levels cut into slices of four nodes, a hub, loops and parallel relations; no table has a row for each node of a level."""
+    monkeypatch.setattr(T, "SLICE_BITS", 2)
+    rng = random.Random(12)
+    edges = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)} | {("hub", f"n{k}") for k in range(0, 60, 7)}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    pairs = [(f"n{k}", f"n{(7 * k + 3) % 60}") for k in range(60)] + [("n1", "gone"), ("n2", "n2")]
+
+    def least(a, b, most):
+        far, at, k = {a: 0}, [a], 0
+        while at and k < most:
+            k += 1
+            at = [y for y in {z for x in at for z in near.get(x, ())} if y not in far]
+            far.update(dict.fromkeys(at, k))
+        if b not in far or a == b or a not in near:
+            return None
+        path = [b]
+        while path[0] != a:
+            path.insert(0, min(x for x in near[path[0]] if far.get(x, 99) == far[path[0]] - 1))
+        return path
+
+    got = {(r["a"], r["b"]): r["path"] for r in T.shortest_paths(spark.createDataFrame([*edges, *edges], "src string, dst string"), spark.createDataFrame(pairs, "a string, b string"), 5).collect()}
+    assert got == {p: path for p in pairs if (path := least(*p, 5))} and max(map(len, got.values())) >= 5
