@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators.components import connected_components
 from kgspark.sources.graph import Graph
+from kgspark.sources.scratch import write_out
 
 
 def _first(df: DataFrame, keys: list[str | Column], order: list) -> DataFrame:
@@ -185,17 +186,26 @@ def delete_collections(g: Graph, names: DataFrame) -> tuple[Graph, DataFrame]:
     return g.with_tables(project_collections=kept), orphans
 
 
+#: Ids that are sent to every task; more are joined by shuffle.
+SENT = 1_000_000
+
+
+def counted_small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast where it has few rows."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def delete_projects(g: Graph, ids: DataFrame) -> tuple[Graph, DataFrame]:
     """Without the projects and what only they hold; also (kind, n) of deleted rows, which is the preview too.
 
     Relations go by their own project, entities only where no mention of another project is left.
     """
-    gone = ids.select("project_id").distinct()
+    gone = counted_small(write_out(ids.select("project_id").distinct(), "gone"))
     by_project = {t: getattr(g, t).join(gone, "project_id", "left_anti") for t in ("projects", "project_collections", "project_directories", "mentions", "relations", "chains", "phases")}
     chains = g.chains.join(gone, "project_id", "left_semi").select("chain_id")
     links = g.chain_links.join(chains, "chain_id", "left_anti")
     touched = g.mentions.join(gone, "project_id", "left_semi").select("entity_id").distinct()
-    lost = touched.join(by_project["mentions"].select("entity_id").distinct(), "entity_id", "left_anti")
+    lost = write_out(touched.join(by_project["mentions"].select("entity_id"), "entity_id", "left_anti"), "lost")
     entities = g.entities.join(lost, "entity_id", "left_anti")
     report = None
     for name, df in [(t, getattr(g, t).join(gone, "project_id", "left_semi")) for t in ("projects", "mentions", "relations", "chains", "phases")] + [("chain_links", g.chain_links.join(chains, "chain_id", "left_semi")), ("entities", lost)]:

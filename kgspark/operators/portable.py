@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.text import hashed_vectors
 from kgspark.operators.aggregates import bridge_tier
-from kgspark.operators.build import broken_embeddings, delete_projects, new_id, resolve_entities
+from kgspark.operators.build import broken_embeddings, counted_small, delete_projects, new_id, resolve_entities
 from kgspark.sources.graph import Graph
 from kgspark.sources.portable import SECTIONS, Bundle
 from kgspark.sources.scratch import write_out
@@ -45,19 +45,19 @@ def export_collection(
     refers to them. Inputs beside the graph: vectors (entity_id or project_id, embedding), similar (a, b, similarity) by id, of which
     pairs inside the collection are kept once, rounded to three places, and missing_sources (project_id)."""
     spark = g.entities.sparkSession
-    ids = _members(g, collection)
+    ids = counted_small(write_out(_members(g, collection), "members"))
     mine = lambda df: df.join(ids, "project_id", "left_semi")
-    mentions = mine(g.mentions)
+    mentions = write_out(mine(g.mentions), "export_mentions")  # sections that others follow from are made once
     every = g.entities.filter("name IS NOT NULL").select("entity_id", "name")
     named = g.entities.filter("name IS NOT NULL").join(mentions.select("entity_id").distinct(), "entity_id", "left_semi")
     names = named.select("entity_id", "name")
     first = lambda c: F.min_by(c, "entity_id").alias(c)
     aliases = F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")  # the few entities of one name
     called = lambda df, column, new: df.join(every.select(F.col("entity_id").alias(column), F.col("name").alias(new)), column)
-    relations = called(called(_inside(g, ids, mentions), "src", "source"), "dst", "target")
-    chains = mine(g.chains).select(F.col("chain_id").alias("chain"), F.col("project_id").alias("project"), "name")
+    relations = write_out(called(called(_inside(g, ids, mentions), "src", "source"), "dst", "target"), "export_relations")
+    chains = write_out(mine(g.chains).select(F.col("chain_id").alias("chain"), F.col("project_id").alias("project"), "name"), "export_chains")
     links = g.chain_links.withColumnRenamed("chain_id", "chain").join(chains.select("chain").distinct(), "chain", "left_semi")
-    links = called(called(links, "src", "source"), "dst", "target")
+    links = write_out(called(called(links, "src", "source"), "dst", "target"), "export_links")
     if similar is None:
         pairs = spark.createDataFrame([], "a string, b string, similarity double")
     else:

@@ -10,9 +10,10 @@ from kgspark.plans.summaries import TIER, _graph_query
 from kgspark.registry import register
 from kgspark.sources import portable as S
 from kgspark.sources.graph import ORDER_SQL, order_graph, read_table
-from kgspark.sources.scratch import new_folder
+from kgspark.sources.scratch import new_folder, write_out
 
 DIM = 64
+STORED = ("mentions", "relations", "chains", "chain_links")
 NAMED = f"""{ORDER_SQL}, one AS (SELECT project_id FROM pc WHERE collection = '{MONTH}'), om AS (SELECT m.* FROM mentions m JOIN one USING (project_id)),
 rl AS (SELECT r.* FROM relations r JOIN one USING (project_id)), ol AS (SELECT l.*, c.project_id FROM chain_links l JOIN chains c USING (chain_id) JOIN one USING (project_id)),
 oc AS (SELECT c.* FROM chains c JOIN one USING (project_id)), oph AS (SELECT f.* FROM phases f JOIN one USING (project_id)),
@@ -23,9 +24,11 @@ tgt AS (SELECT entity_id, CASE WHEN category = 'Brand#11' AND entity_id IN (SELE
 """
 
 
-def _named(spark, sf_dir):
+def _named(spark, sf_dir, stored=()):
     """The order graph with names that tell entities apart, without aliases."""
     g = order_graph(spark, sf_dir)
+    # read several times by each import, so the lines are put in order once
+    g = g.with_tables(**{name: write_out(getattr(g, name), name) for name in stored})
     return g.with_tables(entities=g.entities.withColumn("name", F.concat_ws(" ", "name", "entity_id")).withColumn("aliases", F.array().cast("array<string>")))
 
 
@@ -37,16 +40,16 @@ def _bundle(spark, sf_dir):
     return P.export_collection(_named(spark, sf_dir), MONTH, _vectors(spark, sf_dir))
 
 
-def _imported(spark, sf_dir):
+def _imported(spark, sf_dir, g=None, bundle=None):
     """The month deleted and brought back from its bundle into a graph where one category has new names and the old ones as aliases."""
-    g = _named(spark, sf_dir)
+    g = g or _named(spark, sf_dir, STORED)
     rest, _ = P.purge_collection(g, MONTH)
     renamed = F.col("category") == "Brand#11"
     entities = rest.entities.select(
         "entity_id", F.when(renamed, F.concat(F.lit("new "), F.col("name"))).otherwise(F.col("name")).alias("name"), "category", "definition", F.when(renamed, F.array("name")).otherwise(F.col("aliases")).alias("aliases")
     )
     vectors = _vectors(spark, sf_dir)
-    return P.import_bundle(P.export_collection(g, MONTH, vectors), rest.with_tables(entities=entities), "imports", MONTH, dim=DIM)
+    return P.import_bundle(bundle or P.export_collection(g, MONTH, vectors), rest.with_tables(entities=entities), "imports", MONTH, dim=DIM)
 
 
 @register(
@@ -123,7 +126,11 @@ def import_names(spark, sf_dir):
     UNION ALL SELECT 'chain_links', count(*), count(*), true FROM ol UNION ALL SELECT 'phases', count(*), count(*), true FROM oph""", __name__,
 )
 def import_verified(spark, sf_dir):
-    return P.verify_bundle(_bundle(spark, sf_dir), _imported(spark, sf_dir).graph)
+    g = _named(spark, sf_dir, STORED)
+    bundle = P.export_collection(g, MONTH, _vectors(spark, sf_dir))
+    after = _imported(spark, sf_dir, g, bundle).graph
+    # each table is looked into once, so only the names, which five sections look up, are stored
+    return P.verify_bundle(bundle, after.with_tables(entities=write_out(after.entities, "entities")))
 
 
 _graph_query(

@@ -2,6 +2,7 @@
 
 import random
 
+from kgspark import registry
 from kgspark.operators import communities as C
 from kgspark.operators import joins as J
 from kgspark.operators import traversal as T
@@ -92,3 +93,9 @@ def test_shortest_paths_in_slices(spark, monkeypatch):
 
     got = {(r["a"], r["b"]): r["path"] for r in T.shortest_paths(spark.createDataFrame([*edges, *edges], "src string, dst string"), spark.createDataFrame(pairs, "a string, b string"), 5).collect()}
     assert got == {p: path for p in pairs if (path := least(*p, 5))} and max(map(len, got.values())) >= 5
+
+
+def test_imports_order_the_lines_once(spark):
+    """The tables of an import are stored ones: its plan holds no window over the lines."""
+    df = registry.queries()["import_relations"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
