@@ -190,8 +190,8 @@ def search_collections(g: Graph, directory: str | None, term: str, by: str = "pr
     return hits.groupBy("collection").agg(F.countDistinct("hit").alias("matches"))
 
 
-#: Parts of a project's entities that are sorted on their own first.
-SALTS = 16
+#: Parts of a project's entities that are sorted on their own first; a project of at most so many times k pairs lists all.
+SALTS, WHOLE = 16, 16
 
 
 def suggest_links(g: Graph, scores: DataFrame, projects: DataFrame, least: float, k: int = 20, listed: list[int] | None = None) -> DataFrame:
@@ -200,16 +200,27 @@ def suggest_links(g: Graph, scores: DataFrame, projects: DataFrame, least: float
     Entities of a project are ranked by score, then id. The pair of ranks (i, j) comes after all pairs (i', j') with i' <= i and j' <= j,
     i j - i (i + 1) / 2 pairs with itself. So if x of the pairs with such a number up to c are related, and c is k + x or more, the k best are
     among them. c begins with k and grows for the projects where it is too small; no project lists all its pairs unless it
-    has hardly more. ``listed`` gets the number of pairs of each round.
+    has hardly more. Projects of few pairs list all at once, without rounds. ``listed`` gets the number of their pairs and of
+    those of each round.
     """
     good = g.mentions.select("project_id", "entity_id").distinct().join(projects.select("project_id").distinct(), "project_id", "left_semi").join(scores.filter(F.col("score") > least), "entity_id").select("project_id", "entity_id", "score")
     order = [F.desc("score"), "entity_id"]
-    sizes = good.groupBy("project_id").agg(F.count("*").alias("n")).filter("n > 1")
-    joined = write_out(g.relations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct().withColumn("related", F.lit(1)), "related")
+    good = write_out(good, "good")
+    pairs_of = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    sizes = good.groupBy("project_id").agg(F.count("*").alias("n")).filter("n > 1").withColumn("all", pairs_of)
+    joined = g.relations.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
+    one, two = (good.select("project_id", F.col("entity_id").alias(e), F.col("score").alias(s)) for e, s in (("a", "sa"), ("b", "sb")))
+    few = sizes.filter(F.col("all") <= WHOLE * k).select("project_id").join(one, "project_id").join(two, "project_id").filter("a < b").select("project_id", "a", "b", (F.col("sa") + F.col("sb")).alias("score"))
+    if listed is not None:
+        listed.append(few.count())
+    out = few.join(joined, ["a", "b"], "left_anti").select("project_id", "a", "b", "score")
+    open_ = write_out(sizes.filter(F.col("all") > WHOLE * k).select("project_id", F.lit(k).cast("long").alias("c"), "all", "n"), "open")
+    if open_.isEmpty():
+        return top_per_group(out, "project_id", "score", k, ("a", "b"))
+    joined = write_out(joined.withColumn("related", F.lit(1)), "related")
     salt = F.pmod(F.xxhash64("entity_id"), F.lit(SALTS))
-    good = write_out(good.join(sizes, "project_id").withColumn("part", F.row_number().over(Window.partitionBy("project_id", salt).orderBy(*order))), "good")
-    open_ = write_out(sizes.select("project_id", F.lit(k).cast("long").alias("c"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("all")), "open")
-    out = None
+    good = good.join(open_.select("project_id", "n"), "project_id").withColumn("part", F.row_number().over(Window.partitionBy("project_id", salt).orderBy(*order)))
+    good, open_ = write_out(good, "large"), open_.drop("n")
     while not open_.isEmpty():
         leaders = good.join(open_, "project_id").filter(F.col("part") <= F.col("c") + 1)  # rank 1 meets c others at most
         ranked = leaders.withColumn("i", F.row_number().over(Window.partitionBy("project_id").orderBy(*order)))
@@ -226,9 +237,7 @@ def suggest_links(g: Graph, scores: DataFrame, projects: DataFrame, least: float
         open_ = state.filter("c < need AND c < all").select("project_id", F.col("need").alias("c"), "all")
         ended = state.filter("c >= need OR c >= all").select("project_id")
         found = pairs.filter("related IS NULL").join(ended, "project_id", "left_semi").select("project_id", "a", "b", "score")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = good.select("project_id", F.col("entity_id").alias("a"), F.col("entity_id").alias("b"), "score").limit(0)
+        out = out.unionByName(found)
     return top_per_group(out, "project_id", "score", k, ("a", "b"))
 
 

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from kgspark.operators import aggregates as A
 from kgspark.operators import joins as J
 from kgspark.plans.summaries import IN_SCOPE, _graph_query
+from kgspark.sources.scratch import write_out
+
+
+def _suggested(g):
+    """Degrees and related pairs come from relations that are derived once."""
+    g = g.with_tables(relations=write_out(g.relations.select("src", "dst"), "relations"))
+    return J.suggest_links(g, A.degrees(g).select("entity_id", F.col("degree").alias("score")), g.projects, 10.0)
+
 
 _graph_query(
     "collection_graph", lambda g: J.collection_graph(g),
@@ -76,7 +84,7 @@ _graph_query(
     "SELECT collection, count(DISTINCT entity_id) AS matches FROM scoped JOIN entities USING (entity_id) WHERE lower(name) LIKE '%a%' GROUP BY collection",
 )
 _graph_query(
-    "suggest_links", lambda g: J.suggest_links(g, A.degrees(g).select("entity_id", F.col("degree").alias("score")), g.projects, 10.0),
+    "suggest_links", _suggested,
     """, gd AS (SELECT project_id, entity_id, degree AS score FROM mentions JOIN degrees USING (entity_id) WHERE degree > 10),
     jn AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM relations)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, a, b) AS rank FROM (
