@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.sources.graph import Graph
+from kgspark.sources.scratch import shuffles_let_go
 
 BUNDLE_FORMAT = "graph-bundle/1"
 TABLES = ("entities", "projects", "project_collections", "project_directories", "mentions", "relations", "chains", "chain_links", "phases")
@@ -61,13 +62,17 @@ def checksum(df: DataFrame) -> DataFrame:
 
 
 def write_bundle(g: Graph, folder: str) -> DataFrame:
-    """Portable bundle: JSON lines of each table and a manifest (table, n, checksum, format); returns the manifest."""
-    manifest = None
+    """Portable bundle: gzipped JSON lines of each table and a manifest (table, n, checksum, format); returns the manifest.
+
+    A table is written and summed before the next one, and its shuffle files are let go."""
+    spark, sums = g.entities.sparkSession, []
     for name in TABLES:
         df = getattr(g, name)
-        df.write.json(f"{folder}/{name}", ignoreNullFields=False)
-        row = checksum(df).select(F.lit(name).alias("table"), "n", "checksum", F.lit(BUNDLE_FORMAT).alias("format"), F.lit(df.schema.json()).alias("schema"))
-        manifest = row if manifest is None else manifest.unionByName(row)
+        with shuffles_let_go(spark):
+            df.write.json(f"{folder}/{name}", ignoreNullFields=False, compression="gzip")
+            n, total = checksum(df).first()
+        sums.append((name, n, total, BUNDLE_FORMAT, df.schema.json()))
+    manifest = spark.createDataFrame(sums, "table string, n long, checksum string, format string, schema string")  # one row per table
     manifest.coalesce(1).write.json(f"{folder}/manifest")
     return manifest
 
