@@ -153,17 +153,11 @@ def gaps(nodes: DataFrame, degrees: DataFrame, most: int = 2) -> DataFrame:
 def triangles(relations: DataFrame) -> DataFrame:
     """(entity_id, triangles, clustering) of nodes with neighbours.
 
-    Edges point from lower to higher (degree, id), so no node opens more pairs than the root of the edges allows.
+    No row is made for an open pair of neighbours: nodes are numbered, and lists of them meet.
     """
-    near = write_out(simple_edges(relations), "simple")
-    degree = write_out(near.groupBy("a").agg(F.count("*").alias("d")), "degree")
-    ranked = near.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
-    up = write_out(ranked.filter("d < e OR (d = e AND a < b)").select("a", "b"), "up")
-    x, y = up.select("a", F.col("b").alias("x")), up.select("a", F.col("b").alias("y"))
-    open_pairs = x.join(y, "a").filter("x <> y")
-    closed = open_pairs.join(up.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_semi")
-    per_node = closed.select(F.explode(F.array("a", "x", "y")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("triangles"))
-    out = degree.select(F.col("a").alias("entity_id"), "d").join(per_node, "entity_id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    ids, edges = T.numbered(relations)
+    per_node = T.triangle_counts(edges)
+    out = ids.join(T.sizes(edges).select(F.col("a").alias("node"), F.col("n").cast("long").alias("d")), "node").join(per_node, "node", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0).cast("long")))
     rate = F.when(F.col("d") > 1, F.round(2 * F.col("triangles") / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(F.lit(0.0))
     return out.select("entity_id", "triangles", rate.alias("clustering"))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from kgspark.sources.scratch import drop, write_out
 
-#: Members of a neighbourhood that are listed at once; list entries that one group counts.
-CHUNK, ENTRIES = 1024, 4_000_000
+#: Members of a neighbourhood that are listed at once; list entries that one group counts; list entries that are shuffled at once.
+CHUNK, ENTRIES, WAVE = 1024, 4_000_000, 1 << 30
 
 
 def numbered(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,3 +110,45 @@ def weighed(rows: DataFrame, edges: DataFrame, pairs: DataFrame, entries: int |
     bucket = _bucketed(rows, edges, entries)
     left, right = rows.select(bucket, "a", "d", "others"), pairs.select(bucket, "x", "y", "a", "c")
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(weigh, "x int, y int, common long, adamic_adar double, resource_allocation double")
+
+
+def _closed(batches):
+    """Of (x, a, list), sorted by x and a: lists of a = -1 hold what x points to, the others what a points to beside x; (node, n): corners of the triangles."""
+    held = np.empty(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists, last = batch.column(2), batch.column(0)[batch.num_rows - 1].as_py()
+        lengths = lists.value_lengths().to_numpy()
+        x, a = (np.repeat(batch.column(k).to_numpy().astype(np.int64), lengths) for k in (0, 1))
+        key, own = x << 32 | lists.flatten().to_numpy(), a < 0
+        known = np.sort(np.concatenate([held, key[own]]))
+        held = known[known >> 32 == last]
+        at = np.flatnonzero(~own)
+        if len(known) and len(at):
+            at = at[known[np.minimum(np.searchsorted(known, key[at]), len(known) - 1)] == key[at]]
+            node, n = np.unique(np.concatenate([x[at], a[at], key[at] & 0xFFFFFFFF]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(n, pa.int64())], ["node", "n"])
+
+
+def triangle_counts(edges: DataFrame) -> DataFrame:
+    """(node, triangles) of nodes in triangles, from ``numbered``'s edges.
+
+    Edges point from lower to higher (neighbours, number), so a node points to no more nodes than the root of the edges allows. A node sends to each
+    node that it points to those that come after it, four bytes a pair; these lists go in waves of about ``WAVE`` entries."""
+    up = edges.join(sizes(edges).select(F.col("a").alias("b"), F.col("n").alias("m")), "b").filter("n < m OR (n = m AND a < b)")
+    out = write_out(up.groupBy("a").agg(F.transform(F.sort_array(F.collect_list(F.struct("m", "b"))), lambda e: e["b"]).alias("to")), "out")
+    entries = out.agg(F.coalesce(F.sum(F.expr("cast(size(to) AS long) * (size(to) - 1) div 2")), F.lit(0))).first()[0]
+    rows = out.select("a", "to", F.posexplode("to").alias("at", "x")).select("x", "a", F.slice("to", F.col("at") + 2, F.size("to")).alias("list")).filter("size(list) > 0")
+    rows = rows.unionByName(out.select(F.col("a").alias("x"), F.lit(-1).alias("a"), F.col("to").alias("list")))
+    waves, found = -(-entries // WAVE) or 1, []
+    for wave in range(waves):
+        some = rows if waves == 1 else rows.filter(F.pmod(F.xxhash64("x"), F.lit(waves)) == wave)
+        cut = some.select("x", "a", F.explode(F.transform(F.sequence(F.lit(0), F.size("list") - 1, F.lit(CHUNK)), lambda s: F.slice("list", s + 1, F.lit(CHUNK)))).alias("list"))
+        counts = cut.repartition("x").sortWithinPartitions("x", "a").mapInArrow(_closed, "node int, n long")
+        found.append(write_out(counts.groupBy("node").agg(F.sum("n").alias("triangles")), "triangles"))
+    drop(out)
+    whole = found[0]
+    for one in found[1:]:
+        whole = whole.unionByName(one)
+    return whole.groupBy("node").agg(F.sum("triangles").alias("triangles"))

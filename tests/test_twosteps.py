@@ -81,3 +81,26 @@ def test_evidence_looks_for_no_path(spark, monkeypatch):
     all_modules()
     monkeypatch.setattr(traversal, "shortest_paths", None)
     assert queries()["connection_evidence"](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("wave", [T.WAVE, 60])
+def test_triangles_in_lists(spark, hub, monkeypatch, wave):
+    """Waves and chunks; no table has a row for each open pair of neighbours."""
+    from kgspark.operators.algorithms import triangles
+
+    rows, plain = [], T.write_out
+
+    def counted(df, name):
+        table = plain(df, name)
+        rows.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(T, "CHUNK", 3)
+    monkeypatch.setattr(T, "WAVE", wave)
+    monkeypatch.setattr(T, "write_out", counted)
+    sets = near(hub)
+    want = {a: sum(1 for b, c in itertools.combinations(sorted(s), 2) if c in sets[b]) for a, s in sets.items()}
+    got = {r["entity_id"]: (r["triangles"], r["clustering"]) for r in triangles(spark.createDataFrame(hub, "src string, dst string")).collect()}
+    assert got == {a: (t, round(2 * t / (len(sets[a]) * (len(sets[a]) - 1)), 6) if len(sets[a]) > 1 else 0.0) for a, t in want.items()}
+    assert sum(name == "triangles" for name, _ in rows) >= (1 if wave == T.WAVE else 2) and "out" in dict(rows)
+    assert triangles(spark.createDataFrame([], "src string, dst string")).count() == 0
