@@ -221,3 +221,15 @@ def link_scores(relations: DataFrame, pairs: DataFrame) -> DataFrame:
     name = lambda node, column: ids.select(F.col("node").alias(node), F.col("entity_id").alias(column))
     named = scored.unionByName(own).join(name("x", "a"), "x").join(name("y", "b"), "y")
     return named.select("a", "b", "common", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("resource_allocation", 6).alias("resource_allocation"))
+
+
+def unlinked_scores(relations: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``link_scores`` of all pairs of entities (a before b) that a project mentions together and no relation joins; no table of the pairs is made."""
+    ids, edges = T.numbered(relations)
+    known = ids.join(T.sizes(edges).withColumnRenamed("a", "node"), "node").select("entity_id", F.col("node").alias("a"), "n")
+    seen = mentions.select(F.col("project_id").alias("z"), "entity_id").join(known, "entity_id").select("z", "a", "n").repartition("z").dropDuplicates(["z", "a"])
+    members = write_out(seen.join(seen.groupBy("z").agg(F.count("*").cast("int").alias("d")), "z").filter("d > 1"), "members")
+    scored = T.weighed_unlinked(edges, members)
+    name = lambda node, column: ids.select(F.col("node").alias(node), F.col("entity_id").alias(column))
+    named = scored.join(name("x", "p"), "x").join(name("y", "q"), "y")
+    return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "common", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("resource_allocation", 6).alias("resource_allocation"))

@@ -40,24 +40,27 @@ def sizes(edges: DataFrame) -> DataFrame:
     return edges.select("a", "n").distinct()
 
 
-def two_steps(members: DataFrame, chunk: int | None = None) -> DataFrame:
+def two_steps(members: DataFrame, chunk: int | None = None, stored: bool = False) -> DataFrame:
     """(a, n, d, others): for each member of a neighbourhood those that come after it by (n, a), in chunks.
 
     Input: (z, d, a, n), where z is a node with d neighbours and a one of them with n. A neighbourhood larger than ``chunk`` is listed in parts, so none is
-    gathered in one row; parts meet in pairs.
+    gathered in one row; parts meet in pairs. ``stored`` lists are written, so that rows may be asked for in several waves.
     """
     chunk = chunk or CHUNK
     part = F.pmod(F.xxhash64("a"), F.ceil(F.col("d") / chunk)).alias("part")
 
     def lists(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("z", "d", part).agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("m"))  # at most about a chunk
+        listed = rows.groupBy("z", "d", part).agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("m"))  # at most about a chunk
+        return write_out(listed, "lists") if stored else listed
 
-    place = lists(members).select("d", F.col("m.a").alias("nodes"), F.posexplode("m").alias("at", "x"))
+    short = lists(members)
+    place = short.select("d", F.col("m.a").alias("nodes"), F.posexplode("m").alias("at", "x"))
     out = place.select("x.a", "x.n", "d", F.slice("nodes", F.col("at") + 2, F.size("nodes")).alias("others")).filter("size(others) > 0")
     large = members.filter(F.col("d") > chunk)
     if not large.isEmpty():
-        x = lists(large).select("z", "d", "part", F.explode("m").alias("x"))
-        y = lists(large).select("z", F.col("part").alias("other"), F.col("m").alias("y"))
+        long = short.filter(F.col("d") > chunk) if stored else lists(large)
+        x = long.select("z", "d", "part", F.explode("m").alias("x"))
+        y = long.select("z", F.col("part").alias("other"), F.col("m").alias("y"))
         across = x.join(y, "z").filter("part <> other").select("x.a", "x.n", "d", F.expr("transform(filter(y, c -> c > x), c -> c.a)").alias("others"))
         out = out.unionByName(across.filter("size(others) > 0"))
     return out
@@ -105,13 +108,53 @@ def weighed(rows: DataFrame, edges: DataFrame, pairs: DataFrame, entries: int |
         at, d = at[hit], d[hit]
         common, adamic, share = (np.bincount(at, w, len(wanted))[of] for w in (None, 1 / np.log(d), 1 / d))
         keep = common > 0
-        return pa.table({"x": asked.column("x").filter(pa.array(keep)), "y": asked.column("y").filter(pa.array(keep)), "common": common[keep].astype(np.int64), "adamic_adar": adamic[keep], "resource_allocation": share[keep]})
+        return pa.table({"x": asked.column("x").filter(pa.array(keep)), "y": asked.column("y").filter(pa.array(keep)), "common": common[keep].astype(np.int64), "adamic_adar": adamic[keep].astype(float), "resource_allocation": share[keep].astype(float)})
 
     bucket = _bucketed(rows, edges, entries)
     left, right = rows.select(bucket, "a", "d", "others"), pairs.select(bucket, "x", "y", "a", "c")
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(weigh, "x int, y int, common long, adamic_adar double, resource_allocation double")
 
 
+def weighed_unlinked(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y, common, adamic_adar, resource_allocation) of pairs that share neighbours, are in a group of ``members`` (z, d, a, n) together and are not joined by ``edges``.
+
+    Groups list their pairs as neighbourhoods do, so a pair is four bytes until it is weighed. All lists go in waves of about ``WAVE`` entries."""
+    near = edges.select(F.col("a").alias("z"), F.col("n").alias("d"), F.col("b").alias("a")).join(sizes(edges), "a")
+    count = lambda df, n: df.agg(F.coalesce(F.sum(F.col(n).cast("long")), F.lit(0))).first()[0] // 2
+    most = count(edges, "n") + count(members, "d")
+    waves, buckets = -(-most // WAVE) or 1, -(-most // ENTRIES) or 1
+    up = edges.join(sizes(edges).select(F.col("a").alias("b"), F.col("n").alias("m")), "b").filter("n < m OR (n = m AND a < b)")
+    taken = write_out(up.groupBy("a").agg(F.collect_list("b").alias("others")), "taken")
+    rows, asked = two_steps(near, stored=waves > 1), two_steps(members, stored=waves > 1)
+
+    def weigh(found: pa.Table, asked: pa.Table) -> pa.Table:
+        linked = np.array(asked.column("linked").to_pylist(), bool)
+        wanted, out = (np.unique(_keys(asked.filter(pa.array(which, pa.bool_())))[0]) for which in (~linked, linked))
+        wanted = np.setdiff1d(wanted, out, assume_unique=True)
+        key, lengths = _keys(found)
+        d = np.repeat(found.column("d").to_numpy().astype(float), lengths)
+        if len(wanted) and len(key):
+            at = np.searchsorted(wanted, key)
+            hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == key)
+            at, d = at[hit], d[hit]
+        else:
+            at, d = np.empty(0, np.int64), d[:0]
+        common, adamic, share = (np.bincount(at, w, len(wanted)) for w in (None, 1 / np.log(d), 1 / d))
+        keep = common > 0
+        return pa.table({"x": (wanted[keep] >> 32).astype(np.int32), "y": (wanted[keep] & 0xFFFFFFFF).astype(np.int32), "common": common[keep].astype(np.int64), "adamic_adar": adamic[keep].astype(float), "resource_allocation": share[keep].astype(float)})
+
+    bucket, scored = F.pmod(F.xxhash64("a"), F.lit(buckets)), []
+    pairs = asked.select("a", "others", F.lit(False).alias("linked")).unionByName(taken.select("a", "others", F.lit(True).alias("linked")))
+    for wave in range(waves):
+        left, right = (df.withColumn("bucket", bucket).filter(F.lit(waves == 1) | (F.pmod("bucket", F.lit(waves)) == wave)) for df in (rows.select("a", "d", "others"), pairs))
+        one = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(weigh, "x int, y int, common long, adamic_adar double, resource_allocation double")
+        scored.append(write_out(one, "scored"))
+    whole = scored[0]
+    for one in scored[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
 def _closed(batches):
     """Of (x, a, list), sorted by x and a: lists of a = -1 hold what x points to, the others what a points to beside x; (node, n): corners of the triangles."""
     held = np.empty(0, np.int64)

@@ -98,19 +98,12 @@ _graph_query(
 _graph_query("core_numbers", lambda g: G.core_numbers(g.relations))
 _graph_query("knowledge_islands", lambda g: connected_components(g.relations.select(F.col("src").alias("a"), F.col("dst").alias("b"))))
 _graph_query(
-    "link_scores", lambda g: G.link_scores(g.relations, _unlinked(g)),
+    "link_scores", lambda g: G.unlinked_scores(g.relations, g.mentions),
     EDGES + """, dg AS (SELECT a, count(*) AS d FROM se GROUP BY a), up AS (SELECT DISTINCT m.entity_id AS a, n.entity_id AS b FROM mentions m JOIN mentions n ON m.project_id = n.project_id AND m.entity_id < n.entity_id), ul AS (SELECT up.* FROM up LEFT JOIN se USING (a, b) WHERE se.a IS NULL)
     SELECT ul.a, ul.b, count(*) AS common, round(sum(1 / ln(d)), 6) AS adamic_adar, round(sum(1 / d::DOUBLE), 6) AS resource_allocation FROM ul JOIN se x ON x.a = ul.a JOIN se y ON y.a = ul.b AND y.b = x.b JOIN dg ON dg.a = x.b GROUP BY ul.a, ul.b""",
 )
 
 
-def _unlinked(g):
-    """Pairs of entities of one project that no relation joins."""
-    m = g.mentions.select("project_id", "entity_id")
-    pairs = m.withColumnRenamed("entity_id", "a").join(m.withColumnRenamed("entity_id", "b"), "project_id").filter("a < b").select("a", "b").distinct()
-    return pairs.join(G.simple_edges(g.relations), ["a", "b"], "left_anti")
-
-
 def _betweenness_sql(levels: int) -> str:
     """Brandes from all nodes, unrolled; the last level must be empty for the result to be whole."""
     sql = EDGES + """, nd AS MATERIALIZED (SELECT a AS id, row_number() OVER (ORDER BY a)::INTEGER AS a FROM (SELECT DISTINCT a FROM se)),

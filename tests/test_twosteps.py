@@ -104,3 +104,29 @@ def test_triangles_in_lists(spark, hub, monkeypatch, wave):
     assert got == {a: (t, round(2 * t / (len(sets[a]) * (len(sets[a]) - 1)), 6) if len(sets[a]) > 1 else 0.0) for a, t in want.items()}
     assert sum(name == "triangles" for name, _ in rows) >= (1 if wave == T.WAVE else 2) and "out" in dict(rows)
     assert triangles(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+@pytest.mark.parametrize("wave", [T.WAVE, 300])
+def test_unlinked_scores_of_projects(spark, hub, monkeypatch, wave):
+    """Chunks, buckets and waves; a project of many, one of one, entities without relations; no table has a row for each pair."""
+    from kgspark.operators import algorithms as G
+
+    rows = []
+    for module in (T, G):
+        monkeypatch.setattr(module, "write_out", lambda df, name, plain=module.write_out: (table := plain(df, name), rows.append((name, table.count())))[0])
+    monkeypatch.setattr(T, "CHUNK", 7)
+    monkeypatch.setattr(T, "ENTRIES", 100)
+    monkeypatch.setattr(T, "WAVE", wave)
+    r, sets = random.Random(9), near(hub)
+    mentions = {(f"v{r.randrange(64)}", f"p{r.randrange(9)}") for _ in range(60)} | {(f"v{k}", "all") for k in range(40)} | {("v5", "own"), ("alone", "all")}
+    pairs = {(min(a, b), max(a, b)) for (a, p), (b, q) in itertools.combinations(mentions, 2) if p == q and a != b}
+    wanted = {}
+    for a, b in pairs:
+        if b not in sets.get(a, ()) and (common := sets.get(a, set()) & sets.get(b, set())):
+            wanted[a, b] = (len(common), sum(1 / math.log(len(sets[z])) for z in common), sum(1 / len(sets[z]) for z in common))
+    got = G.unlinked_scores(spark.createDataFrame(hub, "src string, dst string"), spark.createDataFrame([*mentions, *list(mentions)[:20]], "entity_id string, project_id string")).collect()
+    assert len(got) == len(wanted)
+    for x in got:
+        assert (x["common"], x["adamic_adar"], x["resource_allocation"]) == pytest.approx(wanted[x["a"], x["b"]], abs=2e-6)
+    assert max(n for name, n in rows if name not in ("scored", "edges", "ends")) < len(pairs)
+    assert sum(name == "scored" for name, _ in rows) >= (1 if wave == T.WAVE else 5)
