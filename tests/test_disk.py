@@ -1,8 +1,11 @@
 """What queries leave on disk: compressed bundles, no shuffle files of steps that are over."""
 
+import random
 import time
 from pathlib import Path
 
+from kgspark.operators import blocks as B
+from kgspark.operators import paths as P
 from kgspark.sources import files as S
 from kgspark.sources.graph import order_graph
 from kgspark.sources.scratch import CLEANUP, write_out
@@ -47,3 +50,30 @@ def test_damaged_bundles_are_told(spark, tmp_path):
     S.write_bundle(g, folder)
     g.phases.limit(3).write.mode("overwrite").json(f"{folder}/phases", compression="gzip")
     assert {r["table"] for r in S.read_bundle(spark, folder)[1].collect() if not r["ok"]} == {"phases"}
+
+
+def test_closeness_in_waves(spark, monkeypatch):
+    """Slices that go one after the other, in rounds that end at different times, give what all at once do; a round moves what it may."""
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(600)}", f"n{rng.randrange(600)}") for _ in range(9000)] + [("c0", "c1"), ("c1", "c2")] + [("n1", "c0"), ("x", "y")]
+    relations = spark.createDataFrame(pairs, "src string, dst string")
+    want = sorted(map(tuple, P.closeness(relations, 8).collect()))
+    sent, plain = [], B.Cells.exchange
+
+    def counted(cells, message, *rest, **more):
+        sent.append(message.select("slice").distinct().count())
+        return plain(cells, message, *rest, **more)
+
+    monkeypatch.setattr(B.Cells, "exchange", counted)
+    monkeypatch.setattr(P, "SLICE", 128)
+    monkeypatch.setattr(P, "ROUND_BYTES", 1)
+    assert sorted(map(tuple, P.closeness(relations, 8).collect())) == want
+    assert max(sent) == 1 and len(sent) >= 2 * 4
+
+
+def test_slices_that_move_least():
+    """Few nodes: widest slices. Many: a round of all slices moves less than with slices of 256 registers, parts of which are held by tasks."""
+    assert P._widest(20_000, 900_000, 2048) == 2048
+    moved = lambda n, e, width: n * 2048 * -(-n * width // B.PART_BYTES) + P.CELL_BYTES * e * (2048 // width)
+    n, e = 7_200_000, 324_000_000
+    assert P._widest(n, e, 2048) == 64 and moved(n, e, 64) < moved(n, e, 256) / 2
